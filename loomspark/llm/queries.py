@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import chat, decontaminate, exact_dedup, toxicity, url_filter, warc
+from loomspark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, toxicity, url_filter, warc
 from loomspark.llm._common import documents
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), warc.new_folder(spark))
     return archive.read().drop("url")
@@ -30,6 +34,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
