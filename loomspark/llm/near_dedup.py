@@ -5,10 +5,13 @@ gives coordinate k as the least value over the set. BANDS * ROWS coordinates nee
 in a band are candidates: at a similarity of 0.75 a pair is missed with probability (1 - 0.75^3)^24, about 2 in a million.
 
 1. Documents with equal sets form a class; only its smallest doc_id goes on.
-2. Each class is compared with one class of smaller doc_id, that which it shares most bands with among its bands' first members. Verified
-   links give a forest, and its trees already join most copies: a link for each class, never a pair for each two.
-3. Only in bands that hold several trees are classes of different trees compared, in blocks of BLOCK by BLOCK, and only pairs that sizes and
-   signatures allow (at least half of the coordinates equal) go on to verification on full sets.
+2. A band's pivot is its class with most copies, as originals have more copies than variants. Each class is compared with the pivot
+   that it shares most bands with, then, where several trees of links still meet in a band, with two pivots drawn by hash. The
+   trees of verified links already join most copies: a few comparisons for each class, never one for each two.
+3. Only in bands that still hold several trees are classes of different trees compared, in blocks of BLOCK by BLOCK. First the shingles that
+   none of the other classes in such bands has are counted: they are in no intersection, so a class with over a quarter of them has no link at all.
+   Only pairs that sizes, these counts, the triangle inequality over exact distances to a common pivot, and finer
+   signatures (FINE coordinates, for these classes only) allow go on to verification on full sets.
 So every pair that shares a band is either joined already or verified; no bucket is capped, and no task gets more than two blocks at once.
 
 A null text has an empty set, as have texts without words; these are linked with nothing. A null doc_id is never a component's id unless all
@@ -32,6 +35,8 @@ WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 24, 3
 BLOCK = 256
+#: Coordinates that estimate a similarity, and the least share of them that must agree: 4.8 standard deviations below 0.75.
+FINE, LEAST_EQUAL = 256, 0.62
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 #: Shingles hashed at once, so that all steps stay in the processor's cache.
@@ -93,7 +98,7 @@ def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.nd
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (of the set), bands and signature (16 bits a coordinate) of each row."""
+    """doc_id, n_shingles, key (of the set) and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Hashes()
@@ -107,12 +112,12 @@ def sketch(docs: DataFrame) -> DataFrame:
                     for r in range(ROWS):
                         bands[:, b] = mixed(bands[:, b] + sig[:, b * ROWS + r].astype(np.uint64) + np.uint64((b + 1) * int(_MIX[1]) % 2**64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel())), pa.array([s.tobytes() for s in sig.astype(np.uint16)], pa.binary())],
-                    names=["doc_id", "n_shingles", "key", "bands", "sig"],
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))],
+                    names=["doc_id", "n_shingles", "key", "bands"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, sig binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -129,9 +134,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, shingles (sorted 64-bit hashes) of the documents wanted."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Hashes()
@@ -140,44 +144,84 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 batch = big.slice(i, 500)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, of).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "shingles"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
+    return materialize(texts.mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
+
+
+def _measured(full: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of intersection and union of their full sets."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            both, union = [], []
             last, x = None, None
             for a, raw, other in zip(batch.column("a").to_pylist(), batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
                 if a != last:
                     last, x = a, np.frombuffer(raw, np.uint64)
                 y = np.frombuffer(other, np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                good.append(100 * both >= PERCENT * (x.size + y.size - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                both.append(int(np.intersect1d(x, y, assume_unique=True).size))
+                union.append(x.size + y.size - both[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "both", "all"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    full = materialize(texts.mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
     one = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
     two = one.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    return materialize(two.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct(), "verified")
+    return materialize(two.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long, both long, all long").distinct(), "measured")
+
+
+def _shared_counts(full: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, common: how many of a document's shingles another wanted document has too; no intersection can be larger."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for i in range(0, big.num_rows, 200):
+                batch = big.slice(i, 200)
+                sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+                ids = batch.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets])), pa.array(np.repeat(ids, [len(x) for x in sets]))], names=["shingle", "doc_id"])
+
+    rows = full.join(wanted, "doc_id", "left_semi").mapInArrow(spread, "shingle long, doc_id long")
+    alone = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other").groupBy("doc_id").count()
+    return materialize(alone.withColumnRenamed("count", "alone"), "alone")
+
+
+def _fine(full: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, sig: FINE coordinates of 16 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for i in range(0, big.num_rows, 500):
+                batch = big.slice(i, 500)
+                sig = signatures([np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()], FINE).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "sig"])
+
+    return full.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, sig binary")
+
+
+def _links(measured: DataFrame) -> DataFrame:
+    return measured.where(F.lit(100) * F.col("both") >= F.lit(PERCENT) * F.col("all")).select("a", "b")
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels that share a band and may be similar; rows: band, n, doc_id, label, n_shingles, sig."""
+    """Pairs (a, b) of different labels that share a band and may be similar; rows: band, n, doc_id, label, n_shingles, sig, pivot, far, common."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks.cast("long")).cast("int")
     # a member of block i meets block j in the cell (min, max)
-    cells = rows.select("band", "doc_id", "label", "n_shingles", "sig", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    cells = cells.select("band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "doc_id", "label", "n_shingles", "sig")
+    cells = rows.select("band", "doc_id", "label", "n_shingles", "sig", "pivot", "far", "common", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+    cells = cells.select("band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "doc_id", "label", "n_shingles", "sig", "pivot", "far", "common")
 
     def compare(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = group[0][1], group[0][2]
         sides = [group, group] if lo == hi else [[g for g in group if g[3] == lo], [g for g in group if g[3] == hi]]
-        (ia, la, na, sa), (ib, lb, nb, sb) = [(np.array([g[4] for g in s], np.int64), np.array([g[5] for g in s], np.int64), np.array([g[6] for g in s], np.int64), np.array([np.frombuffer(g[7], np.uint16) for g in s]).reshape(len(s), -1)) for s in sides]
+        (ia, la, na, pa_, fa, ca, sa), (ib, lb, nb, pb, fb, cb, sb) = [(*(np.array([g[k] for g in s]) for k in (4, 5, 6, 8, 9, 10)), np.array([np.frombuffer(g[7], np.uint16) for g in s]).reshape(len(s), -1)) for s in sides]
         may = (la[:, None] != lb) & (100 * np.minimum(na[:, None], nb) >= PERCENT * np.maximum(na[:, None], nb)) & (ia[:, None] != ib)
+        may &= (100 + PERCENT) * np.minimum(ca[:, None], cb) >= PERCENT * (na[:, None] + nb)  # the intersection has common shingles only
+        may &= (pa_[:, None] != pb) | (np.abs(fa[:, None] - fb) <= 1 - PERCENT / 100 + 1e-9)  # Jaccard distance is a metric
         if lo == hi:
             may &= ia[:, None] < ib
         x, y = np.nonzero(may)
         good = np.zeros(len(x), bool)
         for k in range(0, len(x), 20_000):
-            good[k : k + 20_000] = 2 * (sa[x[k : k + 20_000]] == sb[y[k : k + 20_000]]).sum(1) >= sa.shape[1]
+            good[k : k + 20_000] = (sa[x[k : k + 20_000]] == sb[y[k : k + 20_000]]).mean(1) >= LEAST_EQUAL
         a, b = ia[x[good]], ib[y[good]]
         return np.minimum(a, b), np.maximum(a, b)
 
@@ -205,25 +249,50 @@ def _across(rows: DataFrame) -> DataFrame:
     return cells.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
+def _to_pivots(rows: DataFrame, most: int) -> DataFrame:
+    """Pairs (a: pivot, b: doc_id): for each document those pivots that it shares most bands with; rows: doc_id, pivot."""
+    counted = rows.where("pivot != doc_id").groupBy("doc_id", "pivot").count().groupBy("doc_id")
+    best = counted.agg(F.max(F.struct("count", "pivot")).alias("m")).select("doc_id", F.array("m").alias("m")) if most == 1 else counted.agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "pivot")), False), 1, most).alias("m"))  # at most a pivot for each band
+    return materialize(best.select(F.col("doc_id").alias("b"), F.explode("m").alias("m")).select(F.col("m.pivot").alias("a"), "b"), "pairs")
+
+
+def _open(shared: DataFrame, trees: DataFrame) -> DataFrame:
+    """Of the rows band, n, doc_id those in bands where several trees meet, with each document's label."""
+    labelled = materialize(shared.join(trees, F.col("doc_id") == F.col("node"), "left").select("band", "n", "doc_id", F.coalesce("label", "doc_id").alias("label")), "labelled")
+    several = materialize(labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band"), "open-bands")
+    return materialize(labelled.join(several, "band"), "open-rows")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     rows = materialize(sketch(docs), "sketches")
     n = rows.count()
     classes = materialize(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     reps = materialize(
-        rows.where("n_shingles > 0").join(classes.select("rep", F.col("key").alias("own")), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("own"))).select("doc_id", "n_shingles", "bands", "sig").dropDuplicates(["doc_id"]), "reps"
+        rows.where("n_shingles > 0").join(classes.select("rep", "members", F.col("key").alias("own")), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("own"))).select("doc_id", "n_shingles", "members", "bands").dropDuplicates(["doc_id"]), "reps"
     )
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    buckets = materialize(banded.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    shared = banded.join(buckets, "band").where("pivot != doc_id").groupBy("doc_id", "pivot").count()
-    first = materialize(shared.groupBy("doc_id").agg(F.max(F.struct("count", -F.col("pivot"))).alias("m")).select((-F.col("m.col2")).alias("a"), F.col("doc_id").alias("b")), "pairs")
-    links = _verified(docs, first)
+    banded = reps.select("doc_id", "members", F.explode("bands").alias("band"))
+    central = F.struct("members", -F.col("doc_id"))
+    buckets = materialize(banded.groupBy("band").agg(F.max(central).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "n", (-F.col("m.col2")).alias("pivot")), "buckets")
+    shared = materialize(banded.join(buckets.select("band", "n"), "band").select("band", "n", "doc_id"), "shared-bands")
+    full = _full_sets(docs, shared.select("doc_id").distinct())
+    first = _measured(full, _to_pivots(banded.join(buckets, "band"), 1))
+    links = _links(first)
+    open_rows = _open(shared, components(links))
+    drawn = F.struct(F.xxhash64("doc_id", F.lit(11)), "doc_id", "label")
+    pivots = materialize(open_rows.groupBy("band").agg(F.max(drawn).alias("m")).select("band", F.col("m.doc_id").alias("pivot"), F.col("m.label").alias("pivot_label")), "pivots")
+    links = links.unionByName(_links(_measured(full, _to_pivots(open_rows.join(pivots, "band").where("label != pivot_label"), 2))))
+    far = first.select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), (1 - F.col("both") / F.col("all")).alias("far"))
     trees = components(links)
-    known = reps.join(trees, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", "sig", "bands", F.coalesce("label", "doc_id").alias("label"))
-    labelled = materialize(known.select("doc_id", "n_shingles", "label", F.explode("bands").alias("band")).join(buckets.select("band", "n"), "band"), "labelled")
-    mixed_bands = materialize(labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band"), "open-buckets")
-    open_rows = labelled.join(mixed_bands, "band").join(reps.select("doc_id", "sig"), "doc_id")
-    more = _verified(docs, materialize(_across(open_rows), "pairs-across"))
+    rest = _open(open_rows.drop("label"), trees)
+    alone = _shared_counts(full, rest.select("doc_id").distinct())
+    known = reps.select("doc_id", "n_shingles").join(far, "doc_id", "left").join(alone, "doc_id", "left")
+    common = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
+    facts = known.select("doc_id", "n_shingles", F.coalesce("pivot", "doc_id").alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"), common.alias("common"))
+    facts = materialize(facts.where(F.lit(100) * F.col("common") >= F.lit(PERCENT) * F.col("n_shingles")), "facts")
+    rest = _open(rest.join(facts.select("doc_id"), "doc_id", "left_semi").drop("label"), trees)
+    facts = materialize(facts.join(_fine(full, rest.select("doc_id").distinct()), "doc_id"), "signed")
+    more = _links(_measured(full, materialize(_across(rest.join(facts, "doc_id")), "pairs-across")))
     final = components(links.unionByName(more))
     named = materialize(classes.join(final, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("label", "rep").alias("component_id"), "members"), "named")
     out = ["doc_id", "n_shingles", "component_id"]
