@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, repeats, toxicity, url_filter, warc
+from loomspark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, repeats, secrets, toxicity, url_filter, warc
 from loomspark.llm._common import documents
 
 
@@ -46,6 +46,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir), keep="max")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 #: (verdict, host, path), as the contract of op9 states them.
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
