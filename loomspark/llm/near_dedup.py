@@ -202,12 +202,12 @@ def _links(measured: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels that share a band and may be similar; rows: band, n, doc_id, label, n_shingles, sig, pivot, far, common."""
+    """Pairs (a, b) of different labels that share a band and may be similar; rows: band, n, doc_id, label, n_shingles, sig, pivot, far, common, bands. A pair comes from the first band it shares only."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks.cast("long")).cast("int")
     # a member of block i meets block j in the cell (min, max)
-    cells = rows.select("band", "doc_id", "label", "n_shingles", "sig", "pivot", "far", "common", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    cells = cells.select("band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "doc_id", "label", "n_shingles", "sig", "pivot", "far", "common")
+    cells = rows.select("band", "doc_id", "label", "n_shingles", "sig", "pivot", "far", "common", "bands", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+    cells = cells.select("band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "doc_id", "label", "n_shingles", "sig", "pivot", "far", "common", "bands")
 
     def compare(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = group[0][1], group[0][2]
@@ -222,7 +222,12 @@ def _across(rows: DataFrame) -> DataFrame:
         good = np.zeros(len(x), bool)
         for k in range(0, len(x), 20_000):
             good[k : k + 20_000] = (sa[x[k : k + 20_000]] == sb[y[k : k + 20_000]]).mean(1) >= LEAST_EQUAL
-        a, b = ia[x[good]], ib[y[good]]
+        x, y = x[good], y[good]
+        if len(x):
+            ka, kb = (np.array([g[11] for g in s], np.int64) for s in sides)
+            own = np.concatenate([ka[x[k : k + 20_000], (ka[x[k : k + 20_000]] == kb[y[k : k + 20_000]]).argmax(1)] for k in range(0, len(x), 20_000)]) == group[0][0]
+            x, y = x[own], y[own]
+        a, b = ia[x], ib[y]
         return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +296,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     facts = known.select("doc_id", "n_shingles", F.coalesce("pivot", "doc_id").alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"), common.alias("common"))
     facts = materialize(facts.where(F.lit(100) * F.col("common") >= F.lit(PERCENT) * F.col("n_shingles")), "facts")
     rest = _open(rest.join(facts.select("doc_id"), "doc_id", "left_semi").drop("label"), trees)
-    facts = materialize(facts.join(_fine(full, rest.select("doc_id").distinct()), "doc_id"), "signed")
+    facts = materialize(facts.join(_fine(full, rest.select("doc_id").distinct()), "doc_id").join(reps.select("doc_id", "bands"), "doc_id"), "signed")
     more = _links(_measured(full, materialize(_across(rest.join(facts, "doc_id")), "pairs-across")))
     final = components(links.unionByName(more))
     named = materialize(classes.join(final, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("label", "rep").alias("component_id"), "members"), "named")
