@@ -298,7 +298,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = _open(rest.join(facts.select("doc_id"), "doc_id", "left_semi").drop("label"), trees)
     facts = materialize(facts.join(_fine(full, rest.select("doc_id").distinct()), "doc_id").join(reps.select("doc_id", "bands"), "doc_id"), "signed")
     more = _links(_measured(full, materialize(_across(rest.join(facts, "doc_id")), "pairs-across")))
-    final = components(links.unionByName(more))
+    tree = materialize(rest.select("doc_id", "label").distinct(), "trees")
+    ends = more.join(tree.select(F.col("doc_id").alias("a"), F.col("label").alias("x")), "a").join(tree.select(F.col("doc_id").alias("b"), F.col("label").alias("y")), "b")
+    between = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()  # a link for two trees is enough
+    joined = components(between).select(F.col("node").alias("tree"), F.col("label").alias("joined"))
+    lone = joined.join(trees, F.col("tree") == F.col("node"), "left_anti").select(F.col("tree").alias("node"), F.col("tree").alias("label"))
+    every = trees.unionByName(lone)
+    final = materialize(every.join(joined, F.col("label") == F.col("tree"), "left").select("node", F.coalesce("joined", "label").alias("label")), "components")
     named = materialize(classes.join(final, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("label", "rep").alias("component_id"), "members"), "named")
     out = ["doc_id", "n_shingles", "component_id"]
     some = attach_by_key(rows.where("n_shingles > 0").select("doc_id", "n_shingles", "key"), named, "key", "members", n).select(*out)
