@@ -5,7 +5,7 @@ gives coordinate k as the least value over the set. BANDS * ROWS coordinates nee
 in a band are candidates: at a similarity of 0.75 a pair is missed with probability (1 - 0.75^3)^24, about 2 in a million.
 
 1. Documents with equal sets form a class; only its smallest doc_id goes on.
-2. A band's pivot is its class with most copies, as originals have more copies than variants. Each class is compared with the pivot
+2. A band's pivot is its class with most neighbours over all bands, which lies amid its variants. Each class is compared with the pivot
    that it shares most bands with, then, where several trees of links still meet in a band, with two pivots drawn by hash. The
    trees of verified links already join most copies: a few comparisons for each class, never one for each two.
 3. Only in bands that still hold several trees are classes of different trees compared, in blocks of BLOCK by BLOCK. First the shingles that
@@ -274,14 +274,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n = rows.count()
     classes = materialize(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
     reps = materialize(
-        rows.where("n_shingles > 0").join(classes.select("rep", "members", F.col("key").alias("own")), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("own"))).select("doc_id", "n_shingles", "members", "bands").dropDuplicates(["doc_id"]), "reps"
+        rows.where("n_shingles > 0").join(classes.select("rep", F.col("key").alias("own")), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("own"))).select("doc_id", "n_shingles", "bands").dropDuplicates(["doc_id"]), "reps"
     )
-    banded = reps.select("doc_id", "members", F.explode("bands").alias("band"))
-    central = F.struct("members", -F.col("doc_id"))
-    buckets = materialize(banded.groupBy("band").agg(F.max(central).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "n", (-F.col("m.col2")).alias("pivot")), "buckets")
-    shared = materialize(banded.join(buckets.select("band", "n"), "band").select("band", "n", "doc_id"), "shared-bands")
+    banded = reps.select("doc_id", F.explode("bands").alias("band"))
+    buckets = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    shared = materialize(banded.join(buckets, "band").select("band", "n", "doc_id"), "shared-bands")
+    degree = materialize(shared.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degrees")
+    middle = shared.join(degree, "doc_id").groupBy("band").agg(F.max(F.struct("degree", -F.col("doc_id"))).alias("m"))
+    central = materialize(middle.select("band", (-F.col("m.col2")).alias("pivot")), "central")
     full = _full_sets(docs, shared.select("doc_id").distinct())
-    first = _measured(full, _to_pivots(banded.join(buckets, "band"), 1))
+    first = _measured(full, _to_pivots(shared.join(central, "band"), 1))
     links = _links(first)
     open_rows = _open(shared, components(links))
     drawn = F.struct(F.xxhash64("doc_id", F.lit(11)), "doc_id", "label")
