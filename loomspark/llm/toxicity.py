@@ -13,8 +13,7 @@ usable labels all scores are 0.5 or less, and nothing is predicted toxic. Other
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,14 +73,22 @@ class Model:
         return score
 
 
-def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: int = 150, l2: float = 1e-3, penalty: float = SWAP_PENALTY) -> Model:
+def fit(texts: Iterable[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: int = 150, l2: float = 1e-3, penalty: float = SWAP_PENALTY) -> Model:
     """texts: distinct words of each labelled text."""
     if not len(labels) or labels.min() == labels.max():
         return Model({}, -1.0 if not len(labels) or labels.max() == 0 else 0.0)
-    of = functools.lru_cache(None)(_features)
-    sets = [np.unique(np.fromiter((f for w in t for f in of(w)), np.uint64)) for t in texts]
-    every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    of = _features
+    terms, draw = [t.encode() for t in IDENTITY_TERMS], np.random.default_rng(seed)
+    sets, named = [], []
+    for t in texts:
+        sets.append(np.unique(np.fromiter((f for w in t for f in of(w)), np.uint64)))
+        if not set(terms).isdisjoint(t):
+            named.append(set(t))
+    rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    del sets
+    every, inverse = np.unique(flat, return_inverse=True)
+    del flat
     n1 = labels.sum()
     n0 = len(labels) - n1
     in1, in_all = np.bincount(inverse, labels[rows], len(every)), np.bincount(inverse, minlength=len(every))
@@ -89,17 +96,15 @@ def fit(texts: list[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: int
     z = np.log(p1 / p0) / np.sqrt(1 / (in1 + 0.5) + 1 / (in_all - in1 + 0.5))
     usable = np.flatnonzero(in_all >= MIN_TEXTS)
     chosen = np.sort(usable[np.argsort(-np.abs(z[usable]), kind="stable")[:MAX_FEATURES]])
-    place = np.full(len(every), -1)
+    place = np.full(len(every), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     column = place[inverse]
     rows, column = rows[column >= 0], column[column >= 0]
     index = {int(every[c]): i for i, c in enumerate(chosen)}
     # counterfactual pairs: +1 for features only the swapped text has, -1 for those it lost
-    terms, draw = [t.encode() for t in IDENTITY_TERMS], np.random.default_rng(seed)
     cf_row, cf_col, cf_val, pairs = [], [], [], 0
-    for t in texts:
-        have = set(t)
-        for term in have & set(terms):
+    for have in named:
+        for term in sorted(have & set(terms)):
             other = terms[int(draw.integers(len(terms)))]
             before, after = {f for w in have for f in of(w)}, {f for w in (have - {term}) | {other} for f in of(w)}
             for sign, diff in ((1.0, after - before), (-1.0, before - after)):
@@ -139,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     found = docs.select(F.col("doc_id"), safe_text(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
     rows = found.mapInArrow(distinct_words, "doc_id long, toxic int, words binary").toArrow().to_pydict()
     order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["words"][i]))[:max_train]
-    return fit([bytes(rows["words"][i]).split() for i in order], np.array([rows["toxic"][i] for i in order], float))
+    return fit((rows["words"][i].split() for i in order), np.array([rows["toxic"][i] for i in order], float))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
