@@ -25,11 +25,11 @@ from loomspark.llm._common import safe_text
 
 MAX_TRAIN = 8000
 MAX_FEATURES = 6000
-MIN_TEXTS = 4
+MIN_TEXTS = 3
 #: Weight of the counterfactual penalty.
 SWAP_PENALTY = 2.0
 THRESHOLD = 0.7
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6)
 IDENTITY_TERMS = (
     "women", "men", "muslims", "christians", "jews", "hindus", "immigrants", "refugees", "gay", "lesbian", "transgender", "black", "white", "asian", "disabled", "deaf", "blind",
     "femmes", "hommes", "musulmans", "juifs", "frauen", "männer", "muslime", "juden", "mujeres", "hombres", "musulmanes", "judíos",
@@ -116,7 +116,7 @@ def fit(texts: Iterable[list[bytes]], labels: np.ndarray, seed: int = 7, rounds:
     w, b, g2, gb2 = np.zeros(k), 0.0, np.full(k, 1e-8), 1e-8
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(rows, w[column], n), -30, 30)))
-        e = (p - labels) / n
+        e = (p - labels) * np.where(labels > 0, n0 / n1, 1.0) / n  # both labels weigh the same
         g = np.bincount(column, e[rows], k) + l2 * w
         if pairs:
             change = np.bincount(cf_row, w[cf_col] * cf_val, pairs)
