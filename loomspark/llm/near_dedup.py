@@ -35,8 +35,8 @@ WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 24, 3
 BLOCK = 256
-#: Coordinates that estimate a similarity, and the least share of them that must agree: 4.8 standard deviations below 0.75.
-FINE, LEAST_EQUAL = 256, 0.62
+#: Coordinates that estimate a similarity, and the least share of them that must agree: 4.7 standard deviations below 0.75.
+FINE, LEAST_EQUAL = 512, 0.66
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 #: Shingles hashed at once, so that all steps stay in the processor's cache.
