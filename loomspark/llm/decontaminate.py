@@ -32,7 +32,7 @@ WINDOW = 10
 SHINGLE = 3
 MAX_BLOCK_BYTES = 8 << 20
 #: Words of documents that are looked up together.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32) for c in range(256))
 
 

@@ -47,7 +47,7 @@ class _Hashes(dict):
     """64-bit hash of each word."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

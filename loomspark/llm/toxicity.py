@@ -63,7 +63,7 @@ class Model:
             for w in set(words(text)):
                 own = known.get(w)
                 if own is None:
-                    if len(known) > 300_000:
+                    if len(known) > 150_000:
                         known.clear()
                     own = known[w] = tuple(f for f in _features(w) if f in weights)
                 active.update(own)
