@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark import cases
 from loomspark import constants as C
+from loomspark.functions import discourse
 from loomspark.functions import text as T
-from loomspark.operators import causes, index, noise, ontology, ranking, tables
+from loomspark.operators import causes, diagnosis, index, noise, ontology, ranking, tables
 from loomspark.streaming import stages
 
 #: Comments of a few kinds; the tables have none, so orders are given one each.
@@ -139,9 +141,49 @@ def duplicate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.duplicate_count(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_partkey", "l_suppkey"])
 
 
+def _case(items: list[str], key: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, items)), (F.col(key) % len(items) + 1).cast("int"))
+
+
+def cleaned_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole cleaning, over a raw comment for each order."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("comment_id"))
+    return o.select("comment_id", discourse.cleaned(_case([raw for raw, _ in cases.CLEANED], "comment_id")).alias("clean"))
+
+
+def comment_emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("comment_id"))
+    text = _case([t for t, _, _ in cases.EMOTIONS], "comment_id")
+    return o.select("comment_id", discourse.emotion_count(text).alias("n"), F.array_join(discourse.emotion_types(text), ",").alias("tags"))
+
+
+def bot_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    author = F.element_at(F.array(*map(F.lit, BOT_AUTHORS)), (F.col("turn") % len(BOT_AUTHORS) + 1).cast("int"))
+    return c.select("conv_id", "turn", discourse.bot(author, F.lit("")).alias("bot")).groupBy("bot").agg(F.count(F.lit(1)).alias("n"))
+
+
+BOT_AUTHORS = ("alice", "dependabot", "triage-robot", "ci_robot", "welcome-bot")
+
+
+def _issues_with_strategies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _index_input(spark, sf_dir)
+    listed = rows.select("issue_number", "row_ord", F.array(F.concat(F.lit("P"), F.col("row_ord.l_orderkey") % 7)).alias("preventive_strategies"), F.array(F.concat(F.lit("K"), F.col("row_ord.l_orderkey") % 5)).alias("corrective_strategies"))
+    return index.with_index(index.issue_features(rows)), diagnosis.top_strategies(listed)
+
+
+def issue_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = diagnosis.diagnosis(*_issues_with_strategies(spark, sf_dir))
+    return found.select("issue_number", diagnosis.report().alias("report"), diagnosis.report(listed=True).alias("interpretation"))
+
+
+def level_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.level_summary(index.with_index(index.issue_features(_index_input(spark, sf_dir))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (comment_signals, noise_levels, priority_rules, model_answers, useful_comments_loss, issue_index, lexical_ranking, ontology_enrichment, cosine_to_prototypes, similarity_bins, cause_crosstab, class_report, html_flags, lost_texts, annotated_comments, duplicate_parts)
+    for f in (comment_signals, noise_levels, priority_rules, model_answers, useful_comments_loss, issue_index, lexical_ranking, ontology_enrichment, cosine_to_prototypes, similarity_bins, cause_crosstab, class_report, html_flags, lost_texts, annotated_comments, duplicate_parts, cleaned_comments, comment_emotions, bot_kinds, issue_reports, level_summary)
 }
 
 
@@ -167,7 +209,7 @@ SQL_ALLOWED = f"""CASE r.code WHEN 'C' THEN {_E['C_technical_evidence']} AND {_a
 SQL_DECIDED = f"""ruled AS (SELECT *, {SQL_RULE} AS r FROM sq), decided AS (SELECT *, CASE WHEN r IS NULL THEN {{'code': code, 'conf': confidence, 'rule': 'none'}} WHEN r.code = 'H' THEN {{'code': 'H', 'conf': greatest(confidence, r.conf), 'rule': r.rule}}
   WHEN code = 'H' AND ({SQL_ALLOWED}) THEN {{'code': r.code, 'conf': greatest(confidence, r.conf), 'rule': r.rule || '_override_H'}} WHEN code = 'H' THEN {{'code': code, 'conf': confidence, 'rule': 'override_rejected_keep_H'}}
   WHEN confidence < 0.7 AND r.code <> code THEN {{'code': r.code, 'conf': greatest(confidence, r.conf), 'rule': r.rule || '_low_conf_override'}} WHEN r.code = code THEN {{'code': code, 'conf': greatest(confidence, r.conf), 'rule': r.rule || '_confirmed'}} ELSE {{'code': code, 'conf': confidence, 'rule': 'none_llm_kept'}} END AS d FROM ruled)"""
-SQL_INDEX = """
+SQL_INDEX_TABLES = """
 WITH li AS (SELECT l_orderkey % 200 AS issue, l_orderkey, l_linenumber, substr('ABCDEFGH', CAST(l_suppkey % 8 + 1 AS INT), 1) AS macro, 'M' || (l_partkey % 9) AS micro, CAST(round(l_discount * 100, 0) AS DOUBLE) AS sim, 'S' || (l_partkey % 4) AS smell, 'R' || (l_suppkey % 3) AS risk FROM lineitem),
 items AS (SELECT issue, 'macro' AS kind, macro AS name, 1.0 AS v, l_orderkey AS a, l_linenumber AS b FROM li UNION ALL SELECT issue, 'micro', micro, sim, l_orderkey, l_linenumber FROM li UNION ALL SELECT issue, 'smell', smell, 1.0, l_orderkey, l_linenumber FROM li UNION ALL SELECT issue, 'risk', risk, 1.0, l_orderkey, l_linenumber FROM li),
 sums AS (SELECT issue, kind, name, CAST(sum(v) AS DOUBLE) AS v, min((a, b)) AS p FROM items GROUP BY ALL),
@@ -175,13 +217,42 @@ top AS (SELECT *, row_number() OVER (PARTITION BY issue, kind ORDER BY v DESC, p
 f AS (SELECT issue AS issue_number,
   count(*) FILTER (kind = 'macro') AS macro_diversity, count(*) FILTER (kind = 'micro') AS micro_diversity, count(*) FILTER (kind = 'smell') AS smell_diversity, count(*) FILTER (kind = 'risk') AS risk_diversity,
   max(v) FILTER (kind = 'macro') AS top_macro_frequency, max(v) FILTER (kind = 'micro') AS top_micro_score, max(v) FILTER (kind = 'smell') AS top_smell_frequency, max(v) FILTER (kind = 'risk') AS top_risk_frequency,
-  string_agg(name, ',' ORDER BY r) FILTER (kind = 'macro') AS dominant_macrocauses, string_agg(name, ',' ORDER BY r) FILTER (kind = 'micro') AS dominant_microcauses FROM top GROUP BY issue),
+  string_agg(name, ',' ORDER BY r) FILTER (kind = 'macro') AS dominant_macrocauses, string_agg(name, ',' ORDER BY r) FILTER (kind = 'micro') AS dominant_microcauses, string_agg(name, ',' ORDER BY r) FILTER (kind = 'smell') AS dominant_smells, string_agg(name, ',' ORDER BY r) FILTER (kind = 'risk') AS dominant_risks FROM top GROUP BY issue),
 g AS (SELECT f.*, c.comment_count FROM f JOIN (SELECT issue AS issue_number, count(*) AS comment_count FROM li GROUP BY 1) c USING (issue_number)),
 s AS (SELECT *, round((MEAN) / 6.0, 9) AS x FROM g),
 q AS (SELECT round(quantile_cont(x, 0.33), 9) AS q1, round(quantile_cont(x, 0.66), 9) AS q2 FROM s)
+""".replace("MEAN", " + ".join(f"coalesce(({c} - min({c}) OVER ())::DOUBLE / nullif((max({c}) OVER () - min({c}) OVER ())::DOUBLE, 0), 0)" for c in index.FEATURES))
+SQL_INDEX = f"""{SQL_INDEX_TABLES}
 SELECT issue_number, comment_count, macro_diversity, micro_diversity, smell_diversity, risk_diversity, top_macro_frequency, top_micro_score, top_smell_frequency, top_risk_frequency, dominant_macrocauses, dominant_microcauses, round(x, 6) AS social_debt_index,
   CASE WHEN x <= q1 THEN 'Low Social Debt' WHEN x <= q2 THEN 'Medium Social Debt' ELSE 'High Social Debt' END AS social_debt_level FROM s, q
-""".replace("MEAN", " + ".join(f"coalesce(({c} - min({c}) OVER ())::DOUBLE / nullif((max({c}) OVER () - min({c}) OVER ())::DOUBLE, 0), 0)" for c in index.FEATURES))
+"""
+SQL_LEVELLED = f"""{SQL_INDEX_TABLES}, lv AS (SELECT *, CASE WHEN x <= q1 THEN 'Low Social Debt' WHEN x <= q2 THEN 'Medium Social Debt' ELSE 'High Social Debt' END AS social_debt_level FROM s, q)"""
+
+
+def _said(template: str, listed: bool) -> str:
+    """A paragraph of a report as SQL: names are columns <kind>_1 to <kind>_3."""
+    scalars = {"issue": "issue_number::VARCHAR", "level": "social_debt_level", "level_words": f"CASE social_debt_level {' '.join(f'WHEN {_quoted(k)} THEN {_quoted(v)}' for k, v in diagnosis.LEVEL_WORDS.items())} END", "index": "round(x, 3)::VARCHAR", "count": "comment_count::VARCHAR"}
+    three = lambda k: [f"coalesce(nullif(split_part({k}, ',', {i}), ''), 'None')" for i in (1, 2, 3)]
+    joins = ("chr(10) || '1) '", "',' || chr(10) || '2) '", "', y' || chr(10) || '3) '") if listed else ("''", "', '", "' y '")
+    for kind in diagnosis.KINDS | diagnosis.STRATEGIES:
+        scalars[kind] = " || ".join(x for pair in zip(joins, three(kind)) for x in pair)
+    out = _quoted(template)
+    for key, sql in scalars.items():
+        out = out.replace("{" + key + "}", f"' || {sql} || '")
+    return out
+
+
+SQL_REPORTS = f"""{SQL_LEVELLED}, st AS (SELECT l_orderkey % 200 AS issue_number, 'P' || (l_orderkey % 7) AS p, 'K' || (l_orderkey % 5) AS k, (l_orderkey, l_linenumber) AS o FROM lineitem),
+ps AS (SELECT issue_number, string_agg(p, ',' ORDER BY r) FILTER (r <= 3) AS preventive_strategy FROM (SELECT issue_number, p, row_number() OVER (PARTITION BY issue_number ORDER BY count(*) DESC, min(o)) AS r FROM st GROUP BY 1, 2) GROUP BY 1),
+ks AS (SELECT issue_number, string_agg(k, ',' ORDER BY r) FILTER (r <= 3) AS corrective_strategy FROM (SELECT issue_number, k, row_number() OVER (PARTITION BY issue_number ORDER BY count(*) DESC, min(o)) AS r FROM st GROUP BY 1, 2) GROUP BY 1),
+d AS (SELECT *, dominant_macrocauses AS macrocause, dominant_microcauses AS microcause, dominant_smells AS community_smell, dominant_risks AS risk FROM lv JOIN ps USING (issue_number) JOIN ks USING (issue_number))
+SELECT issue_number, {" || chr(10) || chr(10) || ".join(_said(t, False) for t in diagnosis.REPORT)} AS report, {" || chr(10) || chr(10) || ".join(_said(t, True) for t in diagnosis.INTERPRETATION)} AS interpretation FROM d"""
+_TOPS = ", ".join(f"string_agg(name || ' (' || {'round(v, 3)::VARCHAR' if k == 'micro' else 'v::BIGINT::VARCHAR'} || ')', '; ' ORDER BY r) FILTER (kind = '{k}' AND r <= 3) AS top_{c}" for k, c in (("macro", "macrocauses"), ("micro", "microcauses"), ("smell", "community_smells"), ("risk", "risks")))
+SQL_LEVEL_SUMMARY = f"""{SQL_LEVELLED}, ll AS (SELECT issue_number AS issue, social_debt_level FROM lv),
+c AS (SELECT social_debt_level, kind, name, sum(v) AS v, row_number() OVER (PARTITION BY social_debt_level, kind ORDER BY sum(v) DESC, min((issue, r))) AS r FROM top JOIN ll USING (issue) GROUP BY 1, 2, 3),
+t AS (SELECT social_debt_level, {_TOPS} FROM c GROUP BY 1),
+m AS (SELECT social_debt_level, count(*) AS issue_count, round(avg(x), 3) AS mean_sdi, round(avg(comment_count), 3) AS mean_comments, round(avg(macro_diversity), 3) AS mean_macro_diversity FROM lv GROUP BY 1)
+SELECT * FROM m JOIN t USING (social_debt_level)"""
 _CANDIDATES = ", ".join(f"('{code}', {i}, {_quoted(cause)}, {'[' + ', '.join(map(_quoted, C.LEXICAL_SIGNALS.get(cause, []))) + ']'}::VARCHAR[], {C.GENERIC_CAUSE_PENALTY.get(cause, 0.0)})" for code, label in C.CAUSES.items() for i, cause in enumerate(sorted(C.MACRO_TO_CANDIDATE_INDIVIDUALS.get(label, []))))
 _LANGUAGE = "[" + ", ".join(map(_quoted, C.LANGUAGE_TERMS)) + "]"
 SQL_RANKING = f"""
@@ -216,4 +287,9 @@ SQL = {
     "lost_texts": f"WITH {SQL_COMMENTS} SELECT DISTINCT text FROM comments EXCEPT SELECT text FROM comments WHERE code = 'B'",
     "annotated_comments": f"WITH {SQL_NOISE}, sq AS (SELECT comment_id, 'H' AS code, 0.5::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM comments), {SQL_DECIDED} SELECT n.noise_level, CASE WHEN n.noise_level = 'useful' THEN d.code ELSE 'H' END AS cause, count(*) AS n FROM noise n JOIN decided USING (comment_id) GROUP BY 1, 2",
     "duplicate_parts": "SELECT (count(*) - count(DISTINCT (l_partkey, l_suppkey)))::BIGINT AS duplicates FROM lineitem",
+    "cleaned_comments": f"WITH v(i, clean) AS (VALUES {', '.join(f'({i}, {_quoted(want)})' for i, (_, want) in enumerate(cases.CLEANED))}) SELECT o_orderkey AS comment_id, clean FROM orders JOIN v ON i = o_orderkey % {len(cases.CLEANED)}",
+    "comment_emotions": f"WITH v(i, n, tags) AS (VALUES {', '.join(f'({i}, {n}, {_quoted(tags)})' for i, (_, n, tags) in enumerate(cases.EMOTIONS))}) SELECT o_orderkey AS comment_id, n, tags FROM orders JOIN v ON i = o_orderkey % {len(cases.EMOTIONS)}",
+    "bot_kinds": "SELECT CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN 'other_bot' WHEN 2 THEN 'triage_bot' WHEN 3 THEN 'retest_flaky_bot' ELSE 'onboarding_bot' END AS bot, count(*) AS n FROM conversations GROUP BY 1",
+    "issue_reports": SQL_REPORTS,
+    "level_summary": SQL_LEVEL_SUMMARY,
 }

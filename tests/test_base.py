@@ -2,15 +2,17 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from loomspark import cases
 from loomspark import constants as C
 from loomspark import queries
+from loomspark.functions import discourse
 from loomspark.functions import text as T
-from loomspark.operators import causes, index, noise, tables
+from loomspark.operators import causes, diagnosis, index, noise, tables
 from loomspark.sources import readers
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
-TABLES = "orders lineitem documents embeddings pages labels".split()
+TABLES = "orders lineitem documents embeddings pages labels conversations".split()
 
 
 def rounded(rows):
@@ -80,3 +82,29 @@ def test_tables(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "g string, k int")
     assert tables.stratified(df, "g", "k", 1).count() == 3 and tables.duplicate_count(df, ["g"]).first()[0] == 1
     assert len(C.CAUSE_KEYWORDS) == sum(map(len, C.MACRO_TO_CANDIDATE_INDIVIDUALS.values())) == 39
+
+
+@pytest.mark.parametrize(("raw", "want"), cases.CLEANED)
+def test_whole_cleaning(raw, want):
+    assert discourse.clean_comment(raw) == want
+
+
+def test_cleaning_is_total(spark):
+    odd = [None, "", "  \n", ">", "> ```\n> a\nlost\nkept", "@", "@-", "/cc", "> @a", "@a/b @c", "\u2028", "x" * 100_000, "@a " * 3000, "[a](b) " * 2000]
+    assert all(isinstance(discourse.clean_comment(t), str) for t in odd)
+    assert column(spark, [None, "@bob"], discourse.cleaned) == ["", "A GitHub user is mentioned."]
+    assert column(spark, [None, "> a\n>> b"], discourse.quoted) == [[], ["a", "b"]]
+    assert column(spark, [None, "/test /hold"], discourse.workflow_kinds) == [[], ["/workflow_blocking", "/workflow_ci"]]
+    assert discourse.quotes("> ```\n> a\nlost\nkept")[1].endswith("kept")
+
+
+def test_fence_tags():
+    assert discourse.fence_tag("diff", "") == discourse.fence_tag("", "diff --git a b\n--- a/x\n") == discourse.DIFF
+    assert discourse.fence_tag("", "ValueError: no") == discourse.ERROR_LOG and discourse.fence_tag("py", "ValueError: no") == discourse.CODE
+    assert discourse.fence_tag("", "Caused by: x") == discourse.CODE and discourse.fence_tag("", "Caused by: x", discourse.ERROR_SIGNS_FIXED) == discourse.ERROR_LOG
+
+
+def test_report_of_unknown_issue(spark):
+    found = diagnosis.diagnosis(*queries._issues_with_strategies(spark, SF))
+    got = diagnosis.report_of(found, spark.createDataFrame([(-1,)], "issue_number long")).first().report
+    assert got == "No se encontró el issue -1 en el diagnóstico final."
