@@ -84,3 +84,10 @@ def answer_confidence(raw: Column, default: float = 0.5) -> Column:
     """The last number from 0 to 1; 0 without an answer."""
     found = F.regexp_extract_all(F.replace(F.coalesce(raw, F.lit("")), F.lit(","), F.lit(".")), F.lit(r"(?<!\d)(?:0(?:\.\d+)?|1(?:\.0+)?)(?!\d)"), F.lit(0))
     return F.when(raw.isNull(), 0.0).otherwise(F.coalesce(F.try_element_at(found, F.lit(-1)).cast("double"), F.lit(default)))
+
+
+def status(text: Column, confidence: Column, rule: Column) -> Column:
+    """How an answer came about; a kept H that a rule spoke against counts as an override."""
+    kept = F.when(confidence < LOW_CONFIDENCE, "REVIEW").otherwise("ACCEPTED")
+    out = F.when(F.length(squeeze(F.coalesce(text, F.lit("")))) == 0, "EMPTY_TEXT").when(rule.startswith("none"), kept)
+    return out.when(rule.contains("override"), "RULE_OVERRIDE").when(rule.contains("confirmed"), "RULE_CONFIRMED").otherwise("RULE_APPLIED")

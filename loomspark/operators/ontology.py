@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from xml.etree.ElementTree import iterparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark import constants as C
-from loomspark.functions.text import local_name
+from loomspark.functions.text import local_name, normalize_name
 
 BASE = "http://www.example.org/causes#"
 # Predicates by what they tell.
@@ -19,6 +21,8 @@ ROLES = {
     "community_smells": ("hasRelatedCommunitySmell", "hasCauseCommunitySmell"),
 }
 CORRECTIVE = ("hasCorrectiveStrategy", "hasAdministrativeStrategy", "hasGroupStrategy", "hasIndividualStrategy", "hasProjectManagementStrategy", "hasTechnicalStrategy")
+CAUSE_TYPES = ("AdministrativeCause", "CommunicationCause", "CoordinationCause", "CollaborationCause", "CongruenceCause")
+RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 LISTS = ("preventive_strategies", "effects", "corrective_strategies", "indicators", "metrics", "risks", "community_smells")
 
 
@@ -58,3 +62,36 @@ def enrich(rows: DataFrame, ids: str, known: DataFrame, key: str) -> DataFrame:
     each = rows.select(key, F.explode_outer(ids).alias("cause_id")).join(known, "cause_id", "left")
     merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(r, F.array().cast("array<string>")))))).alias(r) for r in LISTS]
     return each.groupBy(key).agg(*merged)
+
+
+def read_rdf(spark: SparkSession, path: str) -> DataFrame:
+    """Triples of an RDF/XML file of described resources with plain properties; an ontology is small, so the driver parses it."""
+    rows: list[tuple[str, str, str]] = []
+    name = lambda tag: tag[1:].replace("}", "")
+    depth = 0
+    for event, node in iterparse(path, ("start", "end")):
+        depth += 1 if event == "start" else -1
+        subject = node.get(f"{{{RDF}}}about") or node.get(f"{{{RDF}}}ID")
+        if event == "start" or depth != 1 or not subject:
+            continue
+        if name(node.tag) != RDF + "Description":
+            rows.append((subject, RDF + "type", name(node.tag)))
+        rows += [(subject, name(p.tag), p.get(f"{{{RDF}}}resource") or "".join(p.itertext()).strip()) for p in node]
+        node.clear()
+    return triples(spark, rows)
+
+
+def causes(graph: DataFrame) -> DataFrame:
+    """A row for each subject of a cause's type: ids, name, description (the least object if there are several) and their normal forms."""
+    facts = graph.select("subject", local_name(F.col("predicate")).alias("p"), "object")
+    kind = F.max(F.when((F.col("p") == "type") & local_name(F.col("object")).isin(*CAUSE_TYPES), local_name(F.col("object")))).alias("cause_type")
+    least = lambda p: F.min(F.when(F.col("p") == p, F.col("object")))
+    found = facts.groupBy("subject").agg(kind, least("hasCauseID").alias("id"), least("hasCauseName").alias("name"), least("hasCauseDescription").alias("text")).where("cause_type is not null")
+    own = local_name(F.col("subject"))
+    out = found.select(F.col("subject").alias("ontology_uri"), own.alias("ontology_id"), F.coalesce("id", own).alias("cause_id"), F.coalesce("name", F.replace(own, F.lit("_"), F.lit(" "))).alias("cause_name"), F.coalesce("text", F.lit("")).alias("cause_description"), "cause_type")
+    return out.select("*", normalize_name(F.col("cause_name")).alias("cause_name_clean"), normalize_name(F.col("cause_description")).alias("cause_description_clean"))
+
+
+def classes(graph: DataFrame) -> DataFrame:
+    """Sorted distinct local names of the classes."""
+    return graph.where(F.col("predicate").endswith("#type") & F.col("object").endswith("#Class")).select(local_name(F.col("subject")).alias("name")).distinct().orderBy("name")

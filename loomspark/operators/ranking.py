@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark import constants as C
+from loomspark.functions.embedding import hashed_vector
 from loomspark.functions.regex import squeeze
 
 # Weights and limits of the adaptive score.
@@ -54,3 +55,25 @@ def top_causes(comments: DataFrame, spark: SparkSession, macro_similarity: Colum
     kept = F.when(F.size("__all") == 0, F.slice("__all", 1, 0)).when(F.size(good) == 0, F.slice("__all", 1, 1)).otherwise(F.slice(near, 1, MOST))
     status = F.when(F.size("__all") == 0, "no_candidates").when(F.size(good) == 0, "mapped_low_confidence").otherwise("mapped")
     return listed.select(*own, F.transform(kept, lambda x: F.struct(x["cause_id"].alias("cause_id"), F.round(x["score"], 6).alias("score"))).alias("top"), status.alias("status"))
+
+
+def candidate_vectors(spark: SparkSession) -> DataFrame:
+    """code, pos, cause_id and the vector of its keywords: 39 rows."""
+    words = spark.createDataFrame(list(C.CAUSE_KEYWORDS.items()), "cause_id string, words string")
+    return candidates(spark).select("code", "pos", "cause_id").join(F.broadcast(words), "cause_id").select("code", "pos", "cause_id", hashed_vector(F.concat_ws(" ", F.regexp_replace("cause_id", "[_-]", " "), "words")).alias("vector"))
+
+
+def nearest_causes(comments: DataFrame, known: DataFrame, vector: Column, k: int = 3) -> DataFrame:
+    """The online profile: the k nearest candidates by cosine (9 places), without a threshold; ties by catalog order. A comment without candidates gets none."""
+    own = comments.columns
+    wide = comments.withColumn("__v", vector).join(F.broadcast(known), "code", "left")
+    scored = wide.withColumn("__s", F.when(F.col("cause_id").isNotNull(), F.round(cosine(F.col("__v"), F.col("vector")), 9)))
+    listed = scored.groupBy(*own).agg(F.array_sort(F.collect_list(F.when(F.col("cause_id").isNotNull(), F.struct((-F.col("__s")).alias("k"), "pos", "cause_id", "__s")))).alias("__all"))
+    return listed.select(*own, F.transform(F.slice("__all", 1, k), lambda x: F.struct(x["cause_id"].alias("cause_name"), x["__s"].alias("similarity"))).alias("microcauses"))
+
+
+def cause_pairs(known: DataFrame) -> DataFrame:
+    """Pairs of candidates of the same cause, each once, with their similarity; at most eight candidates meet."""
+    a, b = known.alias("a"), known.alias("b")
+    pairs = a.join(b, (F.col("a.code") == F.col("b.code")) & (F.col("a.cause_id") < F.col("b.cause_id")))
+    return pairs.select("a.code", F.col("a.cause_id").alias("cause_1"), F.col("b.cause_id").alias("cause_2"), F.round(cosine(F.col("a.vector"), F.col("b.vector")), 6).alias("similarity"))

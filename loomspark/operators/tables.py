@@ -54,3 +54,44 @@ def stratified(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> D
     """n rows of each group, always the same, by a hash of key and seed."""
     w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+
+
+def summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column_name, count, mean, std, min, quartiles, max; quartiles are exact."""
+    each = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select("e.column_name", "e.x")
+    q = lambda p, n: F.percentile("x", F.lit(p)).alias(n)
+    return each.groupBy("column_name").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q(0.25, "p25"), q(0.5, "p50"), q(0.75, "p75"), F.max("x").alias("max"))
+
+
+def null_counts(df: DataFrame) -> DataFrame:
+    """column_name, nulls; all columns in one pass."""
+    one = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("nulls")) for c in df.columns))).alias("e")).select("e.*")
+
+
+def agreement(a: DataFrame, b: DataFrame, key: str, label: str, number: str) -> DataFrame:
+    """One row: rows in both, percent with equal labels, mean and largest absolute difference. Of rows that repeat a key the largest counts."""
+    one = lambda df, end: df.groupBy(key).agg(F.max(F.struct(label, number)).alias(end))
+    both = one(a, "x").join(one(b, "y"), key)
+    gap = F.abs(F.col(f"x.{number}") - F.col(f"y.{number}"))
+    same = F.col(f"x.{label}").eqNullSafe(F.col(f"y.{label}"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg(same.cast("int")), 2).alias("percent_equal"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("largest_gap"))
+
+
+def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.3, seed: int = 42) -> DataFrame:
+    """Adds is_test: of each label's rows that share, always the same ones."""
+    w = Window.partitionBy(label)
+    rank, n = F.row_number().over(w.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)), F.count(F.lit(1)).over(w)
+    return df.withColumn("is_test", rank <= F.round(n * test_share))
+
+
+def folds(df: DataFrame, label: str, key: str, n: int = 5, seed: int = 42) -> DataFrame:
+    """Adds fold, 0 to n - 1, spread evenly over each label."""
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
+    return df.withColumn("fold", rank % n)
+
+
+def differences(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """Keys that are in one table only, and in which."""
+    lost, new = before.select(key).subtract(after.select(key)), after.select(key).subtract(before.select(key))
+    return lost.withColumn("only_in", F.lit("before")).unionByName(new.withColumn("only_in", F.lit("after")))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from loomspark import cases
 from loomspark import constants as C
-from loomspark.functions import discourse
+from loomspark.functions import discourse, embedding
 from loomspark.functions import text as T
-from loomspark.operators import causes, diagnosis, index, noise, ontology, ranking, tables
+from loomspark.operators import causes, diagnosis, index, models, noise, ontology, ranking, tables
+from loomspark.plans import comments as plans
 from loomspark.streaming import stages
 
 #: Comments of a few kinds; the tables have none, so orders are given one each.
@@ -181,9 +182,71 @@ def level_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.level_summary(index.with_index(index.issue_features(_index_input(spark, sf_dir))))
 
 
+def classification_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = causes.with_rules(comments(spark, sf_dir), "text", F.col("code"), F.col("confidence"), "r")
+    return c.groupBy(causes.status(F.col("text"), F.col("r.confidence"), F.col("r.rule")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return c.select("conv_id", "turn", F.md5(embedding.embedding_text(F.col("text")).cast("binary")).alias("embedding_md5"), F.md5(embedding.short_text(F.col("text")).cast("binary")).alias("short_md5"))
+
+
+def online_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = comments(spark, sf_dir).where("code != 'H'").select("comment_id", "code", "text")
+    near = ranking.nearest_causes(c, ranking.candidate_vectors(spark), embedding.hashed_vector(F.col("text")))
+    return near.select("comment_id", F.array_join(F.transform("microcauses", lambda m: m["cause_name"]), ",").alias("cause_ids"), F.round(F.get("microcauses", F.lit(0))["similarity"], 6).alias("best"))
+
+
+def cause_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.cause_pairs(ranking.candidate_vectors(spark))
+
+
+def item_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tables.summary(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_quantity", "l_discount"])
+    return s.select("column_name", "count", *(F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")))
+
+
+def order_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    one = lambda n: li.where(F.col("l_linenumber") == n).select("l_orderkey", F.col("l_returnflag").alias("label"), F.col("l_quantity").cast("double").alias("x"))
+    return tables.agreement(one(1), one(2), "l_orderkey", "label", "x").select("n", "percent_equal", F.round("mean_gap", 6).alias("mean_gap"), "largest_gap")
+
+
+def mean_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_partkey") % 9).alias("micro"), "l_returnflag", F.col("l_quantity").cast("double").alias("score"))
+    p = tables.pivot_mean(li, "micro", "l_returnflag", ["A", "N", "R", "X"], "score")
+    return p.select("micro", *(F.round(c, 6).alias(f"mean_{c.lower()}") for c in "ANRX"))
+
+
+def changed_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = comments(spark, sf_dir)
+    a, b = (c.where(f"code = '{code}'").select((F.col("comment_id") % 97).alias("k")) for code in "AB")
+    return tables.differences(a, b, "k")
+
+
+def null_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.null_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
+
+
+def classified_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from raw comments to causes; the raw ones are the literal cases."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("comment_id"))
+    raw = o.select("comment_id", _case([t for t, _ in cases.CLEANED], "comment_id").alias("body"))
+    return plans.classify(raw, "body").groupBy("noise_level", "code", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def level_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well an issue's level is learned from its causes' names and from its features."""
+    rows = _index_input(spark, sf_dir)
+    words = F.struct("row_ord", F.concat_ws(" ", F.concat(F.lit("cause"), F.col("code")), F.col("microcauses")[0]["cause_name"]).alias("t"))
+    text = rows.groupBy("issue_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(words)), lambda x: x["t"]), " ").alias("text"))
+    return models.holdout(index.with_index(index.issue_features(rows)).join(text, "issue_number"), "social_debt_level", "issue_number")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (comment_signals, noise_levels, priority_rules, model_answers, useful_comments_loss, issue_index, lexical_ranking, ontology_enrichment, cosine_to_prototypes, similarity_bins, cause_crosstab, class_report, html_flags, lost_texts, annotated_comments, duplicate_parts, cleaned_comments, comment_emotions, bot_kinds, issue_reports, level_summary)
+    for f in (comment_signals, noise_levels, priority_rules, model_answers, useful_comments_loss, issue_index, lexical_ranking, ontology_enrichment, cosine_to_prototypes, similarity_bins, cause_crosstab, class_report, html_flags, lost_texts, annotated_comments, duplicate_parts, cleaned_comments, comment_emotions, bot_kinds, issue_reports, level_summary, classification_status, embedding_texts, online_causes, cause_pairs, item_summary, order_agreement, mean_scores, changed_issues, null_cells, classified_comments, level_models)
 }
 
 
@@ -199,7 +262,8 @@ for _p in (*C.GENERIC_USER_PLACEHOLDERS, *C.LOW_VALUE_VISUAL_PATTERNS):
 _HARD = f"""(regexp_matches(t, {_quoted('^(?:' + '|'.join(C.AUTOMATED_PREFIX_MARKERS) + ')')}) OR {_any(C.HARD_EXACT_PATTERNS, how='regexp_full_match', options='s')} OR len(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_full_match(trim(x), '/[a-zA-Z0-9_-]+(\\s+[a-zA-Z0-9_.-]+)?'))) = 0
   OR {_any(C.HARD_PHRASE_PATTERNS, options='s')} OR length(trim(regexp_replace({_residue}, '\\s+', ' ', 'g'))) <= 3)"""
 _OPERATIONAL = _any((*C.OPERATIONAL_EXACT_PATTERNS, *C.OPERATIONAL_PHRASE_PATTERNS), how="regexp_full_match", options="s")
-SQL_NOISE = f"{SQL_COMMENTS}, low AS (SELECT *, lower(trim(text)) AS t FROM comments), noise AS (SELECT comment_id, issue_number, code, CASE WHEN {_HARD} THEN 'hard_noise' WHEN {_OPERATIONAL} THEN 'operational_noise' ELSE 'useful' END AS noise_level FROM low)"
+SQL_NOISE_OF_COMMENTS = f"low AS (SELECT *, lower(trim(text)) AS t FROM comments), noise AS (SELECT comment_id, issue_number, code, CASE WHEN {_HARD} THEN 'hard_noise' WHEN {_OPERATIONAL} THEN 'operational_noise' ELSE 'useful' END AS noise_level FROM low)"
+SQL_NOISE = f"{SQL_COMMENTS}, {SQL_NOISE_OF_COMMENTS}"
 _E = {name: _any(p) for _, _, name, p in causes.RULES}
 _EVIDENCE = " OR ".join(_E.values())
 _CASES = " ".join(f"WHEN {_E[name]} THEN {{'code': '{code}', 'conf': {conf}, 'rule': '{name}'}}" for code, conf, name, _ in causes.RULES)
@@ -270,7 +334,36 @@ WITH g(s, p, o) AS (VALUES {_TRIPLES}), role(p, role) AS (VALUES {_ROLES}), n AS
 f AS (SELECT DISTINCT id, role, name FROM n JOIN role USING (p) UNION SELECT DISTINCT a.id, 'corrective_strategies', b.name FROM n a JOIN n b ON a.p = 'generatesEffect' AND b.s = a.o AND b.p IN ({', '.join(map(_quoted, ontology.CORRECTIVE))}))
 SELECT id AS cause_id, {', '.join(f"coalesce(string_agg(name, ',' ORDER BY name) FILTER (role = '{r}'), '') AS {r}" for r in ontology.LISTS)} FROM f WHERE id IN ({', '.join(map(_quoted, C.CAUSE_KEYWORDS))}) GROUP BY id
 """
+_WORDS = ", ".join(f"({_quoted(k)}, {_quoted(k.replace('_', ' ').replace('-', ' ') + ' ' + v)})" for k, v in C.CAUSE_KEYWORDS.items())
+
+
+def _vector(text: str) -> str:
+    """The hashed vector as SQL."""
+    cells = f"list_transform(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 4))::INT % {embedding.DIMENSIONS})"
+    return f"(SELECT list(n ORDER BY i) FROM (SELECT i, len(list_filter({cells}, lambda c: c = i))::DOUBLE AS n FROM range({embedding.DIMENSIONS}) r(i)))"
+
+
+SQL_VECTORS = f"kw(cause_id, words) AS (VALUES {_WORDS}), cv(code, pos, cause_id) AS (SELECT code, pos, cause_id FROM (VALUES {_CANDIDATES}) c(code, pos, cause_id, signals, penalty)), known AS (SELECT code, pos, cause_id, {_vector('words')} AS vector FROM cv JOIN kw USING (cause_id))"
+SQL_ONLINE = f"""
+WITH {SQL_COMMENTS}, {SQL_VECTORS}, tv AS (SELECT i, text, {_vector('text')} AS v FROM tpl), c AS (SELECT comment_id, code, v FROM comments JOIN tv USING (text) WHERE code <> 'H'),
+s AS (SELECT comment_id, pos, cause_id, round(coalesce(list_cosine_similarity(v, vector), 0), 9) AS s FROM c JOIN known USING (code)), o AS (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY s DESC, pos) AS r FROM s)
+SELECT comment_id, string_agg(cause_id, ',' ORDER BY r) AS cause_ids, round(max(s), 6) AS best FROM o WHERE r <= 3 GROUP BY 1"""
+_EMBEDDED = "coalesce(text, '')"
+for _p, _tag in embedding.EMBEDDING_STEPS:
+    _EMBEDDED = f"regexp_replace({_EMBEDDED}, {_quoted(_p)}, {_quoted(_tag)}, 'g')"
+_FIRST = r"array_to_string(list_slice(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''), 1, {}), ' ')"
+_SHORT = r"regexp_replace(regexp_replace(coalesce(text, ''), 'http\S+', ' ', 'g'), '/[\pL\pN\pM_]+', ' ', 'g')"
 SQL = {
+    "classification_status": f"WITH {SQL_COMMENTS}, sq AS (SELECT comment_id, code, confidence::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM comments), {SQL_DECIDED} SELECT CASE WHEN d.rule LIKE 'none%' THEN CASE WHEN d.conf < 0.7 THEN 'REVIEW' ELSE 'ACCEPTED' END WHEN d.rule LIKE '%override%' THEN 'RULE_OVERRIDE' WHEN d.rule LIKE '%confirmed%' THEN 'RULE_CONFIRMED' ELSE 'RULE_APPLIED' END AS status, count(*) AS n FROM decided GROUP BY 1",
+    "embedding_texts": f"SELECT conv_id, turn, md5({_FIRST.format(_EMBEDDED, 120)}) AS embedding_md5, md5({_FIRST.format(_SHORT, 60)}) AS short_md5 FROM conversations",
+    "online_causes": SQL_ONLINE,
+    "cause_pairs": f"WITH {SQL_VECTORS} SELECT a.code, a.cause_id AS cause_1, b.cause_id AS cause_2, round(list_cosine_similarity(a.vector, b.vector), 6) AS similarity FROM known a JOIN known b ON a.code = b.code AND a.cause_id < b.cause_id",
+    "item_summary": 'SELECT column_name, count(x) AS "count", ' + ", ".join(f"round({e}, 6) AS {n}" for n, e in (("mean", "avg(x)"), ("std", "stddev_samp(x)"), ("min", "min(x)"), ("p25", "quantile_cont(x, 0.25)"), ("p50", "quantile_cont(x, 0.5)"), ("p75", "quantile_cont(x, 0.75)"), ("max", "max(x)"))) + " FROM (SELECT 'l_quantity' AS column_name, l_quantity::DOUBLE AS x FROM lineitem UNION ALL SELECT 'l_discount', l_discount::DOUBLE FROM lineitem) GROUP BY 1",
+    "order_agreement": "WITH a AS (SELECT l_orderkey, max({'l': l_returnflag, 'x': l_quantity::DOUBLE}) AS m FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), b AS (SELECT l_orderkey, max({'l': l_returnflag, 'x': l_quantity::DOUBLE}) AS m FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) SELECT count(*) AS n, round(100 * avg((a.m.l = b.m.l)::INT), 2) AS percent_equal, round(avg(abs(a.m.x - b.m.x)), 6) AS mean_gap, max(abs(a.m.x - b.m.x)) AS largest_gap FROM a JOIN b USING (l_orderkey)",
+    "mean_scores": "SELECT l_partkey % 9 AS micro, " + ", ".join(f"round(coalesce(avg(l_quantity::DOUBLE) FILTER (l_returnflag = '{f}'), 0), 6) AS mean_{f.lower()}" for f in "ANRX") + " FROM lineitem GROUP BY 1",
+    "changed_issues": f"WITH {SQL_COMMENTS}, a AS (SELECT DISTINCT comment_id % 97 AS k FROM comments WHERE code = 'A'), b AS (SELECT DISTINCT comment_id % 97 AS k FROM comments WHERE code = 'B') SELECT k, 'before' AS only_in FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'after' FROM b WHERE k NOT IN (SELECT k FROM a)",
+    "null_cells": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls FROM documents" for c in ("doc_id", "text", "lang", "source")),
+    "classified_comments": f"WITH v(i, text) AS (VALUES {', '.join(f'({i}, {_quoted(want)})' for i, (_, want) in enumerate(cases.CLEANED))}), comments AS (SELECT o_orderkey AS comment_id, 0 AS issue_number, text, 'H' AS code FROM orders JOIN v ON i = o_orderkey % {len(cases.CLEANED)}), {SQL_NOISE_OF_COMMENTS}, sq AS (SELECT comment_id, 'H' AS code, 0.5::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM comments), {SQL_DECIDED}, j AS (SELECT n.noise_level, n.noise_level = 'useful' AS u, d, t FROM noise n JOIN decided USING (comment_id)) SELECT noise_level, CASE WHEN u THEN d.code ELSE 'H' END AS code, CASE WHEN t = '' THEN 'EMPTY_TEXT' WHEN NOT u THEN 'ACCEPTED' WHEN d.rule LIKE 'none%' THEN CASE WHEN d.conf < 0.7 THEN 'REVIEW' ELSE 'ACCEPTED' END WHEN d.rule LIKE '%override%' THEN 'RULE_OVERRIDE' WHEN d.rule LIKE '%confirmed%' THEN 'RULE_CONFIRMED' ELSE 'RULE_APPLIED' END AS status, count(*) AS n FROM j GROUP BY 1, 2, 3",
     "comment_signals": f"WITH {SQL_COMMENTS} SELECT comment_id, {', '.join(f'regexp_matches(text, {_quoted(p)}, {_quoted("i")}) AS {k}' for k, p in _SIGNALS.items())} FROM comments",
     "noise_levels": f"WITH {SQL_NOISE} SELECT comment_id, noise_level FROM noise",
     "priority_rules": f"WITH {SQL_COMMENTS}, sq AS (SELECT comment_id, code, confidence::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM comments), {SQL_DECIDED} SELECT comment_id, d.code AS final_code, round(d.conf::DOUBLE, 4) AS final_confidence, d.rule AS rule FROM decided",

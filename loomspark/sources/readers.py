@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterable
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspark.sources.excel import read_xlsx
 
 # What column names are searched for.
 TEXT_NAMES = ("body", "text", "content", "description", "comment")
@@ -11,7 +18,7 @@ ISSUE_NAMES = ("issue_number", "issue", "ticket", "issue_id")
 
 
 def read_comments(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """CSV by comma, or by semicolon if that gives one column; Parquet and JSON by suffix; others are refused."""
+    """CSV by comma, or by semicolon if that gives one column; Parquet and JSON by suffix, Excel workbooks too; others are refused."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
         options = {"header": True, "multiLine": True, "escape": '"'}
@@ -19,9 +26,45 @@ def read_comments(spark: SparkSession, path: str, kind: str | None = None) -> Da
         return out if len(out.columns) > 1 else spark.read.options(sep=";", **options).csv(path)
     if kind in ("parquet", "json", "orc"):
         return spark.read.format(kind).load(path)
+    if kind == "xlsx":
+        return read_xlsx(spark, path)
     raise ValueError(f"cannot read {kind!r} files")
 
 
+def read_sniffed_csv(spark: SparkSession, path: str, head: int = 64 << 10) -> DataFrame:
+    """CSV whose separator is found in the file's first bytes; malformed rows are left out."""
+    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head).alias("b")).first()
+    if first is None:
+        raise ValueError(f"nothing to read at {path}")
+    try:
+        sep = csv.Sniffer().sniff(bytes(first.b).decode("utf-8", "ignore"), ",;\t|").delimiter
+    except csv.Error:
+        sep = ","
+    return spark.read.csv(path, header=True, sep=sep, mode="DROPMALFORMED", multiLine=True, escape='"')
+
+
+def first_existing(directories: Iterable[str], names: Iterable[str], preferred: str | None = None) -> str:
+    """The preferred path, else the first directory with one of the names."""
+    names = list(names)
+    tried = list(dict.fromkeys(([preferred] if preferred else []) + [str(Path(d) / n) for d in directories for n in names]))
+    found = next((p for p in tried if Path(p).exists()), None)
+    if found is None:
+        raise FileNotFoundError("none of these exists:\n" + "\n".join(tried))
+    return found
+
+
+def with_clean_text(df: DataFrame, clean: str = "comment_body_clean_final", raw: str = "comment_body_raw") -> DataFrame:
+    """The raw text stands in where a table has no clean one."""
+    return df if clean in df.columns else require_columns(df, [raw]).withColumn(clean, F.col(raw))
+
+
+def first_of_each_column(df: DataFrame) -> DataFrame:
+    """Columns that repeat a name (in any case) are dropped; the first stays."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    first = {c.lower(): i for i, c in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*names).select(*(F.col(names[i]).alias(df.columns[i]) for i in sorted(first.values())))
+
+
 def text_column(columns: list[str]) -> str | None:
     return next((c for c in columns if any(n in c.lower() for n in TEXT_NAMES) and not any(n in c.lower() for n in NOT_TEXT)), None)
 
@@ -40,3 +83,12 @@ def move_column_after(df: DataFrame, column: str, after: str) -> DataFrame:
     rest = [c for c in df.columns if c != column]
     at = rest.index(after) + 1
     return df.select(*rest[:at], column, *rest[at:])
+
+
+def columns_until(df: DataFrame, last: str) -> DataFrame:
+    return df.select(*df.columns[: df.columns.index(last) + 1])
+
+
+def present(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Those of the columns that the table has, in the order given."""
+    return df.select(*(c for c in columns if c in df.columns))

@@ -1,3 +1,5 @@
+import zipfile
+
 import duckdb
 import pytest
 
@@ -7,7 +9,8 @@ from loomspark import constants as C
 from loomspark import queries
 from loomspark.functions import discourse
 from loomspark.functions import text as T
-from loomspark.operators import causes, diagnosis, index, noise, tables
+from loomspark.operators import causes, diagnosis, index, models, noise, ontology, tables
+from loomspark.plans import comments as plans
 from loomspark.sources import readers
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ def rounded(rows):
     return sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+@pytest.mark.parametrize("name", list(queries.SQL))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -31,7 +34,7 @@ def test_query_agrees_with_sql(spark, name):
 
 
 def test_registry(spark):
-    assert set(queries.QUERIES) == set(queries.SQL) and set(queries.QUERIES) <= set(entry.queries())
+    assert set(queries.QUERIES) - set(queries.SQL) == {"level_models"} and set(queries.QUERIES) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
 
 
@@ -108,3 +111,92 @@ def test_report_of_unknown_issue(spark):
     found = diagnosis.diagnosis(*queries._issues_with_strategies(spark, SF))
     got = diagnosis.report_of(found, spark.createDataFrame([(-1,)], "issue_number long")).first().report
     assert got == "No se encontró el issue -1 en el diagnóstico final."
+
+
+def workbook(path, rows):
+    """A small workbook: first cells shared strings, the rest inline or numbers."""
+    texts = []
+
+    def cell(r, c, v):
+        at = f"{chr(65 + c)}{r}"
+        if v is None:
+            return ""
+        if isinstance(v, int):
+            return f'<c r="{at}"><v>{v}</v></c>'
+        if c == 0:
+            texts.append(v)
+            return f'<c r="{at}" t="s"><v>{len(texts) - 1}</v></c>'
+        return f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+
+    body = "".join(f'<row r="{r}">{"".join(cell(r, c, v) for c, v in enumerate(row))}</row>' for r, row in enumerate(rows, 1))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="x"><sheets><sheet name="a" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{body}</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", "<sst>" + "".join(f"<si><r><t>{t}</t></r></si>" for t in texts) + "</sst>")
+
+
+def test_excel(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", [("body", "issue", "n"), ("x", "7", 3), (None, None, None), ("y", None, 4)])
+    got = readers.read_comments(spark, str(tmp_path / "a.xlsx"))
+    assert got.columns == ["body", "issue", "n"] and sorted(map(tuple, got.collect())) == [("x", "7", "3"), ("y", None, "4")]
+    assert [tuple(r) for r in got.select("n").where("issue = '7'").collect()] == [("3",)]
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("a;b\n1;x\n2;y\n3;z\n")
+    assert readers.read_sniffed_csv(spark, str(tmp_path / "s.csv")).count() == 3
+    assert readers.first_existing([str(tmp_path)], ["no.csv", "s.csv"]).endswith("s.csv")
+    with pytest.raises(FileNotFoundError):
+        readers.first_existing([str(tmp_path)], ["no.csv"])
+    df = spark.sql("select 1 as a, 2 as b, 3 as A")
+    assert readers.first_of_each_column(df).columns == ["a", "b"]
+    assert readers.with_clean_text(spark.sql("select 'x' as comment_body_raw")).first()[1] == "x"
+    assert readers.columns_until(df.select("b"), "b").columns == ["b"] and readers.present(spark.range(1), ["x", "id"]).columns == ["id"]
+
+
+def test_rdf(spark, tmp_path):
+    (tmp_path / "o.rdf").write_text("""<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:o="http://www.example.org/causes#" xmlns:owl="http://www.w3.org/2002/07/owl#">
+<owl:Class rdf:about="http://www.example.org/causes#CommunicationCause"/>
+<o:CommunicationCause rdf:about="http://www.example.org/causes#CO-9_Late_Reply"><o:hasCauseDescription>Too late!</o:hasCauseDescription><o:generatesEffect rdf:resource="http://www.example.org/causes#EF-1"/></o:CommunicationCause>
+</rdf:RDF>""")
+    g = ontology.read_rdf(spark, str(tmp_path / "o.rdf"))
+    assert [r.name for r in ontology.classes(g).collect()] == ["CommunicationCause"]
+    c = ontology.causes(g).first()
+    assert (c.cause_id, c.cause_name, c.cause_type, c.cause_description_clean) == ("CO-9_Late_Reply", "CO-9 Late Reply", "CommunicationCause", "too late")
+    assert ontology.enrichment(g).first().effects == ["EF-1"]
+
+
+def test_profiles(spark):
+    df = spark.createDataFrame([(1, 10, "Sorry, I misunderstood your comment. I've made the correction.", "H|0.5"), (2, 10, "LGTM.", "A|0.9"), (3, 11, None, None), (4, 11, "The cluster shows a runtime error again", "C|0.4")], "id long, issue long, body string, answer string")
+    done, per_issue = plans.classify_batch(df, "body", "issue", "id", F.col("answer"))
+    got = {r.id: (r.code, r.status, len(r.microcauses)) for r in done.collect()}
+    assert got[1] == ("A", "RULE_OVERRIDE", 3) and got[2][0] == "H" and 3 not in got and got[4][:2] == ("G", "RULE_OVERRIDE")
+    assert {r.issue_number: r.comment_count for r in per_issue.collect()} == {10: 1, 11: 1}
+    online, every = plans.classify_batch(df, "body", "issue", "id", F.col("answer"), "online")
+    assert {r.id: r.code for r in online.collect()} == {1: "H", 2: "H", 4: "C"} and {r.issue_number: r.comment_count for r in every.collect()} == {10: 2, 11: 1}
+    assert plans.classify_text(spark, "Thanks @bob", "B|0.9").first().clean == "The comment thanks a GitHub user."
+    with pytest.raises(ValueError):
+        plans.classify(df, "body", profile="other")
+
+
+def test_models(spark):
+    rows = [(i, "alpha beta" if i % 2 else "gamma delta", float(i % 2), "Low" if i % 2 else "High") for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, text string, f double, level string")
+    forest = lambda t, y: models.feature_forest(t, y, ("f",))
+    got = {r.model: r.accuracy for r in models.holdout(df, "level", "k", {"lr": models.text_logistic, "rf": forest}).collect()}
+    assert got == {"lr": 1.0, "rf": 1.0}
+    assert models.importance(forest(df, "level"), ("f",)) == [("f", 1.0)]
+    one = models.cross_validation(df, "level", "k", {"rf": forest}, 2).first()
+    assert (one.accuracy_mean, one.accuracy_std) == (1.0, 0.0)
+
+
+def test_stream_runs_alike(spark, tmp_path):
+    c = queries.comments(spark, SF).select("comment_id", "text").limit(50)
+    c.write.parquet(str(tmp_path / "in"))
+    from loomspark.streaming import stages
+
+    q = stages.annotate(spark.readStream.schema(c.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("s1").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(60)
+    want = stages.annotate(spark.read.parquet(str(tmp_path / "in")))
+    assert sorted(map(tuple, spark.table("s1").collect())) == sorted(map(tuple, want.collect()))
