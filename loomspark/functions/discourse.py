@@ -7,15 +7,19 @@ a null or blank text gives '' (or 0, or no items), and no input raises, so one b
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import COMMANDS, DIFF_SIGNS, TEAM_MENTION, USER_MENTION
 
+register_pickle_by_value(sys.modules[__name__])  # workers need not have the package
+
 # Tags, sentences, names and patterns that results depend on.
 CODE, DIFF, ERROR_LOG, BOT, URL, LINK = "/Code_block_attached.", "/Diff_attached.", "/Error_log_attached.", "/automated_bot_message", "/url_reference", "/html_link_reference"
 LANGUAGES = frozenset("python py javascript js typescript ts java c cpp c++ csharp cs go ruby rb php swift kotlin scala rust r sql bash shell sh zsh powershell ps1 html css scss sass xml json yaml yml dockerfile makefile gradle".split())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import discourse
 from loomspark.functions.embedding import first_words, hashed_vector
 from loomspark.operators import causes, index, noise, ranking
+from loomspark.plans.lineage import written
 
 PROFILES = ("offline", "online")
 
@@ -42,10 +43,11 @@ def classify_text(spark: SparkSession, text: str | None, answer: str | None = No
 
 def classify_batch(comments: DataFrame, text: str, issue: str, order: str, answer: Column | None = None, profile: str = "offline") -> tuple[DataFrame, DataFrame]:
     """The comments with their causes, and the index of each issue."""
-    done = classify(comments.where(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0), text, answer, profile)
+    done = written(classify(comments.where(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0), text, answer, profile), "classified")
     done = ranking.nearest_causes(done, ranking.candidate_vectors(comments.sparkSession), hashed_vector(first_words(F.col("clean"), 60)))
+    done = written(done, "ranked")
     empty = F.array().cast("array<string>")
     micro = F.transform("microcauses", lambda m: F.struct(m["cause_name"].alias("cause_name"), m["similarity"].alias("similarity"), empty.alias("community_smells"), empty.alias("risks")))
     counted = done.where("noise_level = 'useful' and code != 'H'") if profile == "offline" else done
     rows = counted.select(F.col(issue).alias("issue_number"), F.col(order).alias("row_ord"), "code", micro.alias("microcauses"))
-    return done, index.with_index(index.issue_features(rows))
+    return done, index.with_index(written(index.issue_features(rows), "features"))

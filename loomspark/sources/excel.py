@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import posixpath
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 from xml.etree.ElementTree import iterparse
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
+register_pickle_by_value(sys.modules[__name__])  # workers need not have the package
+
 
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
