@@ -25,9 +25,14 @@ DIFF_SIGNS = (r"^\s*diff --git\b", r"^\s*@@\s*-\d+(?:,\d+)?\s+\+\d+(?:,\d+)?\s*@
 HTML_STEPS = (
     (r"(?is)<details\b.*?>.*?</details>", " /html_details_block "),
     (r"(?is)<img\b[^>]*>", " /html_image_reference "),
+    (r"(?i)The committers listed above are authorized under a signed CLA\.[^\n]*", " /automated_cla_check "),
+    (r"""(?is)<a\b[^>]*href\s*=\s*["']?[^"'>\s]+[^>]*>\s*</a>""", "/html_link_reference"),
+    (r"""(?is)<a\b[^>]*href\s*=\s*["']?[^"'>\s]+[^>]*>\s*(.*?)\s*</a>""", r"\1 /html_link_reference"),
     (r"(?is)<!--\s*.*?\s*-->", " /html_meta_comment "),
-    (r"(?im)^\s*Visible:\s*\d+%\s*-\s*\d+%\s*$", " /visual_artifact_reference "),
+    (r"(?im)^\s*Visible:\s*\d+%\s*-\s*\d+%\s*$", "/visual_artifact_reference"),
     (r"(?is)</?(?:details|summary|sub|sup|br|hr|p|div|span|table|tr|td|th|thead|tbody|img|a|ul|li|ol)\b[^>]*>", " "),
+    (r"[ \t]+", " "),
+    (r" *\n *", "\n"),
 )
 
 
@@ -71,13 +76,11 @@ def replace_raw_urls(text: Column) -> Column:
 
 
 def replace_html(text: Column) -> Column:
-    """Details, images, links (their words stay), comments, artifacts, then plain tags."""
+    """Details, images, links (their words stay, line breaks in them too), comments, artifacts, then plain tags."""
     out = _filled(text)
-    for i, (p, tag) in enumerate(HTML_STEPS):
-        if i == 2:
-            out = F.regexp_replace(out, r"""(?is)<a\b[^>]*href\s*=\s*["']?[^"'>\s]+[^>]*>(.*?)</a>""", "$1 /html_link_reference")
-        out = F.regexp_replace(out, p, tag)
-    return strip(F.regexp_replace(out, "[ \t]+", " "))
+    for p, tag in HTML_STEPS:
+        out = F.regexp_replace(out, p, tag.replace("\\1", "$1"))
+    return strip(out)
 
 
 def count_team_mentions(text: Column) -> Column:

@@ -125,7 +125,7 @@ def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     clean = T.replace_html(F.col("html"))
-    return p.select("page_id", F.regexp_count(clean, F.lit("/html_link_reference")).alias("n_links"), clean.rlike("(?i)</?(?:p|div|table|ul|li|a)\\b[^>]*>").alias("has_tags"))
+    return p.select("page_id", F.regexp_count(clean, F.lit("/html_link_reference")).alias("n_links"), F.md5(clean.cast("binary")).alias("clean_md5"))
 
 
 def lost_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +221,7 @@ def mean_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changed_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = comments(spark, sf_dir)
-    a, b = (c.where(f"code = '{code}'").select((F.col("comment_id") % 97).alias("k")) for code in "AB")
+    a, b = (c.where(f"code = '{code}'").select((F.col("comment_id") % 5003).alias("k")) for code in "AB")
     return tables.differences(a, b, "k")
 
 
@@ -348,6 +348,11 @@ SQL_ONLINE = f"""
 WITH {SQL_COMMENTS}, {SQL_VECTORS}, tv AS (SELECT i, text, {_vector('text')} AS v FROM tpl), c AS (SELECT comment_id, code, v FROM comments JOIN tv USING (text) WHERE code <> 'H'),
 s AS (SELECT comment_id, pos, cause_id, round(coalesce(list_cosine_similarity(v, vector), 0), 9) AS s FROM c JOIN known USING (code)), o AS (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY s DESC, pos) AS r FROM s)
 SELECT comment_id, string_agg(cause_id, ',' ORDER BY r) AS cause_ids, round(max(s), 6) AS best FROM o WHERE r <= 3 GROUP BY 1"""
+_HTML = "coalesce(html, '')"
+for _p, _tag in T.HTML_STEPS:
+    _HTML = f"regexp_replace({_HTML}, {_quoted(_p)}, {_quoted(_tag)}, 'g')"
+_SPACE = r"[\s\x1c-\x1f\x{85}\pZ]+"
+_STRIPPED = f"regexp_replace(t, '\\A{_SPACE}|{_SPACE}\\z', '', 'g')"
 _EMBEDDED = "coalesce(text, '')"
 for _p, _tag in embedding.EMBEDDING_STEPS:
     _EMBEDDED = f"regexp_replace({_EMBEDDED}, {_quoted(_p)}, {_quoted(_tag)}, 'g')"
@@ -361,7 +366,7 @@ SQL = {
     "item_summary": 'SELECT column_name, count(x) AS "count", ' + ", ".join(f"round({e}, 6) AS {n}" for n, e in (("mean", "avg(x)"), ("std", "stddev_samp(x)"), ("min", "min(x)"), ("p25", "quantile_cont(x, 0.25)"), ("p50", "quantile_cont(x, 0.5)"), ("p75", "quantile_cont(x, 0.75)"), ("max", "max(x)"))) + " FROM (SELECT 'l_quantity' AS column_name, l_quantity::DOUBLE AS x FROM lineitem UNION ALL SELECT 'l_discount', l_discount::DOUBLE FROM lineitem) GROUP BY 1",
     "order_agreement": "WITH a AS (SELECT l_orderkey, max({'l': l_returnflag, 'x': l_quantity::DOUBLE}) AS m FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), b AS (SELECT l_orderkey, max({'l': l_returnflag, 'x': l_quantity::DOUBLE}) AS m FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) SELECT count(*) AS n, round(100 * avg((a.m.l = b.m.l)::INT), 2) AS percent_equal, round(avg(abs(a.m.x - b.m.x)), 6) AS mean_gap, max(abs(a.m.x - b.m.x)) AS largest_gap FROM a JOIN b USING (l_orderkey)",
     "mean_scores": "SELECT l_partkey % 9 AS micro, " + ", ".join(f"round(coalesce(avg(l_quantity::DOUBLE) FILTER (l_returnflag = '{f}'), 0), 6) AS mean_{f.lower()}" for f in "ANRX") + " FROM lineitem GROUP BY 1",
-    "changed_issues": f"WITH {SQL_COMMENTS}, a AS (SELECT DISTINCT comment_id % 97 AS k FROM comments WHERE code = 'A'), b AS (SELECT DISTINCT comment_id % 97 AS k FROM comments WHERE code = 'B') SELECT k, 'before' AS only_in FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'after' FROM b WHERE k NOT IN (SELECT k FROM a)",
+    "changed_issues": f"WITH {SQL_COMMENTS}, a AS (SELECT DISTINCT comment_id % 5003 AS k FROM comments WHERE code = 'A'), b AS (SELECT DISTINCT comment_id % 5003 AS k FROM comments WHERE code = 'B') SELECT k, 'before' AS only_in FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'after' FROM b WHERE k NOT IN (SELECT k FROM a)",
     "null_cells": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls FROM documents" for c in ("doc_id", "text", "lang", "source")),
     "classified_comments": f"WITH v(i, text) AS (VALUES {', '.join(f'({i}, {_quoted(want)})' for i, (_, want) in enumerate(cases.CLEANED))}), comments AS (SELECT o_orderkey AS comment_id, 0 AS issue_number, text, 'H' AS code FROM orders JOIN v ON i = o_orderkey % {len(cases.CLEANED)}), {SQL_NOISE_OF_COMMENTS}, sq AS (SELECT comment_id, 'H' AS code, 0.5::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM comments), {SQL_DECIDED}, j AS (SELECT n.noise_level, n.noise_level = 'useful' AS u, d, t FROM noise n JOIN decided USING (comment_id)) SELECT noise_level, CASE WHEN u THEN d.code ELSE 'H' END AS code, CASE WHEN t = '' THEN 'EMPTY_TEXT' WHEN NOT u THEN 'ACCEPTED' WHEN d.rule LIKE 'none%' THEN CASE WHEN d.conf < 0.7 THEN 'REVIEW' ELSE 'ACCEPTED' END WHEN d.rule LIKE '%override%' THEN 'RULE_OVERRIDE' WHEN d.rule LIKE '%confirmed%' THEN 'RULE_CONFIRMED' ELSE 'RULE_APPLIED' END AS status, count(*) AS n FROM j GROUP BY 1, 2, 3",
     "comment_signals": f"WITH {SQL_COMMENTS} SELECT comment_id, {', '.join(f'regexp_matches(text, {_quoted(p)}, {_quoted("i")}) AS {k}' for k, p in _SIGNALS.items())} FROM comments",
@@ -376,7 +381,7 @@ SQL = {
     "similarity_bins": "WITH b AS (SELECT round((l_discount * 10)::DOUBLE, 4) AS x FROM lineitem), v AS (SELECT CASE WHEN x > -0.001 AND x <= 0.3 THEN 'Muy baja' WHEN x > 0.3 AND x <= 0.5 THEN 'Baja' WHEN x > 0.5 AND x <= 0.7 THEN 'Media' WHEN x > 0.7 AND x <= 1.0 THEN 'Alta' END AS value FROM b) SELECT value, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS percentage FROM v GROUP BY value",
     "cause_crosstab": f"WITH {SQL_NOISE} SELECT code, count(*) FILTER (noise_level = 'hard_noise') AS hard_noise, count(*) FILTER (noise_level = 'operational_noise') AS operational_noise, count(*) FILTER (noise_level = 'useful') AS useful FROM noise GROUP BY code",
     "class_report": "WITH l AS (SELECT * FROM (VALUES (0), (1)) v(label)), n AS (SELECT label, count(*) FILTER (quality = label AND toxic = label) AS tp, count(*) FILTER (quality <> label AND toxic = label) AS fp, count(*) FILTER (quality = label AND toxic <> label) AS fn FROM l, labels GROUP BY label) SELECT label, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, tp + fn AS support FROM n",
-    "html_flags": """SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '(?is)<a\\b[^>]*href\\s*=\\s*["'']?[^"''>\\s]+[^>]*>.*?</a>'))::INT AS n_links, false AS has_tags FROM pages""",
+    "html_flags": f"WITH h AS (SELECT page_id, {_STRIPPED} AS clean FROM (SELECT page_id, {_HTML} AS t FROM pages)) SELECT page_id, len(regexp_extract_all(clean, '/html_link_reference'))::INT AS n_links, md5(clean) AS clean_md5 FROM h",
     "lost_texts": f"WITH {SQL_COMMENTS} SELECT DISTINCT text FROM comments EXCEPT SELECT text FROM comments WHERE code = 'B'",
     "annotated_comments": f"WITH {SQL_NOISE}, sq AS (SELECT comment_id, 'H' AS code, 0.5::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM comments), {SQL_DECIDED} SELECT n.noise_level, CASE WHEN n.noise_level = 'useful' THEN d.code ELSE 'H' END AS cause, count(*) AS n FROM noise n JOIN decided USING (comment_id) GROUP BY 1, 2",
     "duplicate_parts": "SELECT (count(*) - count(DISTINCT (l_partkey, l_suppkey)))::BIGINT AS duplicates FROM lineitem",

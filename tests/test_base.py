@@ -101,6 +101,11 @@ def test_cleaning_is_total(spark):
     assert discourse.quotes("> ```\n> a\nlost\nkept")[1].endswith("kept")
 
 
+def test_native_markup_agrees_with_the_kernel(spark):
+    texts = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()] + [None, 'x<a href=y> </a>z <A HREF="q"> a  b </A>', "<details>a\nb</details><br>", "a\nVisible: 1% - 2%\nb", "<!-- --> The committers listed above are authorized under a signed CLA. x\ny", "<img src=a>\n <p>t</p>"]
+    assert column(spark, texts, T.replace_html) == [discourse.markup(t or "") for t in texts]
+
+
 def test_fence_tags():
     assert discourse.fence_tag("diff", "") == discourse.fence_tag("", "diff --git a b\n--- a/x\n") == discourse.DIFF
     assert discourse.fence_tag("", "ValueError: no") == discourse.ERROR_LOG and discourse.fence_tag("py", "ValueError: no") == discourse.CODE
