@@ -24,8 +24,7 @@ MAX_BROADCAST_BYTES = 32 << 20
 BITS = 32768
 
 
-def _cells(text: Column, cells: int) -> list[Column]:
-    h = F.xxhash64(text)
+def _cells(h: Column, cells: int) -> list[Column]:
     return [F.pmod(h, F.lit(cells)) + 1, F.pmod(F.xxhash64(h, F.lit(1)), F.lit(cells)) + 1 + cells]
 
 
@@ -35,29 +34,29 @@ def _bit(bitmap: Column, cell: Column) -> Column:
     return F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")), F.lit(0)) % 2 == 1
 
 
-def probe(docs: DataFrame, text: Column, n: int, name: str = "maybe_repeated") -> DataFrame:
-    """Adds a boolean column: false only where no other row has the same text."""
+def probe(docs: DataFrame, h: Column, n: int, name: str = "maybe_repeated") -> DataFrame:
+    """Adds a boolean column: false only where no other row has the same 64-bit hash. Rows should be narrow, as they are joined with large bitmaps."""
     cells = 1 << max(15, (CELLS_PER_TEXT * n - 1).bit_length())
-    hit = docs.select(F.explode(F.array(*_cells(text, cells))).alias("cell")).groupBy("cell").count().where("count > 1")
+    hit = docs.select(F.explode(F.array(*_cells(h, cells))).alias("cell")).groupBy("cell").count().where("count > 1")
     maps = materialize(
         hit.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")),
         "bloom",
     )
     small = 2 * cells // 8 <= MAX_BROADCAST_BYTES
     out = docs
-    for i, cell in enumerate(_cells(text, cells)):
+    for i, cell in enumerate(_cells(h, cells)):
         side = maps.select(F.col("bucket").alias(f"__bucket{i}"), F.col("bits").alias(f"__bits{i}"))
         out = out.join(F.broadcast(side) if small else side, F.bitmap_bucket_number(cell) == F.col(f"__bucket{i}"), "left")
-    both = [_bit(F.col(f"__bits{i}"), c) for i, c in enumerate(_cells(text, cells))]
+    both = [_bit(F.col(f"__bits{i}"), c) for i, c in enumerate(_cells(h, cells))]
     return out.withColumn(name, both[0] & both[1]).drop(*[f"__{k}{i}" for i in (0, 1) for k in ("bucket", "bits")])
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """A row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), safe_text(F.col(text_col)).alias("__text"))
+    text = safe_text(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.xxhash64(text).alias("__h"))  # no text goes further
     n = rows.count()
-    probed = probe(rows, F.col("__text"), n)
-    marked = materialize(probed.select("doc_id", F.unhex(F.sha2("__text", 256)).alias("sha"), "maybe_repeated"), "probed")
+    marked = materialize(probe(rows, F.col("__h"), n).drop("__h"), "probed")
     rest = marked.where("maybe_repeated").select("doc_id", "sha")
     best = F.max("doc_id") if keep == "max" else F.min("doc_id")
     stats = materialize(rest.groupBy("sha").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
