@@ -5,6 +5,7 @@ length, character transitions, dictionary coverage, path shape and neighbouring
 end, label); no table has such labels, so generated_findings() makes them from a seed: real shapes in telling contexts against digests,
 commit ids, placeholders, paths and identifiers. The forest is small (TREES trees of at most 2**DEPTH leaves), so it is broadcast.
 
+A value ends where its characters end, at whatever length; only the name before it is bounded (30 characters before the telling word, 20 after).
 A null or empty text has no findings. Places are code points. Overlapping candidates are one finding, from the first start on. Repeated rows
 give repeated findings; a null id stays null. An empty table gives an empty result. Other columns are not read.
 """
@@ -25,10 +26,10 @@ TREES, DEPTH, FINDINGS = 25, 9, 3000
 CONTEXT = 32
 _PATTERN = re.compile(
     r"""-----BEGIN[ A-Z]{0,20}PRIVATE\ KEY-----
-    |(?P<name>\b[A-Za-z0-9_.-]{0,30}(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[A-Za-z0-9_-]{0,20})["']?[ \t]{0,3}(?:=>|[:=])[ \t]{0,3}["']?(?P<value>[^\s"'`,;<>]{6,200})
+    |(?P<name>\b[A-Za-z0-9_.-]{0,30}(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credential)[A-Za-z0-9_-]{0,20})["']?[ \t]{0,3}(?:=>|[:=])[ \t]{0,3}["']?(?P<value>[^\s"'`,;<>]{6,})
     |(?:AKIA|ASIA)[0-9A-Z]{16}
-    |\bgh[pousr]_[A-Za-z0-9]{20,80}|\bxox[abprs]-[A-Za-z0-9-]{10,80}|\bsk[-_][A-Za-z0-9_-]{16,120}|\beyJ[A-Za-z0-9_-]{8,500}\.[A-Za-z0-9_-]{8,500}\.[A-Za-z0-9_-]{8,500}
-    |[A-Za-z0-9+/_=-]{20,400}""",
+    |\bgh[pousr]_[A-Za-z0-9]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\bsk[-_][A-Za-z0-9_-]{16,}|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}
+    |[A-Za-z0-9+/_=-]{20,}""",
     re.X | re.I,
 )
 # Words that tell for or against a secret nearby, and a small dictionary.

@@ -278,6 +278,15 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, []), forest).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    r = random.Random(4)
+    run = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    values = {1: ("aws_session_token=", run(5000)), 2: ("see ", run(3000)), 3: ("see ", f"eyJ{run(900)}.{run(4000)}.{run(700)}"), 4: ("see ", "ghp_" + run(300)), 5: ("see ", "xoxe-" + run(300)), 6: ("see ", "sk-proj-" + run(300)), 7: ("password=", "p#" + run(201) + "&x" * 2000)}
+    got = secrets.scan(frame(spark, [(i, a + v + " end") for i, (a, v) in values.items()])).collect()
+    assert sorted((x.doc_id, x.start, x.length, x.value_sha256) for x in got) == [(i, len(a), len(v), hashlib.sha256(v.encode()).hexdigest()) for i, (a, v) in values.items()]
+    assert {x.doc_id for x in got if x.is_secret} >= {1, 3}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from loomspark.llm._common import documents
