@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark import constants as C
-from loomspark.functions.embedding import hashed_vector
+from loomspark.functions.embedding import embedding_text, hashed_vector
 from loomspark.functions.regex import squeeze
 
 # Weights and limits of the adaptive score.
@@ -36,11 +36,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
 
 
-def top_causes(comments: DataFrame, spark: SparkSession, macro_similarity: Column | None = None, comment_similarity: Column | None = None) -> DataFrame:
+def top_causes(comments: DataFrame, spark: SparkSession, macro_similarity: Column | None = None, comment_similarity: Column | None = None, known: DataFrame | None = None) -> DataFrame:
     """comments: comment_id, code, text (and vectors' similarities if given). Adds top: array<struct<cause_id, score>> and status.
 
-    A comment meets at most eight candidates of its own cause, so nothing is multiplied beyond that."""
-    wide = comments.join(F.broadcast(candidates(spark)), "code", "left")
+    known: code, pos, cause_id and what the similarities read of each candidate. A comment meets at most eight candidates of its own cause, so
+    nothing is multiplied beyond that."""
+    every = candidates(spark) if known is None else candidates(spark).join(F.broadcast(known), ["code", "pos", "cause_id"], "left")
+    wide = comments.join(F.broadcast(every), "code", "left")
     text = match_text(F.col("text"))
     language = F.exists(F.array(*map(F.lit, C.LANGUAGE_TERMS)), lambda t: F.contains(text, t))
     base = MACRO_WEIGHT * (macro_similarity if macro_similarity is not None else F.lit(0.0)) + COMMENT_WEIGHT * (comment_similarity if comment_similarity is not None else F.lit(0.0))
@@ -63,6 +65,15 @@ def candidate_vectors(spark: SparkSession) -> DataFrame:
     return candidates(spark).select("code", "pos", "cause_id").join(F.broadcast(words), "cause_id").select("code", "pos", "cause_id", hashed_vector(F.concat_ws(" ", F.regexp_replace("cause_id", "[_-]", " "), "words")).alias("vector"))
 
 
+def blended_causes(comments: DataFrame, spark: SparkSession) -> DataFrame:
+    """The offline profile: comment_id, code, text to top_causes by the hashed vectors of the text and of its cause's description; a text without words to embed counts as that description."""
+    macro = spark.createDataFrame(list(C.MACRO_DESCRIPTIONS.items()), "code string, words string").select("code", hashed_vector(F.col("words")).alias("macro"))
+    known = candidate_vectors(spark).join(F.broadcast(macro), "code")
+    own = embedding_text(F.col("text"))
+    wide = comments.select("comment_id", "code", "text", F.when(own != "", hashed_vector(own)).alias("__v"))
+    return top_causes(wide, spark, cosine(F.col("macro"), F.col("vector")), cosine(F.coalesce("__v", "macro"), F.col("vector")), known).drop("__v")
+
+
 def nearest_causes(comments: DataFrame, known: DataFrame, vector: Column, k: int = 3) -> DataFrame:
     """The online profile: the k nearest candidates by cosine (9 places), without a threshold; ties by catalog order. A comment without candidates gets none."""
     own = comments.columns

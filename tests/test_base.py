@@ -185,6 +185,27 @@ def test_profiles(spark):
         plans.classify(df, "body", profile="other")
 
 
+def test_profiles_enrich_offline(spark):
+    rows = [(1, 10, "Sorry, I misunderstood your comment. I've made the correction.", "H|0.5"), (2, 11, "Please clarify, the wording was misunderstood", "A|0.8"), (2, 11, "Please clarify, the wording was misunderstood", "A|0.8"), (3, 12, "The cluster shows a runtime error again", "C|0.4")]
+    df = spark.createDataFrame(rows, "id long, issue long, body string, answer string")
+    done, per_issue = plans.classify_batch(df, "body", "issue", "id", F.col("answer"))
+    own = done.collect()
+    assert sorted(r.id for r in own) == [1, 2, 2, 3]
+    facts = ontology.sample_triples()
+    for r in own:
+        causes_of = [ontology.BASE + m.cause_name for m in r.top_causes]
+        told = lambda role: sorted({o.split("#")[-1] for s, p, o in facts if s in causes_of and p.split("#")[-1] in ontology.ROLES[role]})  # noqa: B023, E731
+        assert 1 <= len(causes_of) <= 3 and (r.community_smells, r.risks) == (told("community_smells"), told("risks"))
+        scores = [m.similarity for m in r.top_causes]
+        assert scores == sorted(scores, reverse=True) and (len(scores) == 1 or scores[-1] >= 0.28 and scores[0] - scores[-1] <= 0.18)
+    want = {r.issue: (len(r.community_smells), len(r.risks)) for r in own}
+    got = {r.issue_number: r for r in per_issue.collect()}
+    assert {i: (r.smell_diversity, r.risk_diversity) for i, r in got.items()} == want
+    assert {i: (r.comment_count, r.top_smell_frequency, r.top_risk_frequency) for i, r in got.items() if i < 12} == {10: (1, 1.0, 1.0), 11: (2, 2.0, 2.0)}
+    online, every = plans.classify_batch(df, "body", "issue", "id", F.col("answer"), "online")
+    assert online.count() == 4 and {(r.smell_diversity, r.risk_diversity) for r in every.collect()} == {(0, 0)}
+
+
 def test_models(spark):
     rows = [(i, "alpha beta" if i % 2 else "gamma delta", float(i % 2), "Low" if i % 2 else "High") for i in range(40)]
     df = spark.createDataFrame(rows, "k long, text string, f double, level string")
