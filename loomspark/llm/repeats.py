@@ -107,11 +107,12 @@ class Group:
         self.first, self.last, self.anchor, self.super = (np.concatenate([np.zeros(0, t), *x]) for x, t in zip(found, (np.int64, np.int64, np.uint64, np.uint64)))
         self.row = np.searchsorted(self.ends, self.first, "right")
         self.doc = self.rank_id[self.row] if len(self.rank_id) else np.zeros(0, np.int64)
-        order = np.lexsort((self.first, self.doc, self.super))
-        heads = order[np.flatnonzero(np.diff(self.super[order], prepend=~self.super[order[:1]]))] if len(order) else order
+        self.tag = _tag(self.anchor, self.super)
+        order = np.lexsort((self.first, self.doc, self.tag))
+        heads = order[np.flatnonzero(np.diff(self.tag[order], prepend=~self.tag[order[:1]]))] if len(order) else order
         #: the first super-window of each kind, from the smallest document; the smallest document of each one's kind
         self.heads = heads
-        kinds = np.searchsorted(self.super[heads], self.super)
+        kinds = np.searchsorted(self.tag[heads], self.tag)
         self.least = self.doc[heads][kinds] if len(heads) else self.doc
 
     def _stretches(self):
@@ -131,7 +132,7 @@ class Group:
             yield a, len(self.raw)
 
     def key(self, of: np.ndarray | None = None) -> np.ndarray:
-        return _key(self.doc, self.super) if of is None else _key(self.doc[of], self.super[of])
+        return _key(self.doc, self.tag) if of is None else _key(self.doc[of], self.tag[of])
 
     def hot_strings(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, document and hash of each string in the super-windows chosen."""
@@ -140,6 +141,11 @@ class Group:
         return starts, docs, np.fromiter((xxhash.xxh64_intdigest(self.raw[s : s + LENGTH].tobytes()) for s in starts.tolist()), np.uint64, len(starts))
 
 
+def _tag(anchor: np.ndarray, sup: np.ndarray) -> np.ndarray:
+    """The kind of a super-window, in 64 bits from the 92 of anchor and hash: 48 bits alone would meet by chance in a large corpus."""
+    return _mixed(anchor * _M1 + _mixed(sup + np.uint64(3)))
+
+
 def _key(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return _mixed(doc.astype(np.uint64) * np.uint64(_P) + _mixed(tag))
 
@@ -219,7 +225,7 @@ def judge_windows(table: pa.Table) -> pa.Table:
     told = np.flatnonzero(verdict >= 0)
     told = told[np.lexsort((verdict[told], grp[told]))]
     cuts = np.flatnonzero(np.r_[True, (np.diff(grp[told]) != 0) | (np.diff(verdict[told]) != 0), True]) if len(told) else []
-    return _rows([(0, int(grp[told[i]]), int(verdict[told[i]]), _planes(_key(doc[told[i:j]], sup[told[i:j]]), 8), b"", b"", b"") for i, j in pairwise(cuts)])
+    return _rows([(0, int(grp[told[i]]), int(verdict[told[i]]), _planes(_key(doc[told[i:j]], _tag(anchor[told[i:j]], sup[told[i:j]])), 8), b"", b"", b"") for i, j in pairwise(cuts)])
 
 
 def _told(verdicts: pa.Table, kind: int) -> np.ndarray:
@@ -247,7 +253,7 @@ def send_strings(table: pa.Table, verdicts: pa.Table, buckets: int) -> pa.Table:
             out.append((bucket, grp, 0, _planes(tags[own], 8), _planes(docs[own].view(np.uint64), 8), (last - first)[own].astype(np.uint8).tobytes(), body))
 
     own = g.heads[_within(keys, _told(verdicts, OPEN))]
-    put(g.anchor[own], g.first[own], g.last[own], g.doc[own], g.super[own])
+    put(g.anchor[own], g.first[own], g.last[own], g.doc[own], g.tag[own])
     starts, docs, tags = g.hot_strings(g.heads[_within(keys, _told(verdicts, SPLIT))])
     heads, _ = _least(docs, tags)
     put(tags[heads], starts[heads], starts[heads], docs[heads], tags[heads])

@@ -130,6 +130,22 @@ def test_repeats(spark, monkeypatch, hot):
         assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_with_equal_short_hashes(monkeypatch):
+    import pyarrow as pa
+
+    real = repeats.super_windows
+
+    def clash(raw, ends):
+        first, last, anchor, short = real(raw, ends)
+        return first, last, anchor, np.r_[short[:-1], short[:1]]
+
+    monkeypatch.setattr(repeats, "super_windows", clash)
+    table = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "raw": pa.array([words(300, 61, 10**6).encode(), words(300, 62, 10**6).encode()], pa.binary()), "grp": pa.array([0, 0], pa.int32())})
+    g = repeats.Group(table)
+    assert sorted(g.heads.tolist()) == list(range(len(g.first))) and (g.least == g.doc).all()
+    assert [r["n_removed"] for r in repeats.settle(table, repeats._rows([])).to_pylist()] == [0, 0]
+
+
 def test_suffix_order():
     raw = np.frombuffer((words(400, 1, 3) + "a" * 200).encode(), np.uint8)
     at = np.arange(len(raw) - 49)
