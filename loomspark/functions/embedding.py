@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomspark.functions.regex import squeeze
+from loomspark.functions.regex import once, squeeze
 from loomspark.functions.text import first_words
 
 DIMENSIONS = 64
@@ -29,6 +29,7 @@ def short_text(text: Column, most_words: int = 60) -> Column:
 
 
 def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """How many words fall into each cell; the cell is the first four hex digits of the word's MD5."""
-    cells = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % dimensions)
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"))
+    """How many words fall into each cell; the cell is the first four hex digits of the word's MD5. Each word is hashed once."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    cells = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % dimensions)
+    return once(cells, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(own, lambda c: c == i)).cast("double")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,3 +27,8 @@ def has_any(text: Column, patterns: Iterable[str], ignore_case: bool = True) ->
 def matches_any(text: Column, patterns: Iterable[str]) -> Column:
     """Whole-text match with any pattern."""
     return text.rlike(r"(?Uds)\A(?:" + "|".join(f"(?:{p})" for p in patterns) + r")\z")
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed a single time for each row, however often or deep in other lambdas the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
