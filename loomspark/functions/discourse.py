@@ -22,7 +22,10 @@ register_pickle_by_value(sys.modules[__name__])  # workers need not have the pac
 
 # Tags, sentences, names and patterns that results depend on.
 CODE, DIFF, ERROR_LOG, BOT, URL, LINK = "/Code_block_attached.", "/Diff_attached.", "/Error_log_attached.", "/automated_bot_message", "/url_reference", "/html_link_reference"
-LANGUAGES = frozenset("python py javascript js typescript ts java c cpp c++ csharp cs go ruby rb php swift kotlin scala rust r sql bash shell sh zsh powershell ps1 html css scss sass xml json yaml yml dockerfile makefile gradle".split())
+LANGUAGES = (
+    "python", "py", "javascript", "js", "typescript", "ts", "java", "c", "cpp", "c++", "csharp", "cs", "go", "ruby", "rb", "php", "swift", "kotlin", "scala", "rust",
+    "r", "sql", "bash", "shell", "sh", "zsh", "powershell", "ps1", "html", "css", "scss", "sass", "xml", "json", "yaml", "yml", "dockerfile", "makefile", "gradle",
+)
 MENTIONED = {
     ("user", False): "A GitHub user is mentioned.",
     ("user", True): "Multiple GitHub users are mentioned.",
@@ -40,11 +43,13 @@ REQUESTS = "please|can you|could you|would you|take a look|check|review|have a l
 PROPOSALS = "would it make sense to|does it make sense to|maybe we should|perhaps we should|it might make sense to"
 QUESTIONS = "would|could|can|should|do|does|is|are|what|why|how"
 WORKFLOW = {
-    "/workflow_coordination": "assign unassign cc sig wg label remove-label milestone priority remove-priority kind remove-kind triage",
-    "/workflow_ci": "test retest retest-required ok-to-test skip",
-    "/workflow_review": "approve lgtm",
-    "/workflow_blocking": "hold close reopen",
-}
+    "/assign": "/workflow_coordination", "/unassign": "/workflow_coordination", "/cc": "/workflow_coordination", "/sig": "/workflow_coordination",
+    "/wg": "/workflow_coordination", "/label": "/workflow_coordination", "/remove-label": "/workflow_coordination", "/milestone": "/workflow_coordination",
+    "/priority": "/workflow_coordination", "/remove-priority": "/workflow_coordination", "/kind": "/workflow_coordination", "/remove-kind": "/workflow_coordination",
+    "/triage": "/workflow_coordination", "/test": "/workflow_ci", "/retest": "/workflow_ci", "/retest-required": "/workflow_ci",
+    "/ok-to-test": "/workflow_ci", "/skip": "/workflow_ci", "/approve": "/workflow_review", "/lgtm": "/workflow_review",
+    "/hold": "/workflow_blocking", "/close": "/workflow_blocking", "/reopen": "/workflow_blocking",
+}
 BOTS = r"(?i)\[bot\]|ci[\-_]robot|triage[\-_]robot|dependabot|renovate|greenkeeper|codecov|coveralls|mergify|stale\[bot\]|allcontributors|nodejs-github-bot|welcome[\-_]bot|onboarding[\-_]bot|approval[\-_]bot|review[\-_]bot|flaky[\-_]bot|retest[\-_]bot"
 BOT_KINDS = (
     ("triage_bot", r"(?i)triage[\-_]robot|triage[\-_]bot"),
@@ -75,11 +80,19 @@ HTML = (
 )
 REFERENCES = ((r"\b[\w.-]+/[\w.-]+#\d+\b", "/repo_issue_reference"), (r"(?<![\w/])#\d+\b", "/issue_reference"), (r"(?im)^\s*index\s+[0-9a-f]+\.\.[0-9a-f]+\s+\d+\s*$", "/hash_reference"), (r"(?i)\b[0-9a-f]{40}\b", "/hash_reference"), (r"(?i)\b[0-9a-f]{7,12}\b", "/hash_reference"), (r"[ \t]+", " "))
 EMOJI = {
-    "/emoji_amor": "😍 🥰 😘 💚 ❤️ ❤", "/emoji_risa": "😂 🤣 😄 😆 😁 😹", "/emoji_celebra": "🎉 🎊 🏅 🎁 👏 ✨", "/emoji_aprobacion": "👍 ✅ 👋", "/emoji_rechaza": "👎 ❌", "/emoji_tristeza": "😢 😞",
-    "/emoji_rabia": "😡", "/emoji_asco": "👹", "/emoji_confusion": "🤔 😕 😐 🤦 🤦‍♀️", "/emoji_sarcasmo": "😉 😅", "/emoji_calma": "😌 🙇", "/emoji_atencion": "👀", "/emoji_esperanza": "🙏", "/emoji_sonrisa": "🙂 😊 ☺️ 😇",
+    "😂": "/emoji_risa", "🤣": "/emoji_risa", "😄": "/emoji_risa", "😆": "/emoji_risa", "😁": "/emoji_risa", "😹": "/emoji_risa",
+    "🙂": "/emoji_sonrisa", "😊": "/emoji_sonrisa", "☺️": "/emoji_sonrisa", "😇": "/emoji_sonrisa", "😍": "/emoji_amor", "🥰": "/emoji_amor",
+    "😘": "/emoji_amor", "💚": "/emoji_amor", "❤️": "/emoji_amor", "❤": "/emoji_amor", "🎉": "/emoji_celebra", "🎊": "/emoji_celebra",
+    "🏅": "/emoji_celebra", "🎁": "/emoji_celebra", "👏": "/emoji_celebra", "✨": "/emoji_celebra", "👍": "/emoji_aprobacion", "✅": "/emoji_aprobacion",
+    "👎": "/emoji_rechaza", "❌": "/emoji_rechaza", "😢": "/emoji_tristeza", "😞": "/emoji_tristeza", "😡": "/emoji_rabia", "👹": "/emoji_asco",
+    "🤔": "/emoji_confusion", "😕": "/emoji_confusion", "😐": "/emoji_confusion", "🤦": "/emoji_confusion", "🤦\u200d♀️": "/emoji_confusion", "😌": "/emoji_calma",
+    "🙇": "/emoji_calma", "😉": "/emoji_sarcasmo", "😅": "/emoji_sarcasmo", "👀": "/emoji_atencion", "👋": "/emoji_aprobacion", "🙏": "/emoji_esperanza",
 }
 #: Which tag speaks for a cluster of several emoji; a smile never does.
-CLUSTER_ORDER = tuple(tag for tag in EMOJI if tag != "/emoji_sonrisa")
+CLUSTER_ORDER = (
+    "/emoji_amor", "/emoji_risa", "/emoji_celebra", "/emoji_aprobacion", "/emoji_rechaza", "/emoji_tristeza", "/emoji_rabia", "/emoji_asco",
+    "/emoji_miedo", "/emoji_sorpresa", "/emoji_confusion", "/emoji_sarcasmo", "/emoji_calma", "/emoji_intenso", "/emoji_atencion", "/emoji_esperanza",
+)
 EMOTICONS = (
     (r":-D|:D|=D|xD|XD|XDD|:\'D", "/emoji_risa"), (r":-\)|:\)|=\)|\^\^", "/emoji_sonrisa"), (r"<3", "/emoji_amor"), (r":-\(|:\(|:\'\(|T_T|;_;", "/emoji_tristeza"), (r">:\(|D:<", "/emoji_rabia"), (r":-O|:O|O_O|o_O", "/emoji_sorpresa"),
     (r":-/|:/|:\\\\|o\.O|O\.o", "/emoji_confusion"), (r";-\)|;\)|:-P|:P|:-p|:p|XP", "/emoji_sarcasmo"),
@@ -91,9 +104,7 @@ CLUSTER = f"{FLAG}|{_PICTURE}(?:\u200d{_PICTURE})*"
 
 # -- what the steps are made of
 
-_TAG_OF = {emoji: tag for tag, listed in EMOJI.items() for emoji in listed.split()}
-_KNOWN = re.compile("|".join(sorted(_TAG_OF, key=len, reverse=True)))
-_COMMAND_KIND = {f"/{c}": kind for kind, listed in WORKFLOW.items() for c in listed.split()}
+_KNOWN = re.compile("|".join(sorted(EMOJI, key=len, reverse=True)))
 _NAME = r"@[A-Za-z0-9_.-]+"
 _SEVERAL = rf"(?:{_NAME}\s*(?:,|\band\b)?\s*){{2,}}"
 _FENCE = re.compile(r"```([A-Za-z0-9_+\-]*)\s*\n(.*?)\n\s*```", re.S)
@@ -242,7 +253,7 @@ def commands(text: str | None) -> list[str]:
 
 
 def command_kinds(text: str | None) -> list[str]:
-    return sorted({_COMMAND_KIND[c] for c in commands(text)})
+    return sorted({WORKFLOW[c] for c in commands(text)})
 
 
 def only_commands(text: str | None) -> bool:
@@ -276,16 +287,16 @@ def workflow(text: str) -> str:
 def cluster_tag(cluster: str) -> str:
     if re.fullmatch(FLAG, cluster):
         return "/emoji_flag_reference"
-    if cluster in _TAG_OF:
-        return _TAG_OF[cluster]
-    inside = {tag for emoji, tag in _TAG_OF.items() if emoji in cluster}
+    if cluster in EMOJI:
+        return EMOJI[cluster]
+    inside = {tag for emoji, tag in EMOJI.items() if emoji in cluster}
     return next((tag for tag in CLUSTER_ORDER if tag in inside), "/emoji_other")
 
 
 def emotions(text: str) -> str:
     """Emoji and emoticons as tags, all white space single blanks."""
     text = _replaced(unicodedata.normalize("NFKC", text), ((p, f" {tag} ") for p, tag in SHORTCODES))
-    text = _KNOWN.sub(lambda m: f" {_TAG_OF[m[0]]} ", text)
+    text = _KNOWN.sub(lambda m: f" {EMOJI[m[0]]} ", text)
     text = _replaced(text, ((p, f" {tag} ") for p, tag in EMOTICONS))
     return " ".join(re.sub(CLUSTER, lambda m: f" {cluster_tag(m[0])} ", text).split())
 

@@ -34,6 +34,25 @@ HTML_STEPS = (
     (r"[ \t]+", " "),
     (r" *\n *", "\n"),
 )
+#: What a raw text refers to or holds; found in any of the patterns. Blanks within the pattern of "Caused by:" were lost where results come from.
+FLAGS = {
+    "has_issue_ref": (r"(?<![\w/])#\d+\b", r"\b[\w.-]+/[\w.-]+#\d+\b"),
+    "has_hash_reference": (r"(?i)\b[0-9a-f]{40}\b", r"(?im)^\s*index\s+[0-9a-f]+\.\.[0-9a-f]+\s+\d+\s*$"),
+    "has_log_reference": (r"""(?im)^\s*(?:\[[^\]]+\]\s*)?(?:INFO|DEBUG|WARN|WARNING|ERROR|TRACE|FATAL)\b.*$""", r"(?im)^\s*at\s+.+$", r"""(?im)^\s*File\s+"[^"]+",\s+line\s+\d+.*$""", r"(?im)^\s*Causedby:.*$"),
+    "has_benchmark_reference": (r"(?i)\b\d+(?:\.\d+)?\s*(?:ns/op|µs/op|us/op|ms/op|s/op)\b", r"(?i)\b\d+(?:\.\d+)?\s*(?:ops/sec|op/s|iter/s|iterations/s)\b", r"(?i)\b(?:benchmark|throughput|latency)\b"),
+    "has_raw_url": (r"""(?i)\b(?:https?://|www\.)[^\s<>()\[\]{}"']""", r"""(?i)\bhttps?:/[^\s<>()\[\]{}"']"""),
+    "has_markdown_link": (r"\[[^\]]+\]\((?:https?://|www\.)[^\s)]+\)", r"\[[^\]]+\]\(https?:/[^\s)]+\)"),
+    "has_html_markup": (r"(?is)<details\b.*?>.*?</details>", r"(?is)<!--.*?-->", r"(?is)</?(?:details|summary|sub|sup|br|hr|p|div|span|table|tr|td|th|thead|tbody|img|a|ul|li|ol)\b[^>]*>"),
+    "has_visual_artifact": (r"(?im)^\s*Visible:\s*\d+%\s*-\s*\d+%\s*$",),
+    "has_ci_status_line": (r"(?im)^\s*(?:CI|V8 CI|CITGM):\s*.+$",),
+    "has_codecov_report": (r"(?im)^\s*Codecov\b.*$",),
+    "has_coverage_report": (r"(?im)^\s*Coveralls\b.*$",),
+}
+
+
+def flags(text: Column) -> dict[str, Column]:
+    """Eleven flags of what a text refers to; a null has none."""
+    return {name: F.coalesce(text.rlike("(?Ud)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False)) for name, patterns in FLAGS.items()}
 
 
 def signals(text: Column) -> dict[str, Column]:
@@ -113,3 +132,37 @@ def normalize_name(text: Column) -> Column:
 def local_name(uri: Column) -> Column:
     """What follows `#`, else the last part of the path."""
     return F.when(uri.contains("#"), F.substring_index(uri, "#", -1)).otherwise(F.substring_index(uri, "/", -1))
+
+
+def list_cell(cell: Column) -> Column:
+    """The strings of a list as it is printed (`['a', "b"]`); anything else is an empty list."""
+    inner = F.regexp_extract(F.trim(_filled(cell)), r"(?s)\A\[(.*)\]\z", 1)
+    items = F.regexp_extract_all(inner, F.lit(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""), F.lit(0))
+    return F.transform(items, lambda x: F.regexp_replace(F.substr(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
+
+
+def any_cell(cell: Column) -> Column:
+    """As list_cell(), but a text that is no list and no word for nothing is a list of itself."""
+    own = strip(_filled(cell))
+    return F.when(F.lower(own).isin("", "nan", "none", "[]"), F.array().cast("array<string>")).when(own.rlike(r"(?s)\A\[.*\]\z"), list_cell(own)).otherwise(F.array(own))
+
+
+def bullet_cell(cell: Column) -> Column:
+    """The lines of a cell without bullets and blanks around them, blank ones left out."""
+    lines = F.transform(F.split(_filled(cell), "\n"), lambda x: strip(F.replace(strip(x), F.lit("•"), F.lit(""))))
+    return F.filter(lines, lambda x: x != "")
+
+
+def visible_list(items: Column) -> Column:
+    """A list as lines of a cell: stripped, without nulls and blank ones."""
+    return F.array_join(F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), strip), lambda x: x != ""), "\n")
+
+
+def for_model(text: Column) -> Column:
+    """A comment as a model is asked about it: at most one blank line in a row, stripped."""
+    return strip(F.regexp_replace(_filled(text), r"\n{3,}", "\n\n"))
+
+
+def query_text(text: Column, most_words: int = 60) -> Column:
+    """The first words as they are."""
+    return first_words(text, most_words)

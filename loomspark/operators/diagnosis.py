@@ -100,8 +100,9 @@ def by_level(indexed: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def level_summary(indexed: DataFrame) -> DataFrame:
-    """A row a level: issues, means (3 places) and the leading names as text."""
-    means = {"mean_sdi": "social_debt_index", "mean_comments": "comment_count", "mean_macro_diversity": "macro_diversity"}
+    """A row a level: issues, seven means (3 places) and the leading names as text."""
+    leads = ("top_macro_frequency", "top_micro_score", "top_smell_frequency", "top_risk_frequency")
+    means = {"mean_sdi": "social_debt_index", "mean_comments": "comment_count", "mean_macro_diversity": "macro_diversity"} | {f"mean_{c}": c for c in leads}
     out = indexed.groupBy("social_debt_level").agg(F.count(F.lit(1)).alias("issue_count"), *(F.round(F.avg(c), 3).alias(k) for k, c in means.items()))
     for name, column in KINDS.items():
         value = F.round("value", 3) if name == "microcause" else F.col("value").cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,25 +18,59 @@ def most_common(rows: DataFrame, keys: list[str], name: str, value: str, positio
     return ranked.groupBy(*keys).agg(pairs.alias(out))
 
 
-def issue_features(comments: DataFrame) -> DataFrame:
-    """comments: issue_number, row_ord, code, microcauses array<struct<cause_name, similarity, community_smells, risks>>. Null issues are left out."""
-    rows = comments.where("issue_number is not null")
-    base = rows.groupBy("issue_number").agg(F.count(F.lit(1)).alias("comment_count"))
-    one = rows.select("issue_number", F.coalesce("code", F.lit("H")).alias("name"), F.lit(1).alias("v"), F.struct("row_ord", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("p"))
-    micro = rows.select("issue_number", "row_ord", F.posexplode("microcauses").alias("i", "m"))
-    scored = micro.select("issue_number", F.col("m.cause_name").alias("name"), F.coalesce("m.similarity", F.lit(0.0)).alias("v"), F.struct("row_ord", "i", F.lit(0).alias("j")).alias("p"))
-    listed = lambda c: micro.select("issue_number", "row_ord", "i", F.posexplode(f"m.{c}").alias("j", "name")).select("issue_number", "name", F.lit(1).alias("v"), F.struct("row_ord", "i", "j").alias("p"))
-    out = base
-    for kind, part in (("macrocauses", one), ("microcauses", scored), ("community_smells", listed("community_smells")), ("risks", listed("risks"))):
-        out = out.join(most_common(part, ["issue_number"], "name", "v", "p", 5, f"dominant_{kind}"), "issue_number", "left")
-    head = lambda c: F.coalesce(F.get(F.col(c), F.lit(0))["value"], F.lit(0.0))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+#: Kinds of names that an issue counts.
+COUNTED = ("macrocauses", "microcauses", "community_smells", "risks")
+MOST = 5
+
+
+def counters(comments: DataFrame) -> DataFrame:
+    """issue_number, kind, name, v (sum), p (first position): the four counters of all issues in one pass, combined before they travel.
+
+    comments: issue_number, row_ord, code, microcauses array<struct<cause_name, similarity, community_smells, risks>>. Null issues are left out.
+    A null code counts as H; a null similarity counts as 0; null lists are empty. Counters of parts of the comments can be summed up again."""
+    item = lambda kind, name, v, i, j: F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("name"), v.cast("double").alias("v"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    none = F.lit(0)
+    listed = lambda c: F.flatten(F.transform("microcauses", lambda m, i: F.transform(m[c], lambda s, j: item(c, s, F.lit(1), i, j))))
+    empty = F.array().cast("array<struct<kind:string,name:string,v:double,i:int,j:int>>")
+    own = F.array(item("macrocauses", F.coalesce("code", F.lit("H")), F.lit(1), none, none))
+    micro = F.transform("microcauses", lambda m, i: item("microcauses", m["cause_name"], F.coalesce(m["similarity"], F.lit(0.0)), i, none))
+    all_items = F.concat(own, *(F.coalesce(F.filter(x, lambda y: y.isNotNull()), empty) for x in (micro, listed("community_smells"), listed("risks"))))
+    rows = comments.where("issue_number is not null").select("issue_number", "row_ord", F.explode(all_items).alias("x"))
+    return rows.groupBy("issue_number", "x.kind", "x.name").agg(F.sum("x.v").alias("v"), F.min(F.struct("row_ord", "x.i", "x.j")).alias("p"))
+
+
+def features_of(counted: DataFrame) -> DataFrame:
+    """The features of each issue from its counters: the MOST leading names of each kind, how many these are, and the first one's value."""
+    own = Window.partitionBy("issue_number", "kind")
+    ranked = counted.select("issue_number", "kind", F.struct(F.row_number().over(own.orderBy(F.desc("v"), "p", "name")).alias("r"), "name", F.col("v").alias("value")).alias("x"), F.sum("v").over(own).alias("total"))
+    kept = ranked.where(F.col("x.r") <= MOST)
+    of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("x")))), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))).alias(f"dominant_{k}")
+    out = kept.groupBy("issue_number").agg(F.max(F.when(F.col("kind") == "macrocauses", F.col("total"))).cast("long").alias("comment_count"), *map(of, COUNTED))
+    head = lambda c: F.coalesce(F.get(F.col(f"dominant_{c}"), F.lit(0))["value"], F.lit(0.0))
+    size = lambda c: F.size(f"dominant_{c}")
     return out.select(
-        "*", size("dominant_macrocauses").alias("macro_diversity"), size("dominant_microcauses").alias("micro_diversity"), size("dominant_community_smells").alias("smell_diversity"), size("dominant_risks").alias("risk_diversity"),
-        head("dominant_macrocauses").alias("top_macro_frequency"), head("dominant_microcauses").alias("top_micro_score"), head("dominant_community_smells").alias("top_smell_frequency"), head("dominant_risks").alias("top_risk_frequency"),
+        "*", size("macrocauses").alias("macro_diversity"), size("microcauses").alias("micro_diversity"), size("community_smells").alias("smell_diversity"), size("risks").alias("risk_diversity"),
+        head("macrocauses").alias("top_macro_frequency"), head("microcauses").alias("top_micro_score"), head("community_smells").alias("top_smell_frequency"), head("risks").alias("top_risk_frequency"),
     )
 
 
+def issue_features(comments: DataFrame) -> DataFrame:
+    """A row an issue; with_index() reads it several times, so write it first."""
+    return features_of(counters(comments))
+
+
+def issue_texts(comments: DataFrame, text: str, order: str) -> DataFrame:
+    """issue_number, text: all texts of an issue in their order, a blank line between them; null texts are left out. The whole text is one value."""
+    said = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(F.col(order).alias("o"), F.col(text).alias("t")))))
+    return comments.where("issue_number is not null").groupBy("issue_number").agg(F.array_join(F.transform(said, lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def global_counts(indexed: DataFrame, kind: str) -> DataFrame:
+    """name, value: sums over the issues' leading names of a kind (not over raw rows)."""
+    each = indexed.select(F.explode(f"dominant_{kind}").alias("x")).select("x.*")
+    return each.groupBy("name").agg(F.sum("value").alias("value"))
+
+
 def scaled(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Adds <column>_norm in [0, 1]; a constant column gives 0. The extremes are one row, so it is broadcast."""
     ends = df.agg(*(f(c).cast("double").alias(f"__{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))))
@@ -46,10 +82,44 @@ def level(score: Column, q1: Column, q2: Column) -> Column:
     return F.when(score.isNull(), "Unknown").when(score <= q1, "Low Social Debt").when(score <= q2, "Medium Social Debt").otherwise("High Social Debt")
 
 
+def order_statistics(df: DataFrame, column: str, ranks: list[int], most: int, steps: int = 1024) -> dict[int, int]:
+    """The values (integers from 0 to most) that have the ranks (from 0): counts of at most `steps` parts narrow each rank down, pass by pass; nothing is sorted."""
+    found = {r: (0, most + 1, r) for r in ranks}  # from, to, rank within
+    while any(hi - lo > 1 for lo, hi, _ in found.values()):
+        spans = {(lo, hi) for lo, hi, _ in found.values() if hi - lo > 1}
+        counts = {}
+        for lo, hi in sorted(spans):
+            width = -(-(hi - lo) // steps)
+            part = F.floor((F.col(column) - lo) / width)
+            counts[lo, hi] = width, sorted(map(tuple, df.where((F.col(column) >= lo) & (F.col(column) < hi)).groupBy(part.alias("part")).count().collect()))  # at most `steps` rows
+        for r, (lo, hi, left) in found.items():
+            if hi - lo > 1:
+                width, parts = counts[lo, hi]
+                for part, n in parts:
+                    if left < n:
+                        found[r] = lo + part * width, min(hi, lo + (part + 1) * width), left
+                        break
+                    left -= n
+    return {r: lo for r, (lo, _, _) in found.items()}
+
+
+def quantiles(df: DataFrame, column: str, shares: tuple[float, ...], places: int = 9) -> list[float | None]:
+    """Exact quantiles, with linear interpolation, of values from 0 to 1 that have so many decimal places; None of no rows."""
+    unit = 10**places
+    whole = df.where(F.col(column).isNotNull()).select(F.round(F.col(column) * unit).cast("long").alias("x"))
+    n = whole.count()
+    if not n:
+        return [None] * len(shares)
+    at = [(n - 1) * s for s in shares]
+    known = order_statistics(whole, "x", sorted({k for p in at for k in (math.floor(p), math.ceil(p))}), unit)
+    low, high = [known[math.floor(p)] / unit for p in at], [known[math.ceil(p)] / unit for p in at]
+    return [a if a == b else (math.ceil(p) - p) * a + (p - math.floor(p)) * b for p, a, b in zip(at, low, high)]
+
+
 def with_index(features: DataFrame) -> DataFrame:
-    """Adds the index (rounded to 9 places, so that levels don't hang on the order of sums) and its level by the 0.33 and 0.66 quantiles."""
+    """Adds the index (rounded to 9 places, so that levels don't hang on the order of sums) and its level by the 0.33 and 0.66 quantiles. Reads features (best from storage) several times."""
     out = scaled(features, FEATURES)
     mean = sum((F.col(f"{c}_norm") for c in FEATURES), F.lit(0.0)) / len(FEATURES)
     out = out.withColumn("social_debt_index", F.round(mean, 9))
-    q = out.agg(F.percentile("social_debt_index", F.lit(0.33)).alias("__q1"), F.percentile("social_debt_index", F.lit(0.66)).alias("__q2"))
-    return out.join(F.broadcast(q)).withColumn("social_debt_level", level(F.col("social_debt_index"), F.round("__q1", 9), F.round("__q2", 9))).drop("__q1", "__q2")
+    q1, q2 = (F.round(F.lit(q).cast("double"), 9) for q in quantiles(out, "social_debt_index", (0.33, 0.66)))
+    return out.withColumn("social_debt_level", level(F.col("social_debt_index"), q1, q2))

@@ -12,7 +12,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written once and read back: later stages don't repeat what made them, and lost executors cost nothing."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # a single machine
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "/tmp/checkpoints/loomspark"
         Path(folder).mkdir(parents=True, exist_ok=True)
     path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"

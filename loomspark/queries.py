@@ -13,6 +13,7 @@ from loomspark.functions import discourse, embedding
 from loomspark.functions import text as T
 from loomspark.operators import causes, diagnosis, index, models, noise, ontology, ranking, tables
 from loomspark.plans import comments as plans
+from loomspark.plans.lineage import written
 from loomspark.streaming import stages
 
 #: Comments of a few kinds; the tables have none, so orders are given one each.
@@ -82,15 +83,20 @@ def _index_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select((F.col("l_orderkey") % 200).alias("issue_number"), F.struct("l_orderkey", "l_linenumber").alias("row_ord"), F.element_at(F.array(*map(F.lit, "ABCDEFGH")), (F.col("l_suppkey") % 8 + 1).cast("int")).alias("code"), F.array(one).alias("microcauses"))
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features are written once; the index reads them several times."""
+    return index.with_index(written(index.issue_features(_index_input(spark, sf_dir)), "features"))
+
+
 def issue_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = index.with_index(index.issue_features(_index_input(spark, sf_dir)))
+    out = _indexed(spark, sf_dir)
     names = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), ",").alias(c)
     return out.select("issue_number", "comment_count", "macro_diversity", "micro_diversity", "smell_diversity", "risk_diversity", "top_macro_frequency", "top_micro_score", "top_smell_frequency", "top_risk_frequency", names("dominant_macrocauses"), names("dominant_microcauses"), F.round("social_debt_index", 6).alias("social_debt_index"), "social_debt_level")
 
 
 def lexical_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = comments(spark, sf_dir).where("code != 'H'").select("comment_id", "code", "text")
-    top = ranking.top_causes(c, spark, comment_similarity=F.lit(0.3))
+    top = ranking.top_causes(c, spark, comment_similarity=lambda x: F.lit(0.3))
     return top.select("comment_id", F.array_join(F.transform("top", lambda x: x["cause_id"]), ",").alias("cause_ids"), F.round(F.get("top", F.lit(0))["score"], 6).alias("best_score"), "status")
 
 
@@ -134,7 +140,8 @@ def lost_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotated_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = stages.annotate(comments(spark, sf_dir).select("comment_id", "text"))
+    native = lambda t: T.anonymize_mentions(T.replace_raw_urls(T.clean_inline_code(T.normalize_breaks(t))))
+    a = stages.annotate(comments(spark, sf_dir).select("comment_id", "text"), clean=native)
     return a.groupBy("noise_level", "cause").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -170,7 +177,7 @@ BOT_AUTHORS = ("alice", "dependabot", "triage-robot", "ci_robot", "welcome-bot")
 def _issues_with_strategies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = _index_input(spark, sf_dir)
     listed = rows.select("issue_number", "row_ord", F.array(F.concat(F.lit("P"), F.col("row_ord.l_orderkey") % 7)).alias("preventive_strategies"), F.array(F.concat(F.lit("K"), F.col("row_ord.l_orderkey") % 5)).alias("corrective_strategies"))
-    return index.with_index(index.issue_features(rows)), diagnosis.top_strategies(listed)
+    return _indexed(spark, sf_dir), diagnosis.top_strategies(listed)
 
 
 def issue_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +186,7 @@ def issue_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def level_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnosis.level_summary(index.with_index(index.issue_features(_index_input(spark, sf_dir))))
+    return diagnosis.level_summary(written(_indexed(spark, sf_dir), "indexed"))
 
 
 def classification_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +248,7 @@ def level_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _index_input(spark, sf_dir)
     words = F.struct("row_ord", F.concat_ws(" ", F.concat(F.lit("cause"), F.col("code")), F.col("microcauses")[0]["cause_name"]).alias("t"))
     text = rows.groupBy("issue_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(words)), lambda x: x["t"]), " ").alias("text"))
-    return models.holdout(index.with_index(index.issue_features(rows)).join(text, "issue_number"), "social_debt_level", "issue_number")
+    return models.holdout(_indexed(spark, sf_dir).join(text, "issue_number"), "social_debt_level", "issue_number")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -315,7 +322,8 @@ _TOPS = ", ".join(f"string_agg(name || ' (' || {'round(v, 3)::VARCHAR' if k == '
 SQL_LEVEL_SUMMARY = f"""{SQL_LEVELLED}, ll AS (SELECT issue_number AS issue, social_debt_level FROM lv),
 c AS (SELECT social_debt_level, kind, name, sum(v) AS v, row_number() OVER (PARTITION BY social_debt_level, kind ORDER BY sum(v) DESC, min((issue, r))) AS r FROM top JOIN ll USING (issue) GROUP BY 1, 2, 3),
 t AS (SELECT social_debt_level, {_TOPS} FROM c GROUP BY 1),
-m AS (SELECT social_debt_level, count(*) AS issue_count, round(avg(x), 3) AS mean_sdi, round(avg(comment_count), 3) AS mean_comments, round(avg(macro_diversity), 3) AS mean_macro_diversity FROM lv GROUP BY 1)
+m AS (SELECT social_debt_level, count(*) AS issue_count, round(avg(x), 3) AS mean_sdi, round(avg(comment_count), 3) AS mean_comments, round(avg(macro_diversity), 3) AS mean_macro_diversity,
+  round(avg(top_macro_frequency), 3) AS mean_top_macro_frequency, round(avg(top_micro_score), 3) AS mean_top_micro_score, round(avg(top_smell_frequency), 3) AS mean_top_smell_frequency, round(avg(top_risk_frequency), 3) AS mean_top_risk_frequency FROM lv GROUP BY 1)
 SELECT * FROM m JOIN t USING (social_debt_level)"""
 _CANDIDATES = ", ".join(f"('{code}', {i}, {_quoted(cause)}, {'[' + ', '.join(map(_quoted, C.LEXICAL_SIGNALS.get(cause, []))) + ']'}::VARCHAR[], {C.GENERIC_CAUSE_PENALTY.get(cause, 0.0)})" for code, label in C.CAUSES.items() for i, cause in enumerate(sorted(C.MACRO_TO_CANDIDATE_INDIVIDUALS.get(label, []))))
 _LANGUAGE = "[" + ", ".join(map(_quoted, C.LANGUAGE_TERMS)) + "]"

@@ -6,6 +6,7 @@ import csv
 from collections.abc import Iterable
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +19,15 @@ ISSUE_NAMES = ("issue_number", "issue", "ticket", "issue_id")
 
 
 def read_comments(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """CSV by comma, or by semicolon if that gives one column; Parquet and JSON by suffix, Excel workbooks too; others are refused."""
+    """CSV by comma, or by semicolon if that raises or gives one column; Parquet and JSON by suffix, Excel workbooks too; others are refused."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
         options = {"header": True, "multiLine": True, "escape": '"'}
-        out = spark.read.options(**options).csv(path)
-        return out if len(out.columns) > 1 else spark.read.options(sep=";", **options).csv(path)
+        try:
+            out = spark.read.options(**options).csv(path)
+        except PySparkException:  # raised by the header
+            out = None
+        return out if out is not None and len(out.columns) > 1 else spark.read.options(sep=";", **options).csv(path)
     if kind in ("parquet", "json", "orc"):
         return spark.read.format(kind).load(path)
     if kind == "xlsx":
@@ -31,13 +35,13 @@ def read_comments(spark: SparkSession, path: str, kind: str | None = None) -> Da
     raise ValueError(f"cannot read {kind!r} files")
 
 
-def read_sniffed_csv(spark: SparkSession, path: str, head: int = 64 << 10) -> DataFrame:
-    """CSV whose separator is found in the file's first bytes; malformed rows are left out."""
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head).alias("b")).first()
-    if first is None:
+def read_sniffed_csv(spark: SparkSession, path: str, lines: int = 50) -> DataFrame:
+    """CSV whose separator is found in the first lines; malformed rows are left out."""
+    first = [r.value[:2000] for r in spark.read.text(path).limit(lines).collect()]
+    if not first:
         raise ValueError(f"nothing to read at {path}")
     try:
-        sep = csv.Sniffer().sniff(bytes(first.b).decode("utf-8", "ignore"), ",;\t|").delimiter
+        sep = csv.Sniffer().sniff("\n".join(first), ",;\t|").delimiter
     except csv.Error:
         sep = ","
     return spark.read.csv(path, header=True, sep=sep, mode="DROPMALFORMED", multiLine=True, escape='"')
@@ -79,6 +83,11 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def without_predictions(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """A table without the columns that an earlier run added, so that a new run starts from the same input."""
+    return df.drop(*columns)
+
+
 def move_column_after(df: DataFrame, column: str, after: str) -> DataFrame:
     rest = [c for c in df.columns if c != column]
     at = rest.index(after) + 1

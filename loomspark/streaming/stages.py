@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions import text as T
+from loomspark.functions import discourse
 from loomspark.operators import causes, noise
 
 
-def annotate(comments: DataFrame, body: str = "text") -> DataFrame:
-    """Adds clean, noise_level, cause, confidence and rule."""
-    clean = T.anonymize_mentions(T.replace_raw_urls(T.clean_inline_code(T.normalize_breaks(F.col(body)))))
-    out = comments.withColumn("clean", clean)
+def annotate(comments: DataFrame, body: str = "text", clean: Callable[[Column], Column] = discourse.cleaned) -> DataFrame:
+    """Adds clean, noise_level, cause, confidence and rule. clean: the whole cleaning, as in plans.classify, or one's own."""
+    own = comments.columns
+    out = comments.withColumn("clean", clean(F.col(body)))
     out = out.withColumn("noise_level", noise.noise_level(F.col("clean")))
     out = causes.with_rules(out, "clean", F.lit("H"), F.lit(0.5), "__rule")
     useful = F.col("noise_level") == "useful"
-    return out.select(*[c for c in out.columns if c != "__rule"], F.when(useful, F.col("__rule.code")).otherwise("H").alias("cause"), F.when(useful, F.col("__rule.confidence")).otherwise(1.0).alias("confidence"), F.when(useful, F.col("__rule.rule")).otherwise("none").alias("rule"))
+    pick = lambda f, other: F.when(useful, F.col(f"__rule.{f}")).otherwise(other)
+    return out.select(*own, "clean", "noise_level", pick("code", F.lit("H")).alias("cause"), pick("confidence", F.lit(1.0)).alias("confidence"), pick("rule", F.lit("none")).alias("rule"))
