@@ -1,8 +1,8 @@
 """Toxicity scores from a counterfactually regularised classifier.
 
-A logistic model over which words a text has, and which short word beginnings, is fitted on labelled texts. For each
-labelled text that names a group, a copy with the group's name swapped for another is made, and the squared change of
-the score between the two is penalised; so a neutral mention of a group doesn't carry a score.
+A logistic model over which words a text has, and which short word beginnings; features whose association with the label may be chance are left
+out, so that few labels suffice. For each labelled text that names a group, copies with the group's name swapped for another's and for a neutral word
+are made, and the squared change of the score between the two is penalised; so a neutral mention of a group doesn't carry a score.
 
 Training reads at most MAX_TRAIN labelled texts, chosen by a hash of the id (a documented bound on the driver's memory); scoring reads every
 whole text, counts each distinct word once, and needs nothing but the weights (at most MAX_FEATURES).
@@ -13,6 +13,7 @@ usable labels all scores are 0.5 or less, and nothing is predicted toxic. Other
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,10 +27,16 @@ from loomspark.llm._common import safe_text
 MAX_TRAIN = 8000
 MAX_FEATURES = 6000
 MIN_TEXTS = 3
+LEAST_FEATURES = 20
+#: Share of chosen features that may be chance finds.
+FALSE_DISCOVERIES = 0.01
 #: Weight of the counterfactual penalty.
 SWAP_PENALTY = 2.0
 THRESHOLD = 0.7
+#: Rows that a worker holds as Python objects at once.
+STEP = 500
 PREFIXES = (4, 5, 6)
+NEUTRAL = "people"
 IDENTITY_TERMS = (
     "women", "men", "muslims", "christians", "jews", "hindus", "immigrants", "refugees", "gay", "lesbian", "transgender", "black", "white", "asian", "disabled", "deaf", "blind",
     "femmes", "hommes", "musulmans", "juifs", "frauen", "männer", "muslime", "juden", "mujeres", "hombres", "musulmanes", "judíos",
@@ -43,9 +50,9 @@ def words(text: str | None) -> list[bytes]:
 
 
 def _features(word: bytes) -> tuple[int, ...]:
-    """Hashes of the word and of its beginnings."""
+    """32-bit hashes of the word and of its beginnings."""
     text = word.decode("utf-8", "replace")
-    return (xxhash.xxh64_intdigest(word), *(xxhash.xxh64_intdigest(text[:n].encode(), seed=n) for n in PREFIXES if len(text) > n))
+    return (xxhash.xxh32_intdigest(word), *(xxhash.xxh32_intdigest(text[:n].encode(), seed=n) for n in PREFIXES if len(text) > n))
 
 
 class Model:
@@ -73,78 +80,104 @@ class Model:
         return score
 
 
-def fit(texts: Iterable[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: int = 150, l2: float = 1e-3, penalty: float = SWAP_PENALTY) -> Model:
-    """texts: distinct words of each labelled text."""
+def association(in1: np.ndarray, in0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Signed root of the likelihood ratio of each feature and the label; about normal where there is no association, also for few texts."""
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0.0)
+
+    total, n = in1 + in0, n1 + n0
+    ratio = part(in1, total * n1 / n) + part(in0, total * n0 / n) + part(n1 - in1, (n - total) * n1 / n) + part(n0 - in0, (n - total) * n0 / n)
+    return np.sign(in1 / n1 - in0 / n0) * np.sqrt(np.maximum(2 * ratio, 0))
+
+
+def chosen_features(z: np.ndarray) -> np.ndarray:
+    """Places of the features whose association is no chance find: a false discovery rate of FALSE_DISCOVERIES, at least LEAST_FEATURES and at most MAX_FEATURES."""
+    p = np.array([math.erfc(abs(x) / math.sqrt(2)) for x in z.tolist()])
+    order = np.argsort(p, kind="stable")
+    good = np.flatnonzero(p[order] <= FALSE_DISCOVERIES * np.arange(1, len(order) + 1) / max(1, len(order)))
+    return order[: min(MAX_FEATURES, max(LEAST_FEATURES, good[-1] + 1 if len(good) else 0))]
+
+
+def fit(
+    texts: Iterable[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: int = 400, l2: float = 1e-4, penalty: float = SWAP_PENALTY, terms: tuple[str, ...] = IDENTITY_TERMS, neutral: str = NEUTRAL
+) -> Model:
+    """texts: distinct words of each labelled text. terms: the groups' names that are swapped for each other and for the neutral word."""
     if not len(labels) or labels.min() == labels.max():
         return Model({}, -1.0 if not len(labels) or labels.max() == 0 else 0.0)
-    of = _features
-    terms, draw = [t.encode() for t in IDENTITY_TERMS], np.random.default_rng(seed)
-    sets, named = [], []
+    known: dict[bytes, tuple[int, ...]] = {}
+
+    def of(word: bytes) -> tuple[int, ...]:
+        got = known.get(word)
+        if got is None:
+            if len(known) > 150_000:
+                known.clear()
+            got = known[word] = _features(word)
+        return got
+
+    groups, draw = [t.encode() for t in terms], np.random.default_rng(seed)
+    sets, swaps = [], []  # swaps: features that only the swapped text has, and those it lost
     for t in texts:
-        sets.append(np.unique(np.fromiter((f for w in t for f in of(w)), np.uint64)))
-        if not set(terms).isdisjoint(t):
-            named.append(set(t))
-    rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-    flat = np.concatenate(sets)
-    del sets
-    every, inverse = np.unique(flat, return_inverse=True)
-    del flat
-    n1 = labels.sum()
-    n0 = len(labels) - n1
-    in1, in_all = np.bincount(inverse, labels[rows], len(every)), np.bincount(inverse, minlength=len(every))
-    p1, p0 = (in1 + 0.5) / (n1 + 1), (in_all - in1 + 0.5) / (n0 + 1)
-    z = np.log(p1 / p0) / np.sqrt(1 / (in1 + 0.5) + 1 / (in_all - in1 + 0.5))
+        sets.append(np.unique(np.fromiter((f for w in t for f in of(w)), np.uint32)))
+        have = set(t)
+        for term in sorted(have & set(groups)):
+            others = [g for g in groups if g != term]
+            rest = {f for w in have - {term} for f in of(w)}
+            before = rest | set(of(term))
+            for other in ([others[int(draw.integers(len(others)))]] if others else []) + [neutral.encode()]:
+                after = rest | set(of(other))
+                swaps.append((after - before, before - after))
+    n, n1 = len(labels), float(labels.sum())
+    n0 = n - n1
+    every, in_all = np.unique(np.concatenate(sets), return_counts=True)
+    in1 = np.zeros(len(every))
+    of_toxic, counts = np.unique(np.concatenate([s for s, y in zip(sets, labels) if y > 0]), return_counts=True)
+    in1[np.searchsorted(every, of_toxic)] = counts
     usable = np.flatnonzero(in_all >= MIN_TEXTS)
-    chosen = np.sort(usable[np.argsort(-np.abs(z[usable]), kind="stable")[:MAX_FEATURES]])
-    place = np.full(len(every), -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    column = place[inverse]
-    rows, column = rows[column >= 0], column[column >= 0]
-    index = {int(every[c]): i for i, c in enumerate(chosen)}
-    # counterfactual pairs: +1 for features only the swapped text has, -1 for those it lost
-    cf_row, cf_col, cf_val, pairs = [], [], [], 0
-    for have in named:
-        for term in sorted(have & set(terms)):
-            other = terms[int(draw.integers(len(terms)))]
-            before, after = {f for w in have for f in of(w)}, {f for w in (have - {term}) | {other} for f in of(w)}
-            for sign, diff in ((1.0, after - before), (-1.0, before - after)):
-                for f in diff & index.keys():
-                    cf_row.append(pairs), cf_col.append(index[f]), cf_val.append(sign)
-            pairs += 1
-    cf_row, cf_col, cf_val = np.array(cf_row, int), np.array(cf_col, int), np.array(cf_val)
-    k, n = len(chosen), len(labels)
+    chosen = np.sort(usable[chosen_features(association(in1[usable], in_all[usable] - in1[usable], n1, n0))])
+    features = every[chosen]
+    rows, column = [], []
+    for i, s in enumerate(sets):
+        hit = np.flatnonzero(np.isin(features, s, assume_unique=True))
+        rows.append(np.full(len(hit), i, np.int32)), column.append(hit)
+    rows, column = np.concatenate(rows), np.concatenate(column)
+    index = {int(f): i for i, f in enumerate(features)}
+    changes = [(pair, index[f], sign) for pair, both in enumerate(swaps) for sign, own in ((1.0, both[0]), (-1.0, both[1])) for f in own if f in index]
+    cf_row, cf_col, cf_val = (np.array([c[k] for c in changes], kind) for k, kind in ((0, int), (1, int), (2, float)))
+    k, pairs = len(chosen), len(swaps)
     w, b, g2, gb2 = np.zeros(k), 0.0, np.full(k, 1e-8), 1e-8
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(rows, w[column], n), -30, 30)))
         e = (p - labels) * np.where(labels > 0, n0 / n1, 1.0) / n  # both labels weigh the same
         g = np.bincount(column, e[rows], k) + l2 * w
-        if pairs:
+        if len(changes) and penalty:
             change = np.bincount(cf_row, w[cf_col] * cf_val, pairs)
             g += 2 * penalty / pairs * np.bincount(cf_col, change[cf_row] * cf_val, k)
         g2 += g * g
         gb2 += e.sum() ** 2
-        w -= 0.3 * g / np.sqrt(g2)
-        b -= 0.3 * e.sum() / np.sqrt(gb2)
-    return Model({int(every[c]): float(w[i]) for i, c in enumerate(chosen) if w[i]}, float(b))
+        w -= 0.5 * g / np.sqrt(g2)
+        b -= 0.5 * e.sum() / np.sqrt(gb2)
+    return Model({int(f): float(w[i]) for i, f in enumerate(features) if w[i]}, float(b))
 
 
 def is_held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Fits on labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **options) -> Model:
+    """Fits on labelled rows that are not held out; of rows that repeat an id one counts. options: those of fit()."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (big.slice(i, STEP) for big in batches for i in range(0, big.num_rows, STEP)):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b" ".join(sorted(set(words(t)))) for t in batch.column(2).to_pylist()], pa.binary())], names=["doc_id", "toxic", "words"])
 
     found = docs.select(F.col("doc_id"), safe_text(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    rows = found.mapInArrow(distinct_words, "doc_id long, toxic int, words binary").toArrow().to_pydict()
-    order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["words"][i]))[:max_train]
-    return fit((rows["words"][i].split() for i in order), np.array([rows["toxic"][i] for i in order], float))
+    each = found.mapInArrow(distinct_words, "doc_id long, toxic int, words binary")
+    rows = each.groupBy("doc_id").agg(F.max(F.struct("toxic", "words")).alias("m")).select("doc_id", "m.*").toArrow().sort_by("doc_id")  # at most max_train rows
+    said = rows.column("words")
+    return fit((said[i].as_py().split() for i in range(len(said))), rows.column("toxic").to_numpy().astype(float), **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -153,7 +186,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.scorer()
-        for batch in batches:
+        for batch in (big.slice(i, STEP) for big in batches for i in range(0, big.num_rows, STEP)):
             s = [of(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -168,7 +201,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.scorer()
-        for batch in batches:
+        for batch in (big.slice(i, STEP) for big in batches for i in range(0, big.num_rows, STEP)):
             yield batch.filter(pa.array([of(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
