@@ -52,6 +52,8 @@ def _codec(path: str):
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(c): c for c in visible} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in visible)}
     table = {i: bytes(map(chars.__getitem__, s)) if set(s) <= chars.keys() else s.encode() for s, i in t.get_vocab(with_added_tokens=True).items()}
+    if max(table) >= FIRST_RESERVED:
+        raise ValueError(f"the tokenizer has ids from {FIRST_RESERVED} on, which are reserved here")
     return (lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]), table
 
 
