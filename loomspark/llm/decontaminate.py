@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import safe_text
+from loomspark.llm._common import materialize, safe_text
 
 WINDOW = 10
 SHINGLE = 3
@@ -168,13 +168,18 @@ def _matches(chunk: list[list[bytes]], index: Index) -> Iterator[tuple[np.ndarra
         yield hit[starts[d] : ends[d]], items.get(d, set())
 
 
-_CARRY = "__hit binary, __items array<string>"
+def _names(docs: DataFrame) -> tuple[str, str]:
+    """Names of the two more columns, which no column of the input has."""
+    taken = {c.lower() for c in docs.columns}
+    return tuple(next(n for i in itertools.count() if (n := f"__{word}{i or ''}") not in taken) for word in ("hit", "items"))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """The documents with two more columns: __hit, a byte for each word (1: hit), and __items, the ids of the items that occur, sorted as strings."""
+    """The documents with two more columns at the end: __hit, a byte for each word (1: hit), and __items, the ids of the items that occur, sorted as strings.
+    (Where the input has columns of these names, a number follows.) Rows between the blocks of a large benchmark are written, so a worker holds one index."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").alias("item_id"), safe_text(F.col("text")).alias("text"))
+    hit_col, items_col = _names(docs)
+    items = benchmark.select(F.col("item_id").alias("item_id"), safe_text(F.col("text")).alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // max_block) or 1
     out, at = docs, docs.columns.index("text")
@@ -192,12 +197,14 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block:
             for batch in batches:
                 found = [(h.astype(np.uint8), i) for chunk in _chunks(batch.column(at).to_pylist()) for h, i in _matches(chunk, index)]
                 if not first:
-                    found = [(h | np.frombuffer(o, np.uint8), i | set(j)) for (h, i), o, j in zip(found, batch.column("__hit").to_pylist(), batch.column("__items").to_pylist(), strict=True)]
+                    found = [(h | np.frombuffer(o, np.uint8), i | set(j)) for (h, i), o, j in zip(found, batch.column(hit_col).to_pylist(), batch.column(items_col).to_pylist(), strict=True)]
                 own = batch.columns if first else batch.columns[:-2]
                 more = [pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([sorted(i) for _, i in found], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*own, *more], names=[*(batch.schema.names if first else batch.schema.names[:-2]), "__hit", "__items"])
+                yield pa.RecordBatch.from_arrays([*own, *more], names=[*(batch.schema.names if first else batch.schema.names[:-2]), hit_col, items_col])
 
-        out = out.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), _CARRY]))
+        out = out.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{hit_col}` binary, `{items_col}` array<string>"]))
+        if b < blocks - 1:
+            out = materialize(out, "marked")
     return out
 
 
@@ -220,4 +227,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The input's rows in which no window occurs, with all their columns as they were."""
-    return mark(docs, benchmark, window).where(F.size("__items") == 0).select(*docs.columns)
+    return mark(docs, benchmark, window).where(F.size(F.col(f"`{_names(docs)[1]}`")) == 0).select(*docs.columns)
