@@ -27,11 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import materialize
+from loomspark.llm._common import materialize, scratch
 
 CAPACITY = 4096
 GROUPS = 40
@@ -40,6 +42,7 @@ END_ID = 1
 #: Words whose ids a worker remembers, and characters tokenized together.
 CACHE_WORDS, CHUNK_CHARS = 400_000, 2_000_000
 #: Words of each worker whose ids are compared with the tokenizer's own.
+CHECK_ONE_IN = 500
 CHECK_WORDS = 2000
 
 
@@ -90,8 +93,9 @@ class WordCache:
                 out[w] = array("I", ids).tobytes()
             else:
                 rest.append(w)
-        if self.checked < CHECK_WORDS:  # both must agree
-            own = list(out)[:CHECK_WORDS]
+        # both must agree: on all of a worker's first words, then on a share of the new ones, drawn by hash
+        own = list(out)[:CHECK_WORDS] if self.checked < CHECK_WORDS else [w for w in out if not zlib.crc32(w.encode()) % CHECK_ONE_IN]
+        if own:
             self.checked += len(own)
             if [out[w] for w in own] != self._fresh(own):
                 raise ValueError("the merger and the tokenizer differ")
@@ -303,6 +307,39 @@ def plan(histogram: np.ndarray, groups: int = GROUPS, small: int = SMALL) -> np.
 
 # -- all together
 
+#: Partitions whose counts lie in one file.
+PARTS_A_FILE = 64
+
+
+def _pieces_ahead(per_part: DataFrame) -> str:
+    """Writes how many pieces of each length earlier partitions have, in a file for PARTS_A_FILE partitions; a task reads those of its own partitions only."""
+    before = per_part.select("part", "length", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
+    path = scratch(per_part.sparkSession, "pieces-ahead")
+    before.withColumn("bucket", F.floor(F.col("part") / PARTS_A_FILE).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "part").write.partitionBy("bucket").parquet(path)
+    return path
+
+
+class _Ahead:
+    """Those counts, read as they are needed; a task meets few partitions, one after another."""
+
+    def __init__(self, path: str, capacity: int):
+        self.path, self.capacity, self.known = path, capacity, {}
+
+    def of(self, parts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(parts), np.int64)
+        for part in np.unique(parts).tolist():
+            if part not in self.known:
+                fs, root = pafs.FileSystem.from_uri(self.path)
+                rows = pq.read_table(f"{root}/bucket={part // PARTS_A_FILE}", filesystem=fs, columns=["length", "before"], filters=[("part", "=", part)], partitioning=None)
+                own = np.zeros(self.capacity + 1, np.int64)
+                own[rows.column("length").to_numpy()] = rows.column("before").to_numpy()
+                if len(self.known) > 8:
+                    self.known.clear()
+                self.known[part] = own
+            some = parts == part
+            out[some] = self.known[part][lengths[some]]
+        return out
+
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of each piece."""
@@ -312,18 +349,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     for r in per_part.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most `capacity` rows
         histogram[r.length] = r.n
     runs = docs.sparkSession.sparkContext.broadcast(plan(histogram))  # a few rows for each length
-    before = per_part.select("part", "length", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
+    ahead = _pieces_ahead(per_part)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = runs.value
+        table, before = runs.value, _Ahead(ahead, capacity)
         keys = table[:, 0] << 48 | table[:, 1]
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            length = batch.column("length").to_numpy()
+            rank = batch.column("local").to_numpy() + before.of(batch.column("part").to_numpy(), length)
             run = table[np.searchsorted(keys, length << 48 | rank, "right") - 1] if len(length) else np.zeros((0, 6), np.int64)
             at = rank - run[:, 1]
             t = np.maximum(run[:, 2], 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(run[:, 4] + at // t), pa.array(run[:, 5] + at % t * length)], names=[*names, "sequence_id", "offset"])
 
-    ranked = pieces.join(before, ["part", "length"]).select(*names, (F.col("before") + F.col("local")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * with_ids + "sequence_id long, offset long")
+    return pieces.select(*names, "part", "local").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids binary, " * with_ids + "sequence_id long, offset long")
