@@ -5,7 +5,7 @@ ship LENGTH times the corpus, so only those suffixes are sorted that local compa
 
 1. Anchors: of each LENGTH-byte string the GRAM-byte substring with the least hash. Equal strings have equal anchors, and one
    anchor serves a run of neighbouring strings, its super-window (about every 16th byte starts one). Documents are dealt to groups of about
-   GROUP_BYTES by id; a group sends (anchor, super-window hash, id) once for each different super-window, with its least id.
+   GROUP_BYTES by their rows' places; a group sends (anchor, super-window hash, id) once for each different super-window, with its least id.
 2. By anchor: a super-window that a smaller document has too is covered whole. If an anchor has several different super-windows in
    different documents, the first document of each sends the super-window's bytes. Anchors with over HOT entries
    send their strings one by one, dealt by their own hash and once for each group, so that no common passage lands in one task.
@@ -429,8 +429,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, group_bytes: int =
     size = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     groups = max(8, size // group_bytes)
     buckets = max(8, size // (16 << 20))
-    # one exchange of the texts, which all three steps below read
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).repartition(groups, "grp")
+    # one exchange of the texts, which all three steps below read; dealt by a row's place, as any id may have very many rows
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")).repartition(groups, "grp")
     windows = dealt.groupBy("grp").applyInArrow(lambda t: send_windows(t, buckets), ROWS)
     verdicts = windows.groupBy("bucket").applyInArrow(judge_windows, ROWS)
     strings = dealt.groupBy("grp").cogroup(verdicts.groupBy("grp")).applyInArrow(lambda t, v: send_strings(t, v, 4 * buckets), ROWS)
