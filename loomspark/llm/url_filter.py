@@ -15,18 +15,19 @@ Only the id and the URL are read, so other columns don't matter; an empty table
 from __future__ import annotations
 
 import functools
-import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm._common import materialize, scratch
+
 #: Rules a block: 8 bytes of digest each, and the strings.
 MAX_BLOCK = 4_000_000
 _UPPER = {c: c + 32 for c in range(65, 91)}
@@ -59,21 +60,18 @@ class DigestArray:
         self.text = np.memmap(path, np.uint8, "r", start + 17 * n + 8) if n else np.zeros(0, np.uint8)
 
     @staticmethod
-    def write(path: str, rules: Iterable[tuple[str, str, str]]) -> None:
-        """rules: (verdict, host, path)."""
+    def packed(rules: Iterable[tuple[str, str, str]]) -> bytes:
+        """A block's file; rules: (verdict, host, path)."""
         by: dict[str, tuple[bool, int]] = {}
         for verdict, host, tail in rules:
             by.setdefault(f"{host.translate(_UPPER)}{tail}", (verdict == "block", len(tail)))
         keys = sorted(by, key=xxhash.xxh64_intdigest)
         lengths = np.array(sorted({x for _, x in by.values()}), np.int64)
         raw = [k.encode() for k in keys]
-        with open(path, "wb") as f:
-            np.array([len(keys), len(lengths)], np.int64).tofile(f)
-            lengths.tofile(f)
-            np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64).tofile(f)
-            np.cumsum([0, *map(len, raw)], dtype=np.int64).tofile(f)
-            np.array([by[k][0] for k in keys], np.uint8).tofile(f)
-            f.write(b"".join(raw))
+        parts = [
+            np.array([len(keys), len(lengths)], np.int64), lengths, np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64), np.cumsum([0, *map(len, raw)], dtype=np.int64), np.array([by[k][0] for k in keys], np.uint8),
+        ]
+        return b"".join([*(x.tobytes() for x in parts), *raw])
 
     def find(self, keys: Sequence[str]) -> np.ndarray:
         """Place of each key, or -1."""
@@ -105,14 +103,39 @@ def _candidates(host: str, path: str, lengths: Sequence[int]) -> list[str]:
 _OUT = "page_id long, host string, path string, rule string, verdict string"
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_block: int = MAX_BLOCK) -> DataFrame:
+def _put(folder: str, raw: bytes) -> str:
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    name = f"urls-{uuid.uuid4().hex}.bin"
+    with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+        f.write(raw)
+    return name
+
+
+def write_blocks(spark: SparkSession, rules: Sequence[tuple[str, str, str]] | DataFrame, max_block: int = MAX_BLOCK) -> tuple[str, list[str]]:
+    """Folder and names of the list's block files, in the shared folder. A table of rules (verdict, host, path) is written by tasks, a block each; of rows
+    with the same host and path the first by verdict counts there."""
+    folder = scratch(spark, "urls")
+    if not isinstance(rules, DataFrame):
+        return folder, [_put(folder, DigestArray.packed(rules[i : i + max_block])) for i in range(0, max(1, len(rules)), max_block)]
+    own = rules.select("verdict", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
+    blocks = max(1, -(-own.count() // max_block))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+        if every:
+            yield pa.RecordBatch.from_arrays([pa.array([_put(folder, DigestArray.packed(sorted(every)))])], names=["name"])
+
+    dealt = own.repartition(blocks, F.xxhash64("host", "path")).mapInArrow(put, "name string")
+    return folder, [r.name for r in materialize(dealt, "url-blocks").collect()] or [_put(folder, DigestArray.packed([]))]  # one name a block
+
+
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", max_block: int = MAX_BLOCK) -> DataFrame:
     """page_id, host, path, rule (null if none fits) and verdict: the longest rule's, else default."""
     context = pages.sparkSession.sparkContext
-    folder, names = tempfile.mkdtemp(), []
-    for i in range(0, max(1, len(rules)), max_block):
-        names.append(f"urls-{uuid.uuid4().hex}.bin")
-        DigestArray.write(os.path.join(folder, names[-1]), rules[i : i + max_block])
-        context.addFile(os.path.join(folder, names[-1]))
+    folder, names = write_blocks(pages.sparkSession, rules, max_block)
+    for name in names:
+        context.addFile(f"{folder}/{name}")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = [SparkFiles.get(x) for x in names]
