@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark import cases, queries
+from loomspark import queries
 from loomspark import constants as C
 from loomspark.functions import discourse, embedding
 from loomspark.functions import text as T
 from loomspark.operators import causes, checks, classifier, diagnosis, index, noise, ontology, ranking, tables
 from loomspark.plans.lineage import written
-from loomspark.queries import SQL_COMMENTS, SQL_DECIDED, SQL_INDEX_TABLES, SQL_LEVELLED, SQL_NOISE, SQL_NOISE_OF_COMMENTS, SQL_VECTORS, _any, _quoted, comments
+from loomspark.queries import SQL_COMMENTS, SQL_DECIDED, SQL_INDEX_TABLES, SQL_LEVELLED, SQL_NOISE, SQL_VECTORS, _any, _quoted, comments
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -334,6 +334,23 @@ def sampled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(some, "l_returnflag")
 
 
+def largest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty parts with the largest quantity, and their share of all."""
+    sums = _table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("double")).alias("quantity"))
+    return tables.top_rows(sums, "quantity", 20, "l_partkey")
+
+
+def bots_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bots by name and by what they say."""
+    o = _raw_texts(spark, sf_dir)
+    author = F.element_at(F.array(*map(F.lit, BOT_AUTHORS)), (F.col("comment_id") % len(BOT_AUTHORS) + 1).cast("int"))
+    text = F.when(F.col("comment_id") % 4 == 0, F.concat(F.lit("by codecov: "), F.col("text"))).otherwise(F.col("text"))
+    return o.groupBy(discourse.bot(author, text).alias("bot")).agg(F.count(F.lit(1)).alias("n"))
+
+
+BOT_AUTHORS = ("alice", "dependabot", "triage-robot", "mergify", "ci_robot", "welcome-bot", "", "stale[bot]")
+
+
 def heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 9).alias("micro"), "l_returnflag", F.col("l_quantity").cast("double").alias("score"))
     first = tables.heat_map(li, "micro", "l_returnflag", ["A", "N", "R"], "score").limit(3)
@@ -355,7 +372,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         label_codes, label_consistency, gold_evaluation, review_notes, residual_audit, any_column_search, label_matrix, label_scores,
         blended_causes, baseline_causes, legacy_causes, compared_causes, ranked_problems, similarity_matrix, enriched_causes, unused_causes,
         issue_texts, global_counts, level_counts, remote_answers,
-        segment_statistics, distinct_values, first_lines, frequent_parts, random_orders, sampled_groups, heat_map, last_agreement,
+        segment_statistics, distinct_values, first_lines, frequent_parts, random_orders, sampled_groups, largest_lines, bots_of_texts, heat_map, last_agreement,
     )
 }
 
@@ -442,16 +459,27 @@ SELECT comment_id, len(regexp_extract_all(rest, {_quoted(_USER)}))::INT AS users
     "text_flags": f"{SQL_TEXTS} SELECT comment_id, {', '.join(f'{_any(p, "text", options="-").replace(", " + _quoted("-"), "")} AS {k}' for k, p in _FLAGS.items())} FROM texts",
     "text_references": SQL_REFERENCES,
     "cell_lists": SQL_CELLS,
-    "label_codes": f"WITH {SQL_LABELLED} SELECT comment_id, true_code, t.label AS true_label, code = 'H' OR comment_id % 5 <> 0 AND comment_id % 7 = 0 AS unknown FROM lab LEFT JOIN labels_of t ON t.c = true_code",
-    "label_consistency": f"WITH {SQL_LABELLED} SELECT count(*) AS \"rows\", 0::BIGINT AS codes_outside, count(*) FILTER (comment_id % 5 = 0) AS labels_are_codes, count(*) FILTER (label <> own_label) AS labels_differ, count(*) FILTER (code <> model_code) AS rule_changed, count(*) FILTER (status = 'API_ERROR') AS api_errors FROM lab",
-    "gold_evaluation": f"WITH {SQL_LABELLED} SELECT count(*) AS \"rows\", count(true_code) AS evaluable, count(*) FILTER (true_code <> code) AS errors, count(*) FILTER (conf < 0.7 OR true_code <> code) AS to_review, round(avg((true_code = code)::INT), 6) AS accuracy FROM lab",
+    "label_codes": f"""WITH {SQL_LABELLED} SELECT comment_id, true_code, t.label AS true_label, code = 'H' OR comment_id % 5 <> 0 AND comment_id % 7 = 0 AS unknown
+      FROM lab LEFT JOIN labels_of t ON t.c = true_code""",
+    "label_consistency": f"""WITH {SQL_LABELLED} SELECT count(*) AS \"rows\", 0::BIGINT AS codes_outside, count(*) FILTER (comment_id % 5 = 0) AS labels_are_codes,
+      count(*) FILTER (label <> own_label) AS labels_differ, count(*) FILTER (code <> model_code) AS rule_changed,
+      count(*) FILTER (status = 'API_ERROR') AS api_errors FROM lab""",
+    "gold_evaluation": f"""WITH {SQL_LABELLED} SELECT count(*) AS \"rows\", count(true_code) AS evaluable, count(*) FILTER (true_code <> code) AS errors,
+      count(*) FILTER (conf < 0.7 OR true_code <> code) AS to_review, round(avg((true_code = code)::INT), 6) AS accuracy
+      FROM lab""",
     "review_notes": f"WITH {SQL_COMMENTS} SELECT CASE {_NOTES} ELSE {_quoted(checks.OTHER_NOTE)} END AS note, count(*) AS n FROM comments GROUP BY 1",
-    "residual_audit": f"WITH {SQL_NOISE} SELECT comment_id, text FROM noise JOIN (SELECT comment_id, text FROM comments) USING (comment_id) WHERE noise_level = 'useful' AND {_any(checks.RESIDUAL_KEYWORDS, 'text')}",
-    "any_column_search": f"WITH {SQL_COMMENTS} SELECT comment_id FROM comments WHERE contains(lower(text), 'cluster') UNION ALL SELECT comment_id FROM comments WHERE regexp_matches(text, '\\bperf\\b', 'i')",
+    "residual_audit": f"""WITH {SQL_NOISE} SELECT comment_id, text FROM noise JOIN (SELECT comment_id, text FROM comments) USING (comment_id)
+      WHERE noise_level = 'useful' AND {_any(checks.RESIDUAL_KEYWORDS, 'text')}""",
+    "any_column_search": f"""WITH {SQL_COMMENTS} SELECT comment_id FROM comments WHERE contains(lower(text), 'cluster') UNION ALL SELECT comment_id
+      FROM comments WHERE regexp_matches(text, '\\bperf\\b', 'i')""",
     "label_matrix": "SELECT quality AS truth, count(*) FILTER (toxic = 0) AS as_0, count(*) FILTER (toxic = 1) AS as_1 FROM labels WHERE quality IN (0, 1) GROUP BY 1",
-    "label_scores": f"WITH r AS ({queries.SQL['class_report'].replace('round(', 'identity_(').replace('identity_(', '(').replace(', 6) AS', ') AS')}) SELECT round(sum(recall * support) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM r",
+    "label_scores": f"""WITH r AS ({queries.SQL['class_report'].replace('round(', 'identity_(').replace('identity_(', '(').replace(', 6) AS', ') AS')})
+      SELECT round(sum(recall * support) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1
+      FROM r""",
     "blended_causes": SQL_BLENDED,
-    "baseline_causes": f"WITH {SQL_NEAR} SELECT comment_id, best_cause, round(s1, 6) AS best_similarity, round(round(s1 - s2, 9), 6) AS gap, CASE WHEN best_cause IS NULL THEN 'no_candidates' WHEN s1 < 0.5 THEN 'mapped_low_confidence' ELSE 'mapped' END AS status FROM base",
+    "baseline_causes": f"""WITH {SQL_NEAR} SELECT comment_id, best_cause, round(s1, 6) AS best_similarity, round(round(s1 - s2, 9), 6) AS gap, CASE
+      WHEN best_cause IS NULL THEN 'no_candidates' WHEN s1 < 0.5 THEN 'mapped_low_confidence' ELSE 'mapped' END AS status
+      FROM base""",
     "legacy_causes": SQL_LEGACY,
     "compared_causes": SQL_COMPARED,
     "ranked_problems": SQL_RANKED,
@@ -464,10 +492,20 @@ SELECT comment_id, len(regexp_extract_all(rest, {_quoted(_USER)}))::INT AS users
     "remote_answers": SQL_REMOTE,
     "segment_statistics": "SELECT l_returnflag, " + ", ".join(f"round({f}({c}::DOUBLE), 6) AS {c}_{end}" for c in ("l_quantity", "l_discount") for f, end in (("avg", "mean"), ("stddev_samp", "std"))) + " FROM lineitem GROUP BY 1",
     "distinct_values": "SELECT l_returnflag, count(DISTINCT l_suppkey) AS l_suppkey, count(DISTINCT (l_linenumber, l_linestatus)) AS pair FROM lineitem GROUP BY 1",
-    "first_lines": "SELECT l_partkey, l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_quantity) = 1",
-    "frequent_parts": "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, l_partkey LIMIT 3)",
+    "first_lines": """SELECT l_partkey, l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey
+      ORDER BY l_orderkey, l_linenumber, l_quantity) = 1""",
+    "frequent_parts": """SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1
+      ORDER BY count(*) DESC, l_partkey LIMIT 3)""",
     "random_orders": "SELECT least(50, count(*)) AS n, least(50, count(*)) AS n_distinct FROM orders",
     "sampled_groups": "SELECT l_returnflag, least(5, count(*)) AS sampled, round(count(*) * 0.3)::BIGINT AS tested, " + ", ".join(f"((count(*) + {(5 - i) % 5}) // 5)::BIGINT AS fold_{i}" for i in range(5)).replace("(count(*) + 0) // 5", "count(*) // 5") + " FROM lineitem GROUP BY 1",
+    "largest_lines": "SELECT l_partkey, sum(l_quantity::DOUBLE) AS quantity FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+    "bots_of_texts": """WITH b AS (SELECT o_orderkey % 8 AS a, o_orderkey % 4 = 0 AS says FROM orders) SELECT CASE WHEN a = 2 THEN 'triage_bot'
+      WHEN a = 3 THEN 'approval_notifier' WHEN says OR a = 4 THEN 'retest_flaky_bot' WHEN a = 5 THEN 'onboarding_bot'
+      WHEN a IN (1, 7) THEN 'other_bot' ELSE '' END AS bot, count(*) AS n FROM b GROUP BY 1""",
     "heat_map": "WITH p AS (SELECT l_partkey % 9 AS micro, " + ", ".join(f"coalesce(avg(l_quantity::DOUBLE) FILTER (l_returnflag = '{f}'), 0) AS mean_{f.lower()}" for f in "ANR") + " FROM lineitem GROUP BY 1) SELECT micro, round(mean_a, 6) AS mean_a, round(mean_n, 6) AS mean_n, round(mean_r, 6) AS mean_r FROM p ORDER BY greatest(p.mean_a, p.mean_n, p.mean_r) DESC, micro LIMIT 3",
-    "last_agreement": "WITH l AS (SELECT l_orderkey % 700 AS k, l_returnflag AS label, l_quantity::DOUBLE AS x, l_orderkey * 10 + l_linenumber AS o FROM lineitem), a AS (SELECT k, arg_max(label, (o, x, label)) AS label, arg_max(x, (o, x, label)) AS x FROM l WHERE o % 2 = 0 GROUP BY 1), b AS (SELECT k, arg_max(label, (o, x, label)) AS label, arg_max(x, (o, x, label)) AS x FROM l WHERE o % 2 = 1 GROUP BY 1) SELECT count(*) AS n, round(100 * avg((a.label = b.label)::INT), 2) AS percent_equal, round(avg(abs(a.x - b.x)), 6) AS mean_gap, max(abs(a.x - b.x)) AS largest_gap FROM a JOIN b USING (k)",
+    "last_agreement": """WITH l AS (SELECT l_orderkey % 700 AS k, l_returnflag AS label, l_quantity::DOUBLE AS x, l_orderkey * 10 + l_linenumber AS o
+      FROM lineitem), a AS (SELECT k, arg_max(label, (o, x, label)) AS label, arg_max(x, (o, x, label)) AS x FROM l
+      WHERE o % 2 = 0 GROUP BY 1), b AS (SELECT k, arg_max(label, (o, x, label)) AS label, arg_max(x, (o, x, label)) AS x
+      FROM l WHERE o % 2 = 1 GROUP BY 1) SELECT count(*) AS n, round(100 * avg((a.label = b.label)::INT), 2) AS percent_equal,
+      round(avg(abs(a.x - b.x)), 6) AS mean_gap, max(abs(a.x - b.x)) AS largest_gap FROM a JOIN b USING (k)""",
 }

@@ -99,6 +99,15 @@ def importance(model: PipelineModel, columns: tuple[str, ...] = FEATURES) -> lis
     return sorted(zip(columns, map(float, model.stages[-1].featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
 
 
+def importance_by_fold(issues: DataFrame, label: str, key: str, columns: tuple[str, ...] = FEATURES, n: int = 5, fit: Fit | None = None) -> DataFrame:
+    """feature, mean and sample deviation of a forest's importance over n folds."""
+    split = compact(tables.folds(issues, label, key, n))
+    forest = fit or (lambda train, y: feature_forest(train, y, columns))
+    rows = [(f, x) for k in range(n) for f, x in importance(forest(split.where(F.col("fold") != k), label), columns)]  # a row a feature and fold
+    made = issues.sparkSession.createDataFrame(rows, "feature string, x double")
+    return made.groupBy("feature").agg(F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("std"))
+
+
 def holdout(issues: DataFrame, label: str, key: str, models: dict[str, Fit] = MODELS, test_share: float = 0.3) -> DataFrame:
     """model, accuracy, macro_f1, weighted_f1 on the part held out of each label."""
     split = compact(tables.stratified_split(issues, label, key, test_share))

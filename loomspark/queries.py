@@ -367,35 +367,70 @@ for _p, _tag in embedding.EMBEDDING_STEPS:
 _FIRST = r"array_to_string(list_slice(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> ''), 1, {}), ' ')"
 _SHORT = r"regexp_replace(regexp_replace(coalesce(text, ''), 'http\S+', ' ', 'g'), '/[\pL\pN\pM_]+', ' ', 'g')"
 SQL = {
-    "classification_status": f"WITH {SQL_COMMENTS}, sq AS (SELECT comment_id, code, confidence::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM comments), {SQL_DECIDED} SELECT CASE WHEN d.rule LIKE 'none%' THEN CASE WHEN d.conf < 0.7 THEN 'REVIEW' ELSE 'ACCEPTED' END WHEN d.rule LIKE '%override%' THEN 'RULE_OVERRIDE' WHEN d.rule LIKE '%confirmed%' THEN 'RULE_CONFIRMED' ELSE 'RULE_APPLIED' END AS status, count(*) AS n FROM decided GROUP BY 1",
+    "classification_status": f"""WITH {SQL_COMMENTS}, sq AS (SELECT comment_id, code, confidence::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t
+      FROM comments), {SQL_DECIDED} SELECT CASE WHEN d.rule LIKE 'none%' THEN CASE WHEN d.conf < 0.7 THEN 'REVIEW'
+      ELSE 'ACCEPTED' END WHEN d.rule LIKE '%override%' THEN 'RULE_OVERRIDE' WHEN d.rule LIKE '%confirmed%' THEN 'RULE_CONFIRMED'
+      ELSE 'RULE_APPLIED' END AS status, count(*) AS n FROM decided GROUP BY 1""",
     "embedding_texts": f"SELECT conv_id, turn, md5({_FIRST.format(_EMBEDDED, 120)}) AS embedding_md5, md5({_FIRST.format(_SHORT, 60)}) AS short_md5 FROM conversations",
     "online_causes": SQL_ONLINE,
-    "cause_pairs": f"WITH {SQL_VECTORS} SELECT a.code, a.cause_id AS cause_1, b.cause_id AS cause_2, round(list_cosine_similarity(a.vector, b.vector), 6) AS similarity FROM known a JOIN known b ON a.code = b.code AND a.cause_id < b.cause_id",
+    "cause_pairs": f"""WITH {SQL_VECTORS} SELECT a.code, a.cause_id AS cause_1, b.cause_id AS cause_2, round(list_cosine_similarity(a.vector, b.vector), 6) AS similarity
+      FROM known a JOIN known b ON a.code = b.code AND a.cause_id < b.cause_id""",
     "item_summary": 'SELECT column_name, count(x) AS "count", ' + ", ".join(f"round({e}, 6) AS {n}" for n, e in (("mean", "avg(x)"), ("std", "stddev_samp(x)"), ("min", "min(x)"), ("p25", "quantile_cont(x, 0.25)"), ("p50", "quantile_cont(x, 0.5)"), ("p75", "quantile_cont(x, 0.75)"), ("max", "max(x)"))) + " FROM (SELECT 'l_quantity' AS column_name, l_quantity::DOUBLE AS x FROM lineitem UNION ALL SELECT 'l_discount', l_discount::DOUBLE FROM lineitem) GROUP BY 1",
-    "order_agreement": "WITH a AS (SELECT l_orderkey, max({'l': l_returnflag, 'x': l_quantity::DOUBLE}) AS m FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), b AS (SELECT l_orderkey, max({'l': l_returnflag, 'x': l_quantity::DOUBLE}) AS m FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) SELECT count(*) AS n, round(100 * avg((a.m.l = b.m.l)::INT), 2) AS percent_equal, round(avg(abs(a.m.x - b.m.x)), 6) AS mean_gap, max(abs(a.m.x - b.m.x)) AS largest_gap FROM a JOIN b USING (l_orderkey)",
+    "order_agreement": """WITH a AS (SELECT l_orderkey, max({'l': l_returnflag, 'x': l_quantity::DOUBLE}) AS m FROM lineitem WHERE l_linenumber = 1
+      GROUP BY 1), b AS (SELECT l_orderkey, max({'l': l_returnflag, 'x': l_quantity::DOUBLE}) AS m FROM lineitem
+      WHERE l_linenumber = 2 GROUP BY 1) SELECT count(*) AS n, round(100 * avg((a.m.l = b.m.l)::INT), 2) AS percent_equal,
+      round(avg(abs(a.m.x - b.m.x)), 6) AS mean_gap, max(abs(a.m.x - b.m.x)) AS largest_gap FROM a JOIN b USING (l_orderkey)""",
     "mean_scores": "SELECT l_partkey % 9 AS micro, " + ", ".join(f"round(coalesce(avg(l_quantity::DOUBLE) FILTER (l_returnflag = '{f}'), 0), 6) AS mean_{f.lower()}" for f in "ANRX") + " FROM lineitem GROUP BY 1",
-    "changed_issues": f"WITH {SQL_COMMENTS}, a AS (SELECT DISTINCT comment_id % 5003 AS k FROM comments WHERE code = 'A'), b AS (SELECT DISTINCT comment_id % 5003 AS k FROM comments WHERE code = 'B') SELECT k, 'before' AS only_in FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'after' FROM b WHERE k NOT IN (SELECT k FROM a)",
+    "changed_issues": f"""WITH {SQL_COMMENTS}, a AS (SELECT DISTINCT comment_id % 5003 AS k FROM comments WHERE code = 'A'), b AS (SELECT DISTINCT comment_id % 5003 AS k
+      FROM comments WHERE code = 'B') SELECT k, 'before' AS only_in FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL
+      SELECT k, 'after' FROM b WHERE k NOT IN (SELECT k FROM a)""",
     "null_cells": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls FROM documents" for c in ("doc_id", "text", "lang", "source")),
-    "classified_comments": f"WITH v(i, text) AS (VALUES {', '.join(f'({i}, {_quoted(want)})' for i, (_, want) in enumerate(cases.CLEANED))}), comments AS (SELECT o_orderkey AS comment_id, 0 AS issue_number, text, 'H' AS code FROM orders JOIN v ON i = o_orderkey % {len(cases.CLEANED)}), {SQL_NOISE_OF_COMMENTS}, sq AS (SELECT comment_id, 'H' AS code, 0.5::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM comments), {SQL_DECIDED}, j AS (SELECT n.noise_level, n.noise_level = 'useful' AS u, d, t FROM noise n JOIN decided USING (comment_id)) SELECT noise_level, CASE WHEN u THEN d.code ELSE 'H' END AS code, CASE WHEN t = '' THEN 'EMPTY_TEXT' WHEN NOT u THEN 'ACCEPTED' WHEN d.rule LIKE 'none%' THEN CASE WHEN d.conf < 0.7 THEN 'REVIEW' ELSE 'ACCEPTED' END WHEN d.rule LIKE '%override%' THEN 'RULE_OVERRIDE' WHEN d.rule LIKE '%confirmed%' THEN 'RULE_CONFIRMED' ELSE 'RULE_APPLIED' END AS status, count(*) AS n FROM j GROUP BY 1, 2, 3",
+    "classified_comments": f"""WITH v(i, text) AS (VALUES {', '.join(f'({i}, {_quoted(want)})' for i, (_, want) in enumerate(cases.CLEANED))}),
+      comments AS (SELECT o_orderkey AS comment_id, 0 AS issue_number, text, 'H' AS code FROM orders JOIN v ON i = o_orderkey % {len(cases.CLEANED)}), {SQL_NOISE_OF_COMMENTS},
+      sq AS (SELECT comment_id, 'H' AS code, 0.5::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t
+      FROM comments), {SQL_DECIDED}, j AS (SELECT n.noise_level, n.noise_level = 'useful' AS u, d, t FROM noise n
+      JOIN decided USING (comment_id)) SELECT noise_level, CASE WHEN u THEN d.code ELSE 'H' END AS code, CASE WHEN t = '' THEN 'EMPTY_TEXT'
+      WHEN NOT u THEN 'ACCEPTED' WHEN d.rule LIKE 'none%' THEN CASE WHEN d.conf < 0.7 THEN 'REVIEW' ELSE 'ACCEPTED' END
+      WHEN d.rule LIKE '%override%' THEN 'RULE_OVERRIDE' WHEN d.rule LIKE '%confirmed%' THEN 'RULE_CONFIRMED' ELSE 'RULE_APPLIED' END AS status,
+      count(*) AS n FROM j GROUP BY 1, 2, 3""",
     "comment_signals": f"WITH {SQL_COMMENTS} SELECT comment_id, {', '.join(f'regexp_matches(text, {_quoted(p)}, {_quoted("i")}) AS {k}' for k, p in _SIGNALS.items())} FROM comments",
     "noise_levels": f"WITH {SQL_NOISE} SELECT comment_id, noise_level FROM noise",
-    "priority_rules": f"WITH {SQL_COMMENTS}, sq AS (SELECT comment_id, code, confidence::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM comments), {SQL_DECIDED} SELECT comment_id, d.code AS final_code, round(d.conf::DOUBLE, 4) AS final_confidence, d.rule AS rule FROM decided",
+    "priority_rules": f"""WITH {SQL_COMMENTS}, sq AS (SELECT comment_id, code, confidence::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t
+      FROM comments), {SQL_DECIDED} SELECT comment_id, d.code AS final_code, round(d.conf::DOUBLE, 4) AS final_confidence, d.rule AS rule
+      FROM decided""",
     "model_answers": "SELECT * FROM (VALUES (1, 'G', 0.9::DOUBLE), (2, 'B', 0.5), (3, 'A', 0.5), (4, 'G', 1.0), (5, 'G', 0.5), (6, 'H', 0.0), (7, 'C', 0.8), (8, 'H', 0.5)) t(id, code, confidence)",
-    "useful_comments_loss": f"WITH {SQL_NOISE} SELECT issue_number, count(*) AS n_before, count(*) FILTER (noise_level = 'useful') AS n_after, count(*) FILTER (noise_level <> 'useful') AS n_lost, round_even(100.0 * count(*) FILTER (noise_level <> 'useful') / count(*), 2)::DOUBLE AS percent_lost FROM noise GROUP BY 1",
+    "useful_comments_loss": f"""WITH {SQL_NOISE} SELECT issue_number, count(*) AS n_before, count(*) FILTER (noise_level = 'useful') AS n_after,
+      count(*) FILTER (noise_level <> 'useful') AS n_lost, round_even(100.0 * count(*) FILTER (noise_level <> 'useful') /
+      count(*), 2)::DOUBLE AS percent_lost FROM noise GROUP BY 1""",
     "issue_index": SQL_INDEX,
     "lexical_ranking": SQL_RANKING,
     "ontology_enrichment": SQL_ENRICHMENT,
-    "cosine_to_prototypes": "WITH p AS (SELECT label, arg_min(embedding, vec_id) AS p FROM embeddings GROUP BY label) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], p::DOUBLE[]), 5) AS similarity FROM embeddings JOIN p USING (label)",
-    "similarity_bins": "WITH b AS (SELECT round((l_discount * 10)::DOUBLE, 4) AS x FROM lineitem), v AS (SELECT CASE WHEN x > -0.001 AND x <= 0.3 THEN 'Muy baja' WHEN x > 0.3 AND x <= 0.5 THEN 'Baja' WHEN x > 0.5 AND x <= 0.7 THEN 'Media' WHEN x > 0.7 AND x <= 1.0 THEN 'Alta' END AS value FROM b) SELECT value, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS percentage FROM v GROUP BY value",
-    "cause_crosstab": f"WITH {SQL_NOISE} SELECT code, count(*) FILTER (noise_level = 'hard_noise') AS hard_noise, count(*) FILTER (noise_level = 'operational_noise') AS operational_noise, count(*) FILTER (noise_level = 'useful') AS useful FROM noise GROUP BY code",
-    "class_report": "WITH l AS (SELECT * FROM (VALUES (0), (1)) v(label)), n AS (SELECT label, count(*) FILTER (quality = label AND toxic = label) AS tp, count(*) FILTER (quality <> label AND toxic = label) AS fp, count(*) FILTER (quality = label AND toxic <> label) AS fn FROM l, labels GROUP BY label) SELECT label, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, tp + fn AS support FROM n",
-    "html_flags": f"WITH h AS (SELECT page_id, {_STRIPPED} AS clean FROM (SELECT page_id, {_HTML} AS t FROM pages)) SELECT page_id, len(regexp_extract_all(clean, '/html_link_reference'))::INT AS n_links, md5(clean) AS clean_md5 FROM h",
+    "cosine_to_prototypes": """WITH p AS (SELECT label, arg_min(embedding, vec_id) AS p FROM embeddings GROUP BY label) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], p::DOUBLE[]), 5) AS similarity
+      FROM embeddings JOIN p USING (label)""",
+    "similarity_bins": """WITH b AS (SELECT round((l_discount * 10)::DOUBLE, 4) AS x FROM lineitem), v AS (SELECT CASE WHEN x > -0.001 AND x <= 0.3 THEN 'Muy baja'
+      WHEN x > 0.3 AND x <= 0.5 THEN 'Baja' WHEN x > 0.5 AND x <= 0.7 THEN 'Media' WHEN x > 0.7 AND x <= 1.0 THEN 'Alta' END AS value
+      FROM b) SELECT value, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS percentage
+      FROM v GROUP BY value""",
+    "cause_crosstab": f"""WITH {SQL_NOISE} SELECT code, count(*) FILTER (noise_level = 'hard_noise') AS hard_noise, count(*) FILTER (noise_level = 'operational_noise') AS operational_noise,
+      count(*) FILTER (noise_level = 'useful') AS useful FROM noise GROUP BY code""",
+    "class_report": """WITH l AS (SELECT * FROM (VALUES (0), (1)) v(label)), n AS (SELECT label, count(*) FILTER (quality = label AND toxic = label) AS tp,
+      count(*) FILTER (quality <> label AND toxic = label) AS fp, count(*) FILTER (quality = label AND toxic <> label) AS fn
+      FROM l, labels GROUP BY label) SELECT label, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision,
+      round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, tp + fn AS support
+      FROM n""",
+    "html_flags": f"""WITH h AS (SELECT page_id, {_STRIPPED} AS clean FROM (SELECT page_id, {_HTML} AS t FROM pages)) SELECT page_id, len(regexp_extract_all(clean, '/html_link_reference'))::INT AS n_links, md5(clean) AS clean_md5
+      FROM h""",
     "lost_texts": f"WITH {SQL_COMMENTS} SELECT DISTINCT text FROM comments EXCEPT SELECT text FROM comments WHERE code = 'B'",
-    "annotated_comments": f"WITH {SQL_NOISE}, sq AS (SELECT comment_id, 'H' AS code, 0.5::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM comments), {SQL_DECIDED} SELECT n.noise_level, CASE WHEN n.noise_level = 'useful' THEN d.code ELSE 'H' END AS cause, count(*) AS n FROM noise n JOIN decided USING (comment_id) GROUP BY 1, 2",
+    "annotated_comments": f"""WITH {SQL_NOISE}, sq AS (SELECT comment_id, 'H' AS code, 0.5::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t
+      FROM comments), {SQL_DECIDED} SELECT n.noise_level, CASE WHEN n.noise_level = 'useful' THEN d.code ELSE 'H' END AS cause,
+      count(*) AS n FROM noise n JOIN decided USING (comment_id) GROUP BY 1, 2""",
     "duplicate_parts": "SELECT (count(*) - count(DISTINCT (l_partkey, l_suppkey)))::BIGINT AS duplicates FROM lineitem",
-    "cleaned_comments": f"WITH v(i, clean) AS (VALUES {', '.join(f'({i}, {_quoted(want)})' for i, (_, want) in enumerate(cases.CLEANED))}) SELECT o_orderkey AS comment_id, clean FROM orders JOIN v ON i = o_orderkey % {len(cases.CLEANED)}",
-    "comment_emotions": f"WITH v(i, n, tags) AS (VALUES {', '.join(f'({i}, {n}, {_quoted(tags)})' for i, (_, n, tags) in enumerate(cases.EMOTIONS))}) SELECT o_orderkey AS comment_id, n, tags FROM orders JOIN v ON i = o_orderkey % {len(cases.EMOTIONS)}",
-    "bot_kinds": "SELECT CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN 'other_bot' WHEN 2 THEN 'triage_bot' WHEN 3 THEN 'retest_flaky_bot' ELSE 'onboarding_bot' END AS bot, count(*) AS n FROM conversations GROUP BY 1",
+    "cleaned_comments": f"""WITH v(i, clean) AS (VALUES {', '.join(f'({i}, {_quoted(want)})' for i, (_, want) in enumerate(cases.CLEANED))})
+      SELECT o_orderkey AS comment_id, clean FROM orders JOIN v ON i = o_orderkey % {len(cases.CLEANED)}""",
+    "comment_emotions": f"""WITH v(i, n, tags) AS (VALUES {', '.join(f'({i}, {n}, {_quoted(tags)})' for i, (_, n, tags) in enumerate(cases.EMOTIONS))})
+      SELECT o_orderkey AS comment_id, n, tags FROM orders JOIN v ON i = o_orderkey % {len(cases.EMOTIONS)}""",
+    "bot_kinds": """SELECT CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN 'other_bot' WHEN 2 THEN 'triage_bot' WHEN 3 THEN 'retest_flaky_bot'
+      ELSE 'onboarding_bot' END AS bot, count(*) AS n FROM conversations GROUP BY 1""",
     "issue_reports": SQL_REPORTS,
     "level_summary": SQL_LEVEL_SUMMARY,
 }

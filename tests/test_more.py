@@ -187,3 +187,21 @@ def test_empty_tables(spark):
     c = queries.comments(spark, SF).limit(0)
     assert ranking.top_causes(c, spark).count() == 0 and checks.residual(c.withColumn("level", F.lit("useful")), "text", "level").count() == 0
     assert checks.consistency(c.withColumn("label", F.lit("")).withColumn("status", F.lit("")), "code", "label", "code", "status").first().rows == 0
+
+
+def test_columns_and_json(spark, tmp_path):
+    df = spark.sql("select 1 as a, 2 as b, 3 as c")
+    assert readers.move_column_after(df, "a", "b").columns == ["b", "a", "c"]
+    df.write.json(str(tmp_path / "x.json"))
+    assert readers.read_comments(spark, str(tmp_path / "x.json")).first()[:] == (1, 2, 3)
+
+
+def test_vectors_and_importance(spark):
+    from loomspark.operators import models
+
+    rows = [(i, [float(i % 2), 1.0], float(i % 2), 0.5, "Low" if i % 2 else "High") for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, vector array<double>, f double, g double, level string")
+    fitted = models.vector_logistic(df, "level")
+    assert models.predict(fitted, df, "vector").where("predicted != level").count() == 0
+    got = {r.feature: r["mean"] for r in models.importance_by_fold(df, "level", "k", ("f", "g"), 2).collect()}
+    assert got == {"f": 1.0, "g": 0.0}
