@@ -13,9 +13,11 @@ HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
+    """The folder that driver and executors share; a local one only where there are no other machines."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "/tmp/checkpoints/loomspark"
         os.makedirs(found, exist_ok=True)
     return found.rstrip("/")
@@ -25,10 +27,20 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch, so that neither side of a task holds many texts or sets at once.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage with a Parquet table in the shared folder, which survives lost executors."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    path, conf = scratch(df.sparkSession, label), df.sparkSession.conf
+    rows = int(conf.get(_BATCH))
+    conf.set(_BATCH, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH, str(rows))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,62 +1,31 @@
 """Exact deduplication: two passes over a Bloom filter, DataFrame functions only.
 
 Pass 1 counts the cells of a Bloom filter that the texts' 64-bit hashes hit (map-side combined,
-8 bytes a text travel) and keeps the cells hit at least twice as bitmaps. Pass 2 probes these:
+16 bytes a cell travel) and keeps the cells hit at least twice as bitmaps. Pass 2 probes these, a broadcast range of hashes at a time:
 a text with any cell hit once is unique and passes straight through; only the possibly
 repeated ones are shuffled, by SHA-256, and grouped exactly. So false positives cost time, never results.
 
 Nulls count as the empty text. A null id ranks below every other id. Rows that repeat both id and
-text count in group_size and share one decision: they are all kept or all dropped. An empty table gives an empty result.
+text count in group_size and share one decision in exact_groups(); drop_copies() keeps one of them. An empty table gives an empty result.
 Other columns of the input are neither read nor in the way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm._common import attach_by_key, materialize, safe_text
+from loomspark.llm.bloom import bitmaps, keep_decided, probed
 
-#: Cells a text for each hash function; two hash functions leave under 2 % false positives.
-CELLS_PER_TEXT = 8
-#: Bitmaps up to this size are broadcast; larger ones are joined by bitmap number.
-MAX_BROADCAST_BYTES = 32 << 20
-BITS = 32768
 
-
-def _cells(h: Column, cells: int) -> list[Column]:
-    return [F.pmod(h, F.lit(cells)) + 1, F.pmod(F.xxhash64(h, F.lit(1)), F.lit(cells)) + 1 + cells]
-
-
-def _bit(bitmap: Column, cell: Column) -> Column:
-    at = F.bitmap_bit_position(cell)
-    byte = F.conv(F.hex(F.substring(bitmap, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")), F.lit(0)) % 2 == 1
-
-
-def probe(docs: DataFrame, h: Column, n: int, name: str = "maybe_repeated") -> DataFrame:
-    """Adds a boolean column: false only where no other row has the same 64-bit hash. Rows should be narrow, as they are joined with large bitmaps."""
-    cells = 1 << max(15, (CELLS_PER_TEXT * n - 1).bit_length())
-    hit = docs.select(F.explode(F.array(*_cells(h, cells))).alias("cell")).groupBy("cell").count().where("count > 1")
-    maps = materialize(
-        hit.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")),
-        "bloom",
-    )
-    small = 2 * cells // 8 <= MAX_BROADCAST_BYTES
-    out = docs
-    for i, cell in enumerate(_cells(h, cells)):
-        side = maps.select(F.col("bucket").alias(f"__bucket{i}"), F.col("bits").alias(f"__bits{i}"))
-        out = out.join(F.broadcast(side) if small else side, F.bitmap_bucket_number(cell) == F.col(f"__bucket{i}"), "left")
-    both = [_bit(F.col(f"__bits{i}"), c) for i, c in enumerate(_cells(h, cells))]
-    return out.withColumn(name, both[0] & both[1]).drop(*[f"__{k}{i}" for i in (0, 1) for k in ("bucket", "bits")])
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", max_bytes: int | None = None) -> DataFrame:
     """A row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     text = safe_text(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.xxhash64(text).alias("__h"))  # no text goes further
+    # no text goes further; hashes are sorted within their files, which prunes what a range of them reads
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), F.xxhash64(text).alias("h")).sortWithinPartitions("h"), "hashes")
     n = rows.count()
-    marked = materialize(probe(rows, F.col("__h"), n).drop("__h"), "probed")
+    marked = materialize(probed(rows, F.col("h"), bitmaps(rows, n, 2, max_bytes), "maybe_repeated").drop("h"), "probed")
     rest = marked.where("maybe_repeated").select("doc_id", "sha")
     best = F.max("doc_id") if keep == "max" else F.min("doc_id")
     stats = materialize(rest.groupBy("sha").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
@@ -67,7 +36,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The input's rows that stay, with all their columns as they were."""
-    gone = exact_groups(docs, id_col, text_col, keep).where("not kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct()
-    sha = F.unhex(F.sha2(safe_text(docs[text_col]), 256))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
+    """One row of each text, with all its columns as they were."""
+    judged = exact_groups(docs, id_col, text_col, keep).select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex("text_sha256").alias("sha"), (~F.col("kept")).alias("gone"))
+    return keep_decided(docs, materialize(judged, "judged"), id_col, text_col)
