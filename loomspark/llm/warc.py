@@ -28,6 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm.bloom import bitmaps, probed
 from loomspark.llm._common import attach_by_key, materialize, safe_text, scratch
 
 MIN_REVISIT = 100
@@ -90,16 +91,19 @@ class Archive:
     directory: DataFrame
 
     def lookup(self, urls: list[str]) -> list[dict]:
-        """Records of a few URLs, read in the driver."""
+        """Records of a few URLs, read in the driver: a binary search over the index files' ranges of keys (a row for each), one over the blocks of the file
+        found, one within the block, then a range read for each record."""
         fs, root = _open(self.folder)
+        files = self.directory.groupBy("file").agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key")).collect()
         out = []
         for key in dict.fromkeys(map(surt, urls)):
-            for block in self.directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "last_key").toLocalIterator():
-                lines = _lines(fs, root, block.file, block.offset, block.length)
-                keys = [x[0] for x in lines]
-                for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                    with fs.open_input_file(f"{root}/{x[2]}") as f:
-                        out.append(parse(zlib.decompress(f.read_at(x[4], x[3]), 31)))
+            for file in _holding(files, key):
+                for block in _holding(self.directory.where(F.col("file") == file.file).collect(), key):
+                    lines = _lines(fs, root, block.file, block.offset, block.length)
+                    keys = [x[0] for x in lines]
+                    for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
+                        with fs.open_input_file(f"{root}/{x[2]}") as f:
+                            out.append(parse(zlib.decompress(f.read_at(x[4], x[3]), 31)))
         return out
 
     def read(self) -> DataFrame:
@@ -111,18 +115,45 @@ class Archive:
             for batch in batches:
                 for block in batch.to_pylist():
                     found, name, f = [], None, None
-                    for x in sorted(_lines(fs, root, block["file"], block["offset"], block["length"]), key=lambda x: (x[2], x[3])):
-                        if x[2] != name:
-                            name, f = x[2], fs.open_input_file(f"{root}/{x[2]}")
-                        r = parse(zlib.decompress(f.read_at(x[4], x[3]), 31))
-                        r.pop("payload")
-                        found.append(r)
+                    for near in _neighbours(sorted(_lines(fs, root, block["file"], block["offset"], block["length"]), key=lambda x: (x[2], x[3]))):
+                        if near[0][2] != name:
+                            name, f = near[0][2], fs.open_input_file(f"{root}/{near[0][2]}")
+                        at = near[0][3]
+                        raw = f.read_at(near[-1][3] + near[-1][4] - at, at)
+                        for x in near:
+                            r = parse(zlib.decompress(raw[x[3] - at : x[3] - at + x[4]], 31))
+                            r.pop("payload")
+                            found.append(r)
                     yield pa.RecordBatch.from_pylist(found, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
         spread = int(self.directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return self.directory.select("file", "offset", "length").repartition(spread).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+#: Records of a file are read at once if no more than GAP bytes lie between them, up to RANGE bytes.
+GAP, RANGE = 16 << 10, 4 << 20
+
+
+def _neighbours(lines: list[list]) -> Iterator[list[list]]:
+    """Runs of index lines, sorted by file and offset, that one range read covers."""
+    run: list[list] = []
+    for x in lines:
+        if run and (x[2] != run[0][2] or x[3] - (run[-1][3] + run[-1][4]) > GAP or x[3] + x[4] - run[0][3] > RANGE):
+            yield run
+            run = []
+        run.append(x)
+    if run:
+        yield run
+
+
+def _holding(ranges: list, key: str) -> list:
+    """Those of the ranges (first_key, last_key), which follow each other, that a key lies in, by binary search."""
+    ranges = sorted(ranges, key=lambda r: (r.first_key, r.last_key))
+    end = bisect.bisect_right([r.first_key for r in ranges], key)
+    start = bisect.bisect_left([r.last_key for r in ranges], key)
+    return ranges[start:end]
+
+
 def _lines(fs: pafs.FileSystem, root: str, name: str, offset: int, length: int) -> list[list]:
     with fs.open_input_file(f"{root}/{name}") as f:
         return [json.loads(x) for x in zlib.decompress(f.read_at(length, offset)).split(b"\n")]
@@ -139,7 +170,11 @@ def write_archive(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT,
     """Writes archives and index of pages (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), safe_text(F.col("html")).cast("binary").alias("payload"))
     again = _revisits(rows, min_revisit).select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "refers_to")
-    known = rows.join(again, (F.col("page_id") == F.col("__id")) & (F.unhex(F.sha2("payload", 256)) == F.col("__digest")), "left").select("page_id", "url", "payload", "refers_to")
+    # a Bloom filter lets through the pages that may be revisits; no other payload is hashed or moved again
+    ids = again.select(F.xxhash64("__id").alias("h"))
+    tested = probed(rows, F.xxhash64("page_id"), bitmaps(ids, ids.count()), "__again")
+    some = tested.where("__again").join(again, (F.col("page_id") == F.col("__id")) & (F.unhex(F.sha2("payload", 256)) == F.col("__digest")), "left").select("page_id", "url", "payload", "refers_to")
+    known = tested.where("not __again").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to")).unionByName(some)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
