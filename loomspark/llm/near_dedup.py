@@ -8,35 +8,51 @@ in a band are candidates: at a similarity of 0.75 a pair is missed with probabil
 2. A band's pivot is its class with most neighbours over all bands, which lies amid its variants. Each class is compared with the pivot
    that it shares most bands with, then, where several trees of links still meet in a band, with two pivots drawn by hash. The
    trees of verified links already join most copies: a few comparisons for each class, never one for each two.
-3. Only in bands that still hold several trees are classes of different trees compared, in blocks of BLOCK by BLOCK. First the shingles that
-   none of the other classes in such bands has are counted: they are in no intersection, so a class with over a quarter of them has no link at all.
-   Only pairs that sizes, these counts, the triangle inequality over exact distances to a common pivot, and finer
-   signatures (FINE coordinates, for these classes only) allow go on to verification on full sets.
-So every pair that shares a band is either joined already or verified; no bucket is capped, and no task gets more than two blocks at once.
-
-A null text has an empty set, as have texts without words; these are linked with nothing. A null doc_id is never a component's id unless all
-its class has none; such rows are only linked by equal sets. Rows that repeat an id must repeat the text; they share a component. An empty table gives an
-empty result. Other columns are not read by near_duplicates().
+3. Only in bands that still hold several trees are classes of different trees compared. Shingles that no other class in such bands has are in
+   no intersection; a class with over a quarter of them has no link at all, the others go on with the shingles that are left. Bands with the same
+   classes are compared once. A band's
+   classes are dealt to blocks of about BLOCK classes or BLOCK_BYTES of shingles; the largest tree has blocks of its own, which are never held
+   against each other. Blocks meet in cells, first by FINE coordinates, which drop classes without a likely partner (a pair at 0.75 is lost with a probability
+   below 1 in a million), then by their shingles, all sizes of intersections at once; full sets decide, and a cell gives one link
+   for each two trees that it joins: fewer links than it has classes. In bands with over MANY cells a first pass over cells on the diagonal joins
+   what it can before the rest is dealt.
+So every pair that shares a band is either joined already or verified; no bucket is capped, no pairs are written, and no task gets more than two blocks at once.
+
+A null text has an empty set, as have texts without words; these are linked with nothing. Rows with a null doc_id take part under a number made
+from their text, above all ids; a component of such rows only has a null id, and one text of it is kept. Rows that repeat an id must repeat the
+text; they share a component. An empty table gives an empty result. Other columns are not read by near_duplicates().
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import attach_by_key, materialize
+from loomspark.llm._common import HOT_SHARE, attach_by_key, materialize, safe_text
+from loomspark.llm.bloom import bitmaps, keep_decided, probed
 
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 24, 3
-BLOCK = 256
-#: Coordinates that estimate a similarity, and the least share of them that must agree: 4.7 standard deviations below 0.75.
-FINE, LEAST_EQUAL = 512, 0.66
+#: A block's classes and bytes of shingles, about.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Cells of a band from which a pass over the diagonal comes first.
+MANY = 16
+#: Rows of one pivot that are compared with one copy of its set.
+SALT = 1024
+#: Coordinates (of 8 bits) that estimate a similarity, and how many must agree: 4.8 standard deviations below 0.75.
+FINE, LEAST_EQUAL = 256, 159
+#: Shingles whose bits are counted at once in a cell; a multiple of 64.
+COLUMNS = 8192
+#: Rows of a band that meet one copy of what is known of the band.
+CHUNK = 4096
+#: Rows without an id are numbered from here on.
+NAMELESS = 1 << 62
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 #: Shingles hashed at once, so that all steps stay in the processor's cache.
@@ -97,31 +113,40 @@ def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.nd
     return out
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (of the set) and bands of each row."""
+def _numbered(docs: DataFrame) -> list[Column]:
+    """doc_id, node (the id, or a number made from the text) and text."""
+    text = docs["text"].cast("string")
+    own = F.col("doc_id").cast("long")
+    return [own.alias("doc_id"), F.coalesce(own, F.lit(NAMELESS) + F.pmod(F.xxhash64(safe_text(text)), F.lit(NAMELESS - 1))).alias("node"), text.alias("text")]
+
+
+def sketch(docs: DataFrame, identity: bool = False) -> DataFrame:
+    """doc_id, node, n_shingles, key (of the set), bands and, on demand, the text's SHA-256 of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Hashes()
         for big in batches:
             for i in range(0, big.num_rows, 500):
                 batch = big.slice(i, 500)
-                sets = [shingle_set(t, of) for t in batch.column(1).to_pylist()]
+                sets = [shingle_set(t, of) for t in batch.column(2).to_pylist()]
                 sig = signatures(sets)
                 bands = np.zeros((len(sets), BANDS), np.uint64)
                 for b in range(BANDS):
                     for r in range(ROWS):
                         bands[:, b] = mixed(bands[:, b] + sig[:, b * ROWS + r].astype(np.uint64) + np.uint64((b + 1) * int(_MIX[1]) % 2**64))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+                keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))],
-                    names=["doc_id", "n_shingles", "key", "bands"],
+                    [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), keys, lists, *batch.columns[3:]], names=["doc_id", "node", "n_shingles", "key", "bands", *batch.schema.names[3:]]
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>")
+    sha = [F.unhex(F.sha2(safe_text(F.col("text")), 256)).alias("sha")] if identity else []
+    return docs.select(*_numbered(docs), *sha).mapInArrow(run, "doc_id long, node long, n_shingles long, key binary, bands array<long>" + ", sha binary" * identity)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node reachable, for each node of edges (a, b). Least labels spread over links, and labels of labels are followed."""
+    """node, label: the least node reachable, for each node of edges (a, b). Least labels spread over links, and labels of labels are followed. The rows are
+    16 bytes; a node or label that many have is split by Spark's adaptive skew join."""
     both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "links")
     labels = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
     while True:
@@ -129,47 +154,54 @@ def components(edges: DataFrame) -> DataFrame:
         spread = materialize(labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")), "labels")
         follow = spread.select(F.col("node").alias("at"), F.col("label").alias("next"))
         labels = materialize(spread.join(follow, F.col("label") == F.col("at"), "left").select("node", F.coalesce("next", "label").alias("label"), "old"), "labels")
-        if not labels.where("label != old").limit(1).count():
+        if labels.where("label != old").isEmpty():
             return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        labels = labels.drop("old")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, shingles (sorted 64-bit hashes) of the documents wanted."""
+    """node, shingles (sorted 64-bit hashes) of at least the documents wanted: a Bloom filter of these lets them through, so no text is shuffled."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Hashes()
         for big in batches:
             for i in range(0, big.num_rows, 500):
                 batch = big.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, of).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, of).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    return materialize(texts.mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
+    own = wanted.select(F.xxhash64("node").alias("h"))
+    texts = probed(docs.select(*_numbered(docs)[1:]), F.xxhash64("node"), bitmaps(own, own.count()), "__some").where("__some").select("node", "text")
+    full = materialize(texts.mapInArrow(sets, "node long, shingles binary"), "shingles")
+    repeats = full.groupBy("node").count().where("count > 1")
+    return full if repeats.isEmpty() else materialize(full.dropDuplicates(["node"]), "shingles")
 
 
-def _measured(full: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes of intersection and union of their full sets."""
+def _linked(full: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough; an a with very many pairs is met by several copies of its set."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both, union = [], []
+        for batch in (big.slice(i, 500) for big in batches for i in range(0, big.num_rows, 500)):
+            good = []
             last, x = None, None
             for a, raw, other in zip(batch.column("a").to_pylist(), batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
                 if a != last:
                     last, x = a, np.frombuffer(raw, np.uint64)
                 y = np.frombuffer(other, np.uint64)
-                both.append(int(np.intersect1d(x, y, assume_unique=True).size))
-                union.append(x.size + y.size - both[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "both", "all"])
+                both = int(np.intersect1d(x, y, assume_unique=True).size)
+                good.append(100 * both >= PERCENT * (x.size + y.size - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    two = one.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    return materialize(two.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long, both long, all long").distinct(), "measured")
+    n = pairs.count()
+    hot = F.broadcast(pairs.groupBy("a").count().where(F.col("count") > max(SALT, n // HOT_SHARE)).select("a", F.ceil(F.col("count") / SALT).alias("copies")))  # fewer than HOT_SHARE rows
+    copies = F.coalesce("copies", F.lit(1).cast("long"))
+    dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).alias("copy"))
+    sets = full.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")).join(hot, "a", "left").select("a", "set_a", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
+    one = dealt.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    return materialize(one.join(sets, ["a", "copy"]).select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct(), "linked")
 
 
-def _shared_counts(full: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, common: how many of a document's shingles another wanted document has too; no intersection can be larger."""
+def _common_sets(full: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, n_shingles, shingles (those that another wanted document has too), sig (FINE coordinates of the whole set), where common shingles are enough for a link."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -177,144 +209,245 @@ def _shared_counts(full: DataFrame, wanted: DataFrame) -> DataFrame:
                 batch = big.slice(i, 200)
                 sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
                 ids = batch.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets])), pa.array(np.repeat(ids, [len(x) for x in sets]))], names=["shingle", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets])), pa.array(np.repeat(ids, [len(x) for x in sets]))], names=["shingle", "node"])
 
-    rows = full.join(wanted, "doc_id", "left_semi").mapInArrow(spread, "shingle long, doc_id long")
-    alone = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other").groupBy("doc_id").count()
-    return materialize(alone.withColumnRenamed("count", "alone"), "alone")
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sets, kept = [], [], []
+            lone = batch.column("alone")
+            for i, (node, raw) in enumerate(zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist())):
+                x = np.frombuffer(raw, np.int64)
+                gone = lone[i].values
+                common = x if gone is None else x[~np.isin(x, gone.to_numpy())]
+                if 100 * len(common) >= PERCENT * len(x):
+                    nodes.append(node), sets.append(x.view(np.uint64)), kept.append(common.tobytes())
+            sig = signatures(sets, FINE).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(kept, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "n_shingles", "shingles", "sig"]
+            )
+
+    some = materialize(full.join(wanted, "node", "left_semi"), "open-sets")
+    rows = some.select("node", "shingles").mapInArrow(spread, "shingle long, node long")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.collect_list("shingle").alias("alone"))
+    return materialize(some.join(alone, "node", "left").mapInArrow(left, "node long, n_shingles long, shingles binary, sig binary"), "common")
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a's with b's sets: bits for the shingles that both sides have, COLUMNS at a time."""
+    flat = [np.concatenate([np.zeros(0, np.uint64), *x]) for x in (a, b)]
+    known = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    total = np.zeros((len(a), len(b)), np.int64)
+    if not len(known):
+        return total
+    entries = []
+    for sets, every in zip((a, b), flat):
+        row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        at = np.searchsorted(known, every)
+        hit = known[np.minimum(at, len(known) - 1)] == every
+        row, at = row[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        entries.append((row[order], at[order]))
+    for k in range(0, len(known), COLUMNS):
+        bits = []
+        for sets, (row, at) in zip((a, b), entries):
+            lo, hi = np.searchsorted(at, (k, k + COLUMNS))
+            m = np.zeros((len(sets), COLUMNS), bool)
+            m[row[lo:hi], at[lo:hi] - k] = True
+            bits.append(np.packbits(m, axis=1).view(np.uint64))
+        for i, own in enumerate(bits[0]):
+            total[i] += np.bitwise_count(bits[1] & own).sum(1, dtype=np.int64)
+    return total
+
+
+def joining_links(sides: list[list[tuple[int, int, np.ndarray]]]) -> list[tuple[int, int]]:
+    """Links that join the trees of one cell's two sides of (label, n_shingles, common shingles): at most one less than there are trees."""
+    (la, na, sa), (lb, nb, sb) = [(np.array([m[0] for m in s], np.int64), np.array([m[1] for m in s]), [m[2] for m in s]) for s in sides]
+    both = intersections(sa, sb)
+    good = (la[:, None] != lb) & (100 * both >= PERCENT * (na[:, None] + nb - both))
+    x, y = np.nonzero(good)
+    above: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while above.get(v, v) != v:
+            v = above[v]
+        return v
+
+    out = []
+    for a, b in np.unique(np.sort(np.stack([la[x], lb[y]], 1), axis=1), axis=0).tolist():
+        p, q = root(a), root(b)
+        if p != q:
+            above[max(p, q)] = min(p, q)
+            out.append((a, b))
+    return out
 
 
-def _fine(full: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, sig: FINE coordinates of 16 bits."""
+def _cells(rows: DataFrame, sizes: DataFrame, diagonal: bool = False) -> DataFrame | None:
+    """band, lo, hi, own, label, node: the classes of each band (band, n, node, label) dealt to blocks, and the cells in which blocks meet; sizes: node, size in bytes.
+    None if only large bands were asked for and there are none."""
+    sized = materialize(rows.join(sizes, "node"), "block-rows")
+    trees = sized.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"), F.max("n").alias("n")).groupBy("band")
+    stats = trees.agg(F.max(F.struct("c", "label", "s")).alias("m"), F.sum("c").alias("members"), F.sum("s").alias("s"), F.max("n").alias("n"))
+    blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_BYTES)).cast("int")
+    others = blocks(F.col("members") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("others")
+    plan = materialize(stats.select("band", "n", F.col("m.label").alias("largest"), blocks(F.col("m.c"), F.col("m.s")).alias("k"), others), "blocks")
+    cells = F.col("others") * (F.col("others") + 1) / 2 + F.col("others") * F.col("k")
+    plan = plan.where(cells > MANY if diagonal else F.col("others") > 0)
+    if diagonal and plan.isEmpty():
+        return None
+    # blocks of the other trees have the numbers 0 to others - 1, those of the largest tree come behind them
+    number = F.xxhash64("node", F.lit(int(diagonal)))
+    large = F.col("label") == F.col("largest")
+    own = F.when(large, F.col("others") + F.pmod(number, F.col("k").cast("long"))).otherwise(F.pmod(number, F.greatest("others", F.lit(1)).cast("long"))).cast("int")
+    low = F.sequence(F.lit(0), F.col("others") - 1)
+    if diagonal:
+        meets = F.when(large, F.filter(low, lambda j: j % F.col("k") == F.col("own") - F.col("others"))).otherwise(F.array(F.col("own"), F.col("others") + F.col("own") % F.col("k")))
+    else:
+        meets = F.when(large, low).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("k") - 1))
+    dealt = _meet(sized, plan).withColumn("own", own).withColumn("other", F.explode(meets))
+    return dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "label", "node")
+
+
+def _by_cell(cells: DataFrame, facts: DataFrame, judge: Callable[[int, list, list], Iterable[tuple[int, int]]], out: str) -> DataFrame:
+    """Rows of two numbers that judge(band, side, side) finds in each cell; a side has (node, label, n_shingles, bytes) of each class. facts: node, n_shingles, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for i in range(0, big.num_rows, 500):
-                batch = big.slice(i, 500)
-                sig = signatures([np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()], FINE).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "sig"])
-
-    return full.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, sig binary")
-
-
-def _links(measured: DataFrame) -> DataFrame:
-    return measured.where(F.lit(100) * F.col("both") >= F.lit(PERCENT) * F.col("all")).select("a", "b")
-
-
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels that share a band and may be similar; rows: band, n, doc_id, label, n_shingles, sig, pivot, far, common, bands. A pair comes from the first band it shares only."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks.cast("long")).cast("int")
-    # a member of block i meets block j in the cell (min, max)
-    cells = rows.select("band", "doc_id", "label", "n_shingles", "sig", "pivot", "far", "common", "bands", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    cells = cells.select("band", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "doc_id", "label", "n_shingles", "sig", "pivot", "far", "common", "bands")
-
-    def compare(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        lo, hi = group[0][1], group[0][2]
-        sides = [group, group] if lo == hi else [[g for g in group if g[3] == lo], [g for g in group if g[3] == hi]]
-        (ia, la, na, pa_, fa, ca, sa), (ib, lb, nb, pb, fb, cb, sb) = [(*(np.array([g[k] for g in s]) for k in (4, 5, 6, 8, 9, 10)), np.array([np.frombuffer(g[7], np.uint16) for g in s]).reshape(len(s), -1)) for s in sides]
-        may = (la[:, None] != lb) & (100 * np.minimum(na[:, None], nb) >= PERCENT * np.maximum(na[:, None], nb)) & (ia[:, None] != ib)
-        may &= (100 + PERCENT) * np.minimum(ca[:, None], cb) >= PERCENT * (na[:, None] + nb)  # the intersection has common shingles only
-        may &= (pa_[:, None] != pb) | (np.abs(fa[:, None] - fb) <= 1 - PERCENT / 100 + 1e-9)  # Jaccard distance is a metric
-        if lo == hi:
-            may &= ia[:, None] < ib
-        x, y = np.nonzero(may)
-        good = np.zeros(len(x), bool)
-        for k in range(0, len(x), 20_000):
-            good[k : k + 20_000] = (sa[x[k : k + 20_000]] == sb[y[k : k + 20_000]]).mean(1) >= LEAST_EQUAL
-        x, y = x[good], y[good]
-        if len(x):
-            ka, kb = (np.array([g[11] for g in s], np.int64) for s in sides)
-            own = np.concatenate([ka[x[k : k + 20_000], (ka[x[k : k + 20_000]] == kb[y[k : k + 20_000]]).argmax(1)] for k in range(0, len(x), 20_000)]) == group[0][0]
-            x, y = x[own], y[own]
-        a, b = ia[x], ib[y]
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        cell: list = [None, [], []]
 
-        def out() -> pa.RecordBatch:
-            a, b = (np.concatenate([np.zeros(0, np.int64), *(f[s] for f in found)]) for s in (0, 1))
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        def found() -> pa.RecordBatch:
+            sides = [cell[1], cell[2] if cell[0][1] != cell[0][2] else cell[1]]
+            rows = list(judge(cell[0][0], *sides)) if all(sides) else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)], names=["x", "y"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and row[:3] != group[0][:3]:
-                    if len(group) > 1:
-                        found.append(compare(group))
-                    group = []
-                group.append(row)
-            yield out()
-        if len(group) > 1:
-            found.append(compare(group))
-        yield out()
-
-    return cells.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+            *place, own, node, label, count, raw = (c.to_pylist() for c in batch.columns)
+            for where, o, *member in zip(zip(*place), own, node, label, count, raw):
+                if where != cell[0]:
+                    if cell[0]:
+                        yield found()
+                    cell = [where, [], []]
+                cell[1 if o == where[1] else 2].append(member)
+        if cell[0]:
+            yield found()
+
+    wide = cells.join(facts, "node").select("band", "lo", "hi", "own", "node", "label", *facts.columns[1:])
+    rows = wide.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "x long, y long").distinct()
+    return materialize(rows.toDF(*out.split()), "by-cell")
+
+
+def _likely(band: int, one: list, two: list) -> Iterator[tuple[int, int]]:
+    """Those of a cell's classes that some class of another tree may be similar to, by size and by the finer signature."""
+    sides = [(np.array([m[1] for m in s], np.int64), np.array([m[2] for m in s]), np.frombuffer(b"".join(m[3] for m in s), np.uint8).reshape(len(s), -1)) for s in (one, two)]
+    (la, na, sa), (lb, nb, sb) = sides
+    x, y = np.nonzero((la[:, None] != lb) & (100 * np.minimum(na[:, None], nb) >= PERCENT * np.maximum(na[:, None], nb)))
+    for k in range(0, len(x), 20_000):
+        i, j = x[k : k + 20_000], y[k : k + 20_000]
+        good = (sa[i] == sb[j]).sum(1) >= LEAST_EQUAL
+        yield from ((band, one[p][0]) for p in np.unique(i[good]).tolist())
+        yield from ((band, two[p][0]) for p in np.unique(j[good]).tolist())
+
+
+def _across(rows: DataFrame, sets: DataFrame, diagonal: bool = False) -> DataFrame | None:
+    """Links (a, b) between labels whose classes share a band and are similar. None if only large bands were asked for and there are none."""
+    cells = _cells(rows, sets.select("node", F.octet_length("shingles").alias("size")), diagonal)
+    if cells is None:
+        return None
+    unpacked = lambda side: [(label, n, np.frombuffer(raw, np.uint64)) for _, label, n, raw in side]
+    return _by_cell(cells, sets.select("node", "n_shingles", "shingles"), lambda band, one, two: joining_links([unpacked(one), unpacked(two)]), "a b")
+
+
+def _meet(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (band, n, node) with what is known of each band (band, n); a band of n rows meets a copy of it for each CHUNK rows."""
+    copies = F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("long")
+    each = known.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("n")
+    return rows.withColumn("__copy", F.pmod(F.xxhash64("node"), copies)).join(each, ["band", "__copy"]).drop("__copy")
 
 
 def _to_pivots(rows: DataFrame, most: int) -> DataFrame:
-    """Pairs (a: pivot, b: doc_id): for each document those pivots that it shares most bands with; rows: doc_id, pivot."""
-    counted = rows.where("pivot != doc_id").groupBy("doc_id", "pivot").count().groupBy("doc_id")
-    best = counted.agg(F.max(F.struct("count", "pivot")).alias("m")).select("doc_id", F.array("m").alias("m")) if most == 1 else counted.agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "pivot")), False), 1, most).alias("m"))  # at most a pivot for each band
-    return materialize(best.select(F.col("doc_id").alias("b"), F.explode("m").alias("m")).select(F.col("m.pivot").alias("a"), "b"), "pairs")
+    """Pairs (a: pivot, b: node): for each document those pivots that it shares most bands with; rows: node, pivot."""
+    counted = rows.where("pivot != node").groupBy("node", "pivot").count().groupBy("node")
+    best = counted.agg(F.max(F.struct("count", "pivot")).alias("m")).select("node", F.array("m").alias("m")) if most == 1 else counted.agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "pivot")), False), 1, most).alias("m"))  # at most a pivot for each band
+    return materialize(best.select(F.col("node").alias("b"), F.explode("m").alias("m")).select(F.col("m.pivot").alias("a"), "b"), "pairs")
 
 
 def _open(shared: DataFrame, trees: DataFrame) -> DataFrame:
-    """Of the rows band, n, doc_id those in bands where several trees meet, with each document's label."""
-    labelled = materialize(shared.join(trees, F.col("doc_id") == F.col("node"), "left").select("band", "n", "doc_id", F.coalesce("label", "doc_id").alias("label")), "labelled")
-    several = materialize(labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band"), "open-bands")
-    return materialize(labelled.join(several, "band"), "open-rows")
+    """Of the rows band, n, node those in bands where several trees meet, with each document's label."""
+    labelled = materialize(shared.join(trees, "node", "left").select("band", "n", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    several = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("n").alias("n")).where("x != y").select("band", "n")
+    return materialize(_meet(labelled, several).select("band", "n", "node", "label"), "open-rows")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
-    rows = materialize(sketch(docs), "sketches")
-    n = rows.count()
-    classes = materialize(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members")), "classes")
-    reps = materialize(
-        rows.where("n_shingles > 0").join(classes.select("rep", F.col("key").alias("own")), (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("own"))).select("doc_id", "n_shingles", "bands").dropDuplicates(["doc_id"]), "reps"
-    )
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    buckets = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    shared = materialize(banded.join(buckets, "band").select("band", "n", "doc_id"), "shared-bands")
-    degree = materialize(shared.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degrees")
-    middle = shared.join(degree, "doc_id").groupBy("band").agg(F.max(F.struct("degree", -F.col("doc_id"))).alias("m"))
-    central = materialize(middle.select("band", (-F.col("m.col2")).alias("pivot")), "central")
-    full = _full_sets(docs, shared.select("doc_id").distinct())
-    first = _measured(full, _to_pivots(shared.join(central, "band"), 1))
-    links = _links(first)
-    open_rows = _open(shared, components(links))
-    drawn = F.struct(F.xxhash64("doc_id", F.lit(11)), "doc_id", "label")
-    pivots = materialize(open_rows.groupBy("band").agg(F.max(drawn).alias("m")).select("band", F.col("m.doc_id").alias("pivot"), F.col("m.label").alias("pivot_label")), "pivots")
-    links = links.unionByName(_links(_measured(full, _to_pivots(open_rows.join(pivots, "band").where("label != pivot_label"), 2))))
-    far = first.select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), (1 - F.col("both") / F.col("all")).alias("far"))
-    trees = components(links)
-    rest = _open(open_rows.drop("label"), trees)
-    alone = _shared_counts(full, rest.select("doc_id").distinct())
-    known = reps.select("doc_id", "n_shingles").join(far, "doc_id", "left").join(alone, "doc_id", "left")
-    common = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
-    facts = known.select("doc_id", "n_shingles", F.coalesce("pivot", "doc_id").alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far"), common.alias("common"))
-    facts = materialize(facts.where(F.lit(100) * F.col("common") >= F.lit(PERCENT) * F.col("n_shingles")), "facts")
-    rest = _open(rest.join(facts.select("doc_id"), "doc_id", "left_semi").drop("label"), trees)
-    facts = materialize(facts.join(_fine(full, rest.select("doc_id").distinct()), "doc_id").join(reps.select("doc_id", "bands"), "doc_id"), "signed")
-    more = _links(_measured(full, materialize(_across(rest.join(facts, "doc_id")), "pairs-across")))
-    tree = materialize(rest.select("doc_id", "label").distinct(), "trees")
-    ends = more.join(tree.select(F.col("doc_id").alias("a"), F.col("label").alias("x")), "a").join(tree.select(F.col("doc_id").alias("b"), F.col("label").alias("y")), "b")
-    between = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()  # a link for two trees is enough
-    joined = components(between).select(F.col("node").alias("tree"), F.col("label").alias("joined"))
+def _renamed(trees: DataFrame, between: DataFrame) -> DataFrame:
+    """node, label after links (a, b) between labels; a tree of one node may not be in trees yet."""
+    joined = materialize(components(between).select(F.col("node").alias("tree"), F.col("label").alias("joined")), "joined")
     lone = joined.join(trees, F.col("tree") == F.col("node"), "left_anti").select(F.col("tree").alias("node"), F.col("tree").alias("label"))
     every = trees.unionByName(lone)
-    final = materialize(every.join(joined, F.col("label") == F.col("tree"), "left").select("node", F.coalesce("joined", "label").alias("label")), "components")
-    named = materialize(classes.join(final, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("label", "rep").alias("component_id"), "members"), "named")
-    out = ["doc_id", "n_shingles", "component_id"]
-    some = attach_by_key(rows.where("n_shingles > 0").select("doc_id", "n_shingles", "key"), named, "key", "members", n).select(*out)
-    every = some.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return materialize(every.join(joined, F.col("label") == F.col("tree"), "left").select("node", F.coalesce("joined", "label").alias("label")), "components")
+
+
+def _trees(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """node, label of the classes that have a link; reps: node, bands. None if no two share a band."""
+    banded = reps.select("node", F.explode("bands").alias("band"))
+    buckets = materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    shared = materialize(banded.join(buckets, "band").select("band", "n", "node"), "shared-bands")  # narrow rows; a hot band is split by the adaptive skew join
+    if shared.isEmpty():
+        return None
+    degree = materialize(shared.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
+    middle = shared.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", -F.col("node"))).alias("m"), F.max("n").alias("n"))
+    central = middle.select("band", (-F.col("m.col2")).alias("pivot"), "n")
+    full = _full_sets(docs, degree.select("node"))
+    links = _linked(full, _to_pivots(_meet(shared, central), 1))
+    trees = components(links)
+    rest = _open(shared, trees)
+    if rest.isEmpty():
+        return trees
+    drawn = F.struct(F.xxhash64("node", F.lit(11)), "node", "label")
+    pivots = rest.groupBy("band").agg(F.max(drawn).alias("m"), F.max("n").alias("n")).select("band", F.col("m.node").alias("pivot"), F.col("m.label").alias("pivot_label"), "n")
+    more = _linked(full, _to_pivots(_meet(rest, pivots).where("label != pivot_label"), 2))
+    trees = components(links.unionByName(more))
+    rest = _open(rest.drop("label"), trees)
+    if rest.isEmpty():
+        return trees
+    sets = _common_sets(full, rest.select("node").distinct())
+    rest = _open(rest.join(sets.select("node"), "node", "left_semi").drop("label"), trees)
+    if rest.isEmpty():
+        return trees
+    # bands with the same classes are compared once; then classes without a likely partner go, before any set is moved
+    same = materialize(rest.groupBy("band").agg(F.count(F.lit(1)).alias("c"), *(F.sum(F.xxhash64("node", F.lit(i)) % 2**40).alias(f"s{i}") for i in (0, 1))), "band-members")
+    once = same.groupBy("c", "s0", "s1").agg(F.min("band").alias("band")).select("band")
+    rest = materialize(rest.join(once, "band", "left_semi"), "distinct-bands")
+    likely = _by_cell(_cells(rest, sets.select("node", F.lit(FINE).cast("long").alias("size"))), sets.select("node", "n_shingles", "sig"), _likely, "band node")
+    rest = _open(rest.join(likely, ["band", "node"], "left_semi").drop("label"), trees)
+    for diagonal in (True, False):
+        between = None if rest.isEmpty() else _across(rest, sets, diagonal)
+        if between is not None and not between.isEmpty():
+            trees = _renamed(trees, between)
+            rest = _open(rest.drop("label"), trees) if diagonal else rest
+    return trees
+
+
+def _judged(docs: DataFrame, identity: bool = False) -> DataFrame:
+    """doc_id, node, n_shingles, label (and sha) of each row."""
+    rows = materialize(sketch(docs, identity), "sketches")
+    n = rows.count()
+    filled = rows.where("n_shingles > 0")
+    least = F.min(F.struct("node", "n_shingles", "bands")).alias("m")
+    classes = materialize(filled.groupBy("key").agg(least, F.count(F.lit(1)).alias("members")).select("key", "m.*", "members"), "classes")
+    trees = _trees(docs, classes.select("node", "bands"))
+    named = classes.select("key", F.col("node").alias("label"), "members")
+    if trees is not None:
+        named = materialize(classes.join(trees, "node", "left").select("key", F.coalesce("label", "node").alias("label"), "members"), "named")
+    out = ["doc_id", "node", "n_shingles", "label", *["sha"] * identity]
+    some = attach_by_key(filled.drop("bands"), named, "key", "members", n).select(*out)
+    return some.unionByName(rows.where("n_shingles = 0").withColumn("label", F.col("node")).select(*out))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row."""
+    named = F.when(F.col("label") < NAMELESS, F.col("label")).alias("component_id")
+    return _judged(docs).select("doc_id", "n_shingles", named, (F.col("node") == F.col("label")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The input's rows that stand for their component, with all their columns as they were."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row for each component, with all its columns as they were: that with the component's id, or, of rows that repeat it, any one."""
+    judged = materialize(_judged(docs, True).select("doc_id", "sha", (F.col("node") != F.col("label")).alias("gone")), "judged")
+    return keep_decided(docs, judged)
