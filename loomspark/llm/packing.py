@@ -40,7 +40,7 @@ GROUPS = 40
 SMALL = 8
 END_ID = 1
 #: Words whose ids a worker remembers, and characters tokenized together.
-CACHE_WORDS, CHUNK_CHARS = 400_000, 2_000_000
+CACHE_WORDS, CHUNK_CHARS = 250_000, 1_000_000
 #: Words of each worker whose ids are compared with the tokenizer's own.
 CHECK_ONE_IN = 500
 CHECK_WORDS = 2000
