@@ -7,7 +7,6 @@ from itertools import pairwise
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from loomspark.llm import chat, decontaminate, exact_dedup, near_dedup, packing, repeats, secrets, toxicity, url_filter, warc
 
@@ -43,15 +42,8 @@ def test_exact_dedup(spark):
     assert kept.columns == ["doc_id", "text", "kept", "n_words", "label"] and {r.doc_id for r in kept.collect()} == {2, 3, 5, 6, 7, 8, 9, None, 10, 11}
 
 
-def test_near_dedup(spark):
-    rng = random.Random(3)
-    base = words(200, 9, 5000).split()
-    docs = list(DOCS)
-    for i in range(120):
-        own = list(base)
-        for _ in range(rng.choice([0, 1, 3, 8, 14, 25])):
-            own[rng.randrange(len(own))] = f"z{rng.randrange(10**6)}"
-        docs.append((100 + i, " ".join(own)))
+def brute_components(docs):
+    """Shingle sets, and the least id reachable, by comparing all pairs."""
     low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
     sets, par = {}, {}
     for i, t in docs:
@@ -70,6 +62,19 @@ def test_near_dedup(spark):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 par[max(x, y)] = min(x, y)
+    return sets, root
+
+
+def test_near_dedup(spark):
+    rng = random.Random(3)
+    base = words(200, 9, 5000).split()
+    docs = list(DOCS)
+    for i in range(120):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 3, 8, 14, 25])):
+            own[rng.randrange(len(own))] = f"z{rng.randrange(10**6)}"
+        docs.append((100 + i, " ".join(own)))
+    sets, root = brute_components(docs)
     got = near_dedup.near_duplicates(frame(spark, docs)).collect()
     assert len(got) == len(docs)
     for r in got:
@@ -284,12 +289,13 @@ def test_toxicity(spark):
 
 
 def test_secrets(spark):
-    forest = secrets.train(secrets.generated_findings())
+    known = secrets.language([])
+    forest = secrets.train(secrets.generated_findings(), known)
     test = secrets.generated_findings(600, seed=77)
-    x = np.array([secrets.features(t, a, b, next((k for s, e, k in secrets.candidates(t) if (s, e) == (a, b)), False)) for t, a, b, _ in test])
+    x = np.array([secrets.features(t, a, b, next((k for s, e, k in secrets.candidates(t) if (s, e) == (a, b)), False), known) for t, a, b, _ in test])
     assert ((forest.predict(x) >= 0.5) == np.array([y == 1 for *_, y in test])).mean() > 0.97
     text = "note é password=da6a7d4f67f2203943 and commit da39a3ee5e6b4b0d3255bfef95601890afd80709 end"
-    got = {r.start: r for r in secrets.scan(frame(spark, [(1, text), (2, None), (3, "")]), forest).collect()}
+    got = {r.start: r for r in secrets.scan(frame(spark, [(1, text), (2, None), (3, "")]), forest, known=known).collect()}
     assert {text[s : s + r.length]: r.is_secret for s, r in got.items()} == {"da6a7d4f67f2203943": True, "da39a3ee5e6b4b0d3255bfef95601890afd80709": False}
     assert secrets.scan(frame(spark, []), forest).count() == 0
 
@@ -301,19 +307,3 @@ def test_secrets_of_any_length(spark):
     got = secrets.scan(frame(spark, [(i, a + v + " end") for i, (a, v) in values.items()])).collect()
     assert sorted((x.doc_id, x.start, x.length, x.value_sha256) for x in got) == [(i, len(a), len(v), hashlib.sha256(v.encode()).hexdigest()) for i, (a, v) in values.items()]
     assert {x.doc_id for x in got if x.is_secret} >= {1, 3}
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-    from loomspark.llm._common import documents
-
-    sf = "/root/testdata/sf0.001"
-    docs = documents(spark, sf)
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontaminate", "pack"]
-    sizes = [docs.count()]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialize(stage(spark, docs, sf), "test")
-        assert docs.columns == corpus_pipeline.COLUMNS
-        sizes.append(docs.count())
-    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.7 * sizes[0]
-    assert docs.select(F.countDistinct("doc_id")).first()[0] == sizes[-1]
