@@ -173,7 +173,8 @@ _NOTES = " ".join(f"WHEN code = '{c}'" + (f" AND ({' OR '.join(f'contains(lower(
 
 
 def residual_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = comments(spark, sf_dir).withColumn("level", noise.noise_level(F.col("text")))
+    left = F.when(F.col("comment_id") % 3 == 0, F.concat("text", F.lit(" after it was Rebased"))).otherwise(F.col("text"))
+    c = comments(spark, sf_dir).withColumn("text", left).withColumn("level", noise.noise_level(F.col("text")))
     return checks.residual(c, "text", "level").select("comment_id", "text")
 
 
@@ -451,6 +452,9 @@ sq AS (SELECT comment_id, text, failed, substr('ABCDEFGH', CAST(k % 8 + 1 AS INT
 x AS (SELECT text = '' AS e, failed, d FROM decided)
 SELECT CASE WHEN e THEN 'EMPTY_TEXT' WHEN failed THEN 'API_ERROR' WHEN d.rule LIKE 'none%' THEN CASE WHEN d.conf < 0.7 THEN 'REVIEW' ELSE 'ACCEPTED' END WHEN d.rule LIKE '%override%' THEN 'RULE_OVERRIDE' WHEN d.rule LIKE '%confirmed%' THEN 'RULE_CONFIRMED' ELSE 'RULE_APPLIED' END AS status,
   CASE WHEN e OR failed THEN 'H' ELSE d.code END AS code, e OR failed OR d.conf < 0.7 AS needs_review, count(*) AS n FROM x GROUP BY 1, 2, 3"""
+SQL_RESIDUAL = f"""
+WITH {SQL_NOISE} SELECT comment_id, text FROM noise JOIN (SELECT comment_id, text FROM comments) USING (comment_id) WHERE noise_level = 'useful' AND {_any(checks.RESIDUAL_KEYWORDS, 'text')}
+""".replace("% 50 AS issue_number, text, ", "% 50 AS issue_number, CASE WHEN o_orderkey % 3 = 0 THEN text || ' after it was Rebased' ELSE text END AS text, ")
 SQL: dict[str, str] = SQL_OVER_SAID | {
     "said_counts": rf"""WITH {SQL_SAID}, c AS (SELECT comment_id, text, regexp_replace(text, {_quoted(_TEAM)}, '\1 ', 'g') AS rest FROM comments)
 SELECT comment_id, len(regexp_extract_all(rest, {_quoted(_USER)}))::INT AS users, len(regexp_extract_all(text, {_quoted(_TEAM)}))::INT AS teams, len(regexp_extract_all(text, '(?:^|\s)(/(?:{T.COMMANDS}))\b', 1))::INT AS commands, md5({queries._FIRST.format('text', 60)}) AS query_md5,
@@ -468,8 +472,7 @@ SELECT comment_id, len(regexp_extract_all(rest, {_quoted(_USER)}))::INT AS users
       count(*) FILTER (conf < 0.7 OR true_code <> code) AS to_review, round(avg((true_code = code)::INT), 6) AS accuracy
       FROM lab""",
     "review_notes": f"WITH {SQL_COMMENTS} SELECT CASE {_NOTES} ELSE {_quoted(checks.OTHER_NOTE)} END AS note, count(*) AS n FROM comments GROUP BY 1",
-    "residual_audit": f"""WITH {SQL_NOISE} SELECT comment_id, text FROM noise JOIN (SELECT comment_id, text FROM comments) USING (comment_id)
-      WHERE noise_level = 'useful' AND {_any(checks.RESIDUAL_KEYWORDS, 'text')}""",
+    "residual_audit": SQL_RESIDUAL,
     "any_column_search": f"""WITH {SQL_COMMENTS} SELECT comment_id FROM comments WHERE contains(lower(text), 'cluster') UNION ALL SELECT comment_id
       FROM comments WHERE regexp_matches(text, '\\bperf\\b', 'i')""",
     "label_matrix": "SELECT quality AS truth, count(*) FILTER (toxic = 0) AS as_0, count(*) FILTER (toxic = 1) AS as_1 FROM labels WHERE quality IN (0, 1) GROUP BY 1",
