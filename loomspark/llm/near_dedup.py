@@ -195,8 +195,10 @@ def _linked(full: DataFrame, pairs: DataFrame) -> DataFrame:
     hot = F.broadcast(pairs.groupBy("a").count().where(F.col("count") > max(SALT, n // HOT_SHARE)).select("a", F.ceil(F.col("count") / SALT).alias("copies")))  # fewer than HOT_SHARE rows
     copies = F.coalesce("copies", F.lit(1).cast("long"))
     dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).alias("copy"))
-    sets = full.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")).join(hot, "a", "left").select("a", "set_a", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
-    one = dealt.join(full.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    # Bloom filters of the pairs' ends: no other set is moved
+    having = lambda end: probed(full, F.xxhash64("node"), bitmaps(pairs.select(F.xxhash64(end).alias("h")), n), "__some").where("__some")
+    sets = having("a").select(F.col("node").alias("a"), F.col("shingles").alias("set_a")).join(hot, "a", "left").select("a", "set_a", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
+    one = dealt.join(having("b").select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     return materialize(one.join(sets, ["a", "copy"]).select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct(), "linked")
 
 
