@@ -119,9 +119,11 @@ def _sums(rows: DataFrame, books: list[np.ndarray]) -> DataFrame:
 def train(rows: DataFrame, entries: int = ENTRIES, rounds: int = ROUNDS) -> list[np.ndarray]:
     """Codebooks from rows (vec_id, parts), read from storage; at most `entries` rows, and the sums for each entry, come to the driver."""
     first = rows.select("vec_id", "parts").orderBy(F.col("vec_id").asc_nulls_last(), "parts").limit(entries).collect()
+    if not first:
+        return [np.zeros((0, 0), np.int64)] * PARTS
     start = np.array([r["parts"] for r in first], np.int64).reshape(len(first), PARTS, -1)
     books = [np.ascontiguousarray(start[:, part]) for part in range(PARTS)]
-    for _ in range(rounds if len(first) else 0):
+    for _ in range(rounds):
         for part, entry, n, total in _sums(rows, books).collect():
             books[part][entry] = np.array(total, np.int64) // n
     return books
