@@ -3,9 +3,10 @@
 Each component becomes floor(1024 x); a vector is cut into PARTS equal parts, and each part position has a codebook of at most ENTRIES entries, first the parts of the
 rows with the smallest ids. A round assigns every part to its nearest entry and replaces each entry by its parts' mean, floored. Distances are exact integers.
 
-Search: dimensions go in descending variance of the codebook. After LEAD of them, held densely, the entry that is nearest so far is completed; its distance
-is the current best. From then on (row, entry) pairs are kept as flat arrays; each dimension adds to all of them at once, and a mask drops those whose
-sum strictly exceeds the row's best complete distance. Halfway the then nearest entry is completed as well. What ties is never dropped, so ties go to the lower index.
+Search: dimensions go in descending variance of the codebook. After every STEP of them the entry that is nearest so far is completed; the least such distance
+is the current best, and a mask drops the entries whose sum strictly exceeds it. Sums only grow and the best only falls, so what is dropped stays dropped. Once one of FEW
+is left or less, the rest are kept as flat arrays of rows and entries, to which each dimension adds and of which the mask takes away. What ties is never
+dropped, so ties go to the lower index.
 
 A round is one pass over the vectors; a task gives at most PARTS * ENTRIES rows of sums, so a hot entry is no hot task, and the driver holds no more than the codebooks.
 
@@ -30,8 +31,8 @@ from loomspark.llm._common import attach_by_key, materialize
 
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
 SCALE, BOUND = 1024, 1 << 24
-#: Dimensions that are summed for all entries before any is dropped, and rows searched at once.
-LEAD, ROWS = 3, 512
+#: Dimensions between two completions, the share of entries from which flat arrays are quicker, and rows searched at once.
+STEP, FEW, ROWS = 4, 16, 256
 
 
 class Codes(NamedTuple):
@@ -49,18 +50,23 @@ def nearest(rows: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     centred = book - book.mean(0)
     order = np.argsort(-(centred * centred).mean(0), kind="stable")
     x, c = rows[:, order], book[:, order]
-    lead = min(LEAD, d)
-    total = np.zeros((n, len(c)), np.int64)
-    for j in range(lead):
-        total += (x[:, j, None] - c[None, :, j]) ** 2
     complete = lambda row, entry: ((x[row] - c[entry]) ** 2).sum(1)
-    best = complete(np.arange(n), total.argmin(1))
-    row, entry = np.nonzero(total <= best[:, None])
+    every, columns = np.arange(n), np.ascontiguousarray(c.T)
+    total, gap = np.zeros((n, len(c)), np.int64), np.empty((n, len(c)), np.int64)
+    best, j = np.full(n, np.iinfo(np.int64).max), 0
+    while True:
+        for j in range(j, min(j + STEP, d)):
+            np.subtract(x[:, j, None], columns[j], out=gap)
+            np.multiply(gap, gap, out=gap)
+            total += gap
+        j += 1
+        best = np.minimum(best, complete(every, total.argmin(1)))
+        left = total <= best[:, None]
+        if j == d or np.count_nonzero(left) * FEW <= left.size:
+            break
+    row, entry = np.nonzero(left)
     total = total[row, entry]
-    for j in range(lead, d):
-        if j == (lead + d) // 2:
-            at = _least(row, total)
-            best = np.minimum(best, complete(row[at], entry[at]))
+    for j in range(j, d):
         total = total + (x[row, j] - c[entry, j]) ** 2
         keep = total <= best[row]
         row, entry, total = row[keep], entry[keep], total[keep]
