@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.quantiles import exact_quantiles
+
 FEATURES = ("comment_count", "macro_diversity", "top_macro_frequency", "top_micro_score", "top_smell_frequency", "top_risk_frequency")
 
 
@@ -75,45 +75,17 @@ def scaled(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Adds <column>_norm in [0, 1]; a constant column gives 0. The extremes are one row, so it is broadcast."""
     ends = df.agg(*(f(c).cast("double").alias(f"__{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))))
     norm = lambda c: F.coalesce((F.col(c) - F.col(f"__lo_{c}")) / F.nullif(F.col(f"__hi_{c}") - F.col(f"__lo_{c}"), F.lit(0.0)), F.lit(0.0)).alias(f"{c}_norm")
-    return df.join(F.broadcast(ends)).select(*df.columns, *map(norm, columns))
+    return df.crossJoin(F.broadcast(ends)).select(*df.columns, *map(norm, columns))
 
 
 def level(score: Column, q1: Column, q2: Column) -> Column:
     return F.when(score.isNull(), "Unknown").when(score <= q1, "Low Social Debt").when(score <= q2, "Medium Social Debt").otherwise("High Social Debt")
 
 
-def order_statistics(df: DataFrame, column: str, ranks: list[int], most: int, steps: int = 1024) -> dict[int, int]:
-    """The values (integers from 0 to most) that have the ranks (from 0): counts of at most `steps` parts narrow each rank down, pass by pass; nothing is sorted."""
-    found = {r: (0, most + 1, r) for r in ranks}  # from, to, rank within
-    while any(hi - lo > 1 for lo, hi, _ in found.values()):
-        spans = {(lo, hi) for lo, hi, _ in found.values() if hi - lo > 1}
-        counts = {}
-        for lo, hi in sorted(spans):
-            width = -(-(hi - lo) // steps)
-            part = F.floor((F.col(column) - lo) / width)
-            counts[lo, hi] = width, sorted(map(tuple, df.where((F.col(column) >= lo) & (F.col(column) < hi)).groupBy(part.alias("part")).count().collect()))  # at most `steps` rows
-        for r, (lo, hi, left) in found.items():
-            if hi - lo > 1:
-                width, parts = counts[lo, hi]
-                for part, n in parts:
-                    if left < n:
-                        found[r] = lo + part * width, min(hi, lo + (part + 1) * width), left
-                        break
-                    left -= n
-    return {r: lo for r, (lo, _, _) in found.items()}
-
-
-def quantiles(df: DataFrame, column: str, shares: tuple[float, ...], places: int = 9) -> list[float | None]:
-    """Exact quantiles, with linear interpolation, of values from 0 to 1 that have so many decimal places; None of no rows."""
-    unit = 10**places
-    whole = df.where(F.col(column).isNotNull()).select(F.round(F.col(column) * unit).cast("long").alias("x"))
-    n = whole.count()
-    if not n:
-        return [None] * len(shares)
-    at = [(n - 1) * s for s in shares]
-    known = order_statistics(whole, "x", sorted({k for p in at for k in (math.floor(p), math.ceil(p))}), unit)
-    low, high = [known[math.floor(p)] / unit for p in at], [known[math.ceil(p)] / unit for p in at]
-    return [a if a == b else (math.ceil(p) - p) * a + (p - math.floor(p)) * b for p, a, b in zip(at, low, high)]
+def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Exact quantiles, with linear interpolation; None of no rows."""
+    found = {r["share"]: r["value"] for r in exact_quantiles(df, [column], shares).collect()}
+    return [found.get(s) for s in shares]
 
 
 def with_index(features: DataFrame) -> DataFrame:

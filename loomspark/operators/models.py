@@ -7,7 +7,9 @@ tf * (ln((1 + n) / (1 + df)) + 1), unit length.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -15,8 +17,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.operators import tables
+from loomspark.operators import embedders, linear, tables
 from loomspark.operators.index import FEATURES
+from loomspark.plans.lineage import written
 
 MAX_TERMS, MIN_TEXTS, TREES, DEEPEST = 5000, 2, 300, 30
 Fit = Callable[[DataFrame, str], Model]
@@ -71,7 +74,14 @@ def vector_logistic(train: DataFrame, label: str, vector: str = "vector") -> Pip
     return _fit(wide, label, features, LogisticRegression(labelCol="y", weightCol="weight", maxIter=1000, regParam=1.0 / max(1, train.count()), family="multinomial"))
 
 
-MODELS: dict[str, Fit] = {"TF-IDF + Logistic Regression": text_logistic, "TF-IDF + Linear SVM": text_svm, "Random Forest + Adaptive Features": feature_forest}
+class Linear(NamedTuple):
+    """A linear model over an embedder's vectors or, without one, over weighted words; all such models and folds are trained in one go."""
+
+    loss: str = "logistic"
+    embedder: embedders.Embedder | None = None
+
+
+MODELS: dict[str, Fit | Linear] = {"TF-IDF + Logistic Regression": Linear(), "TF-IDF + Linear SVM": Linear("hinge"), "Random Forest + Adaptive Features": feature_forest}
 
 
 def compact(df: DataFrame) -> DataFrame:
@@ -108,26 +118,55 @@ def importance_by_fold(issues: DataFrame, label: str, key: str, columns: tuple[s
     return made.groupBy("feature").agg(F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("std"))
 
 
-def holdout(issues: DataFrame, label: str, key: str, models: dict[str, Fit] = MODELS, test_share: float = 0.3) -> DataFrame:
+def together(rows: DataFrame, models: dict[str, Linear], folds: list[int], classes: int, text: str = "text") -> dict[str, np.ndarray]:
+    """Confusion by fold, true and predicted class of each model; rows: fold, y and the text."""
+    some = {name: f"v{i}" for i, (name, m) in enumerate(models.items()) if m.embedder}
+    columns = [embedders.embedded(F.col(text), models[name].embedder).alias(c) for name, c in some.items()]
+    known = embedders.vocabulary(rows, text, folds) if len(some) < len(models) else None
+    if known:
+        columns.append(embedders.counted_terms(F.col(text), known).alias("terms"))
+    ready = written(rows.select("fold", "y", *columns), "model-rows")
+    problems = [linear.Problem(name, some.get(name, "terms"), m.loss, idf=None if m.embedder else known.idf) for name, m in models.items()]
+    return dict(zip(models, linear.confusion(ready, linear.fit(ready, problems, folds, classes))))
+
+
+def _judged(split: DataFrame, label: str, models: dict[str, Fit | Linear], folds: list[int], text: str) -> dict[str, np.ndarray]:
+    """Confusion of every model on each fold, learned from the other rows; split: the issues and their fold."""
+    labels = [r[0] for r in split.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).limit(1000).collect()]  # levels: three
+    y = (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("int")
+    named = split.where(F.col(label).isNotNull()).withColumn("__y", y)
+    own = {name: m for name, m in models.items() if isinstance(m, Linear)}
+    out = together(named.select("fold", F.col("__y").alias("y"), text), own, folds, max(2, len(labels)), text) if own else {}
+    for name, fit in models.items():
+        if name not in own:
+            out[name] = np.zeros((len(folds), len(labels), len(labels)))
+            for k, f in enumerate(folds):
+                model = fit(split.where(F.col("fold") != f), label)
+                guess = (F.array_position(F.array(*map(F.lit, labels)), F.col("predicted")) - 1).cast("int").alias("guess")
+                for true, said, n in predict(model, named.where(F.col("fold") == f)).groupBy("__y", guess).count().collect():
+                    out[name][k, true, said] += n
+    return {name: out[name] for name in models}
+
+
+def holdout(issues: DataFrame, label: str, key: str, models: dict[str, Fit | Linear] = MODELS, test_share: float = 0.3, text: str = "text") -> DataFrame:
     """model, accuracy, macro_f1, weighted_f1 on the part held out of each label."""
-    split = compact(tables.stratified_split(issues, label, key, test_share))
-    labels = [r[0] for r in split.select(label).distinct().orderBy(label).collect()]  # levels: three
-    train, test = split.where("not is_test"), split.where("is_test")
-    out = [scores(predict(fit(train, label), test), label, labels).withColumn("model", F.lit(name)) for name, fit in models.items()]
-    every = out[0]
-    for more in out[1:]:
-        every = every.unionByName(more)
-    return every.select("model", *(F.round(c, 4).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")))
+    split = compact(tables.stratified_split(issues, label, key, test_share).withColumn("fold", F.when(F.col("is_test"), 0).otherwise(1)).drop("is_test"))
+    rows = [(name, *(round(x, 4) for x in linear.scores(found[0]))) for name, found in _judged(split, label, models, [0], text).items()]
+    return issues.sparkSession.createDataFrame(rows, "model string, accuracy double, macro_f1 double, weighted_f1 double")
 
 
-def cross_validation(issues: DataFrame, label: str, key: str, models: dict[str, Fit] = MODELS, n: int = 5) -> DataFrame:
+def cross_validation(issues: DataFrame, label: str, key: str, models: dict[str, Fit | Linear] = MODELS, n: int = 5, text: str = "text") -> DataFrame:
     """model, mean and population deviation of the three scores over n folds."""
-    split = compact(tables.folds(issues, label, key, n))
-    labels = [r[0] for r in split.select(label).distinct().orderBy(label).collect()]
-    rows = []
-    for name, fit in models.items():
-        for k in range(n):
-            one = scores(predict(fit(split.where(F.col("fold") != k), label), split.where(F.col("fold") == k)), label, labels).first()
-            rows.append((name, one.accuracy, one.macro_f1, one.weighted_f1))  # a row a model and fold
-    made = issues.sparkSession.createDataFrame(rows, "model string, accuracy double, macro_f1 double, weighted_f1 double")
-    return made.groupBy("model").agg(*(F.round(f(c), 4).alias(f"{c}_{end}") for c in ("accuracy", "macro_f1", "weighted_f1") for f, end in ((F.avg, "mean"), (F.stddev_pop, "std"))))
+    found = _judged(compact(tables.folds(issues, label, key, n)), label, models, list(range(n)), text)
+    return issues.sparkSession.createDataFrame(embedders.score_table(list(found), list(found.values())), f"model string, {embedders.SCORES}")
+
+
+def final_comparison(issues: DataFrame, label: str, key: str, own: list[embedders.Embedder], models: dict[str, Fit | Linear] = MODELS, n: int = 5, text: str = "text") -> DataFrame:
+    """model, input_type and mean scores over n folds of all models and of the best embedder by macro F1, the best first."""
+    every = models | {f"Best embedder ({e.name})": Linear(embedder=e) for e in own}
+    found = cross_validation(issues, label, key, every, n, text).collect()
+    best = max((r for r in found if r["model"] not in models), key=lambda r: r["macro_f1_mean"], default=None)
+    kind = lambda name: "Adaptive structured features" if not isinstance(every[name], Linear) else "Issue text embeddings" if every[name].embedder else "Issue text"
+    rows = [(r["model"], kind(r["model"]), r["accuracy_mean"], r["macro_f1_mean"], r["weighted_f1_mean"]) for r in found if r["model"] in models or r is best]
+    made = issues.sparkSession.createDataFrame(rows, "model string, input_type string, accuracy_mean double, macro_f1_mean double, weighted_f1_mean double")
+    return made.orderBy(F.desc("macro_f1_mean"), "model")

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.regex import strip
+from loomspark.operators.quantiles import exact_quantiles
 
 
 def value_counts(df: DataFrame, column: str, keep_null: bool = True) -> DataFrame:
     """value, n, percentage (2 places)."""
     rows = df if keep_null else df.where(F.col(column).isNotNull())
-    return rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("percentage", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
+    counts = rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    total = rows.agg(F.count(F.lit(1)).alias("__all"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("value", "n", F.round(100 * F.col("n") / F.col("__all"), 2).alias("percentage"))
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
@@ -62,10 +65,14 @@ def stratified(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> D
 
 
 def summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, count, mean, std, min, quartiles, max; quartiles are exact."""
-    each = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select("e.column_name", "e.x")
-    q = lambda p, n: F.percentile("x", F.lit(p)).alias(n)
-    return each.groupBy("column_name").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q(0.25, "p25"), q(0.5, "p50"), q(0.75, "p75"), F.max("x").alias("max"))
+    """column_name, count, mean, std, min, quartiles, max; quartiles are exact. Nulls and NaN are left out."""
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    each = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), number(c).alias("x")) for c in columns))).alias("e")).select("e.column_name", "e.x")
+    moments = each.groupBy("column_name").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    found = exact_quantiles(df, columns, tuple(shares.values()))
+    quartiles = found.groupBy("column_name").agg(*(F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for n, s in shares.items()))
+    return moments.join(F.broadcast(quartiles), "column_name", "left").select("column_name", "count", "mean", "std", "min", *shares, "max")  # a row a column
 
 
 def null_counts(df: DataFrame) -> DataFrame:
