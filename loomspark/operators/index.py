@@ -23,8 +23,8 @@ COUNTED = ("macrocauses", "microcauses", "community_smells", "risks")
 MOST = 5
 
 
-def counters(comments: DataFrame) -> DataFrame:
-    """issue_number, kind, name, v (sum), p (first position): the four counters of all issues in one pass, combined before they travel.
+def counted_items(comments: DataFrame) -> DataFrame:
+    """issue_number, row_ord and x (kind, name, v and the places i, j within the comment) for all that a comment counts.
 
     comments: issue_number, row_ord, code, microcauses array<struct<cause_name, similarity, community_smells, risks>>. Null issues are left out.
     A null code counts as H; a null similarity counts as 0; null lists are empty. Counters of parts of the comments can be summed up again."""
@@ -35,15 +35,23 @@ def counters(comments: DataFrame) -> DataFrame:
     own = F.array(item("macrocauses", F.coalesce("code", F.lit("H")), F.lit(1), none, none))
     micro = F.transform("microcauses", lambda m, i: item("microcauses", m["cause_name"], F.coalesce(m["similarity"], F.lit(0.0)), i, none))
     all_items = F.concat(own, *(F.coalesce(F.filter(x, lambda y: y.isNotNull()), empty) for x in (micro, listed("community_smells"), listed("risks"))))
-    rows = comments.where("issue_number is not null").select("issue_number", "row_ord", F.explode(all_items).alias("x"))
-    return rows.groupBy("issue_number", "x.kind", "x.name").agg(F.sum("x.v").alias("v"), F.min(F.struct("row_ord", "x.i", "x.j")).alias("p"))
+    return comments.where("issue_number is not null").select("issue_number", "row_ord", F.explode(all_items).alias("x"))
+
+
+def counters(comments: DataFrame) -> DataFrame:
+    """issue_number, kind, name, v (sum), p (first position): the four counters of all issues in one pass, combined before they travel."""
+    return counted_items(comments).groupBy("issue_number", "x.kind", "x.name").agg(F.sum("x.v").alias("v"), F.min(F.struct("row_ord", "x.i", "x.j")).alias("p"))
 
 
 def features_of(counted: DataFrame) -> DataFrame:
     """The features of each issue from its counters: the MOST leading names of each kind, how many these are, and the first one's value."""
     own = Window.partitionBy("issue_number", "kind")
     ranked = counted.select("issue_number", "kind", F.struct(F.row_number().over(own.orderBy(F.desc("v"), "p", "name")).alias("r"), "name", F.col("v").alias("value")).alias("x"), F.sum("v").over(own).alias("total"))
-    kept = ranked.where(F.col("x.r") <= MOST)
+    return features_of_ranked(ranked.where(F.col("x.r") <= MOST))
+
+
+def features_of_ranked(kept: DataFrame) -> DataFrame:
+    """Features from issue_number, kind, x (r, name, value) and total: the leading names of each kind."""
     of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("x")))), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))).alias(f"dominant_{k}")
     out = kept.groupBy("issue_number").agg(F.max(F.when(F.col("kind") == "macrocauses", F.col("total"))).cast("long").alias("comment_count"), *map(of, COUNTED))
     head = lambda c: F.coalesce(F.get(F.col(f"dominant_{c}"), F.lit(0))["value"], F.lit(0.0))

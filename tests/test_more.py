@@ -160,17 +160,37 @@ def test_csv_with_another_separator(spark, tmp_path):
     assert readers.without_predictions(spark.sql("select 1 as a, 2 as code"), ["code", "nope"]).columns == ["a"]
 
 
-def test_index_over_a_stream(spark, tmp_path):
-    rows = queries._index_input(spark, SF).withColumn("part", F.pmod(F.xxhash64("row_ord"), F.lit(3)))
-    for i in range(3):
-        rows.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stream.writeStream.foreachBatch(stream_index.index_of_each_batch(str(tmp_path / "out"))).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
-    last = max(int(p.name.rpartition("-")[2]) for p in (tmp_path / "out").glob("index-*"))
-    names = ["issue_number", "comment_count", "social_debt_index", "social_debt_level"]
-    want = index.with_index(index.issue_features(rows)).select(names)
-    assert last == 2 and rounded(map(tuple, spark.read.parquet(str(tmp_path / f"out/index-{last}")).select(names).collect())) == rounded(map(tuple, want.collect()))
+def test_index_over_a_stream(spark, tmp_path, monkeypatch):
+    """Deltas, full tables, a restart and a repeated batch give what the batch plan gives."""
+    monkeypatch.setattr(stream_index, "FULL", 2)
+    rows = queries._index_input(spark, SF).withColumn("part", F.pmod(F.xxhash64("row_ord"), F.lit(5)))
+    names = ["issue_number", "comment_count", *(f"dominant_{k}" for k in index.COUNTED), "social_debt_index", "social_debt_level"]
+    said = lambda df: sorted((str(r[0]), r[1], str([[(x["name"], round(x["value"], 6)) for x in c] for c in r[2:6]]), round(r[6], 6), r[7]) for r in df.select(names).collect())
+
+    def more(parts):
+        for i in parts:
+            rows.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        stream_index.start_index(stream, str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True).awaitTermination(240)
+        own = rows.where(F.col("part") <= max(parts))
+        return said(index.with_index(index.issue_features(own)))
+
+    want = more([0, 1, 2])
+    assert said(spark.read.parquet(str(tmp_path / "out/index-2"))) == want
+    want = more([3, 4])
+    assert said(spark.read.parquet(str(tmp_path / "out/index-4"))) == want
+    left = {p.name for p in (tmp_path / "out").iterdir()}
+    assert {n for n in left if not n.startswith("index")} == {"full-3", "features-4"} and {n for n in left if n.startswith("index")} == {"index-3", "index-4"}
+    again = spark.read.parquet(str(tmp_path / "out/features-4"))
+    ranked = [again.select("issue_number", F.lit(k).alias("kind"), F.posexplode(f"dominant_{k}").alias("r", "x"), F.col("comment_count").cast("double").alias("total")) for k in index.COUNTED]
+    batch = ranked[0]
+    for df in ranked[1:]:
+        batch = batch.unionByName(df)
+    batch = batch.select("issue_number", "kind", (F.col("r") + 1).alias("r"), "x.name", "x.value", "total")
+    batch = spark.createDataFrame(batch.collect())
+    stream_index.index_of_each_batch(str(tmp_path / "out"))(batch, 4)
+    assert said(spark.read.parquet(str(tmp_path / "out/index-4"))) == want
+    assert spark.conf.get(stream_index._PROVIDER).endswith("HDFSBackedStateStoreProvider")
 
 
 def test_stages_clean_like_the_plan(spark):
