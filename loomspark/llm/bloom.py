@@ -39,10 +39,11 @@ class Bitmaps(NamedTuple):
         return F.pmod(F.xxhash64(h, F.lit(1)) if fn else h, F.lit(self.cells)) + 1
 
 
-def bitmaps(hashes: DataFrame, n: int, least: int = 1, max_bytes: int | None = None) -> Bitmaps:
-    """Cells that at least `least` of the n hashes (column h) hit; counts are combined before they travel, so a hot hash is no hot task."""
+def bitmaps(hashes: DataFrame, n: int, least: int = 1, max_bytes: int | None = None, least_ranges: int = 1) -> Bitmaps:
+    """Cells that at least `least` of the n hashes (column h) hit; counts are combined before they travel, so a hot hash is no hot task.
+    least_ranges, a power of two: filters with equal ranges are probed together."""
     cells = 1 << max(15, (CELLS_PER_HASH * n - 1).bit_length())
-    ranges = max(1, 2 * cells // 8 // (max_bytes or MAX_BROADCAST_BYTES))
+    ranges = max(least_ranges, 2 * cells // 8 // (max_bytes or MAX_BROADCAST_BYTES))
     form = Bitmaps(hashes, max(1 << 15, cells // ranges), ranges)
     h = F.col("h")
     each = F.explode(F.array(*[F.struct(form.part(h).alias("part"), F.lit(fn).alias("fn"), form.cell(h, fn).alias("cell")) for fn in (0, 1)]))
@@ -59,19 +60,31 @@ def _bit(bitmap: Column, cell: Column) -> Column:
 
 def probed(rows: DataFrame, h: Column, known: Bitmaps, name: str) -> DataFrame:
     """Adds a boolean column: false only where the hash is not in the filter."""
+    return probed_all(rows, h, {name: known})
+
+
+def probed_all(rows: DataFrame, h: Column, filters: dict[str, Bitmaps]) -> DataFrame:
+    """Adds a boolean column for each filter; all have as many ranges, and the rows are read once a range, however many filters there are."""
+    ranges = {known.ranges for known in filters.values()}
+    if len(ranges) > 1:
+        raise ValueError(f"filters with {sorted(ranges)} ranges can't be probed together")
 
     def one(part: int) -> DataFrame:
-        out = rows.where(known.within(h, part)) if known.ranges > 1 else rows
-        for fn in (0, 1):
-            side = known.maps.where((F.col("part") == part) & (F.col("fn") == fn)).select(F.col("bucket").alias(f"__bucket{fn}"), F.col("bits").alias(f"__bits{fn}"))
-            out = out.join(F.broadcast(side), F.bitmap_bucket_number(known.cell(h, fn)) == F.col(f"__bucket{fn}"), "left")  # at most MAX_BROADCAST_BYTES
-        both = [_bit(F.col(f"__bits{fn}"), known.cell(h, fn)) for fn in (0, 1)]
-        return out.withColumn(name, both[0] & both[1]).drop(*[f"__{k}{i}" for i in (0, 1) for k in ("bucket", "bits")])
+        first = next(iter(filters.values()))
+        out = rows.where(first.within(h, part)) if first.ranges > 1 else rows
+        for k, (name, known) in enumerate(filters.items()):
+            for fn in (0, 1):
+                side = known.maps.where((F.col("part") == part) & (F.col("fn") == fn)).select(F.col("bucket").alias(f"__bucket{k}{fn}"), F.col("bits").alias(f"__bits{k}{fn}"))
+                # at most MAX_BROADCAST_BYTES a filter
+                out = out.join(F.broadcast(side), F.bitmap_bucket_number(known.cell(h, fn)) == F.col(f"__bucket{k}{fn}"), "left")
+            both = [_bit(F.col(f"__bits{k}{fn}"), known.cell(h, fn)) for fn in (0, 1)]
+            out = out.withColumn(name, both[0] & both[1]).drop(*[f"__{c}{k}{i}" for i in (0, 1) for c in ("bucket", "bits")])
+        return out
 
-    return reduce(DataFrame.unionByName, map(one, range(known.ranges)))
+    return reduce(DataFrame.unionByName, map(one, range(ranges.pop())))
 
 
-def keep_decided(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_decided(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int | None = None) -> DataFrame:
     """The input's rows that are not gone, with all their columns as they were; of rows that repeat id and text any one.
 
     decided (read from storage): doc_id, sha (of the text), gone. A first filter holds the rows gone or repeated, a second one the kept rows
@@ -82,11 +95,12 @@ def keep_decided(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", te
     hashed = decided.select(ident(F.col("doc_id"), F.col("sha")).alias("h"), "gone")
     marked = materialize(probed(hashed, F.col("h"), bitmaps(hashed, n, 2), "repeated"), "marked")
     special = marked.where("gone or repeated").select("h")
-    first = bitmaps(special, special.count())
+    first = bitmaps(special, special.count(), max_bytes=max_bytes)
+    # both filters are as large, so that one pass over the texts a range probes both
     passed = materialize(probed(marked.where("not gone").select("h"), F.col("h"), first, "hit").where("hit").select("h"), "passed")
-    second = bitmaps(passed, passed.count())
+    second = bitmaps(passed, passed.count(), max_bytes=max_bytes, least_ranges=first.ranges)  # no more hashes than in the first
     rows = docs.withColumn("__sha", F.unhex(F.sha2(safe_text(F.col(text_col)), 256))).withColumn("__h", ident(F.col(id_col), F.col("__sha")))
-    tested = probed(probed(rows, F.col("__h"), first, "__gone"), F.col("__h"), second, "__open")
+    tested = probed_all(rows, F.col("__h"), {"__gone": first, "__open": second})
     extra = ["__sha", "__h", "__gone", "__open"]
     sure = tested.where("not __gone").drop(*extra)
     gone = decided.where("gone").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__its")).distinct()

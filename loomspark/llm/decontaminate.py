@@ -8,7 +8,7 @@ tokens; the shingle's place in the window gives the only possible start, which m
 (positional and length bounds), and the words there are compared one by one over the window's length.
 
 The benchmark is taken in blocks of about MAX_BLOCK_BYTES of text: only one block's index is ever in a
-worker's memory, and each block is a further pass in the same stage, so a benchmark of any size works. Documents are never shuffled.
+worker's memory, and each block is a further written pass over the documents, so a benchmark of any size works. Documents are never shuffled.
 
 Null texts have no words. Items without words have no windows; items with equal windows all count; an item without id counts as ''.
 Repeated rows get the same result; empty tables give empty results or no hits. Other columns are not read by decontaminate().
@@ -63,10 +63,11 @@ class Index:
         return sorted({min(SHINGLE, len(w)) for w in self.windows})
 
     def key(self, ids) -> int:
+        """Modulo 2^64, as _shingles() has it: from two million words on keys are hashes. Windows with equal keys are listed together, and words are compared."""
         key = 0
         for i in ids:
             key = key * (len(self.vocabulary) + 1) + int(i)
-        return key
+        return (key + 2**63) % 2**64 - 2**63
 
     def tokens(self, k: int) -> np.ndarray:
         """Sorted keys of all shingles of k words in windows that use this length."""

@@ -18,9 +18,9 @@ in a band are candidates: at a similarity of 0.75 a pair is missed with probabil
    what it can before the rest is dealt.
 So every pair that shares a band is either joined already or verified; no bucket is capped, no pairs are written, and no task gets more than two blocks at once.
 
-A null text has an empty set, as have texts without words; these are linked with nothing. Rows with a null doc_id take part under a number made
-from their text, above all ids; a component of such rows only has a null id, and one text of it is kept. Rows that repeat an id must repeat the
-text; they share a component. An empty table gives an empty result. Other columns are not read by near_duplicates().
+A null text has an empty set, as have texts without words; these are linked with nothing. Rows with a null doc_id take part under a 64-bit hash
+of their text (which is an id of another row with a probability of rows / 2^64); a component of such rows only has a null id, and one text of it is kept. Any 64-bit id is
+an id. Rows that repeat an id with other texts share a component, which the least of their sets (as bytes) decides. An empty table gives an empty result. Other columns are not read by near_duplicates().
 """
 
 from __future__ import annotations
@@ -50,9 +50,7 @@ FINE, LEAST_EQUAL = 256, 159
 #: Shingles whose bits are counted at once in a cell; a multiple of 64.
 COLUMNS = 8192
 #: Rows of a band that meet one copy of what is known of the band.
-CHUNK = 4096
-#: Rows without an id are numbered from here on.
-NAMELESS = 1 << 62
+BAND_ROWS = 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 #: Shingles hashed at once, so that all steps stay in the processor's cache.
@@ -114,10 +112,10 @@ def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.nd
 
 
 def _numbered(docs: DataFrame) -> list[Column]:
-    """doc_id, node (the id, or a number made from the text) and text."""
+    """doc_id, node (the id, or a 64-bit hash of the text) and text."""
     text = docs["text"].cast("string")
     own = F.col("doc_id").cast("long")
-    return [own.alias("doc_id"), F.coalesce(own, F.lit(NAMELESS) + F.pmod(F.xxhash64(safe_text(text)), F.lit(NAMELESS - 1))).alias("node"), text.alias("text")]
+    return [own.alias("doc_id"), F.coalesce(own, F.xxhash64(safe_text(text))).alias("node"), text.alias("text")]
 
 
 def sketch(docs: DataFrame, identity: bool = False) -> DataFrame:
@@ -173,7 +171,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = probed(docs.select(*_numbered(docs)[1:]), F.xxhash64("node"), bitmaps(own, own.count()), "__some").where("__some").select("node", "text")
     full = materialize(texts.mapInArrow(sets, "node long, shingles binary"), "shingles")
     repeats = full.groupBy("node").count().where("count > 1")
-    return full if repeats.isEmpty() else materialize(full.dropDuplicates(["node"]), "shingles")
+    return full if repeats.isEmpty() else materialize(full.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
 
 
 def _linked(full: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -358,8 +356,8 @@ def _across(rows: DataFrame, sets: DataFrame, diagonal: bool = False) -> DataFra
 
 
 def _meet(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (band, n, node) with what is known of each band (band, n); a band of n rows meets a copy of it for each CHUNK rows."""
-    copies = F.greatest(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("long")
+    """Rows (band, n, node) with what is known of each band (band, n); a band of n rows meets a copy of it for each BAND_ROWS rows."""
+    copies = F.greatest(F.ceil(F.col("n") / BAND_ROWS), F.lit(1)).cast("long")
     each = known.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("n")
     return rows.withColumn("__copy", F.pmod(F.xxhash64("node"), copies)).join(each, ["band", "__copy"]).drop("__copy")
 
@@ -394,8 +392,8 @@ def _trees(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     if shared.isEmpty():
         return None
     degree = materialize(shared.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
-    middle = shared.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", -F.col("node"))).alias("m"), F.max("n").alias("n"))
-    central = middle.select("band", (-F.col("m.col2")).alias("pivot"), "n")
+    middle = shared.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", F.bitwise_not("node").alias("below"))).alias("m"), F.max("n").alias("n"))
+    central = middle.select("band", F.bitwise_not("m.below").alias("pivot"), "n")
     full = _full_sets(docs, degree.select("node"))
     links = _linked(full, _to_pivots(_meet(shared, central), 1))
     trees = components(links)
@@ -428,28 +426,34 @@ def _trees(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
 
 
 def _judged(docs: DataFrame, identity: bool = False) -> DataFrame:
-    """doc_id, node, n_shingles, label (and sha) of each row."""
+    """doc_id, n_shingles, component_id, kept (and sha) of each row."""
     rows = materialize(sketch(docs, identity), "sketches")
     n = rows.count()
     filled = rows.where("n_shingles > 0")
     least = F.min(F.struct("node", "n_shingles", "bands")).alias("m")
-    classes = materialize(filled.groupBy("key").agg(least, F.count(F.lit(1)).alias("members")).select("key", "m.*", "members"), "classes")
+    classes = materialize(filled.groupBy("key").agg(least, F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("members")).select("key", "m.*", "least_id", "members"), "classes")
     trees = _trees(docs, classes.select("node", "bands"))
-    named = classes.select("key", F.col("node").alias("label"), "members")
+    named = classes.select("key", F.col("node").alias("label"), F.col("least_id").alias("component_id"), "members")
     if trees is not None:
-        named = materialize(classes.join(trees, "node", "left").select("key", F.coalesce("label", "node").alias("label"), "members"), "named")
-    out = ["doc_id", "node", "n_shingles", "label", *["sha"] * identity]
-    some = attach_by_key(filled.drop("bands"), named, "key", "members", n).select(*out)
-    return some.unionByName(rows.where("n_shingles = 0").withColumn("label", F.col("node")).select(*out))
+        # classes without a link are their own component; a tree's id is the least one of its classes
+        own = classes.select("key", "node", "least_id", "members")
+        linked = materialize(own.join(trees, "node").select("key", "least_id", "members", "label"), "linked-classes")
+        ids = materialize(linked.groupBy("label").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "component-ids")
+        some = attach_by_key(linked.drop("least_id"), ids, "label", "n", linked.count()).select("key", "label", "component_id", "members")
+        lone = own.join(trees, "node", "left_anti").select("key", F.col("node").alias("label"), F.col("least_id").alias("component_id"), "members")
+        named = materialize(some.unionByName(lone), "named")
+    out = ["doc_id", "n_shingles", "component_id", "kept", *["sha"] * identity]
+    kept = F.when(F.col("component_id").isNull(), F.col("node") == F.col("label")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    some = attach_by_key(filled.drop("bands"), named, "key", "members", n).withColumn("kept", kept).select(*out)
+    return some.unionByName(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("kept", F.lit(True)).select(*out))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
-    named = F.when(F.col("label") < NAMELESS, F.col("label")).alias("component_id")
-    return _judged(docs).select("doc_id", "n_shingles", named, (F.col("node") == F.col("label")).alias("kept"))
+    return _judged(docs)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row for each component, with all its columns as they were: that with the component's id, or, of rows that repeat it, any one."""
-    judged = materialize(_judged(docs, True).select("doc_id", "sha", (F.col("node") != F.col("label")).alias("gone")), "judged")
+    judged = materialize(_judged(docs, True).select("doc_id", "sha", (~F.col("kept")).alias("gone")), "judged")
     return keep_decided(docs, judged)

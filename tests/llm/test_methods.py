@@ -174,6 +174,51 @@ def test_secrets_in_odd_rows(spark):
     assert sorted((x.doc_id is None, x.doc_id or 0, x.length) for x in got) == [(False, 1, 300_001), (False, 1, 300_001), (False, 4, 31), (True, 0, 80)]
 
 
+def test_texts_are_read_once_a_range_for_both_filters(spark, tmp_path):
+    """R ranges read the texts R times for the rows that stay and R times for the few that are looked up, not R x R."""
+    rows = [(i, f"text {i % 900}") for i in range(3000)] + [(None, "text 5"), (7, "text 7")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    judged = exact_dedup.exact_groups(docs, keep="min").selectExpr("doc_id", "unhex(text_sha256) as sha", "not kept as gone")
+    judged.write.parquet(str(tmp_path / "judged"))
+    kept = bloom.keep_decided(docs, spark.read.parquet(str(tmp_path / "judged")), max_bytes=1 << 12)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    ranges = plan.count("text#") and kept._jdf.queryExecution().sparkPlan().toString().count(str(tmp_path / "docs"))
+    want = {}
+    for i, t in rows:
+        if i is not None:
+            want[t] = min(i, want.get(t, i))
+    assert sorted(kept.collect()) == sorted((i, t) for t, i in want.items())
+    first = bloom.bitmaps(docs.selectExpr("xxhash64(text) as h"), 3000, max_bytes=1 << 12)
+    assert first.ranges > 1 and 0 < ranges <= 2 * first.ranges
+    with pytest.raises(ValueError, match="together"):
+        bloom.probed_all(docs, docs.doc_id, {"a": first, "b": first._replace(ranges=1)})
+
+
+def test_near_dedup_takes_any_id(spark):
+    a, b = words(100, 1), words(100, 2)
+    near = lambda t: t.replace(t.split()[50], "changed")
+    rows = [(2**62 + 5, a), (2**63 - 1, near(a)), (-(2**63), b), (None, near(b)), (None, words(90, 3)), (None, words(90, 3) + " "), (2**62 + 9, None), (2**62 + 7, words(80, 4)), (2**62 + 7, words(80, 5)), (2**62 + 8, near(words(80, 5)))]
+    got = {}
+    for r in near_dedup.near_duplicates(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.component_id, r.kept))
+    assert got[2**62 + 5] == [(2**62 + 5, True)] and got[2**63 - 1] == [(2**62 + 5, False)] and got[-(2**63)] == [(-(2**63), True)] and got[2**62 + 9] == [(2**62 + 9, True)]
+    assert sorted(got[None], key=repr) == [(-(2**63), False), (None, False), (None, True)]
+    assert {c for c, _ in got[2**62 + 7]} == {2**62 + 7}
+    assert near_dedup.drop_near_copies(frame(spark, rows)).count() in (6, 7)
+
+
+def test_keys_of_many_words():
+    """Keys wrap around alike in both places, whatever the number of words."""
+    r = np.random.default_rng(3)
+    for base in (50, 3_000_000, 2**40):
+        ids = r.integers(1, min(base, 2**62), 60)
+        index = decontaminate.Index({})
+        index.vocabulary = type("Many", (dict,), {"__len__": lambda self: base - 1})()
+        at, keys = decontaminate._shingles(ids, np.array([60]), 3, base)
+        assert [index.key(ids[i : i + 3]) for i in at] == keys.tolist() and len(at) == 58
+
+
 def test_secrets_have_no_upper_bound():
     forms = {
         "x" * 31 + '_password = "hunter2!x"': "hunter2!x", 'my_password     \t=    "hunter2!x"': "hunter2!x", 'password_for_the_production_database = "hunter2!x"': "hunter2!x", f"postgres://{'u' * 65}:pa55word!@h": "pa55word!",
