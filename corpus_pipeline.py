@@ -10,11 +10,12 @@ from loomspark.llm._common import documents, materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows of an Arrow batch: neither side of a task holds many texts at once, however long they are.
 BATCH_ROWS = 500
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _columns(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The columns of documents; the session's Arrow batches are kept small for the stages, which end in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """The columns of documents. The session's Arrow batches are kept small, as a stage's result is written by its caller; run() puts them back as they were."""
+    spark.conf.set(ARROW_ROWS, BATCH_ROWS)
     return docs.select(*COLUMNS)
 
 
@@ -51,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    docs, rows = documents(spark, sf_dir), spark.conf.get(ARROW_ROWS)
+    try:
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     return docs
