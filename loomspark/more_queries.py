@@ -229,14 +229,15 @@ def ranked_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = ranking.similarity_matrix(ranking.candidate_vectors(spark))
+    """Each label's mean vector with all others, and their sum."""
+    m = ranking.similarity_matrix(queries.prototypes(spark, sf_dir))
     others = [c for c in m.columns if c != "cause_id"]
     return m.select("cause_id", F.round(sum((F.col(f"`{c}`") for c in others), F.lit(0.0)), 4).alias("total"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
 
 
 def enriched_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ontology's lists for the leading causes of each comment, joined."""
-    top = ranking.top_causes(_with_codes(spark, sf_dir).where("comment_id % 10 = 0"), spark, comment_similarity=lambda x: F.lit(0.3))
+    top = ranking.top_causes(_with_codes(spark, sf_dir), spark, comment_similarity=lambda x: F.lit(0.3))
     ids = top.select("comment_id", F.transform("top", lambda x: x["cause_id"]).alias("ids"))
     told = ontology.enrich(ids, "ids", ontology.enrichment(ontology.triples(spark)), "comment_id")
     return told.select("comment_id", *(F.array_join(r, ",").alias(r) for r in ontology.LISTS))
@@ -322,8 +323,8 @@ def frequent_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample, always the same; counted, as SQL has another hash."""
-    return tables.random_rows(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 50).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("n_distinct"))
+    """A sample, always the same."""
+    return tables.random_rows(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 50)
 
 
 def sampled_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,8 +355,7 @@ BOT_AUTHORS = ("alice", "dependabot", "triage-robot", "mergify", "ci_robot", "we
 
 def heat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 9).alias("micro"), "l_returnflag", F.col("l_quantity").cast("double").alias("score"))
-    first = tables.heat_map(li, "micro", "l_returnflag", ["A", "N", "R"], "score").limit(3)
-    return first.select("micro", *(F.round(c, 6).alias(f"mean_{c.lower()}") for c in "ANR"))
+    return tables.heat_map(li, "micro", "l_returnflag", ["A", "N", "R"], "score").select("micro", *(F.round(c, 6).alias(f"mean_{c.lower()}") for c in "ANR"))
 
 
 def last_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,15 +429,14 @@ SELECT count(*) AS "rows", count(*) FILTER (k = 0) AS without_list, count(*) FIL
 # the scores of the first and last cause that are kept
 SQL_RANKED = SQL_RANKED.replace("RISES", "ends AS (" + SQL_TOP.replace("SELECT comment_id, string_agg(cause_id, ',' ORDER BY r) AS cause_ids, round(max(best), 6) AS best_score, CASE WHEN max(best) >= 0.28 THEN 'mapped' ELSE 'mapped_low_confidence' END AS status FROM o", "SELECT comment_id, round(min(score), 6) AS lo, round(max(score), 6) AS hi FROM o") + ")")
 SQL_MATRIX = f"""
-WITH {SQL_VECTORS}, u AS (SELECT cause_id, any_value(vector) AS vector, row_number() OVER (ORDER BY cause_id) - 1 AS i FROM known GROUP BY cause_id),
+WITH {queries.SQL_PROTOTYPES}, u AS (SELECT cause_id, vector, row_number() OVER (ORDER BY cause_id) - 1 AS i FROM known),
 s AS (SELECT a.cause_id, b.i, round(list_cosine_similarity(a.vector, b.vector), 6) AS x FROM u a, u b)
-SELECT cause_id, round(sum(x), 4) AS total, {', '.join(f'max(x) FILTER (i = {i}) AS c{i}' for i in range(len(C.CAUSE_KEYWORDS)))} FROM s GROUP BY 1"""
-_TOP_OF_SOME = SQL_TOP.replace("FROM comments WHERE code <> 'H'", "FROM comments WHERE code <> 'H' AND comment_id % 10 = 0")
+SELECT cause_id, round(sum(x), 4) AS total, {', '.join(f'max(x) FILTER (i = {i}) AS c{i}' for i in range(10))} FROM s GROUP BY 1"""
 _MERGED = ", ".join(f"coalesce(array_to_string(list_sort(list_distinct(flatten(list(string_split(nullif({r}, ''), ','))))), ','), '') AS {r}" for r in ontology.LISTS)
 SQL_ENRICHED = f"""
-WITH {SQL_COMMENTS}, top AS ({_TOP_OF_SOME}), known_roles AS ({queries.SQL_ENRICHMENT.strip()}), e AS (SELECT comment_id, unnest(string_split(cause_ids, ',')) AS cause_id FROM top),
+WITH {SQL_COMMENTS}, top AS ({SQL_TOP}), known_roles AS ({queries.SQL_ENRICHMENT.strip()}), e AS (SELECT comment_id, unnest(string_split(cause_ids, ',')) AS cause_id FROM top),
 m AS (SELECT comment_id, {_MERGED} FROM e LEFT JOIN known_roles USING (cause_id) GROUP BY 1)
-SELECT comment_id, {', '.join(f"coalesce({r}, '') AS {r}" for r in ontology.LISTS)} FROM (SELECT comment_id FROM comments WHERE comment_id % 10 = 0) LEFT JOIN m USING (comment_id)"""
+SELECT comment_id, {', '.join(f"coalesce({r}, '') AS {r}" for r in ontology.LISTS)} FROM (SELECT comment_id FROM comments) LEFT JOIN m USING (comment_id)"""
 SQL_UNUSED = f"""
 WITH {SQL_COMMENTS}, top AS ({SQL_TOP}), used AS (SELECT DISTINCT unnest(string_split(cause_ids, ',')) AS cause_id FROM top UNION SELECT 'XX-001'), cat(code, pos, cause_id, signals, penalty) AS (VALUES {queries._CANDIDATES})
 SELECT DISTINCT cause_id, 'unused' AS problem FROM cat WHERE cause_id NOT IN (SELECT cause_id FROM used) UNION ALL SELECT cause_id, 'unknown' FROM used WHERE cause_id NOT IN (SELECT cause_id FROM cat)"""
@@ -499,13 +498,13 @@ SELECT comment_id, len(regexp_extract_all(rest, {_quoted(_USER)}))::INT AS users
       ORDER BY l_orderkey, l_linenumber, l_quantity) = 1""",
     "frequent_parts": """SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1
       ORDER BY count(*) DESC, l_partkey LIMIT 3)""",
-    "random_orders": "SELECT least(50, count(*)) AS n, least(50, count(*)) AS n_distinct FROM orders",
+    "random_orders": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 50",
     "sampled_groups": "SELECT l_returnflag, least(5, count(*)) AS sampled, round(count(*) * 0.3)::BIGINT AS tested, " + ", ".join(f"((count(*) + {(5 - i) % 5}) // 5)::BIGINT AS fold_{i}" for i in range(5)).replace("(count(*) + 0) // 5", "count(*) // 5") + " FROM lineitem GROUP BY 1",
     "largest_lines": "SELECT l_partkey, sum(l_quantity::DOUBLE) AS quantity FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "bots_of_texts": """WITH b AS (SELECT o_orderkey % 8 AS a, o_orderkey % 4 = 0 AS says FROM orders) SELECT CASE WHEN a = 2 THEN 'triage_bot'
       WHEN a = 3 THEN 'approval_notifier' WHEN says OR a = 4 THEN 'retest_flaky_bot' WHEN a = 5 THEN 'onboarding_bot'
       WHEN a IN (1, 7) THEN 'other_bot' ELSE '' END AS bot, count(*) AS n FROM b GROUP BY 1""",
-    "heat_map": "WITH p AS (SELECT l_partkey % 9 AS micro, " + ", ".join(f"coalesce(avg(l_quantity::DOUBLE) FILTER (l_returnflag = '{f}'), 0) AS mean_{f.lower()}" for f in "ANR") + " FROM lineitem GROUP BY 1) SELECT micro, round(mean_a, 6) AS mean_a, round(mean_n, 6) AS mean_n, round(mean_r, 6) AS mean_r FROM p ORDER BY greatest(p.mean_a, p.mean_n, p.mean_r) DESC, micro LIMIT 3",
+    "heat_map": "WITH p AS (SELECT l_partkey % 9 AS micro, " + ", ".join(f"coalesce(avg(l_quantity::DOUBLE) FILTER (l_returnflag = '{f}'), 0) AS mean_{f.lower()}" for f in "ANR") + " FROM lineitem GROUP BY 1) SELECT micro, round(mean_a, 6) AS mean_a, round(mean_n, 6) AS mean_n, round(mean_r, 6) AS mean_r FROM p",
     "last_agreement": """WITH l AS (SELECT l_orderkey % 700 AS k, l_returnflag AS label, l_quantity::DOUBLE AS x, l_orderkey * 10 + l_linenumber AS o
       FROM lineitem), a AS (SELECT k, arg_max(label, (o, x, label)) AS label, arg_max(x, (o, x, label)) AS x FROM l
       WHERE o % 2 = 0 GROUP BY 1), b AS (SELECT k, arg_max(label, (o, x, label)) AS label, arg_max(x, (o, x, label)) AS x

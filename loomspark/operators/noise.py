@@ -42,3 +42,16 @@ def is_operational(text: Column) -> Column:
 def noise_level(text: Column, neither: str = "useful") -> Column:
     """neither: 'useful' in the offline profile, 'none' in the online one."""
     return F.when(is_hard(text), "hard_noise").when(is_operational(text), "operational_noise").otherwise(neither)
+
+
+# Why a comment has its level.
+REASONS = {
+    "hard_noise": "Ruido estructural, automático, placeholder o comentario sin contenido interpretable",
+    "operational_noise": "Ruido operacional: interacción humana mínima de PR/revisión sin suficiente valor sociotécnico causal",
+    "useful": "Contenido útil: comentario con valor técnico, comunicacional, organizacional o sociotécnico para análisis causal",
+}
+
+
+def noise_reason(level: Column) -> Column:
+    """In words; empty for a level without one."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair))[level], F.lit(""))

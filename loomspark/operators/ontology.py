@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from xml.etree.ElementTree import iterparse
+import io
+import uuid
+from collections.abc import Iterator
+from xml.etree.ElementTree import Element, iterparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,21 +68,58 @@ def enrich(rows: DataFrame, ids: str, known: DataFrame, key: str) -> DataFrame:
     return each.groupBy(key).agg(*merged)
 
 
-def read_rdf(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of an RDF/XML file of described resources with plain properties; an ontology is small, so the driver parses it."""
-    rows: list[tuple[str, str, str]] = []
+def described(root: Element) -> Iterator[tuple[str, str, str]]:
+    """Triples of one described resource and of those within its properties. Literals lose their type and language; a resource without any name is a blank
+    node of its own, by its place."""
     name = lambda tag: tag[1:].replace("}", "")
-    depth = 0
-    for event, node in iterparse(path, ("start", "end")):
-        depth += 1 if event == "start" else -1
-        subject = node.get(f"{{{RDF}}}about") or node.get(f"{{{RDF}}}ID")
-        if event == "start" or depth != 1 or not subject:
-            continue
+    own = lambda node, kind: node.get(f"{{{RDF}}}{kind}")
+    waiting = [(root, own(root, "about") or own(root, "ID") or "_:" + (own(root, "nodeID") or uuid.uuid4().hex))]
+    while waiting:
+        node, subject = waiting.pop()
         if name(node.tag) != RDF + "Description":
-            rows.append((subject, RDF + "type", name(node.tag)))
-        rows += [(subject, name(p.tag), p.get(f"{{{RDF}}}resource") or "".join(p.itertext()).strip()) for p in node]
-        node.clear()
-    return triples(spark, rows)
+            yield subject, RDF + "type", name(node.tag)
+        for key, value in node.attrib.items():  # properties as attributes
+            if key.startswith("{") and not key.startswith((f"{{{RDF}}}", "{http://www.w3.org/XML/")):
+                yield subject, name(key), value
+        for p in node:
+            inner = list(p)
+            if own(p, "resource") is not None:
+                yield subject, name(p.tag), own(p, "resource")
+            elif own(p, "nodeID") is not None:
+                yield subject, name(p.tag), "_:" + own(p, "nodeID")
+            elif own(p, "parseType") == "Resource":
+                blank = "_:" + uuid.uuid4().hex
+                yield subject, name(p.tag), blank
+                part = Element(f"{{{RDF}}}Description")
+                part.extend(inner)
+                waiting.append((part, blank))
+            elif inner and own(p, "parseType") != "Literal":
+                for x in inner:
+                    at = own(x, "about") or own(x, "ID") or "_:" + (own(x, "nodeID") or uuid.uuid4().hex)
+                    yield subject, name(p.tag), at
+                    waiting.append((x, at))
+            else:
+                yield subject, name(p.tag), "".join(p.itertext()).strip()
+
+
+def read_rdf(spark: SparkSession, path: str) -> DataFrame:
+    """Triples of RDF/XML files (a file, a folder or a pattern) in any file system that Spark reads; a task parses a file, resource by resource."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content in (c for batch in batches for c in batch.column(0)):
+            rows: list[tuple[str, str, str]] = []
+            depth, root = 0, None
+            for event, node in iterparse(io.BytesIO(content.as_py()), ("start", "end")):
+                root = node if root is None else root
+                depth += 1 if event == "start" else -1
+                if event == "end" and depth == 1:
+                    rows += described(node)
+                    root.clear()
+                if rows and (len(rows) >= 5000 or depth == 0):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["subject", "predicate", "object"])
+                    rows = []
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "subject string, predicate string, object string")
 
 
 def causes(graph: DataFrame) -> DataFrame:

@@ -154,8 +154,8 @@ def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def random_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows, always the same, by a hash of key and seed."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows, always the same, by the MD5 of seed and key, which any engine has."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def most_frequent(df: DataFrame, column: str, n: int = 1) -> DataFrame:

@@ -68,8 +68,10 @@ ANSWERS = ((1, "G|0.90"), (2, "answer: B"), (3, "I think B or A"), (4, "G|1,0"),
 
 
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame(list(ANSWERS), "id int, raw string")
-    return raw.select("id", causes.answer_code(F.col("raw")).alias("code"), causes.answer_confidence(F.col("raw")).alias("confidence"))
+    """What a model said of each order, one of ANSWERS by its key."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"))
+    raw = F.get(F.array(*(F.lit(a) for _, a in ANSWERS)), (F.col("id") % len(ANSWERS)).cast("int"))
+    return o.select("id", causes.answer_code(raw).alias("code"), causes.answer_confidence(raw).alias("confidence"))
 
 
 def useful_comments_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +103,19 @@ def lexical_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ontology_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ontology tells of each order's cause, one of the catalog's by its key; the cause without any has no row."""
     known = ontology.enrichment(ontology.triples(spark)).where(F.col("cause_id").isin(*C.CAUSE_KEYWORDS))
-    return known.select("cause_id", *(F.array_join(r, ",").alias(r) for r in ontology.LISTS))
+    ids = F.array(*map(F.lit, sorted(C.CAUSE_KEYWORDS)))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.get(ids, (F.col("o_orderkey") % len(C.CAUSE_KEYWORDS)).cast("int")).alias("cause_id"))
+    return o.join(F.broadcast(known), "cause_id").select("o_orderkey", "cause_id", *(F.array_join(r, ",").alias(r) for r in ontology.LISTS))
+
+
+def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for each label: the mean of its vectors; labels as causes of two codes."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label is not null")
+    each = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    vector = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("vector")
+    return each.groupBy("label").agg(vector).select((F.col("label") % 2).cast("string").alias("code"), F.format_string("L%03d", "label").alias("cause_id"), "vector")
 
 
 def cosine_to_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +219,7 @@ def online_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cause_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.cause_pairs(ranking.candidate_vectors(spark))
+    return ranking.cause_pairs(prototypes(spark, sf_dir))
 
 
 def item_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +246,7 @@ def changed_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def null_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.null_counts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
+    return tables.null_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def classified_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,6 +365,9 @@ def _vector(text: str) -> str:
 
 
 SQL_VECTORS = f"kw(cause_id, words) AS (VALUES {_WORDS}), cv(code, pos, cause_id) AS (SELECT code, pos, cause_id FROM (VALUES {_CANDIDATES}) c(code, pos, cause_id, signals, penalty)), known AS (SELECT code, pos, cause_id, {_vector('words')} AS vector FROM cv JOIN kw USING (cause_id))"
+SQL_PROTOTYPES = """each AS (
+  SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL) GROUP BY label, i),
+known AS (SELECT (label % 2)::VARCHAR AS code, printf('L%03d', label) AS cause_id, list(x ORDER BY i) AS vector FROM each GROUP BY label)"""
 SQL_ONLINE = f"""
 WITH {SQL_COMMENTS}, {SQL_VECTORS}, tv AS (SELECT i, text, {_vector('text')} AS v FROM tpl), c AS (SELECT comment_id, code, v FROM comments JOIN tv USING (text) WHERE code <> 'H'),
 s AS (SELECT comment_id, pos, cause_id, round(coalesce(list_cosine_similarity(v, vector), 0), 9) AS s FROM c JOIN known USING (code)), o AS (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY s DESC, pos) AS r FROM s)
@@ -373,8 +389,10 @@ SQL = {
       ELSE 'RULE_APPLIED' END AS status, count(*) AS n FROM decided GROUP BY 1""",
     "embedding_texts": f"SELECT conv_id, turn, md5({_FIRST.format(_EMBEDDED, 120)}) AS embedding_md5, md5({_FIRST.format(_SHORT, 60)}) AS short_md5 FROM conversations",
     "online_causes": SQL_ONLINE,
-    "cause_pairs": f"""WITH {SQL_VECTORS} SELECT a.code, a.cause_id AS cause_1, b.cause_id AS cause_2, round(list_cosine_similarity(a.vector, b.vector), 6) AS similarity
-      FROM known a JOIN known b ON a.code = b.code AND a.cause_id < b.cause_id""",
+    "cause_pairs": f"""
+WITH {SQL_PROTOTYPES}
+SELECT a.code, a.cause_id AS cause_1, b.cause_id AS cause_2, round(list_cosine_similarity(a.vector, b.vector), 6) AS similarity
+FROM known a JOIN known b ON a.code = b.code AND a.cause_id < b.cause_id""",
     "item_summary": 'SELECT column_name, count(x) AS "count", ' + ", ".join(f"round({e}, 6) AS {n}" for n, e in (("mean", "avg(x)"), ("std", "stddev_samp(x)"), ("min", "min(x)"), ("p25", "quantile_cont(x, 0.25)"), ("p50", "quantile_cont(x, 0.5)"), ("p75", "quantile_cont(x, 0.75)"), ("max", "max(x)"))) + " FROM (SELECT 'l_quantity' AS column_name, l_quantity::DOUBLE AS x FROM lineitem UNION ALL SELECT 'l_discount', l_discount::DOUBLE FROM lineitem) GROUP BY 1",
     "order_agreement": """WITH a AS (SELECT l_orderkey, max({'l': l_returnflag, 'x': l_quantity::DOUBLE}) AS m FROM lineitem WHERE l_linenumber = 1
       GROUP BY 1), b AS (SELECT l_orderkey, max({'l': l_returnflag, 'x': l_quantity::DOUBLE}) AS m FROM lineitem
@@ -384,7 +402,7 @@ SQL = {
     "changed_issues": f"""WITH {SQL_COMMENTS}, a AS (SELECT DISTINCT comment_id % 5003 AS k FROM comments WHERE code = 'A'), b AS (SELECT DISTINCT comment_id % 5003 AS k
       FROM comments WHERE code = 'B') SELECT k, 'before' AS only_in FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL
       SELECT k, 'after' FROM b WHERE k NOT IN (SELECT k FROM a)""",
-    "null_cells": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls FROM documents" for c in ("doc_id", "text", "lang", "source")),
+    "null_cells": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")),
     "classified_comments": f"""WITH v(i, text) AS (VALUES {', '.join(f'({i}, {_quoted(want)})' for i, (_, want) in enumerate(cases.CLEANED))}),
       comments AS (SELECT o_orderkey AS comment_id, 0 AS issue_number, text, 'H' AS code FROM orders JOIN v ON i = o_orderkey % {len(cases.CLEANED)}), {SQL_NOISE_OF_COMMENTS},
       sq AS (SELECT comment_id, 'H' AS code, 0.5::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t
@@ -398,13 +416,17 @@ SQL = {
     "priority_rules": f"""WITH {SQL_COMMENTS}, sq AS (SELECT comment_id, code, confidence::DOUBLE AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t
       FROM comments), {SQL_DECIDED} SELECT comment_id, d.code AS final_code, round(d.conf::DOUBLE, 4) AS final_confidence, d.rule AS rule
       FROM decided""",
-    "model_answers": "SELECT * FROM (VALUES (1, 'G', 0.9::DOUBLE), (2, 'B', 0.5), (3, 'A', 0.5), (4, 'G', 1.0), (5, 'G', 0.5), (6, 'H', 0.0), (7, 'C', 0.8), (8, 'H', 0.5)) t(id, code, confidence)",
+    "model_answers": """
+WITH t(i, code, confidence) AS (VALUES (0, 'G', 0.9::DOUBLE), (1, 'B', 0.5), (2, 'A', 0.5), (3, 'G', 1.0), (4, 'G', 0.5), (5, 'H', 0.0), (6, 'C', 0.8), (7, 'H', 0.5))
+SELECT o_orderkey AS id, code, confidence FROM orders JOIN t ON i = o_orderkey % 8""",
     "useful_comments_loss": f"""WITH {SQL_NOISE} SELECT issue_number, count(*) AS n_before, count(*) FILTER (noise_level = 'useful') AS n_after,
       count(*) FILTER (noise_level <> 'useful') AS n_lost, round_even(100.0 * count(*) FILTER (noise_level <> 'useful') /
       count(*), 2)::DOUBLE AS percent_lost FROM noise GROUP BY 1""",
     "issue_index": SQL_INDEX,
     "lexical_ranking": SQL_RANKING,
-    "ontology_enrichment": SQL_ENRICHMENT,
+    "ontology_enrichment": f"""
+WITH known AS ({SQL_ENRICHMENT}), ids AS (SELECT list_sort([{', '.join(map(_quoted, C.CAUSE_KEYWORDS))}]) AS l)
+SELECT o_orderkey, known.* FROM orders, ids JOIN known ON known.cause_id = l[o_orderkey % {len(C.CAUSE_KEYWORDS)} + 1]""",
     "cosine_to_prototypes": """WITH p AS (SELECT label, arg_min(embedding, vec_id) AS p FROM embeddings GROUP BY label) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], p::DOUBLE[]), 5) AS similarity
       FROM embeddings JOIN p USING (label)""",
     "similarity_bins": """WITH b AS (SELECT round((l_discount * 10)::DOUBLE, 4) AS x FROM lineitem), v AS (SELECT CASE WHEN x > -0.001 AND x <= 0.3 THEN 'Muy baja'

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.operators import embedders, quantiles
+from loomspark.more_queries import SQL_OVER_SAID, said_noise
+from loomspark.operators import embedders, noise, quantiles
 from loomspark.plans.lineage import new_path
+from loomspark.queries import _quoted
 from loomspark.sinks.excel import write_xlsx
 from loomspark.sources.excel import read_xlsx
 
@@ -36,9 +38,18 @@ def embedder_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedders.compare(docs, "text", "quality", "doc_id", every)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (exported_orders, grouped_quantiles, embedder_comparison)}
+def noise_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level and reason of every turn and document."""
+    levels = said_noise(spark, sf_dir)
+    return levels.select("comment_id", "noise_level", noise.noise_reason(F.col("noise_level")).alias("noise_reason"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (exported_orders, grouped_quantiles, embedder_comparison, noise_reasons)}
+
+_REASONS = ", ".join(f"({_quoted(level)}, {_quoted(reason)})" for level, reason in noise.REASONS.items())
 
 SQL: dict[str, str] = {
+    "noise_reasons": f"SELECT n.*, r.reason AS noise_reason FROM ({SQL_OVER_SAID['said_noise']}) n JOIN (VALUES {_REASONS}) r(level, reason) ON level = noise_level",
     "exported_orders": "SELECT * FROM orders",
     "grouped_quantiles": """
 WITH v AS (

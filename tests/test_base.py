@@ -172,6 +172,21 @@ def test_rdf(spark, tmp_path):
     assert ontology.enrichment(g).first().effects == ["EF-1"]
 
 
+def test_rdf_of_nested_and_blank_nodes(spark, tmp_path):
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:o="http://o#" xml:lang="en">'
+    (tmp_path / "a.rdf").write_text(f"""{head}<!-- <o:Not rdf:about="x"/> -->
+<rdf:Description rdf:about="http://o#A" o:short="s"><o:has><o:Kind rdf:about="http://o#B"><o:says rdf:datatype="http://www.w3.org/2001/XMLSchema#int"> 5 </o:says></o:Kind></o:has>
+<o:to rdf:nodeID="n1"/><o:part rdf:parseType="Resource"><o:size>3</o:size></o:part></rdf:Description>
+<o:Kind rdf:nodeID="n1"><o:text><![CDATA[a > b]]></o:text></o:Kind></rdf:RDF>""")
+    (tmp_path / "b.rdf").write_text(head + "".join(f'<o:Kind rdf:about="http://o#{i}"/>' for i in range(12_000)) + "</rdf:RDF>")
+    got = {tuple(r) for r in ontology.read_rdf(spark, str(tmp_path / "a.rdf")).collect()}
+    blank = next(o for s, p, o in got if p == "http://o#part")
+    kind = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    assert got == {("http://o#A", "http://o#short", "s"), ("http://o#A", "http://o#has", "http://o#B"), ("http://o#B", kind, "http://o#Kind"), ("http://o#B", "http://o#says", "5"), ("http://o#A", "http://o#to", "_:n1"),
+                   ("http://o#A", "http://o#part", blank), (blank, "http://o#size", "3"), ("_:n1", kind, "http://o#Kind"), ("_:n1", "http://o#text", "a > b")}
+    assert ontology.read_rdf(spark, str(tmp_path)).count() == 12_000 + len(got)
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(1, 10, "Sorry, I misunderstood your comment. I've made the correction.", "H|0.5"), (2, 10, "LGTM.", "A|0.9"), (3, 11, None, None), (4, 11, "The cluster shows a runtime error again", "C|0.4")], "id long, issue long, body string, answer string")
     done, per_issue = plans.classify_batch(df, "body", "issue", "id", F.col("answer"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from loomspark import more_queries, queries
+from loomspark import more_queries, queries, study_queries
 from loomspark.functions import discourse
 from loomspark.operators import checks, classifier, index, ranking, tables
 from loomspark.sinks import writers
@@ -24,21 +24,25 @@ def rounded(rows):
     return sorted((tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(more_queries.SQL))
+EVERY = more_queries.QUERIES | study_queries.QUERIES
+SQL = more_queries.SQL | study_queries.SQL
+
+
+@pytest.mark.parametrize("name", list(SQL))
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
-    got = more_queries.QUERIES[name](spark, SF)
+    got = EVERY[name](spark, SF)
     cols = sorted(got.columns)
     named = ", ".join(f'"{c}"' for c in cols)
-    want = con.execute(f"select {named} from ({more_queries.SQL[name]})").fetchall()
+    want = con.execute(f"select {named} from ({SQL[name]})").fetchall()
     assert rounded(map(tuple, got.select(*cols).collect())) == rounded(want)
 
 
 def test_registry():
-    assert set(more_queries.QUERIES) - set(more_queries.SQL) == {"whole_cleaning"}
-    assert set(more_queries.QUERIES) <= set(entry.queries()) and not set(more_queries.QUERIES) & set(queries.QUERIES)
+    assert set(EVERY) - set(SQL) == {"whole_cleaning", "embedder_comparison"}
+    assert set(EVERY) <= set(entry.queries()) and not set(EVERY) & set(queries.QUERIES)
 
 
 def test_whole_cleaning_of_real_texts(spark):
