@@ -10,6 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.sources.biff import read_xls
 from loomspark.sources.excel import read_xlsx
 
 # What column names are searched for.
@@ -19,7 +20,7 @@ ISSUE_NAMES = ("issue_number", "issue", "ticket", "issue_id")
 
 
 def read_comments(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """CSV by comma, or by semicolon if that raises or gives one column; Parquet and JSON by suffix, Excel workbooks too; others are refused."""
+    """CSV by comma, or by semicolon if that raises or gives one column; Parquet and JSON by suffix, Excel workbooks, old ones too; others are refused."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
         options = {"header": True, "multiLine": True, "escape": '"'}
@@ -32,6 +33,8 @@ def read_comments(spark: SparkSession, path: str, kind: str | None = None) -> Da
         return spark.read.format(kind).load(path)
     if kind == "xlsx":
         return read_xlsx(spark, path)
+    if kind == "xls":
+        return read_xls(spark, path)
     raise ValueError(f"cannot read {kind!r} files")
 
 

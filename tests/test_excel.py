@@ -3,6 +3,8 @@
 import datetime
 import decimal
 import os
+import random
+import struct
 import zipfile
 from xml.etree import ElementTree
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomspark.sinks import excel as sink
-from loomspark.sources import excel, readers
+from loomspark.sources import biff, excel, readers
 
 KINDS = "n long, x double, f float, small byte, yes boolean, d date, t timestamp, amount decimal(20,4), said string"
 
@@ -119,3 +121,100 @@ def test_days_from_1904(spark, tmp_path):
             late.writestr(n, book.read(n).replace(b"<sheets>", b'<workbookPr date1904="1"/><sheets>'))
     got = [excel.read_xlsx(spark, str(p), schema=StructType().add("d", "date")).first().d for p in (path, tmp_path / "late.xlsx")]
     assert got == [datetime.date(2024, 2, 29), datetime.date(2028, 3, 1)]
+
+
+def old_text(text, wide=True):
+    return struct.pack("<HB", len(text.encode("utf-16-le")) // 2 if wide else len(text), int(wide)) + text.encode("utf-16-le" if wide else "latin-1")
+
+
+def string_table(texts, size):
+    """Records of the shared strings, broken every `size` bytes, within strings too."""
+    out, own = [], bytearray(struct.pack("<II", len(texts), len(texts)))
+    for k, text in enumerate(texts):
+        wide = any(ord(c) > 255 for c in text) or k % 2 == 0
+        unit, raw = (2, text.encode("utf-16-le")) if wide else (1, text.encode("latin-1"))
+        if len(own) + 3 > size:
+            out.append(bytes(own))
+            own = bytearray()
+        own += struct.pack("<HB", len(raw) // unit, int(wide))
+        while raw:
+            room = (size - len(own)) // unit * unit
+            if not room:
+                out.append(bytes(own))
+                own = bytearray([int(wide)])
+                continue
+            own += raw[:room]
+            raw = raw[room:]
+    out.append(bytes(own))
+    return b"".join(struct.pack("<HH", biff.STRINGS if i == 0 else biff.CONTINUE, len(x)) + x for i, x in enumerate(out))
+
+
+def old_workbook(cells, texts, size=400, late=False, shuffled=None):
+    """A compound file with one sheet; cells: records. With shuffled, its sectors lie in any order."""
+    rec = lambda kind, body=b"": struct.pack("<HH", kind, len(body)) + body
+    bof = rec(biff.BOF, struct.pack("<HHHHII", 0x600, 5, 0, 0, 0, 0))
+    front = bof + rec(biff.DATES, struct.pack("<H", int(late)))
+    strings = string_table(texts, size) + rec(biff.EOF)
+    sheet = lambda at: rec(biff.SHEET, struct.pack("<IBB", at, 0, 0) + b"\x01\x00S")
+    stream = front + sheet(len(front) + len(sheet(0)) + len(strings)) + strings + bof + b"".join(rec(*c) for c in cells) + rec(biff.EOF)
+    small = len(stream) < 4096
+    blocks = lambda raw, n=512: [raw[i : i + n].ljust(n, b"\0") for i in range(0, len(raw), n)]
+    entry = lambda name, kind, start, n: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<II", start, n) + b"\0" * 4
+    body = blocks(stream)
+    order = list(range(len(body)))
+    if shuffled:
+        random.Random(shuffled).shuffle(order)
+    first = 2 + len(blocks(b"x" * 4 * (len(body) + 20)))  # entries, small table, allocation tables, then the stream
+    tables = first - 2
+    place = {k: first + order[k] for k in range(len(body))}
+    follow = [biff.END, biff.END] + [0xFFFFFFFD] * tables + [biff.FREE] * len(body)
+    for k in range(len(body)):
+        follow[place[k]] = place[k + 1] if k + 1 < len(body) else biff.END
+    minor = -(-len(stream) // 64)
+    chain = list(range(1, minor)) + [biff.END] if small else []
+    entries = entry("Root Entry", 5, place[0] if small else biff.END, len(stream) if small else 0) + entry("Workbook", 2, 0 if small else place[0], len(stream))
+    sectors = [entries.ljust(512, b"\0"), struct.pack(f"<{len(chain)}I", *chain).ljust(512, b"\xff"), *blocks(struct.pack(f"<{len(follow)}I", *follow).ljust(512 * tables, b"\xff")), *[b""] * len(body)]
+    for k, block in enumerate(body):
+        sectors[place[k]] = block
+    header = biff.SIGNATURE + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 10
+    header += struct.pack("<I", tables) + struct.pack("<I", 0) + struct.pack("<I", 0) + struct.pack("<I", 4096) + struct.pack("<II", 1 if small else biff.END, int(small)) + struct.pack("<II", biff.END, 0)
+    header += struct.pack("<109I", *range(2, 2 + tables), *[biff.FREE] * (109 - tables))
+    assert len(header) == 512 and tables < 109
+    return header + b"".join(sectors)
+
+
+@pytest.mark.parametrize(("n", "shuffled", "late"), [(3, None, False), (3, 5, True), (900, None, False), (900, 7, False)])
+def test_old_workbooks(spark, tmp_path, n, shuffled, late):
+    texts = ["name", "when", "x", "ok", *(("é漢😀" if k % 3 else "plain ÿ ") * (k % 40) + f"t{k}" for k in range(n))]
+    at = lambda r, c: struct.pack("<HHH", r, c, 0)
+    cells = [(biff.SHARED, at(0, c) + struct.pack("<I", c)) for c in range(4)]
+    for k in range(n):
+        r = k + 1 + (k > n // 2)  # an empty row in between
+        cells.append((biff.SHARED, at(r, 0) + struct.pack("<I", 4 + k)))
+        cells.append((biff.SHORTS, struct.pack("<HHH", r, 1, 0) + struct.pack("<I", (44_000 + k) << 2 | 2) + struct.pack("<HI", 0, (-150 * k & 0x3FFFFFFF) << 2 | 3) + struct.pack("<H", 2)) if k % 2 else (biff.SHORT, at(r, 1) + struct.pack("<I", (44_000 + k) << 2 | 2)))
+        if not k % 2:
+            cells.append((biff.NUMBER, at(r, 2) + struct.pack("<d", k / 7)))
+        cells.append((biff.TRUTH, at(r, 3) + bytes([k % 2, 0])))
+    (tmp_path / "a.xls").write_bytes(old_workbook(cells, texts, late=late, shuffled=shuffled))
+    got = readers.read_comments(spark, str(tmp_path / "a.xls"))
+    assert got.columns == ["name", "when", "x", "ok"] and [r.name for r in got.collect()] == texts[4:]
+    schema = StructType().add("name", "string").add("when", "date").add("x", "double").add("ok", "boolean")
+    day = datetime.date(1899, 12, 30) + datetime.timedelta(44_000 + 1462 * late)
+    want = [(texts[4 + k], day + datetime.timedelta(k), -1.5 * k if k % 2 else k / 7, bool(k % 2)) for k in range(n)]
+    assert [tuple(r) for r in biff.read_xls(spark, str(tmp_path / "a.xls"), schema=schema).collect()] == want
+
+
+def test_formulas_and_refusals(tmp_path):
+    at = struct.pack("<HHH", 3, 1, 0)
+    cells = [(biff.FORMULA, at + struct.pack("<d", 2.5)), (biff.FORMULA, struct.pack("<HHH", 3, 2, 0) + b"\0\0\0\0\0\0\xff\xff"), (biff.RESULT, old_text("said")), (biff.FORMULA, struct.pack("<HHH", 3, 3, 0) + b"\1\0\1\0\0\0\xff\xff"),
+             (biff.TRUTH, struct.pack("<HHH", 3, 4, 0) + bytes([42, 1])), (biff.TEXT, struct.pack("<HHH", 2, 0, 0) + old_text("ÿ", False))]
+    import io
+
+    data = old_workbook(cells, [])
+    assert list(biff.read_rows(io.BytesIO(data))[0]) == [{0: "ÿ"}, {1: "2.5", 2: "said", 3: "true"}]
+    with pytest.raises(ValueError, match="no sheet 2"):
+        biff.read_rows(io.BytesIO(data), 2)
+    with pytest.raises(ValueError, match="no compound"):
+        biff.read_rows(io.BytesIO(b"PK" + data))
+    with pytest.raises(ValueError, match="breaks off"):
+        biff.read_rows(io.BytesIO(data[:1200]))
