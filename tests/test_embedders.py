@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions.embedding import hashed_vector
-from loomspark.operators import embedders, linear
+from loomspark.operators import embedders, linear, models
 from loomspark.operators.sums import summed
 
 
@@ -157,3 +157,26 @@ def test_comparison(spark, texts):
 def test_scores():
     assert linear.scores(np.array([[3, 1, 0], [0, 2, 0], [0, 0, 0]])) == pytest.approx((5 / 6, (6 / 7 + 4 / 5) / 2, (4 * 6 / 7 + 2 * 4 / 5) / 6))
     assert linear.scores(np.zeros((2, 2))) == (0, 0, 0)
+
+
+def test_final_comparison(spark, texts):
+    """All linear models in one go beside a model of its own fits; the best embedder alone is named."""
+    issues = texts.where("label is not null").withColumn("f", F.when(F.col("label") == "low", 1.0).when(F.col("label") == "mid", 2.0).otherwise(3.0))
+
+    def forest(train, label):
+        from pyspark.ml.classification import RandomForestClassifier
+        from pyspark.ml.feature import VectorAssembler
+
+        features = models.PipelineModel([VectorAssembler(inputCols=["f"], outputCol="features")])
+        return models._fit(train, label, features, RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=3, maxDepth=3, seed=1))
+
+    own = {"words": models.Linear(), "svm": models.Linear("hinge"), "forest": forest}
+    got = models.final_comparison(issues, "label", "key", [embedders.HashedWords(16), embedders.HashedGrams(16)], own, 2).collect()
+    assert [r.macro_f1_mean for r in got] == sorted((r.macro_f1_mean for r in got), reverse=True)
+    named = {r.model: r.input_type for r in got}
+    assert len(named) == 4 and named["forest"] == "Adaptive structured features" and named["words"] == "Issue text"
+    assert [v for k, v in named.items() if k.startswith("Best embedder")] == ["Issue text embeddings"]
+    alone = models.cross_validation(issues, "label", "key", {"words": models.Linear()}, 2).first()
+    assert alone.macro_f1_mean == pytest.approx(next(r.macro_f1_mean for r in got if r.model == "words"), abs=1e-4)
+    held = {r.model: r.accuracy for r in models.holdout(issues, "label", "key", own).collect()}
+    assert set(held) == set(own) and held["forest"] == 1.0 and held["words"] > 0.8
