@@ -1,4 +1,4 @@
-"""Results to files: rows as JSON or CSV, workbooks, and a log of jobs. All are written by the tasks that hold the rows."""
+"""Results to files: rows as JSON or CSV, and a log of jobs (workbooks: see excel.py). All are written by the tasks that hold the rows."""
 
 from __future__ import annotations
 
