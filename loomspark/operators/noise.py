@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomspark import constants as C
-from loomspark.functions.regex import has_any, matches_any, squeeze, strip
+from loomspark.functions.regex import SPACE, has_any, matches_any, may_match, squeeze, strip
 
 
 def _low(text: Column) -> Column:
@@ -28,20 +28,33 @@ def only_commands(text: Column) -> Column:
     return (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"\A/[a-zA-Z0-9_-]+((?U)\s+[a-zA-Z0-9_.-]+)?\z"))
 
 
-def is_hard(text: Column) -> Column:
-    t = _low(text)
+def _hard(t: Column) -> Column:
+    """Few texts can have a phrase or a placeholder; the others are not searched again, and their residue is the squeezed text."""
     marked = t.rlike(r"\A(?:" + "|".join(C.AUTOMATED_PREFIX_MARKERS) + ")")
-    return marked | matches_any(t, C.HARD_EXACT_PATTERNS) | only_commands(t) | has_any(t, C.HARD_PHRASE_PATTERNS, False) | (F.length(residue(t)) <= 3)
+    may = may_match(t, {"phrase": C.HARD_PHRASE_PATTERNS, "gone": (*C.PLACEHOLDERS_TO_REMOVE, *C.GENERIC_USER_PLACEHOLDERS, *C.LOW_VALUE_VISUAL_PATTERNS)}, False)
+    phrase = F.when(may["phrase"], has_any(t, C.HARD_PHRASE_PATTERNS, False)).otherwise(False)
+    short = F.when(may["gone"], F.length(residue(t)) <= 3).otherwise(t.rlike(rf"(?s)\A(?:.{{0,3}}|.{SPACE}+.)\z"))
+    commands = F.when(t.startswith("/"), only_commands(t)).otherwise(False)
+    return marked | matches_any(t, C.HARD_EXACT_PATTERNS) | commands | phrase | short
+
+
+def _operational(t: Column) -> Column:
+    return matches_any(t, (*C.OPERATIONAL_EXACT_PATTERNS, *C.OPERATIONAL_PHRASE_PATTERNS))
+
+
+def is_hard(text: Column) -> Column:
+    return _hard(_low(text))
 
 
 def is_operational(text: Column) -> Column:
     t = _low(text)
-    return ~is_hard(text) & matches_any(t, (*C.OPERATIONAL_EXACT_PATTERNS, *C.OPERATIONAL_PHRASE_PATTERNS))
+    return ~_hard(t) & _operational(t)
 
 
 def noise_level(text: Column, neither: str = "useful") -> Column:
     """neither: 'useful' in the offline profile, 'none' in the online one."""
-    return F.when(is_hard(text), "hard_noise").when(is_operational(text), "operational_noise").otherwise(neither)
+    t = _low(text)
+    return F.when(_hard(t), "hard_noise").when(_operational(t), "operational_noise").otherwise(neither)
 
 
 # Why a comment has its level.
