@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark import constants as C
-from loomspark.functions.regex import has_any, squeeze
+from loomspark.functions.regex import has_any, may_match, squeeze
 
 UNKNOWN, LOW_CONFIDENCE = "H", 0.70
 # Order, confidence and names of the rules.
@@ -48,10 +48,14 @@ def override_allowed(sign: dict[str, Column], code: Column) -> Column:
 def with_rules(df: DataFrame, text: str, code: Column, confidence: Column, out: str) -> DataFrame:
     """Adds a struct code, confidence, rule: the model's answer after the rules.
 
-    Each pattern list is searched once, in a projection of its own, which keeps the generated code small."""
+    A linear pass tells which pattern lists a text can match at all; only those are searched, each once, in a projection of its own, which keeps the
+    generated code small."""
     own = df.columns
-    seen = df.select(*own, F.when(code.isin(*C.CAUSES), code).otherwise(UNKNOWN).alias("__code"), F.coalesce(confidence.cast("double"), F.lit(0.0)).alias("__conf"), squeeze(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
-    seen = seen.select(*own, "__code", "__conf", *(has_any(F.col("__t"), p).alias(f"__{k}") for k, p in SIGNS.items()))
+    seen = df.select(*own, F.when(code.isin(*C.CAUSES), code).otherwise(UNKNOWN).alias("__code"), F.coalesce(confidence.cast("double"), F.lit(0.0)).alias("__conf"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__raw"))
+    seen = seen.withColumn("__may", may_match(F.col("__raw"), SIGNS))
+    some = reduce(lambda a, b: a | b, (F.col("__may")[k] for k in SIGNS))
+    seen = seen.select(*own, "__code", "__conf", "__may", F.when(some, squeeze(F.col("__raw"))).otherwise("").alias("__t"))
+    seen = seen.select(*own, "__code", "__conf", *(F.when(F.col("__may")[k], has_any(F.col("__t"), p)).otherwise(False).alias(f"__{k}") for k, p in SIGNS.items()))
     sign = {k: F.col(f"__{k}") for k in SIGNS}
     ruled = seen.withColumn("__rule", rule_candidate(sign))
     code, confidence, rule = F.col("__code"), F.col("__conf"), F.col("__rule")
