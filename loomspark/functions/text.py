@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomspark.functions.regex import strip
+from loomspark.functions.regex import may_match, strip
 
 # Signals, tags and patterns that results depend on.
 SIGNALS = {
@@ -51,8 +51,9 @@ FLAGS = {
 
 
 def flags(text: Column) -> dict[str, Column]:
-    """Eleven flags of what a text refers to; a null has none."""
-    return {name: F.coalesce(text.rlike("(?Ud)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False)) for name, patterns in FLAGS.items()}
+    """Eleven flags of what a text refers to; a null has none. A linear pass tells which of them a text can have at all."""
+    may = may_match(text, FLAGS, False)
+    return {name: F.when(may[name], text.rlike("(?Ud)" + "|".join(f"(?:{p})" for p in patterns))).otherwise(False) for name, patterns in FLAGS.items()}
 
 
 def signals(text: Column) -> dict[str, Column]:
