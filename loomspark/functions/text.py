@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,16 +107,17 @@ def replace_html(text: Column) -> Column:
 
 
 def count_team_mentions(text: Column) -> Column:
-    return F.regexp_count(_filled(text), F.lit(f"(?Ud){TEAM_MENTION}"))
+    return F.when(text.contains("@"), F.regexp_count(text, F.lit(f"(?Ud){TEAM_MENTION}"))).otherwise(0)
 
 
 def count_user_mentions(text: Column) -> Column:
     """Mentions of users that are not part of a team's."""
-    return F.regexp_count(F.regexp_replace(_filled(text), f"(?Ud){TEAM_MENTION}", " "), F.lit(f"(?Ud){USER_MENTION}"))
+    return F.when(text.contains("@"), F.regexp_count(F.regexp_replace(text, f"(?Ud){TEAM_MENTION}", " "), F.lit(f"(?Ud){USER_MENTION}"))).otherwise(0)
 
 
 def slash_commands(text: Column) -> Column:
-    return F.regexp_extract_all(_filled(text), F.lit(rf"(?Udm)(?<!\S)(/(?:{COMMANDS}))\b"), F.lit(1))
+    """The look-behind comes after the slash, which few places have."""
+    return F.regexp_extract_all(_filled(text), F.lit(rf"(?Udm)(/(?<!\S/)(?:{COMMANDS}))\b"), F.lit(1))
 
 
 def anonymize_mentions(text: Column) -> Column:
@@ -122,12 +126,40 @@ def anonymize_mentions(text: Column) -> Column:
 
 
 def first_words(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.filter(F.split(_filled(text), r"(?U)\s+"), lambda w: w != ""), 1, n), " ")
+    """Only the beginning that has them is split."""
+    beginning = F.regexp_extract(_filled(text), rf"(?U)\A(?:\s*+\S++){{0,{n}}}", 0)
+    return F.array_join(F.filter(F.split(beginning, r"(?U)\s+"), lambda w: w != ""), " ")
+
+
+_KEPT, _BLANK = b"abcdefghijklmnopqrstuvwxyz0123456789", b" \t\n\x0b\f\r"
+_OTHERS = bytes(c for c in range(256) if c not in _KEPT + _BLANK)
+_TO_BLANKS = bytes(c if c in _KEPT + b"-" else 32 for c in range(256))
+
+
+def _bytewise(text: Column, change: Callable[[bytes], bytes]) -> Column:
+    """change() of each text's UTF-8, which gives ASCII; a match a word costs a regular expression far more."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else change(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string())
+
+    return run(text)
 
 
 def normalize_name(text: Column) -> Column:
     """Lower case, only letters, digits and single blanks."""
-    return F.regexp_replace(F.regexp_replace(strip(F.lower(_filled(text))), r"[^a-z0-9\s]", ""), r"\s+", " ")
+
+    def change(raw: bytes) -> bytes:
+        left = raw.translate(None, _OTHERS)
+        words = b" ".join(left.split())
+        return (b" " if left[:1] in _BLANK and left else b"") + words + (b" " if left[-1:] in _BLANK and words else b"")
+
+    return _bytewise(strip(F.lower(_filled(text))), change)
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-case words of letters, digits and hyphens, single blanks between them."""
+    return _bytewise(F.lower(_filled(text)), lambda raw: b" ".join(raw.translate(_TO_BLANKS).split()))
 
 
 def local_name(uri: Column) -> Column:
@@ -161,7 +193,7 @@ def visible_list(items: Column) -> Column:
 
 def for_model(text: Column) -> Column:
     """A comment as a model is asked about it: at most one blank line in a row, stripped."""
-    return strip(F.regexp_replace(_filled(text), r"\n{3,}", "\n\n"))
+    return strip(F.when(text.contains("\n\n\n"), F.regexp_replace(text, r"\n{3,}", "\n\n")).otherwise(_filled(text)))
 
 
 def query_text(text: Column, most_words: int = 60) -> Column:

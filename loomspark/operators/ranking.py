@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomspark import constants as C
 from loomspark.functions.embedding import embedding_text, hashed_vector
 from loomspark.functions.regex import once, squeeze
+from loomspark.functions.text import plain_words
 
 # Weights and limits of the adaptive score.
 MACRO_WEIGHT, COMMENT_WEIGHT, LEXICAL_WEIGHT = 0.10, 0.90, 0.20
@@ -25,7 +26,7 @@ def candidates(spark: SparkSession) -> DataFrame:
 
 
 def match_text(text: Column) -> Column:
-    return squeeze(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s-]", " "))
+    return plain_words(text)
 
 
 def lexical_score(text: Column, signals: Column) -> Column:

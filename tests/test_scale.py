@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomspark import constants as C
 from loomspark.functions import regex
 from loomspark.functions import text as T
-from loomspark.operators import causes, noise
+from loomspark.operators import causes, noise, ranking
 
 BLANKS = (" ", "  ", "\n", " ", " \t", "\x1c")
 SAYINGS = (
@@ -27,7 +27,7 @@ def test_linear_pass_never_misses(spark):
     squeezed = regex.squeeze(F.col("t"))
     found = {k: regex.has_any(squeezed, p) for k, p in causes.SIGNS.items()} | {f"f_{k}": F.col("t").rlike("(?Ud)" + "|".join(f"(?:{p})" for p in v)) for k, v in T.FLAGS.items()}
     found["phrase"] = regex.has_any(regex.strip(F.col("t")), C.HARD_PHRASE_PATTERNS, False)
-    may = regex.may_match(F.col("t"), causes.SIGNS) , regex.may_match(F.col("t"), {k: p for k, p in lists.items() if k.startswith("f_")}, False), regex.may_match(regex.strip(F.col("t")), {"phrase": lists["phrase"]}, False)
+    may = regex.may_match(F.col("t"), causes.SIGNS), regex.may_match(F.col("t"), {k: p for k, p in lists.items() if k.startswith("f_")}, False), regex.may_match(regex.strip(F.col("t")), {"phrase": lists["phrase"]}, False)
     of = lambda k: may[0][k] if k in causes.SIGNS else may[1][k] if k.startswith("f_") else may[2][k]
     got = rows.agg(*(F.count_if(found[k]).alias(k) for k in found), *(F.count_if(found[k] & ~of(k)).alias(f"missed_{k}") for k in found)).first()
     assert [k for k in found if got[f"missed_{k}"]] == []
@@ -49,3 +49,17 @@ def test_squeeze_and_strip(spark):
     texts = [" a  b ", "a b", "a\nb", "a \nb", " a b\x1c", "", "   ", "a\t\tb  c d"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in rows.select(regex.squeeze(F.col("t"))).collect()] == [" ".join(t.split()) for t in texts]
+
+
+def test_words_and_first_words(spark):
+    """The bytewise forms are those of the regular expressions, which cost a match a word."""
+    texts = ["Ab, c-d  é\x1c1", " ! a ", "! !", "", None, "a\n\nb\x0b c", "é a é", "x" * 30 + " y", "one two three  four", " lead", "a b \u0085c"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.coalesce("t", F.lit(""))
+    name = F.regexp_replace(F.regexp_replace(regex.strip(F.lower(t)), r"[^a-z0-9\s]", ""), r"\s+", " ")
+    match = regex.squeeze(F.regexp_replace(F.lower(t), r"[^a-z0-9\s-]", " "))
+    first = F.array_join(F.slice(F.filter(F.split(t, r"(?U)\s+"), lambda w: w != ""), 1, 2), " ")
+    got = rows.select(T.normalize_name(F.col("t")), name, ranking.match_text(F.col("t")), match, T.first_words(F.col("t"), 2), first).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in got)
+    plan = rows.select(T.normalize_name(F.col("t")), ranking.match_text(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
