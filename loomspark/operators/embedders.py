@@ -14,7 +14,7 @@ from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.embedding import DIMENSIONS
@@ -25,6 +25,8 @@ from loomspark.plans.lineage import written
 #: Texts encoded at once in a task.
 ROWS = 128
 MOST_TERMS, LEAST_TEXTS = 5000, 2
+#: Terms that a task counts before it passes them on.
+MOST_HELD = 100_000
 _WORD, _PLAIN, _SPACE = re.compile(r"\b\w\w+\b"), re.compile("[^a-z0-9]+"), re.compile(r"\s+")
 
 
@@ -98,6 +100,50 @@ def terms(text: str) -> list[str]:
     return own + [f"{a} {b}" for a, b in zip(own, own[1:])]
 
 
+def term_counts(rows: DataFrame, key: str, order: list[str], text: str) -> DataFrame:
+    """key, term, n: the terms of each key's texts in their order, as of one text made of them with blanks between; no such text is made. Rows are sorted over
+    all tasks, wherever a key's rows begin and end; a task tells the first and last word that it has of a key, whose pairs across tasks are added."""
+    parts = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.struct(*order).alias("__place"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    kind = parts.schema["__key"].dataType.simpleString()
+    own = parts.repartitionByRange("__key", "__place", "__text").sortWithinPartitions("__key", "__place", "__text").select("__key", "__text", F.spark_partition_id().alias("__task"))
+    names = ["__key", "term", "n", "task", "first", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, task, first, last, found = None, 0, None, None, Counter()
+
+        def told(edges: bool) -> pa.RecordBatch:
+            each = [*((key, t, n, None, None, None) for t, n in found.items()), *[(key, None, 0, task, first, last)] * (edges and first is not None)]
+            types = [keys, pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in each], t) for i, t in enumerate(types)], names=names)
+
+        keys = pa.null()
+        for batch in batches:
+            keys = batch.column(0).type
+            for own, raw, task_of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if own != key:
+                    if key is not None:
+                        yield told(True)
+                    key, first, last, found = own, None, None, Counter()
+                task = task_of
+                words = _WORD.findall(raw.lower())
+                if words:
+                    found.update(words)
+                    found.update(f"{a} {b}" for a, b in zip(words if last is None else [last, *words], words[last is None :]))
+                    first, last = words[0] if first is None else first, words[-1]
+                if len(found) >= MOST_HELD:
+                    yield told(False)
+                    found = Counter()
+        if key is not None:
+            yield told(True)
+
+    each = written(own.mapInArrow(run, f"__key {kind}, term string, n long, task int, first string, last string"), "term-parts")
+    ends = each.where("task is not null")  # at most a row for each task and key
+    before = F.lag("last").over(Window.partitionBy("__key").orderBy("task"))
+    across = ends.select("__key", F.concat_ws(" ", before, "first").alias("term"), F.lit(1).cast("long").alias("n"), before.isNotNull().alias("__met")).where("__met").drop("__met")
+    every = each.where("term is not null").select("__key", "term", "n").unionByName(across)
+    return every.groupBy("__key", "term").agg(F.sum("n").alias("n")).withColumnRenamed("__key", key)
+
+
 class Vocabulary(NamedTuple):
     """The number of each term, and its weight ln((1 + n) / (1 + df)) + 1 for each fold."""
 
@@ -123,7 +169,24 @@ def vocabulary(rows: DataFrame, text: str, folds: list[int] | None = None, most:
             columns = [pa.array([t for t, _ in names], pa.string()), pa.array([f for _, f in names], pa.int32()), *(pa.array([c[k] for c in counts], pa.int64()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, names=["term", "fold", "n", "df"])
 
-    each = own.select(F.col(text).cast("string"), F.col("fold").cast("int")).mapInArrow(run, "term string, fold int, n long, df long")
+    return _leading(own, own.select(F.col(text).cast("string"), F.col("fold").cast("int")).mapInArrow(run, "term string, fold int, n long, df long"), wanted, most, least)
+
+
+def vocabulary_of_counts(rows: DataFrame, counts: DataFrame, key: str, folds: list[int]) -> Vocabulary:
+    """As vocabulary(), from term_counts() of the rows' keys (key, fold)."""
+    each = counts.join(rows.select(key, F.col("fold").cast("int")), key).select("term", "fold", "n", F.lit(1).cast("long").alias("df"))
+    return _leading(rows, each, folds, MOST_TERMS, LEAST_TEXTS)
+
+
+def known_counts(counts: DataFrame, key: str, known: Vocabulary) -> DataFrame:
+    """key and terms, as of counted_terms(): a key has at most as many as the vocabulary."""
+    places = counts.sparkSession.createDataFrame(list(known.terms.items()), "term string, i int")
+    found = counts.join(F.broadcast(places), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", F.col("n").cast("int").alias("n")))).alias("__all"))
+    return found.select(key, F.struct(F.transform("__all", lambda x: x["i"]).alias("i"), F.transform("__all", lambda x: x["n"]).alias("n")).alias("terms"))
+
+
+def _leading(own: DataFrame, each: DataFrame, wanted: list[int], most: int, least: int) -> Vocabulary:
+    """From counts each (term, fold, n, df) of the texts own (fold)."""
     outside = lambda f, x: F.sum(F.when(F.col("fold") != f, F.col(x)).otherwise(0))
     counted = written(each.groupBy("term").agg(*(outside(f, x).alias(f"{x}{i}") for i, f in enumerate(wanted) for x in ("n", "df"))), "terms")
     sizes = own.agg(*(F.count_if(F.col("fold") != f).alias(f"f{i}") for i, f in enumerate(wanted))).first()

@@ -118,25 +118,31 @@ def importance_by_fold(issues: DataFrame, label: str, key: str, columns: tuple[s
     return made.groupBy("feature").agg(F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("std"))
 
 
-def together(rows: DataFrame, models: dict[str, Linear], folds: list[int], classes: int, text: str = "text") -> dict[str, np.ndarray]:
-    """Confusion by fold, true and predicted class of each model; rows: fold, y and the text."""
+def together(rows: DataFrame, models: dict[str, Linear], folds: list[int], classes: int, text: str = "text", counts: DataFrame | None = None) -> dict[str, np.ndarray]:
+    """Confusion by fold, true and predicted class of each model; rows: fold, y and the text or, with counts (embedders.term_counts of the key named text), the key."""
     some = {name: f"v{i}" for i, (name, m) in enumerate(models.items()) if m.embedder}
     columns = [embedders.embedded(F.col(text), models[name].embedder).alias(c) for name, c in some.items()]
-    known = embedders.vocabulary(rows, text, folds) if len(some) < len(models) else None
-    if known:
+    if counts is not None and some:
+        raise ValueError("embedders read texts, not counts of terms")
+    known = None if len(some) == len(models) else embedders.vocabulary(rows, text, folds) if counts is None else embedders.vocabulary_of_counts(rows, counts, text, folds)
+    if known and counts is not None:
+        none = F.struct(F.array().cast("array<int>").alias("i"), F.array().cast("array<int>").alias("n"))
+        rows = rows.join(embedders.known_counts(counts, text, known), text, "left").withColumn("terms", F.coalesce("terms", none))
+        columns.append(F.col("terms"))
+    elif known:
         columns.append(embedders.counted_terms(F.col(text), known).alias("terms"))
     ready = written(rows.select("fold", "y", *columns), "model-rows")
     problems = [linear.Problem(name, some.get(name, "terms"), m.loss, idf=None if m.embedder else known.idf) for name, m in models.items()]
     return dict(zip(models, linear.confusion(ready, linear.fit(ready, problems, folds, classes))))
 
 
-def _judged(split: DataFrame, label: str, models: dict[str, Fit | Linear], folds: list[int], text: str) -> dict[str, np.ndarray]:
-    """Confusion of every model on each fold, learned from the other rows; split: the issues and their fold."""
+def _judged(split: DataFrame, label: str, models: dict[str, Fit | Linear], folds: list[int], text: str, counts: DataFrame | None = None) -> dict[str, np.ndarray]:
+    """Confusion of every model on each fold, learned from the other rows; split: the issues and their fold. With counts, text is the key of both."""
     labels = [r[0] for r in split.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).limit(1000).collect()]  # levels: three
     y = (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("int")
     named = split.where(F.col(label).isNotNull()).withColumn("__y", y)
     own = {name: m for name, m in models.items() if isinstance(m, Linear)}
-    out = together(named.select("fold", F.col("__y").alias("y"), text), own, folds, max(2, len(labels)), text) if own else {}
+    out = together(named.select("fold", F.col("__y").alias("y"), text), own, folds, max(2, len(labels)), text, counts) if own else {}
     for name, fit in models.items():
         if name not in own:
             out[name] = np.zeros((len(folds), len(labels), len(labels)))
@@ -148,10 +154,11 @@ def _judged(split: DataFrame, label: str, models: dict[str, Fit | Linear], folds
     return {name: out[name] for name in models}
 
 
-def holdout(issues: DataFrame, label: str, key: str, models: dict[str, Fit | Linear] = MODELS, test_share: float = 0.3, text: str = "text") -> DataFrame:
-    """model, accuracy, macro_f1, weighted_f1 on the part held out of each label."""
+def holdout(issues: DataFrame, label: str, key: str, models: dict[str, Fit | Linear] = MODELS, test_share: float = 0.3, text: str = "text", counts: DataFrame | None = None) -> DataFrame:
+    """model, accuracy, macro_f1, weighted_f1 on the part held out of each label. Where an issue's text would be one large value, counts (embedders.term_counts
+    by key, read several times) stand for it."""
     split = compact(tables.stratified_split(issues, label, key, test_share).withColumn("fold", F.when(F.col("is_test"), 0).otherwise(1)).drop("is_test"))
-    rows = [(name, *(round(x, 4) for x in linear.scores(found[0]))) for name, found in _judged(split, label, models, [0], text).items()]
+    rows = [(name, *(round(x, 4) for x in linear.scores(found[0]))) for name, found in _judged(split, label, models, [0], text if counts is None else key, counts).items()]
     return issues.sparkSession.createDataFrame(rows, "model string, accuracy double, macro_f1 double, weighted_f1 double")
 
 

@@ -11,7 +11,7 @@ from loomspark import cases
 from loomspark import constants as C
 from loomspark.functions import discourse, embedding
 from loomspark.functions import text as T
-from loomspark.operators import causes, diagnosis, index, models, noise, ontology, ranking, tables
+from loomspark.operators import causes, diagnosis, embedders, index, models, noise, ontology, ranking, tables
 from loomspark.plans import comments as plans
 from loomspark.plans.lineage import written
 from loomspark.streaming import stages
@@ -259,9 +259,9 @@ def classified_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def level_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well an issue's level is learned from its causes' names and from its features."""
     rows = _index_input(spark, sf_dir)
-    words = F.struct("row_ord", F.concat_ws(" ", F.concat(F.lit("cause"), F.col("code")), F.col("microcauses")[0]["cause_name"]).alias("t"))
-    text = rows.groupBy("issue_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(words)), lambda x: x["t"]), " ").alias("text"))
-    return models.holdout(_indexed(spark, sf_dir).join(text, "issue_number"), "social_debt_level", "issue_number")
+    words = rows.select("issue_number", "row_ord.*", F.concat_ws(" ", F.concat(F.lit("cause"), F.col("code")), F.col("microcauses")[0]["cause_name"]).alias("t"))
+    counts = written(embedders.term_counts(words, "issue_number", ["l_orderkey", "l_linenumber"], "t"), "term-counts")
+    return models.holdout(_indexed(spark, sf_dir), "social_debt_level", "issue_number", counts=counts)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

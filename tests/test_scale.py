@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from loomspark import constants as C
 from loomspark.functions import regex
 from loomspark.functions import text as T
-from loomspark.operators import causes, noise, ranking
+from loomspark.operators import causes, embedders, noise, ranking
 
 BLANKS = (" ", "  ", "\n", " ", " \t", "\x1c")
 SAYINGS = (
@@ -63,3 +64,27 @@ def test_words_and_first_words(spark):
     assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in got)
     plan = rows.select(T.normalize_name(F.col("t")), ranking.match_text(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_counted_terms_of_spread_texts(spark):
+    """Terms of a text whose parts lie in many tasks, without the text."""
+    rows = [(k, i, f"cause{'AB'[i % 2]} x M{i * i % 7}" if i % 5 else "") for k in (1, 2, 3) for i in range(40 if k < 3 else 1)]
+    parts = spark.createDataFrame(rows, "k int, o int, t string")
+    width = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = embedders.term_counts(parts.repartition(3), "k", ["o"], "t").localCheckpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", width)
+    whole = {k: Counter(embedders.terms(" ".join(t for j, _, t in rows if j == k))) for k in (1, 2, 3)}
+    got = {k: {} for k in (1, 2, 3)}
+    for k, term, n in counts.collect():
+        got[k][term] = n
+    assert got == whole
+    keys = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "k int, fold int")
+    texts = keys.join(spark.createDataFrame([(k, " ".join(t for j, _, t in rows if j == k)) for k in (1, 2, 3)], "k int, t string"), "k")
+    a, b = embedders.vocabulary_of_counts(keys, counts, "k", [0, 1]), embedders.vocabulary(texts, "t", [0, 1])
+    assert a.terms == b.terms and (a.idf == b.idf).all()
+    one = {r["k"]: dict(zip(*r["terms"])) for r in embedders.known_counts(counts, "k", a).collect()}
+    other = {r["k"]: dict(zip(*r["c"])) for r in texts.select("k", embedders.counted_terms(F.col("t"), b).alias("c")).collect()}
+    assert one == {k: v for k, v in other.items() if v}
