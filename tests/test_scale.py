@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from loomspark import constants as C
-from loomspark.functions import regex
+from loomspark.functions import discourse, regex
 from loomspark.functions import text as T
 from loomspark.operators import causes, embedders, noise, ranking
 
@@ -88,3 +89,16 @@ def test_counted_terms_of_spread_texts(spark):
     one = {r["k"]: dict(zip(*r["terms"])) for r in embedders.known_counts(counts, "k", a).collect()}
     other = {r["k"]: dict(zip(*r["c"])) for r in texts.select("k", embedders.counted_terms(F.col("t"), b).alias("c")).collect()}
     assert one == {k: v for k, v in other.items() if v}
+
+
+def test_cleaning_looks_for_what_patterns_need():
+    """A pattern that can be found is never left out, and ordinary words meet few patterns."""
+    said = ["Codecov", "ſtale", "MERGİFY", "[bot]", "ERROR: x", "FAıL: x", "panic: runtime error", "== FAIL:", "exitcode 3", "5 ns/op", "3 Iterationſ/s", "@a/b", "Line 3 in /haſh_reference(x)", "[a](http://b)", "HTTPS:/x.y", "#3",
+            "<BR>", "Viſible: 1% - 2%", "a \t b", "a \n b", "ındex 0a..1b 100644", "diff --git a", "@@ -1 +1 @@", ":D", "XDD", "=)", "^^", "T_T", ":'(", "D:<", "o_O", ":\\\\", "O.o", ";)", "XP", ":eyes:", "\r\n", "\n\n\n", "dependabot", "review_bot"]
+    for text in said:
+        for pattern in discourse.NEEDED:
+            found = re.search(pattern if pattern.startswith("(?") else f"(?m){pattern}", text)
+            # a single blank or break is put in its own place
+            assert discourse._can(pattern, text) or not found or found[0] in (" ", "\n"), (pattern, text)
+    met = [p for p in discourse.NEEDED if discourse._can(p, "Reoush hewh and onon of that. Ing thinen ouél.")]
+    assert len(met) <= 3
