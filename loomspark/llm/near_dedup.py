@@ -9,8 +9,8 @@ in a band are candidates: at a similarity of 0.75 a pair is missed with probabil
    that it shares most bands with, then, where several trees of links still meet in a band, with two pivots drawn by hash. The
    trees of verified links already join most copies: a few comparisons for each class, never one for each two.
 3. Only in bands that still hold several trees are classes of different trees compared. Shingles that no other class in such bands has are in
-   no intersection; a class with over a quarter of them has no link at all, the others go on with the shingles that are left. Bands with the same
-   classes are compared once. A band's
+   no intersection; a class with over a quarter of them has no link at all. Bands with the same
+   classes are compared once, and two classes in the least band that they share. A band's
    classes are dealt to blocks of about BLOCK classes or BLOCK_BYTES of shingles; the largest tree has blocks of its own, which are never held
    against each other. Blocks meet in cells, first by FINE coordinates, which drop classes without a likely partner (a pair at 0.75 is lost with a probability
    below 1 in a million), then by their shingles, all sizes of intersections at once; full sets decide, and a cell gives one link
@@ -200,8 +200,15 @@ def _linked(full: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(one.join(sets, ["a", "copy"]).select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct(), "linked")
 
 
-def _common_sets(full: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n_shingles, shingles (those that another wanted document has too), sig (FINE coordinates of the whole set), where common shingles are enough for a link."""
+def _having(full: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of at least these nodes: they pass a Bloom filter, and none is moved."""
+    own = materialize(nodes.select(F.xxhash64("node").alias("h")).distinct(), "nodes")
+    return probed(full, F.xxhash64("node"), bitmaps(own, own.count()), "__some").where("__some").drop("__some")
+
+
+def _fine_signatures(full: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, n_shingles, sig (FINE coordinates of the whole set) of the wanted documents (and of a few others) that share enough shingles with others to have a link. Only
+    shingles travel, each with its node; no set does."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -211,25 +218,19 @@ def _common_sets(full: DataFrame, wanted: DataFrame) -> DataFrame:
                 ids = batch.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets])), pa.array(np.repeat(ids, [len(x) for x in sets]))], names=["shingle", "node"])
 
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets, kept = [], [], []
-            lone = batch.column("alone")
-            for i, (node, raw) in enumerate(zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist())):
-                x = np.frombuffer(raw, np.int64)
-                gone = lone[i].values
-                common = x if gone is None else x[~np.isin(x, gone.to_numpy())]
-                if 100 * len(common) >= PERCENT * len(x):
-                    nodes.append(node), sets.append(x.view(np.uint64)), kept.append(common.tobytes())
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
             sig = signatures(sets, FINE).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(kept, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "n_shingles", "shingles", "sig"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "n_shingles", "sig"])
 
-    some = materialize(full.join(wanted, "node", "left_semi"), "open-sets")
+    some = _having(full, wanted)
     rows = some.select("node", "shingles").mapInArrow(spread, "shingle long, node long")
-    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.collect_list("shingle").alias("alone"))
-    return materialize(some.join(alone, "node", "left").mapInArrow(left, "node long, n_shingles long, shingles binary, sig binary"), "common")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = some.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    enough = 100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= PERCENT * F.col("n")
+    kept = materialize(sizes.join(alone, "node", "left").where(enough).select("node"), "sharing")
+    return materialize(_having(full, kept).join(kept, "node", "left_semi").select("node", "shingles").mapInArrow(signed, "node long, n_shingles long, sig binary"), "fine")
 
 
 def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -260,7 +261,7 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def joining_links(sides: list[list[tuple[int, int, np.ndarray]]]) -> list[tuple[int, int]]:
-    """Links that join the trees of one cell's two sides of (label, n_shingles, common shingles): at most one less than there are trees."""
+    """Links that join the trees of one cell's two sides of (label, n_shingles, shingles): at most one less than there are trees."""
     (la, na, sa), (lb, nb, sb) = [(np.array([m[0] for m in s], np.int64), np.array([m[1] for m in s]), [m[2] for m in s]) for s in sides]
     both = intersections(sa, sb)
     good = (la[:, None] != lb) & (100 * both >= PERCENT * (na[:, None] + nb - both))
@@ -308,7 +309,7 @@ def _cells(rows: DataFrame, sizes: DataFrame, diagonal: bool = False) -> DataFra
 
 
 def _by_cell(cells: DataFrame, facts: DataFrame, judge: Callable[[int, list, list], Iterable[tuple[int, int]]], out: str) -> DataFrame:
-    """Rows of two numbers that judge(band, side, side) finds in each cell; a side has (node, label, n_shingles, bytes) of each class. facts: node, n_shingles, bytes."""
+    """Rows of two numbers that judge(band, side, side) finds in each cell; a side has (node, label, facts) of each class. facts: node, and what is known of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: list = [None, [], []]
@@ -319,8 +320,8 @@ def _by_cell(cells: DataFrame, facts: DataFrame, judge: Callable[[int, list, lis
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in (0, 1)], names=["x", "y"])
 
         for batch in batches:
-            *place, own, node, label, count, raw = (c.to_pylist() for c in batch.columns)
-            for where, o, *member in zip(zip(*place), own, node, label, count, raw):
+            *place, own = (c.to_pylist() for c in batch.columns[:4])
+            for where, o, *member in zip(zip(*place), own, *(c.to_pylist() for c in batch.columns[4:])):
                 if where != cell[0]:
                     if cell[0]:
                         yield found()
@@ -334,25 +335,40 @@ def _by_cell(cells: DataFrame, facts: DataFrame, judge: Callable[[int, list, lis
     return materialize(rows.toDF(*out.split()), "by-cell")
 
 
+def _bits(rows: list[list[int]], width: int) -> np.ndarray:
+    """A row of bits for each list of places."""
+    out = np.zeros((len(rows), -(-width // 8)), np.uint8)
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    places = np.array([p for r in rows for p in r], np.int64)
+    np.bitwise_or.at(out, (at, places >> 3), (1 << (places & 7)).astype(np.uint8))
+    return out
+
+
 def _likely(band: int, one: list, two: list) -> Iterator[tuple[int, int]]:
-    """Those of a cell's classes that some class of another tree may be similar to, by size and by the finer signature."""
+    """Those of a cell's classes that some class of another tree may be similar to, by size and by the finer signature; two classes that share several bands
+    are told in the least of them only, so that their sets meet once. A member: node, label, n_shingles, sig, its bands."""
     sides = [(np.array([m[1] for m in s], np.int64), np.array([m[2] for m in s]), np.frombuffer(b"".join(m[3] for m in s), np.uint8).reshape(len(s), -1)) for s in (one, two)]
     (la, na, sa), (lb, nb, sb) = sides
+    before = {b: i for i, b in enumerate({b for s in (one, two) for m in s for b in m[4] if b < band})}
+    earlier = [_bits([[before[b] for b in m[4] if b < band] for m in s], len(before)) for s in (one, two)]
     x, y = np.nonzero((la[:, None] != lb) & (100 * np.minimum(na[:, None], nb) >= PERCENT * np.maximum(na[:, None], nb)))
     for k in range(0, len(x), 20_000):
         i, j = x[k : k + 20_000], y[k : k + 20_000]
         good = (sa[i] == sb[j]).sum(1) >= LEAST_EQUAL
+        i, j = i[good], j[good]
+        good = ~(earlier[0][i] & earlier[1][j]).any(1)
         yield from ((band, one[p][0]) for p in np.unique(i[good]).tolist())
         yield from ((band, two[p][0]) for p in np.unique(j[good]).tolist())
 
 
-def _across(rows: DataFrame, sets: DataFrame, diagonal: bool = False) -> DataFrame | None:
+def _across(rows: DataFrame, full: DataFrame, diagonal: bool = False) -> DataFrame | None:
     """Links (a, b) between labels whose classes share a band and are similar. None if only large bands were asked for and there are none."""
+    sets = _having(full, rows.select("node"))
     cells = _cells(rows, sets.select("node", F.octet_length("shingles").alias("size")), diagonal)
     if cells is None:
         return None
     unpacked = lambda side: [(label, n, np.frombuffer(raw, np.uint64)) for _, label, n, raw in side]
-    return _by_cell(cells, sets.select("node", "n_shingles", "shingles"), lambda band, one, two: joining_links([unpacked(one), unpacked(two)]), "a b")
+    return _by_cell(cells, sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), "shingles"), lambda band, one, two: joining_links([unpacked(one), unpacked(two)]), "a b")
 
 
 def _meet(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -407,18 +423,19 @@ def _trees(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     rest = _open(rest.drop("label"), trees)
     if rest.isEmpty():
         return trees
-    sets = _common_sets(full, rest.select("node").distinct())
-    rest = _open(rest.join(sets.select("node"), "node", "left_semi").drop("label"), trees)
+    fine = _fine_signatures(full, rest.select("node"))
+    rest = _open(rest.join(fine.select("node"), "node", "left_semi").drop("label"), trees)
     if rest.isEmpty():
         return trees
     # bands with the same classes are compared once; then classes without a likely partner go, before any set is moved
     same = materialize(rest.groupBy("band").agg(F.count(F.lit(1)).alias("c"), *(F.sum(F.xxhash64("node", F.lit(i)) % 2**40).alias(f"s{i}") for i in (0, 1))), "band-members")
     once = same.groupBy("c", "s0", "s1").agg(F.min("band").alias("band")).select("band")
     rest = materialize(rest.join(once, "band", "left_semi"), "distinct-bands")
-    likely = _by_cell(_cells(rest, sets.select("node", F.lit(FINE).cast("long").alias("size"))), sets.select("node", "n_shingles", "sig"), _likely, "band node")
+    own = rest.groupBy("node").agg(F.collect_list("band").alias("bands"))  # at most BANDS
+    likely = _by_cell(_cells(rest, fine.select("node", F.lit(FINE).cast("long").alias("size"))), fine.join(own, "node"), _likely, "band node")
     rest = _open(rest.join(likely, ["band", "node"], "left_semi").drop("label"), trees)
     for diagonal in (True, False):
-        between = None if rest.isEmpty() else _across(rest, sets, diagonal)
+        between = None if rest.isEmpty() else _across(rest, full, diagonal)
         if between is not None and not between.isEmpty():
             trees = _renamed(trees, between)
             rest = _open(rest.drop("label"), trees) if diagonal else rest

@@ -307,3 +307,11 @@ def test_words_of_letters_through_the_merger():
     t = Tokenizer.from_file(packing.default_tokenizer())
     cache = packing.WordCache(packing.default_tokenizer())
     assert [np.frombuffer(x, "<u4").tolist() for x in cache.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_likely_classes_are_told_in_the_least_band_that_they_share():
+    a, b, c = (near_dedup.signatures([np.arange(k, k + 50, dtype=np.uint64)], near_dedup.FINE).astype(np.uint8)[0].tobytes() for k in (0, 1, 1))
+    side = [[1, 1, 50, a, [3, -8, 5]], [2, 2, 50, b, [5, 3]], [3, 3, 50, c, [5, 9]]]
+    told = {band: sorted(set(near_dedup._likely(band, [m for m in side if band in m[4]], [m for m in side if band in m[4]]))) for band in (-8, 3, 5, 9)}
+    assert told == {-8: [], 3: [(3, 1), (3, 2)], 5: [(5, 1), (5, 2), (5, 3)], 9: []}
+    assert sorted(set(near_dedup._likely(5, side[:2], side[:2]))) == []
