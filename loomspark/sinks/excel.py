@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime
 import decimal
+import functools
 import json
 import math
 import os
@@ -37,6 +38,8 @@ register_pickle_by_value(sys.modules[__name__])  # workers need not have the pac
 
 #: What a spreadsheet program takes: rows with the header, columns, characters in a cell.
 MOST_ROWS, MOST_COLUMNS, MOST_CHARACTERS = 1_048_576, 16_384, 32_767
+#: Characters that are put into a workbook at once, about.
+HELD = 1 << 16
 #: Days are counted from here; before FIRST_DATE a program counts otherwise.
 ZERO, FIRST_DATE = datetime.datetime(1899, 12, 30), datetime.date(1900, 3, 1)
 
@@ -87,6 +90,7 @@ _RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationship
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 #: Characters that XML can't hold or changes, and what would be read as such an escape.
+_SPECIAL = re.compile(r"[\x00-\x08\x0b-\x1f\ufffe\uffff&<>]|_x")
 _UNSAFE = re.compile(r"[\x00-\x08\x0b-\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
 
 
@@ -101,6 +105,8 @@ def letters(at: int) -> str:
 
 
 def cell_text(text: str) -> str:
+    if not _SPECIAL.search(text):
+        return text
     return escape(_UNSAFE.sub(lambda m: f"_x{ord(m[0]):04X}_", text))
 
 
@@ -143,12 +149,19 @@ def _parts(style: Style) -> dict[str, str]:
 
 def day_number(moment: datetime.datetime) -> str:
     """Days with 16 decimal places, which tell microseconds apart."""
-    past = moment.replace(tzinfo=None) - ZERO
+    return _day_number(moment.replace(tzinfo=None))
+
+
+@functools.lru_cache(1 << 14)
+def _day_number(moment: datetime.datetime) -> str:
+    past = moment - ZERO
     part = (past.seconds * 1_000_000 + past.microseconds) * 10**16 // 86_400_000_000
     return f"{past.days}.{part:016d}"
 
 
 def _cell(place: str, value: object, long: str) -> str:
+    if type(value) is str and len(value) <= MOST_CHARACTERS:  # most cells
+        return f'<c r="{place}" s="2" t="inlineStr"><is><t xml:space="preserve">{cell_text(value)}</t></is></c>'
     if isinstance(value, bool):
         return f'<c r="{place}" s="2" t="b"><v>{int(value)}</v></c>'
     if isinstance(value, int) and abs(value) < 10**15 or isinstance(value, float) and math.isfinite(value):
@@ -164,7 +177,7 @@ def _cell(place: str, value: object, long: str) -> str:
 
 
 class Workbook:
-    """One workbook of one sheet, written as a stream of rows; nothing of it is held."""
+    """One workbook of one sheet, written as a stream of rows; about HELD characters of them are held."""
 
     def __init__(self, path: str, names: list[str], style: Style, widths: list[float], long: str):
         self.names, self.style, self.long, self.rows = [letters(i) for i in range(len(names))], style, long, 1
@@ -177,7 +190,7 @@ class Workbook:
         self._put(f'{_HEAD}<worksheet xmlns="{_NAMESPACE}"><sheetViews><sheetView workbookViewId="0">{pane}</sheetView></sheetViews>{f"<cols>{columns}</cols>" if columns else ""}<sheetData>')
         cells = "".join(f'<c r="{c}1" s="1" t="inlineStr"><is><t xml:space="preserve">{cell_text(n)}</t></is></c>' for c, n in zip(self.names, names))
         self._put(f'<row r="1"{self._height(style.header_height)}>{cells}</row>')
-        self.open_row = self._height(style.row_height)
+        self.open_row, self.held, self.size = self._height(style.row_height), [], 0
 
     @staticmethod
     def _height(height: int | None) -> str:
@@ -189,11 +202,15 @@ class Workbook:
     def add(self, row: tuple) -> None:
         self.rows += 1
         cells = "".join(_cell(f"{c}{self.rows}", v, self.long) for c, v in zip(self.names, row) if v is not None)
-        self._put(f'<row r="{self.rows}"{self.open_row}>{cells}</row>')
+        self.held.append(f'<row r="{self.rows}"{self.open_row}>{cells}</row>')
+        self.size += len(self.held[-1])
+        if self.size >= HELD:
+            self._put("".join(self.held))
+            self.held, self.size = [], 0
 
     def close(self) -> None:
         within = f'<autoFilter ref="A1:{self.names[-1]}{self.rows}"/>' if self.style.filter and self.names else ""
-        self._put(f"</sheetData>{within}</worksheet>")
+        self._put(f"{''.join(self.held)}</sheetData>{within}</worksheet>")
         self.sheet.close()
         self.zip.close()
 

@@ -218,3 +218,34 @@ def test_formulas_and_refusals(tmp_path):
         biff.read_rows(io.BytesIO(b"PK" + data))
     with pytest.raises(ValueError, match="breaks off"):
         biff.read_rows(io.BytesIO(data[:1200]))
+
+
+def test_plain_rows_need_no_parser(tmp_path, monkeypatch):
+    """Cells are the same without the parser as with it, in whatever sheet; a sheet as it is written here never meets the parser."""
+    rows = [("a & b < c > \"d\" 'e'", 1, 2.5, True, None), (None,) * 5, ("_x0041_ \x01\r\n\t ñ", -7, 1e300, False, "x"), ("", 0, 0.1, True, "]]>")]
+    book = sink.Workbook(str(tmp_path / "own.xlsx"), list("abcde"), sink.Style(), [10.0] * 5, "error")
+    for r in rows:
+        book.add(r)
+    book.close()
+
+    def sheet(name, body, head='<?xml version="1.0" encoding="UTF-8"?>'):
+        with zipfile.ZipFile(tmp_path / "own.xlsx") as old, zipfile.ZipFile(tmp_path / name, "w") as new:
+            for part in old.namelist():
+                new.writestr(part, old.read(part) if "sheet1" not in part else f'{head}<worksheet xmlns="m"><sheetData>{body}</sheetData></worksheet>'.encode("utf-8"))
+        return str(tmp_path / name)
+
+    def both(path):
+        with zipfile.ZipFile(path) as old:
+            with old.open("xl/worksheets/sheet1.xml") as f:
+                parsed = list(excel._parsed_rows(f, []))
+        return list(excel.read_rows(path)), parsed
+
+    got, parsed = both(str(tmp_path / "own.xlsx"))
+    assert got == parsed and len(got) == 4 and got[2][0] == "_x0041_ \x01\r\n\t ñ"
+    plain = '<row r="1"><c r="A1"><v>1</v></c><c r="C1" t="str"><v>s</v></c></row><row r="2"/><row r="3" ht="5"><c r="B3" s="1"/></row>'
+    odd = ['<c r="A9"><v><![CDATA[5]]></v></c>', '<c><v>7</v></c>', '<c r="A9"><v>&#65;</v></c>', '<c r="A9"><f>1+1</f><v>2</v></c>', '<c r="A9" t="inlineStr"><is><r><t>x</t></r><r><t>y</t></r></is></c>', ' <c r="A9" t="inlineStr"/>', '<c t="b" r="A9"><v>1</v></c>', "<!-- <row> --><c r='A9'><v>3</v></c>"]
+    for i, cells in enumerate(odd):
+        got, parsed = both(sheet(f"{i}.xlsx", f'{plain}<row r="9">{cells}</row>{plain}'))
+        assert got == parsed and len(got) == 3
+    monkeypatch.setattr(excel, "iterparse", lambda f: iter(()) if "sheet1" in f.name else ElementTree.iterparse(f))
+    assert len(list(excel.read_rows(str(tmp_path / "own.xlsx")))) == 4
