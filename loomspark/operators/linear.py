@@ -1,7 +1,9 @@
 """Linear classifiers of all models and folds at once: a round is one pass over the rows, which sums the losses and gradients of every one of them.
 
 A problem is a column of features with a loss. Each problem is solved once for each fold, on the rows of the other folds; L-BFGS runs on the driver for
-all of them in step, with the parameters alone in its hands (they depend on terms and dimensions, never on rows). What depends on the training rows is
+all of them in step, with the parameters alone in its hands (they depend on terms and dimensions, never on rows). With the gradients of dense vectors of up to WIDEST
+numbers a round sums the curvature of each fold, too: with one column of coefficients its steps are Newton's, with more L-BFGS starts from it. So there are a tenth of the
+rounds, each of them a pass over the rows. What depends on the training rows is
 found for each fold as well: the standardisation of dense vectors, the vocabulary and weights of words, the weights of classes.
 
 Losses, over rows weighted by n / (classes * n of the class): `logistic`, the multinomial (with two classes binomial) loss with a free intercept; `hinge`,
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from loomspark.operators.sums import summed
 
 ROUNDS, TOLERANCE, MEMORY = 200, 1e-5, 12
+#: Numbers of a dense vector up to which its curvature is summed, and the second derivative (as a share of the largest) from which a row counts in it.
+WIDEST, LEAST_BEND = 512, 1e-7
 #: Rows that a task works on at once.
 ROWS = 512
 
@@ -51,6 +55,25 @@ class _Dense(NamedTuple):
     def fold(self, x: np.ndarray, f: int) -> np.ndarray:
         return (x - self.mean[f]) / self.scale[f]
 
+    def opened(self, w: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients (folds at, features and the intercept, columns) as those of vectors that aren't standardised: features, folds by columns; and intercepts."""
+        own = w[at, :-1] / self.scale[at, :, None]
+        return own.transpose(1, 0, 2).reshape(self.width, -1), (w[at, -1] - np.einsum("fd,fdc->fc", self.mean[at], own)).ravel()
+
+    def slopes(self, raw: np.ndarray, total: np.ndarray, at: list[int]) -> np.ndarray:
+        """The gradient of the standardised vectors' coefficients, from that of the others (features, folds by columns) and the sums of slopes."""
+        own = raw.reshape(self.width, len(at), -1).transpose(1, 0, 2)
+        total = total.reshape(len(at), 1, -1)
+        return np.concatenate([(own - self.mean[at, :, None] * total) / self.scale[at, :, None], total], 1)
+
+    def inverse(self, products: np.ndarray, f: int, held: np.ndarray) -> np.ndarray:
+        """Of the curvature of a fold's standardised vectors; products: those of the others, 1 behind them, by weight."""
+        turn = np.diag(np.append(1 / self.scale[f], 1.0))
+        turn[:-1, -1] = -self.mean[f] / self.scale[f]
+        own = turn @ products @ turn.T + np.diag(held)
+        own[-1, -1] = max(own[-1, -1], 1e-9)
+        return np.linalg.inv(own)
+
     def times(self, x: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
         return x @ w
 
@@ -89,6 +112,8 @@ class _Lbfgs:
     """Asks for values at `trial`; tell() gives them. Backtracks until the loss falls enough."""
 
     def __init__(self, x: np.ndarray):
+        self.inverse: np.ndarray | None = None  # of the curvature, for each column of the parameters
+        self.exact = False  # whether that is all of it
         self.x, self.trial, self.f, self.g, self.step, self.direction = x, x, None, None, 1.0, None
         self.past: list[tuple[np.ndarray, np.ndarray]] = []
         self.done, self.rounds, self.tries = False, 0, 0
@@ -100,7 +125,7 @@ class _Lbfgs:
                 self.done = True
             self.trial = self.x + self.step * self.direction
             return
-        if self.f is not None:
+        if self.f is not None and not self.exact:
             s, y = self.trial - self.x, g - self.g
             if s @ y > 1e-12 * (y @ y):
                 self.past = [*self.past, (s, y)][-MEMORY:]
@@ -110,7 +135,7 @@ class _Lbfgs:
             self.done = True
             return
         self.direction = self._direction(g)
-        self.step, self.tries = (1.0 if self.past else 1.0 / max(1.0, float(np.sqrt(g @ g)))), 0
+        self.step, self.tries = (1.0 if self.past or self.inverse is not None else 1.0 / max(1.0, float(np.sqrt(g @ g)))), 0
         self.trial = self.x + self.step * self.direction
 
     def _direction(self, g: np.ndarray) -> np.ndarray:
@@ -119,14 +144,24 @@ class _Lbfgs:
             a = (s @ q) / (s @ y)
             q -= a * y
             used.append((a, s, y))
+        start = (lambda v: v) if self.inverse is None else lambda v: (self.inverse @ v.reshape(len(self.inverse), -1)).ravel()
+        q = start(q)
         if self.past:
             s, y = self.past[-1]
-            q *= (s @ y) / (y @ y)
+            q = q * ((s @ y) / (y @ start(y))) if self.inverse is None else q
         for a, s, y in reversed(used):
             q += s * (a - (y @ q) / (s @ y))
         return -q
 
 
+def _bend(loss: str, slope: np.ndarray) -> np.ndarray:
+    """The loss's second derivative of each row, on average over columns."""
+    if loss == "hinge":
+        return 2.0 * (slope != 0).mean(1)
+    p = np.abs(slope)  # of one column: how far from the truth; of several: each class's share, but for the true one's, which is short of 1 by it
+    return (p * (1 - p)).mean(1)
+
+
 def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Loss of each row and its slope."""
     if z.shape[1] == 1:
@@ -210,6 +245,9 @@ def fit(rows: DataFrame, problems: list[Problem], folds: list[int], classes: int
     shapes = [(len(folds), f.width + 1, columns) for f in features]
     ends = np.cumsum([int(np.prod(s)) for s in shapes])
     size = len(folds) * len(problems)
+    bent = [f.width + 1 if p.idf is None and f.width <= WIDEST else 0 for p, f in zip(problems, features)]
+    from_bent = size + int(ends[-1])
+    bent_ends = from_bent + np.cumsum([len(folds) * w * w for w in bent])
     solvers = [[_Lbfgs(np.zeros(s[1] * s[2])) for _ in folds] for s in shapes]
     needed = rows.select("fold", "y", *dict.fromkeys(p.vector for p in problems))
     context = rows.sparkSession.sparkContext
@@ -219,12 +257,33 @@ def fit(rows: DataFrame, problems: list[Problem], folds: list[int], classes: int
         shared = context.broadcast(at)
 
         def kernel(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            out = np.zeros(size + len(shared.value))
+            out = np.zeros(bent_ends[-1])
             loss = out[:size].reshape(len(problems), len(folds))
-            parts = list(zip(np.split(shared.value, ends[:-1]), np.split(out[size:], ends[:-1])))
+            parts = list(zip(np.split(shared.value, ends[:-1]), np.split(out[size:from_bent], ends[:-1])))
+            products = [part.reshape(-1, w, w) if w else part for w, part in zip(bent, np.split(out[from_bent:], bent_ends[:-1] - from_bent))]
             for batch, fold, y in _batches(batches):
                 for p, problem in enumerate(problems):
                     w, g = (x.reshape(shapes[p]) for x in parts[p])
+                    if problem.idf is None:  # all folds at once
+                        at = [k for k in range(len(folds)) if going[p][k]]
+                        if not at:
+                            continue
+                        x, (opened, free) = _opened(problem, features[p], batch), features[p].opened(w, at)
+                        z = (x @ opened + free).reshape(len(y), len(at), -1)
+                        whole = np.concatenate([x, np.ones((len(y), 1))], 1) if bent[p] else None
+                        for j, k in enumerate(at):
+                            own = (fold != folds[k]) * weight[k][y]
+                            each, slope = _LOSSES[problem.loss](z[:, j], y)
+                            loss[p, k] += each @ own
+                            if bent[p]:
+                                bend = _bend(problem.loss, slope) * own
+                                some = bend > LEAST_BEND * own.max()
+                                few = whole[some]
+                                products[p][k] += (few * bend[some, None]).T @ few
+                            z[:, j] = slope * own[:, None]
+                        slopes = z.reshape(len(y), -1)
+                        g[at] += features[p].slopes(x.T @ slopes, slopes.sum(0), at)
+                        continue
                     x = None
                     for k, f in enumerate(folds):
                         own = (fold != f) * weight[k][y]
@@ -240,15 +299,18 @@ def fit(rows: DataFrame, problems: list[Problem], folds: list[int], classes: int
                         g[k, -1] += slope.sum(0)
             return out
 
-        total = summed(needed, kernel, size + len(at))
+        total = summed(needed, kernel, int(bent_ends[-1]))
         shared.destroy()
         for p, problem in enumerate(problems):
-            g = np.split(total[size:], ends[:-1])[p].reshape(len(folds), -1)
+            g = np.split(total[size:from_bent], ends[:-1])[p].reshape(len(folds), -1)
+            products = problem.strength * total[bent_ends[p] - len(folds) * bent[p] ** 2 : bent_ends[p]].reshape(len(folds), bent[p], bent[p])
             for k, solver in enumerate(solvers[p]):
                 if not solver.done:
                     held = np.ones(shapes[p][1:])
                     held[-1] = problem.loss == "hinge"
                     own = solver.trial * held.ravel()
+                    if bent[p]:
+                        solver.inverse, solver.exact = features[p].inverse(products[k], k, held[:, 0]), columns == 1
                     solver.tell(problem.strength * total[p * len(folds) + k] + own @ own / 2, problem.strength * g[k] + own)
     return Fitted(problems, features, folds, classes, [np.stack([s.x for s in own]).reshape(shape) for own, shape in zip(solvers, shapes)])
 
