@@ -115,10 +115,25 @@ def fit(
             got = known[word] = _features(word)
         return got
 
-    groups, draw = [t.encode() for t in terms], np.random.default_rng(seed)
-    sets, swaps = [], []  # swaps: features that only the swapped text has, and those it lost
+    groups = {t.encode() for t in terms}
+    sets, named = [], []
     for t in texts:
         sets.append(np.unique(np.fromiter((f for w in t for f in of(w)), np.uint32)))
+        if groups & set(t):
+            named.append(t)
+    return _fitted(sets, named, labels, seed, rounds, l2, penalty, terms, neutral)
+
+
+def _fitted(
+    sets: list[np.ndarray], named: list[list[bytes]], labels: np.ndarray, seed: int = 7, rounds: int = 400, l2: float = 1e-4, penalty: float = SWAP_PENALTY, terms: tuple[str, ...] = IDENTITY_TERMS, neutral: str = NEUTRAL
+) -> Model:
+    """sets: the features of each labelled text; named: the words of those that name a group, in the same order."""
+    if not len(labels) or labels.min() == labels.max():
+        return Model({}, -1.0 if not len(labels) or labels.max() == 0 else 0.0)
+    of = _features
+    groups, draw = [t.encode() for t in terms], np.random.default_rng(seed)
+    swaps = []  # features that only the swapped text has, and those it lost
+    for t in named:
         have = set(t)
         for term in sorted(have & set(groups)):
             others = [g for g in groups if g != term]
@@ -175,9 +190,29 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **opti
 
     found = docs.select(F.col("doc_id"), safe_text(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
     each = found.mapInArrow(distinct_words, "doc_id long, toxic int, words binary")
-    rows = each.groupBy("doc_id").agg(F.max(F.struct("toxic", "words")).alias("m")).select("doc_id", "m.*").toArrow().sort_by("doc_id")  # at most max_train rows
-    said = rows.column("words")
-    return fit((said[i].as_py().split() for i in range(len(said))), rows.column("toxic").to_numpy().astype(float), **options)
+    groups = {t.encode() for t in options.get("terms", IDENTITY_TERMS)}
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[int, ...]] = {}
+        for batch in (big.slice(i, STEP) for big in batches for i in range(0, big.num_rows, STEP)):
+            sets, named = [], []
+            for raw in batch.column(2).to_pylist():
+                own = raw.split()
+                if len(known) > 150_000:
+                    known.clear()
+                for w in own:
+                    if w not in known:
+                        known[w] = _features(w)
+                sets.append(np.unique(np.fromiter((f for w in own for f in known[w]), np.uint32)).tobytes())
+                named.append(raw if groups.intersection(own) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary()), pa.array(named, pa.binary())], names=["doc_id", "toxic", "features", "named"])
+
+    one = each.groupBy("doc_id").agg(F.max(F.struct("toxic", "words")).alias("m")).select("doc_id", "m.*")
+    # at most max_train rows; the driver gets 32-bit features, and words of texts that name a group only
+    rows = one.mapInArrow(features, "doc_id long, toxic int, features binary, named binary").toArrow().sort_by("doc_id")
+    sets = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("features")]
+    named = [x.as_py().split() for x in rows.column("named") if x.is_valid]
+    return _fitted(sets, named, rows.column("toxic").to_numpy().astype(float), **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
