@@ -1,7 +1,7 @@
 """Bloom filters as bitmaps in a table, DataFrame functions only.
 
-Each of two hash functions sets a cell for a 64-bit hash. Hashes are cut into ranges, so that the bitmaps of one range stay below MAX_BROADCAST_BYTES;
-a range is broadcast and probed at a time, and rows pass through without a shuffle at any size. A large filter costs a pass over the rows for each range.
+Each of two hash functions sets a cell for a 64-bit hash, both in one bucket of cells, so that a probe is a single join with a broadcast table. Hashes are cut into ranges, so that
+the bitmaps of one range stay below MAX_BROADCAST_BYTES; a range is broadcast and probed at a time, and rows pass through without a shuffle at any size. A large filter costs a pass over the rows for each range.
 """
 
 from __future__ import annotations
@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 
 from loomspark.llm._common import materialize, safe_text
 
-#: Cells a hash for each hash function; two hash functions leave under 2 % false positives.
-CELLS_PER_HASH = 8
+#: Cells a hash; two hash functions leave under 2 % false positives.
+CELLS_PER_HASH = 16
+#: Cells of a bucket: bits of one bitmap.
+BUCKET = 1 << 15
 #: Bitmaps of one range, which are broadcast.
 MAX_BROADCAST_BYTES = 32 << 20
 
 
 class Bitmaps(NamedTuple):
-    """part, fn, bucket, bits by rows; cells for each function in a range; ranges, a power of two."""
+    """part, bucket, bits by rows; buckets in a range; ranges, both powers of two."""
 
     maps: DataFrame
-    cells: int
+    buckets: int
     ranges: int
 
     def part(self, h: Column) -> Column:
@@ -35,25 +37,30 @@ class Bitmaps(NamedTuple):
         width = 2**64 // self.ranges
         return h.between(-(2**63) + part * width, -(2**63) + (part + 1) * width - 1)
 
-    def cell(self, h: Column, fn: int) -> Column:
-        return F.pmod(F.xxhash64(h, F.lit(1)) if fn else h, F.lit(self.cells)) + 1
+    def bucket(self, h: Column) -> Column:
+        return F.pmod(h, F.lit(self.buckets))
 
+    def at(self, h: Column, fn: int) -> Column:
+        """The cell's place in the bucket."""
+        return F.pmod(F.shiftright(F.xxhash64(h, F.lit(1)), 20 * fn), F.lit(BUCKET))
 
-def bitmaps(hashes: DataFrame, n: int, least: int = 1, max_bytes: int | None = None, least_ranges: int = 1) -> Bitmaps:
-    """Cells that at least `least` of the n hashes (column h) hit; counts are combined before they travel, so a hot hash is no hot task.
-    least_ranges, a power of two: filters with equal ranges are probed together."""
-    cells = 1 << max(15, (CELLS_PER_HASH * n - 1).bit_length())
-    ranges = max(least_ranges, 2 * cells // 8 // (max_bytes or MAX_BROADCAST_BYTES))
-    form = Bitmaps(hashes, max(1 << 15, cells // ranges), ranges)
+
+def bitmaps(hashes: DataFrame, n: int, least: int = 1, max_bytes: int | None = None, least_ranges: int = 1, distinct: bool = False) -> Bitmaps:
+    """Cells that at least `least` of the n hashes (column h) hit; counts are combined before they travel, so a hot hash is no hot task. Of hashes told to be
+    distinct (or nearly so) none is hot: with least = 1 they travel once, uncounted. least_ranges, a power of two: filters with equal ranges are probed together."""
+    cells = max(BUCKET, 1 << (CELLS_PER_HASH * n - 1).bit_length())
+    ranges = max(least_ranges, cells // 8 // (max_bytes or MAX_BROADCAST_BYTES))
+    form = Bitmaps(hashes, max(1, cells // ranges // BUCKET), ranges)
     h = F.col("h")
-    each = F.explode(F.array(*[F.struct(form.part(h).alias("part"), F.lit(fn).alias("fn"), form.cell(h, fn).alias("cell")) for fn in (0, 1)]))
-    hit = hashes.where("h is not null").select(each.alias("x")).groupBy("x.part", "x.fn", "x.cell").count().where(F.col("count") >= least)
-    placed = hit.withColumn("bucket", F.bitmap_bucket_number("cell")).repartition("part", "fn", "bucket")
-    return form._replace(maps=materialize(placed.groupBy("part", "fn", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")), "bloom"))
+    known = hashes.where("h is not null").select(form.part(h).alias("part"), form.bucket(h).alias("bucket"), F.array(*[form.at(h, fn) for fn in (0, 1)]).alias("cells"))
+    hit = known.select("part", "bucket", F.explode("cells").alias("cell"))
+    if least > 1 or not distinct:
+        hit = hit.groupBy("part", "bucket", "cell").count().where(F.col("count") >= least)
+    placed = hit.repartition("part", "bucket").groupBy("part", "bucket")
+    return form._replace(maps=materialize(placed.agg(F.bitmap_construct_agg("cell").alias("bits")), "bloom"))
 
 
-def _bit(bitmap: Column, cell: Column) -> Column:
-    at = F.bitmap_bit_position(cell)
+def _bit(bitmap: Column, at: Column) -> Column:
     byte = F.conv(F.hex(F.substring(bitmap, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")), F.lit(0)) % 2 == 1
 
@@ -73,12 +80,11 @@ def probed_all(rows: DataFrame, h: Column, filters: dict[str, Bitmaps]) -> DataF
         first = next(iter(filters.values()))
         out = rows.where(first.within(h, part)) if first.ranges > 1 else rows
         for k, (name, known) in enumerate(filters.items()):
-            for fn in (0, 1):
-                side = known.maps.where((F.col("part") == part) & (F.col("fn") == fn)).select(F.col("bucket").alias(f"__bucket{k}{fn}"), F.col("bits").alias(f"__bits{k}{fn}"))
-                # at most MAX_BROADCAST_BYTES a filter
-                out = out.join(F.broadcast(side), F.bitmap_bucket_number(known.cell(h, fn)) == F.col(f"__bucket{k}{fn}"), "left")
-            both = [_bit(F.col(f"__bits{k}{fn}"), known.cell(h, fn)) for fn in (0, 1)]
-            out = out.withColumn(name, both[0] & both[1]).drop(*[f"__{c}{k}{i}" for i in (0, 1) for c in ("bucket", "bits")])
+            side = known.maps.where(F.col("part") == part).select(F.col("bucket").alias(f"__bucket{k}"), F.col("bits").alias(f"__bits{k}"))
+            # at most MAX_BROADCAST_BYTES a filter
+            out = out.join(F.broadcast(side), known.bucket(h) == F.col(f"__bucket{k}"), "left")
+            both = [_bit(F.col(f"__bits{k}"), known.at(h, fn)) for fn in (0, 1)]
+            out = out.withColumn(name, both[0] & both[1]).drop(f"__bucket{k}", f"__bits{k}")
         return out
 
     return reduce(DataFrame.unionByName, map(one, range(ranges.pop())))

@@ -168,7 +168,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, of).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
 
     own = wanted.select(F.xxhash64("node").alias("h"))
-    texts = probed(docs.select(*_numbered(docs)[1:]), F.xxhash64("node"), bitmaps(own, own.count()), "__some").where("__some").select("node", "text")
+    texts = probed(docs.select(*_numbered(docs)[1:]), F.xxhash64("node"), bitmaps(own, own.count(), distinct=True), "__some").where("__some").select("node", "text")
     full = materialize(texts.mapInArrow(sets, "node long, shingles binary"), "shingles")
     repeats = full.groupBy("node").count().where("count > 1")
     return full if repeats.isEmpty() else materialize(full.groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
@@ -194,7 +194,7 @@ def _linked(full: DataFrame, pairs: DataFrame) -> DataFrame:
     copies = F.coalesce("copies", F.lit(1).cast("long"))
     dealt = pairs.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).alias("copy"))
     # Bloom filters of the pairs' ends: no other set is moved
-    having = lambda end: probed(full, F.xxhash64("node"), bitmaps(pairs.select(F.xxhash64(end).alias("h")), n), "__some").where("__some")
+    having = lambda end: probed(full, F.xxhash64("node"), bitmaps(pairs.select(F.xxhash64(end).alias("h")), n, distinct=end == "b"), "__some").where("__some")  # noqa: E731  a b has two pairs at most
     sets = having("a").select(F.col("node").alias("a"), F.col("shingles").alias("set_a")).join(hot, "a", "left").select("a", "set_a", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
     one = dealt.join(having("b").select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     return materialize(one.join(sets, ["a", "copy"]).select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct(), "linked")
@@ -203,7 +203,7 @@ def _linked(full: DataFrame, pairs: DataFrame) -> DataFrame:
 def _having(full: DataFrame, nodes: DataFrame) -> DataFrame:
     """The sets of at least these nodes: they pass a Bloom filter, and none is moved."""
     own = materialize(nodes.select(F.xxhash64("node").alias("h")).distinct(), "nodes")
-    return probed(full, F.xxhash64("node"), bitmaps(own, own.count()), "__some").where("__some").drop("__some")
+    return probed(full, F.xxhash64("node"), bitmaps(own, own.count(), distinct=True), "__some").where("__some").drop("__some")
 
 
 def _fine_signatures(full: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -282,15 +282,18 @@ def joining_links(sides: list[list[tuple[int, int, np.ndarray]]]) -> list[tuple[
     return out
 
 
-def _cells(rows: DataFrame, sizes: DataFrame, diagonal: bool = False) -> DataFrame | None:
-    """band, lo, hi, own, label, node: the classes of each band (band, n, node, label) dealt to blocks, and the cells in which blocks meet; sizes: node, size in bytes.
-    None if only large bands were asked for and there are none."""
+def _blocks(rows: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of each band (band, n, node, label) with their sizes, and each band's numbers of blocks; sizes: node, size in bytes."""
     sized = materialize(rows.join(sizes, "node"), "block-rows")
     trees = sized.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"), F.max("n").alias("n")).groupBy("band")
     stats = trees.agg(F.max(F.struct("c", "label", "s")).alias("m"), F.sum("c").alias("members"), F.sum("s").alias("s"), F.max("n").alias("n"))
     blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_BYTES)).cast("int")
     others = blocks(F.col("members") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("others")
-    plan = materialize(stats.select("band", "n", F.col("m.label").alias("largest"), blocks(F.col("m.c"), F.col("m.s")).alias("k"), others), "blocks")
+    return sized, materialize(stats.select("band", "n", F.col("m.label").alias("largest"), blocks(F.col("m.c"), F.col("m.s")).alias("k"), others), "blocks")
+
+
+def _cells(sized: DataFrame, plan: DataFrame, diagonal: bool = False) -> DataFrame | None:
+    """band, lo, hi, own, label, node: the classes dealt to blocks, and the cells in which blocks meet. None if only large bands were asked for and there are none."""
     cells = F.col("others") * (F.col("others") + 1) / 2 + F.col("others") * F.col("k")
     plan = plan.where(cells > MANY if diagonal else F.col("others") > 0)
     if diagonal and plan.isEmpty():
@@ -361,10 +364,9 @@ def _likely(band: int, one: list, two: list) -> Iterator[tuple[int, int]]:
         yield from ((band, two[p][0]) for p in np.unique(j[good]).tolist())
 
 
-def _across(rows: DataFrame, full: DataFrame, diagonal: bool = False) -> DataFrame | None:
+def _across(sets: DataFrame, blocks: tuple[DataFrame, DataFrame], diagonal: bool = False) -> DataFrame | None:
     """Links (a, b) between labels whose classes share a band and are similar. None if only large bands were asked for and there are none."""
-    sets = _having(full, rows.select("node"))
-    cells = _cells(rows, sets.select("node", F.octet_length("shingles").alias("size")), diagonal)
+    cells = _cells(*blocks, diagonal)
     if cells is None:
         return None
     unpacked = lambda side: [(label, n, np.frombuffer(raw, np.uint64)) for _, label, n, raw in side]
@@ -432,13 +434,20 @@ def _trees(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     once = same.groupBy("c", "s0", "s1").agg(F.min("band").alias("band")).select("band")
     rest = materialize(rest.join(once, "band", "left_semi"), "distinct-bands")
     own = rest.groupBy("node").agg(F.collect_list("band").alias("bands"))  # at most BANDS
-    likely = _by_cell(_cells(rest, fine.select("node", F.lit(FINE).cast("long").alias("size"))), fine.join(own, "node"), _likely, "band node")
+    likely = _by_cell(_cells(*_blocks(rest, fine.select("node", F.lit(FINE).cast("long").alias("size")))), fine.join(own, "node"), _likely, "band node")
     rest = _open(rest.join(likely, ["band", "node"], "left_semi").drop("label"), trees)
+    sets = blocks = None
     for diagonal in (True, False):
-        between = None if rest.isEmpty() else _across(rest, full, diagonal)
+        if blocks is None:
+            if rest.isEmpty():
+                break
+            sets = _having(full, rest.select("node"))
+            blocks = _blocks(rest, sets.select("node", F.octet_length("shingles").alias("size")))
+        between = _across(sets, blocks, diagonal)
         if between is not None and not between.isEmpty():
             trees = _renamed(trees, between)
-            rest = _open(rest.drop("label"), trees) if diagonal else rest
+            if diagonal:
+                rest, blocks = _open(rest.drop("label"), trees), None
     return trees
 
 

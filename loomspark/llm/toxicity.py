@@ -209,10 +209,23 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **opti
 
     one = each.groupBy("doc_id").agg(F.max(F.struct("toxic", "words")).alias("m")).select("doc_id", "m.*")
     # at most max_train rows; the driver gets 32-bit features, and words of texts that name a group only
-    rows = one.mapInArrow(features, "doc_id long, toxic int, features binary, named binary").toArrow().sort_by("doc_id")
-    sets = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("features")]
-    named = [x.as_py().split() for x in rows.column("named") if x.is_valid]
-    return _fitted(sets, named, rows.column("toxic").to_numpy().astype(float), **options)
+    rows = one.mapInArrow(features, "doc_id long, toxic int, features binary, named binary").toArrow()
+    model = _fitted(*_in_order(rows), **options)
+    del rows
+    pa.default_memory_pool().release_unused()  # else the driver keeps it to its end
+    return model
+
+
+def _in_order(rows: pa.Table) -> tuple[list[np.ndarray], list[list[bytes]], np.ndarray]:
+    """Features and named words of each text, and the labels, by doc_id; the features are views of the table, not copies."""
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    sets = []
+    for chunk in rows.column("features").chunks:
+        _, places, data = chunk.buffers()
+        at = np.frombuffer(places, np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] // 4 if len(chunk) else [0]
+        sets += np.split(np.frombuffer(data or b"", np.uint32, at[-1]), at[:-1])[1:]
+    named = rows.column("named").take(pa.array(order)).drop_null().to_pylist()
+    return [sets[i] for i in order.tolist()], [x.split() for x in named], rows.column("toxic").to_numpy()[order].astype(float)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,16 @@ def test_bloom_filter_in_ranges(spark):
     assert {r.id for r in got} >= set(range(10)) and len(got) < 300
 
 
+def test_bloom_filter_is_one_broadcast(spark):
+    rows = spark.range(400).select(F.xxhash64("id").alias("h"), "id")
+    known = rows.where("id % 3 = 0").select("h")
+    for made in (bloom.bitmaps(known, 134), bloom.bitmaps(known, 134, distinct=True)):
+        got = bloom.probed(rows, F.col("h"), made, "hit")
+        assert got._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 1
+        assert all(r.hit for r in got.collect() if r.id % 3 == 0) and got.where("hit").count() < 134 + 20
+    assert bloom.bitmaps(known, 134, distinct=True).maps.collect() == bloom.bitmaps(known.union(known), 134).maps.collect()
+
+
 def test_exact_dedup_in_ranges(spark):
     one = exact_dedup.exact_groups(frame(spark, DOCS)).collect()
     many = exact_dedup.exact_groups(frame(spark, DOCS), max_bytes=2048).collect()
@@ -56,6 +67,32 @@ def test_near_dedup_around_the_threshold(spark, monkeypatch, block):
     assert len({root(i) for i in sets}) > 6
 
 
+def test_blocks_are_planned_once_without_large_bands(spark, monkeypatch):
+    """Bands of few cells need no pass over the diagonal, and what was planned for it serves the rest."""
+    told, plain = [], near_dedup._blocks
+    monkeypatch.setattr(near_dedup, "_blocks", lambda rows, sizes: told.append(rows) or plain(rows, sizes))
+    r, docs = random.Random(8), []
+    for g in range(2):
+        base = words(120, 90 + g, 9000).split()
+        for i in range(60):
+            own = list(base)
+            for at in r.sample(range(len(own)), r.choice([1, 3, 4, 5, 6])):
+                own[at] = f"z{r.randrange(10**6)}"
+            docs.append((1000 * g + i, " ".join(own)))
+    sets, root = brute_components(docs)
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(frame(spark, docs)).collect()} == {i: root(i) for i in sets}
+    assert len(told) == 2  # for the signatures, and for the sets
+
+
+def test_training_reads_features_in_place():
+    own = [np.array(x, np.uint32) for x in ([3, 5, 9], [], [7])]
+    rows = pa.table({"doc_id": [8, -2, 4], "toxic": [1, 0, 1], "features": pa.array([x.tobytes() for x in own], pa.binary()), "named": pa.array([b"gay a", None, b"men"], pa.binary())})
+    sets, named, labels = toxicity._in_order(rows)
+    assert [x.tolist() for x in sets] == [[], [7], [3, 5, 9]] and named == [[b"men"], [b"gay", b"a"]] and labels.tolist() == [0.0, 1.0, 1.0]
+    data = np.frombuffer(rows.column("features").chunk(0).buffers()[2], np.uint8)
+    assert all(np.shares_memory(x, data) for x in sets if len(x))
+
+
 def test_cells_give_fewer_links_than_members():
     r = np.random.default_rng(2)
     pool = r.integers(0, 2**63, 400).astype(np.uint64)
