@@ -61,6 +61,12 @@ def superset(pattern: str) -> str:
     return "".join(out)
 
 
+def _searched(texts: pa.Array, patterns: Iterable[str], ignore_case: bool) -> list[pa.Array]:
+    """Whether each pattern is found in each text; texts that a batch repeats are searched once."""
+    coded = texts.dictionary_encode()
+    return [pc.match_substring_regex(coded.dictionary, p, ignore_case=ignore_case).take(coded.indices) for p in patterns]
+
+
 def may_match(text: Column, lists: dict[str, Iterable[str]], ignore_case: bool = True) -> Column:
     """A struct that tells for each list of patterns whether any of them can be found in the text at all: one linear pass a list over Arrow batches, which
     leaves few texts to has_any(). False is certain; a null text has null."""
@@ -68,7 +74,7 @@ def may_match(text: Column, lists: dict[str, Iterable[str]], ignore_case: bool =
 
     @F.arrow_udf("struct<" + ", ".join(f"{name}: boolean" for name in own) + ">")
     def search(texts: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays([pc.match_substring_regex(texts, p, ignore_case=ignore_case) for p in own.values()], list(own))
+        return pa.StructArray.from_arrays(_searched(texts, own.values(), ignore_case), list(own))
 
     return search(text)
 

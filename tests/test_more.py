@@ -4,12 +4,13 @@ import math
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomspark import more_queries, queries, study_queries
-from loomspark.functions import discourse
+from loomspark.functions import discourse, regex
 from loomspark.operators import checks, classifier, index, ranking, tables
 from loomspark.sinks import writers
 from loomspark.sources import readers
@@ -229,3 +230,12 @@ def test_vectors_and_importance(spark):
     assert models.predict(fitted, df, "vector").where("predicted != level").count() == 0
     got = {r.feature: r["mean"] for r in models.importance_by_fold(df, "level", "k", ("f", "g"), 2).collect()}
     assert got == {"f": 1.0, "g": 0.0}
+
+
+def test_repeated_texts_are_searched_once(monkeypatch):
+    seen, plain = [], regex.pc.match_substring_regex
+    monkeypatch.setattr(regex.pc, "match_substring_regex", lambda texts, *a, **b: seen.append(len(texts)) or plain(texts, *a, **b))
+    texts = pa.array(["a bug", None, "", "fine", "a BUG", "a bug"] * 50)
+    got = regex._searched(texts, ["bug", "^$"], True)
+    assert [x.to_pylist() for x in got] == [[True, None, False, False, True, True] * 50, [False, None, True, False, False, False] * 50]
+    assert seen == [4, 4]
